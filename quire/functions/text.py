@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 # fixed values: the 29 code points that Python's str.strip() removes
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
@@ -48,7 +49,7 @@ def coverage_ratio(text: Column, texts: Column) -> Column:
     return words_coverage(significant_words(text), significant_words(F.array_join(texts, " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
@@ -119,7 +120,7 @@ def extract_json(text: str) -> object:
         return json.loads(t[first : last + 1])
 
 
-@F.pandas_udf("struct<json:string,error:string>")
+@F.pandas_udf(StructType().add("json", StringType()).add("error", StringType()))
 def strict_json(x: pd.Series) -> pd.DataFrame:
     """The parsed response as canonical JSON, or the error, by ``extract_json``."""
     rows = []
@@ -131,7 +132,7 @@ def strict_json(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["json", "error"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def last_item_json(x: pd.Series) -> pd.Series:
     """The last element of the array ``chunks`` of a response's JSON, with ``, `` and ``: ``, keys in their order."""
 

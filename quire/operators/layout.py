@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from quire.functions import text as T
 
@@ -94,7 +95,7 @@ def match_words(page: list[str], tokens: list[str], ahead: int = AHEAD) -> tuple
     return best
 
 
-@F.pandas_udf("struct<places:array<int>,offset:int>")
+@F.pandas_udf(StructType().add("places", ArrayType(IntegerType())).add("offset", IntegerType()))
 def match_words_udf(page: pd.Series, tokens: pd.Series) -> pd.DataFrame:
     rows = [match_words(list(p), list(t)) if p is not None and t is not None else ([], 0) for p, t in zip(page, tokens, strict=True)]
     return pd.DataFrame(rows, columns=["places", "offset"])

@@ -1,2 +1,409 @@
-QUERIES = {}
-ORACLE = {}
+"""The registered queries over the test tables, and the same in DuckDB SQL.
+
+The tables hold no model output. A deterministic rule stands in for it: a line is a block, five lines a page, two pages a
+batch; a block was chunked iff block_no % 3 <> 0 and batch_no % 4 <> 1, with headings and page numbers by rule.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.operators import chunks as C
+from quire.operators import layout as L
+from quire.operators import outline as O
+from quire.operators import pages as P
+from quire.sinks.chunks import chunk_lines, skip_existing
+from quire.sources import documents as D
+from quire.sources.documents import table
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- the fixture, in Spark
+
+
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    return D.text_blocks(table(spark, d, "documents"))
+
+
+def raw_chunks(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks(spark, d).where("block_no % 3 <> 0 and batch_no % 4 <> 1")
+    none = F.lit(None).cast("string")
+    section = F.concat(F.lit("Section "), F.col("page_num").cast("string"))
+    topic = F.concat(F.lit("Topic "), (F.col("block_no") % 3).cast("string"))
+    return b.select(
+        "doc_id", "batch_no", F.col("block_no").alias("ord"), "block_no", F.col("text").alias("chunk_text"), F.when(F.col("block_no") % 7 == 0, 0).otherwise(F.col("page_num")).alias("page_start"),
+        F.lit(None).cast("int").alias("page_end"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("level_1_heading"),
+        F.when(F.col("block_no") % 5 != 0, section).alias("level_2_heading"), F.when(F.col("block_no") % 4 == 0, topic).alias("level_3_heading"),
+        F.when(F.col("block_no") % 11 == 0, "prose").otherwise("paragraph").alias("content_type"), F.lit("new").alias("continuation_status"), none.alias("table_markdown"),
+        F.when(F.col("block_no") % 2 == 0, F.array(F.lit("alpha"), F.lit("beta"))).alias("keywords"), F.lit(None).cast("array<string>").alias("entities"), none.alias("source_notes"),
+    )
+
+
+def normalized(spark: SparkSession, d: str) -> DataFrame:
+    start = F.col("batch_no") * 2 + 1
+    return C.normalize(raw_chunks(spark, d), start, start + 1).drop("block_no")
+
+
+def numbered(spark: SparkSession, d: str) -> DataFrame:
+    return C.union_recovered(normalized(spark, d), blocks(spark, d))
+
+
+# ---- the fixture, in DuckDB SQL
+
+WS = "||".join(f"chr({ord(c)})" for c in T.WHITE)
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def words_sql(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(translate({x}, '{_UP}', '{_LOW}'), '[a-z0-9가-힣]{{4,}}'))"
+
+
+BLOCKS = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+blocks AS (SELECT doc_id, CAST(n AS INT) AS block_no, CAST(n // 5 + 1 AS INT) AS page_num, CAST((n // 5) // 2 AS INT) AS batch_no, trim(raw, {WS}) AS text FROM lines WHERE trim(raw, {WS}) <> '')"""
+RAW = f"""{BLOCKS},
+raw AS (SELECT doc_id, batch_no, block_no, text AS chunk_text, CASE WHEN block_no % 7 = 0 THEN 0 ELSE page_num END AS page_start, 'Doc ' || doc_id AS l1,
+  CASE WHEN block_no % 5 <> 0 THEN 'Section ' || page_num END AS l2, CASE WHEN block_no % 4 = 0 THEN 'Topic ' || (block_no % 3) END AS l3,
+  CASE WHEN block_no % 11 = 0 THEN 'prose' ELSE 'paragraph' END AS content_type, CASE WHEN block_no % 2 = 0 THEN 'alpha, beta' ELSE '' END AS kw
+  FROM blocks WHERE block_no % 3 <> 0 AND batch_no % 4 <> 1)"""
+MISSED = f"""{RAW},
+w AS (SELECT *, {words_sql("text")} AS ws FROM blocks),
+cov AS (SELECT doc_id, batch_no, list_distinct(flatten(list({words_sql("chunk_text")}))) AS covered FROM raw GROUP BY ALL),
+missed AS (SELECT w.*, len(ws) AS n_words, len(list_intersect(ws, coalesce(covered, []))) / len(ws) AS coverage FROM w LEFT JOIN cov USING (doc_id, batch_no)
+  WHERE len(ws) >= 15 AND len(list_intersect(ws, coalesce(covered, []))) / len(ws) < 0.3)"""
+NUMBERED = f"""{MISSED},
+both_ AS (SELECT doc_id, batch_no, block_no AS ord, chunk_text, coalesce(nullif(page_start, 0), batch_no * 2 + 1) AS page_start, l1, l2, l3, FALSE AS is_recovered, {{'a': l1, 'b': l2}} AS h FROM raw
+  UNION ALL SELECT doc_id, batch_no, block_no, text, page_num, NULL, NULL, NULL, TRUE, NULL FROM missed),
+inh AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY batch_no, is_recovered, ord ROWS UNBOUNDED PRECEDING) AS hh FROM both_),
+numbered AS (SELECT doc_id, batch_no, ord, chunk_text, page_start, is_recovered, l3, CASE WHEN is_recovered THEN hh.a ELSE l1 END AS l1, CASE WHEN is_recovered THEN hh.b ELSE l2 END AS l2,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY batch_no, is_recovered, ord) - 1 AS INT) AS seq FROM inh)"""
+
+
+# ---- pages and words
+
+
+@query(f"WITH {BLOCKS}, t AS (SELECT doc_id, max(page_num) AS total FROM blocks GROUP BY doc_id) SELECT DISTINCT doc_id, page_num, batch_no, batch_no * 2 + 1 AS page_start, least(batch_no * 2 + 2, total) AS page_end FROM blocks JOIN t USING (doc_id)")
+def page_batches(spark, d):
+    pages = blocks(spark, d).groupBy("doc_id").agg(F.max("page_num").alias("total"), F.collect_set("page_num").alias("p"))
+    out = P.page_batches(pages.select("doc_id", "total", F.explode("p").alias("page_num")), F.col("total"))
+    return out.select("doc_id", "page_num", "batch_no", "page_start", "page_end")
+
+
+@query(f"WITH {BLOCKS}, p AS (SELECT doc_id, batch_no, page_num, string_agg(text, chr(10) ORDER BY block_no) AS t FROM blocks GROUP BY ALL) SELECT doc_id, batch_no, string_agg('--- page ' || page_num || ' ---' || chr(10) || t, chr(10) || chr(10) ORDER BY page_num) AS page_text FROM p GROUP BY ALL")
+def page_text(spark, d):
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n")
+    return P.page_text(blocks(spark, d).groupBy("doc_id", "batch_no", "page_num").agg(texts.alias("text")), "doc_id", "batch_no")
+
+
+@query(f"WITH {BLOCKS} SELECT * FROM blocks")
+def page_blocks(spark, d):
+    return P.page_blocks(blocks(spark, d))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, count(DISTINCT page_num) AS n_pages FROM blocks GROUP BY doc_id")
+def count_pages(spark, d):
+    return P.count_pages(blocks(spark, d).select("doc_id", "page_num").distinct(), "doc_id")
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, block_no, page_num FROM blocks WHERE page_num BETWEEN 2 AND 3")
+def page_range_filter(spark, d):
+    return P.page_range(blocks(spark, d), 2, 3).select("doc_id", "block_no", "page_num")
+
+
+@query(f"SELECT doc_id, len({words_sql('text')}) AS n_words, array_to_string(list_sort({words_sql('text')}), ' ') AS words FROM documents")
+def significant_words(spark, d):
+    w = T.significant_words(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(w).alias("n_words"), F.array_join(F.array_sort(w), " ").alias("words"))
+
+
+@query(f"WITH {MISSED} SELECT w.doc_id, w.block_no, CASE WHEN len(ws) = 0 THEN 1.0 ELSE round(len(list_intersect(ws, coalesce(covered, []))) / len(ws), 6) END AS coverage FROM w LEFT JOIN cov USING (doc_id, batch_no)")
+def coverage_ratio(spark, d):
+    cov = C.batch_words(normalized(spark, d), "doc_id", "batch_no")
+    out = blocks(spark, d).join(cov, ["doc_id", "batch_no"], "left")
+    ratio = T.words_coverage(T.significant_words(F.col("text")), F.coalesce("covered", F.array().cast("array<string>")))
+    return out.select("doc_id", "block_no", F.round(ratio, 6).alias("coverage"))
+
+
+@query(f"WITH {MISSED} SELECT doc_id, batch_no, block_no, page_num, text, n_words, round(coverage, 6) AS coverage FROM missed")
+def missed_blocks(spark, d):
+    out = C.find_missed_blocks(blocks(spark, d), raw_chunks(spark, d))
+    return out.select("doc_id", "batch_no", "block_no", "page_num", "text", "n_words", F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"WITH {MISSED} SELECT doc_id, batch_no, count(*) AS n_recovered FROM missed GROUP BY ALL")
+def recovered_count(spark, d):
+    return C.find_missed_blocks(blocks(spark, d), raw_chunks(spark, d)).groupBy("doc_id", "batch_no").agg(F.count("*").alias("n_recovered"))
+
+
+@query(f"WITH {NUMBERED} SELECT doc_id, batch_no, seq, ord AS block_no, page_start, l1 AS level_1_heading, l2 AS level_2_heading, 'paragraph' AS content_type, 'partial' AS continuation_status, '{T.RECOVERED_NOTE.replace(chr(39), chr(39) * 2)}' AS source_notes FROM numbered WHERE is_recovered")
+def recovered_chunks(spark, d):
+    return numbered(spark, d).where("is_recovered").select("doc_id", "batch_no", "seq", F.col("ord").alias("block_no"), "page_start", "level_1_heading", "level_2_heading", "content_type", "continuation_status", "source_notes")
+
+
+@query(f"WITH {NUMBERED} SELECT doc_id, seq, 'doc_' || doc_id || '_' || seq AS chunk_id, chunk_text, l1 AS level_1_heading, l2 AS level_2_heading, l3 AS level_3_heading, is_recovered FROM numbered")
+def all_chunks_numbered(spark, d):
+    cid = T.chunk_id(T.id_resolver(F.lit(""), F.concat(F.lit("Doc-"), F.col("doc_id").cast("string"))), F.col("seq"))
+    return numbered(spark, d).select("doc_id", "seq", cid.alias("chunk_id"), "chunk_text", "level_1_heading", "level_2_heading", "level_3_heading", "is_recovered")
+
+
+@query(f"WITH {NUMBERED} SELECT doc_id, count(*) AS n_chunks FROM numbered GROUP BY doc_id")
+def chunks_saved(spark, d):
+    return numbered(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+
+
+@query(f"""WITH {RAW}, e AS (SELECT raw.*, source FROM raw JOIN documents USING (doc_id)) SELECT doc_id, block_no, coalesce(nullif(page_start, 0), batch_no * 2 + 1) AS page_start, batch_no * 2 + 2 AS page_end, kw AS keywords,
+trim('source: ' || source || chr(10) || 'title: ' || l1 || chr(10) || 'section: ' || coalesce(l2, '') || chr(10) || 'topic: ' || coalesce(l3, '') || chr(10) || 'keywords: ' || kw || chr(10) || 'entities: ' || chr(10) || chr(10) || 'content:' || chr(10) || chunk_text, {WS}) AS embedding_text,
+l1 AS meta_level_1, content_type AS meta_content_type FROM e""")
+def chunks_normalized(spark, d):
+    out = normalized(spark, d).withColumn("seq", F.col("ord")).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    out = C.finish(out, F.col("doc_id").cast("string"), F.col("source"), F.lit(None).cast("string"))
+    return out.select(F.col("document_id").cast("long").alias("doc_id"), F.col("seq").alias("block_no"), "page_start", "page_end", F.array_join("keywords", ", ").alias("keywords"), "embedding_text", F.col("metadata.level_1_heading").alias("meta_level_1"), F.col("metadata.content_type").alias("meta_content_type"))
+
+
+@query(f"WITH {RAW} SELECT doc_id, block_no, 'content_type' AS error FROM raw WHERE content_type = 'prose'")
+def invalid_chunks(spark, d):
+    return raw_chunks(spark, d).withColumn("error", C.invalid()).where("error is not null").select("doc_id", "block_no", "error")
+
+
+@query(f"WITH {RAW}, b AS (SELECT doc_id, count(*) FILTER (WHERE content_type = 'prose') AS bad, count(*) AS n FROM raw GROUP BY doc_id) SELECT doc_id, CASE WHEN bad = 0 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN bad > 0 THEN 'content_type' END AS error, CASE WHEN bad = 0 THEN n ELSE 0 END AS n_chunks FROM b")
+def document_status(spark, d):
+    return C.document_status(raw_chunks(spark, d))
+
+
+@query(f"WITH {RAW}, bad AS (SELECT DISTINCT doc_id FROM raw WHERE content_type = 'prose') SELECT doc_id, block_no FROM raw WHERE doc_id NOT IN (SELECT doc_id FROM bad)")
+def sound_documents(spark, d):
+    raw = raw_chunks(spark, d)
+    return C.only_sound(raw, C.document_status(raw)).select("doc_id", "block_no")
+
+
+@query("SELECT event_id, 0 AS ord, CAST(json_extract(props, '$.k') AS VARCHAR) AS chunk_text, CAST(NULL AS VARCHAR) AS error FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, NULL, NULL, 'no JSON object in the response' FROM events WHERE event_id % 4 = 3")
+def json_responses(spark, d):
+    k = F.get_json_object("props", "$.k")
+    body = F.concat(F.lit('{"chunks": [{"chunk_text": "'), k, F.lit('", "page_start": 1}]}'))
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here it is: "), body, F.lit(" done."))).otherwise("no json here")
+    return C.ingest(table(spark, d, "events").select("event_id", text.alias("output_text"))).select("event_id", "ord", "chunk_text", "error")
+
+
+# ---- names and texts
+
+
+@query("SELECT page_id, coalesce(nullif(trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'document') AS resolved FROM pages")
+def id_resolver(spark, d):
+    return table(spark, d, "pages").select("page_id", T.id_resolver(F.lit(""), F.col("url")).alias("resolved"))
+
+
+@query("SELECT page_id, trim(regexp_replace(url, '[^0-9A-Za-z_.-]+', '_', 'g'), '_') AS slug, trim(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '(.)[.][^./]+$', '\\1'), '[^0-9A-Za-z_.-]+', '_', 'g'), '_') AS stem_slug FROM pages")
+def slugify_ascii(spark, d):
+    return table(spark, d, "pages").select("page_id", T.slugify_plain(F.col("url")).alias("slug"), T.slugify_plain(T.stem(F.col("url"))).alias("stem_slug"))
+
+
+@query()
+def slugify_nfkc(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", T.slugify(F.substring("text", 1, 80)).alias("slug"))
+
+
+@query("SELECT doc_id, string_agg(lower(regexp_replace(t, '[^\\p{L}\\p{N}_]+', '', 'g')), ' ' ORDER BY n) AS tokens FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS t, unnest(range(len(regexp_split_to_array(text, '[ \\n]+')))) AS n FROM documents) WHERE regexp_replace(t, '[^\\p{L}\\p{N}_]+', '', 'g') <> '' GROUP BY doc_id")
+def chunk_tokens(spark, d):
+    out = table(spark, d, "documents").select("doc_id", F.array_join(T.chunk_tokens(F.col("text"), F.lit(None).cast("string")), " ").alias("tokens"))
+    return out.where("tokens <> ''")
+
+
+@query(f"""WITH {RAW} SELECT DISTINCT doc_id, '- ' || l1 || chr(10) || '  - Section 1' || chr(10) || '    - Topic 0' AS outline FROM raw""")
+def known_outline_text(spark, d):
+    shape = F.struct(F.col("level_1_heading").alias("level_1"), F.from_json(F.lit('[{"level_2":"Section 1","first_page":1,"subsections":[{"level_3":"Topic 0","first_page":1},{"level_3":"","first_page":1}]},{"level_2":"","subsections":[{"level_3":"Topic 9"}]}]'), "array<struct<level_2:string,first_page:int,subsections:array<struct<level_3:string,first_page:int>>>>").alias("sections"))
+    return raw_chunks(spark, d).select("doc_id", "level_1_heading").distinct().select("doc_id", T.render_known_outline(shape).alias("outline"))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, batch_no, 'Doc ' || doc_id || ' p' || min(page_num) || '-' || max(page_num) || ': ' || string_agg(text, chr(10) ORDER BY block_no) || ' / {T.NO_OUTLINE}' AS prompt FROM blocks GROUP BY doc_id, batch_no")
+def prompt_text(spark, d):
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n")
+    b = blocks(spark, d).groupBy("doc_id", "batch_no").agg(F.min("page_num").alias("a"), F.max("page_num").alias("z"), texts.alias("t"))
+    none = F.lit("")
+    prompt = T.build_prompt(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), none, F.col("a"), F.col("z"), none, none, F.col("t"), none, "{{document_id}} p{{page_start}}-{{page_end}}: {{extracted_page_text}} / {{known_outline}}")
+    return b.select("doc_id", "batch_no", prompt.alias("prompt"))
+
+
+@query("SELECT doc_id, 'doc ' || doc_id || ' of ' || source || ': ' || text AS prompt FROM documents")
+def outline_prompt(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.build_outline_prompt(F.col("doc_id").cast("string"), F.col("source"), F.col("text"), "doc {{document_id}} of {{source}}: {{extracted_text}}").alias("prompt"))
+
+
+@query(f"""WITH {RAW}, b AS (SELECT doc_id, batch_no, CASE WHEN batch_no % 3 = 1 THEN '' ELSE 'batch ' || batch_no || ' has ' || count(*) END AS s, max(block_no) AS last_no FROM raw GROUP BY doc_id, batch_no)
+SELECT doc_id, batch_no, coalesce(last_value(nullif(s, '') IGNORE NULLS) OVER w, '') AS previous_batch_summary, coalesce(last_value(CAST(last_no AS VARCHAR) IGNORE NULLS) OVER w, '') AS previous_last_chunk FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def carry_context(spark, d):
+    b = raw_chunks(spark, d).groupBy("doc_id", "batch_no").agg(F.count("*").alias("n"), F.max("block_no").cast("string").alias("last_chunk"))
+    s = F.when(F.col("batch_no") % 3 == 1, "").otherwise(F.concat(F.lit("batch "), F.col("batch_no").cast("string"), F.lit(" has "), F.col("n").cast("string")))
+    return C.carry_context(b.withColumn("batch_summary", s)).select("doc_id", "batch_no", "previous_batch_summary", "previous_last_chunk")
+
+
+@query("SELECT doc_id, source, coalesce(url, '') AS source_url FROM documents LEFT JOIN pages ON doc_id = page_id")
+def source_url_lookup(spark, d):
+    urls = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    return table(spark, d, "documents").select("doc_id", "source").join(urls, "doc_id", "left").select("doc_id", "source", F.coalesce("url", F.lit("")).alias("source_url"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def skip_existing_documents(spark, d):
+    return skip_existing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query()
+def chunk_lines_json(spark, d):
+    out = numbered(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return chunk_lines(C.finish(out, F.col("doc_id").cast("string"), F.col("source"), F.lit("")))
+
+
+@query()
+def last_chunk_json(spark, d):
+    body = F.concat(F.lit('{"chunks": [{"chunk_text": "'), F.col("event_type"), F.lit('", "page_start": 1}]}'))
+    return table(spark, d, "events").select("event_id", T.last_item_json(body).alias("last_chunk"))
+
+
+# ---- outline
+
+PATHS = f"""{NUMBERED},
+p AS (SELECT doc_id, seq, list_filter([l1, l2, l3], lambda x: x IS NOT NULL AND x <> '') AS path FROM numbered),
+x AS (SELECT doc_id, seq, path, unnest(range(1, len(path) + 1)) AS k FROM p WHERE len(path) > 0),
+nodes AS (SELECT doc_id, array_to_string(path[1:k], ' > ') AS path, CAST(k AS INT) AS level, path[k] AS title, min(seq) AS first_seq, count(*) FILTER (WHERE len(path) = k) AS own_count, count(*) AS chunk_count,
+  coalesce(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FILTER (WHERE len(path) = k), '') AS chunk_ids, min(path[1]) AS t1, min(CASE WHEN k > 1 THEN path[2] END) AS t2 FROM x GROUP BY doc_id, path[1:k], k, path[k])"""
+
+
+@query(f"WITH {PATHS} SELECT doc_id, path, level, title, first_seq, own_count, chunk_count, chunk_ids FROM nodes")
+def outline_nodes(spark, d):
+    out = O.outline_nodes(numbered(spark, d).withColumn("chunk_id", F.col("seq").cast("string")))
+    return out.select("doc_id", F.array_join("path", " > ").alias("path"), "level", "title", "first_seq", "own_count", "chunk_count", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+@query(f"WITH {PATHS} SELECT level, count(*) AS n_nodes, sum(chunk_count) AS chunks, sum(own_count) AS own FROM nodes GROUP BY level")
+def outline_rollup(spark, d):
+    out = O.outline_nodes(numbered(spark, d).withColumn("chunk_id", F.col("seq").cast("string")))
+    return out.groupBy("level").agg(F.count("*").alias("n_nodes"), F.sum("chunk_count").alias("chunks"), F.sum("own_count").alias("own"))
+
+
+@query(f"""WITH {PATHS}, o AS (SELECT n.*, (SELECT min(first_seq) FROM nodes a WHERE a.doc_id = n.doc_id AND a.level = 1 AND a.t1 = n.t1) AS f1,
+CASE WHEN level > 1 THEN (SELECT min(first_seq) FROM nodes a WHERE a.doc_id = n.doc_id AND a.level = 2 AND a.t1 = n.t1 AND a.t2 = n.t2) END AS f2, CASE WHEN level > 2 THEN first_seq END AS f3 FROM nodes n)
+SELECT doc_id, string_agg(repeat('  ', level - 1) || '- ' || title || CASE own_count WHEN 0 THEN '' WHEN 1 THEN ' (1 chunk)' ELSE ' (' || own_count || ' chunks)' END, chr(10) ORDER BY f1, f2 NULLS FIRST, f3 NULLS FIRST) AS markdown FROM o GROUP BY doc_id""")
+def outline_markdown(spark, d):
+    return O.outline_markdown(O.outline_nodes(numbered(spark, d).withColumn("chunk_id", F.col("seq").cast("string"))))
+
+
+# ---- layout
+
+
+@query(f"WITH {NUMBERED}, s AS (SELECT doc_id, coalesce(nullif(l2, ''), nullif(l1, ''), 'Untitled') AS title, min(seq) AS first_seq FROM numbered GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_seq) - 1 AS rank FROM s")
+def section_order(spark, d):
+    return L.section_order(numbered(spark, d), "doc_id", T.section_key(F.col("level_1_heading"), F.col("level_2_heading")), "seq")
+
+
+@query(f"""WITH {NUMBERED}, s AS (SELECT doc_id, coalesce(nullif(l2, ''), nullif(l1, ''), 'Untitled') AS title, min(seq) AS first_seq FROM numbered GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_seq) - 1 AS k FROM s),
+h AS (SELECT doc_id, title, (k * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM r), c AS (SELECT doc_id, title, unnest([1, 2, 3]) AS i, unnest([(u + 1/3::DOUBLE) - floor(u + 1/3::DOUBLE), u, (u - 1/3::DOUBLE) - floor(u - 1/3::DOUBLE)]) AS x FROM h),
+v AS (SELECT *, CASE WHEN x < 1/6::DOUBLE THEN 0.18 + 0.54 * x * 6 WHEN x < 0.5 THEN 0.72 WHEN x < 2/3::DOUBLE THEN 0.18 + 0.54 * (2/3::DOUBLE - x) * 6 ELSE 0.18 END AS y FROM c)
+SELECT doc_id, title, '#' || string_agg(lpad(lower(printf('%x', CAST(round(y * 255) AS BIGINT))), 2, '0'), '' ORDER BY i) AS color FROM v GROUP BY doc_id, title""")
+def golden_colors(spark, d):
+    s = L.section_order(numbered(spark, d), "doc_id", T.section_key(F.col("level_1_heading"), F.col("level_2_heading")), "seq")
+    return s.select("doc_id", "title", T.section_color(F.col("rank")).alias("color"))
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) OR role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS ch FROM conversations)
+SELECT conv_id, turn, role, CAST(sum(ch) OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS run FROM c""")
+def consecutive_groups(spark, d):
+    return L.consecutive_groups(table(spark, d, "conversations"), "conv_id", F.col("role"), "turn").select("conv_id", "turn", "role", "run")
+
+
+BOXES = """w AS (SELECT user_id, event_id, CAST((event_id * 7919) % 700 AS DOUBLE) AS y0, CAST((event_id * 7919) % 700 + 12 AS DOUBLE) AS y1, CAST((event_id * 31) % 500 AS DOUBLE) AS x0, CAST((event_id * 31) % 500 + 40 AS DOUBLE) AS x1 FROM events),
+l AS (SELECT *, lag(y0) OVER q AS py0, lag(y1) OVER q AS py1 FROM w WINDOW q AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, CAST(sum(CASE WHEN (y0 < py0 - 3 AND y0 < py1 - 3) OR y0 > py1 + 40 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS region FROM l)"""
+
+
+def boxes(spark, d):
+    e = F.col("event_id")
+    y, x = ((e * 7919) % 700).cast("double"), ((e * 31) % 500).cast("double")
+    return table(spark, d, "events").select("user_id", "event_id", y.alias("y0"), (y + 12).alias("y1"), x.alias("x0"), (x + 40).alias("x1"))
+
+
+@query(f"WITH {BOXES} SELECT user_id, event_id, region FROM r")
+def split_regions(spark, d):
+    return L.split_regions(boxes(spark, d), "user_id", "event_id").select("user_id", "event_id", "region")
+
+
+@query(f"WITH {BOXES} SELECT user_id, region, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_words FROM r GROUP BY ALL HAVING count(*) >= 3")
+def region_bbox(spark, d):
+    return L.region_boxes(L.split_regions(boxes(spark, d), "user_id", "event_id"), "user_id")
+
+
+SCORED = f"""{NUMBERED}, pg AS (SELECT doc_id, page_num, list_distinct(flatten(list({words_sql("text")}))) AS pw FROM blocks GROUP BY ALL), n AS (SELECT doc_id, max(page_num) AS n FROM blocks GROUP BY doc_id),
+sc AS (SELECT c.doc_id, c.seq, c.page_start, pg.page_num, len(list_intersect({words_sql("chunk_text")}, pw)) AS score FROM numbered c JOIN n USING (doc_id) JOIN pg ON pg.doc_id = c.doc_id AND pg.page_num BETWEEN greatest(1, c.page_start - 3) AND least(n.n, c.page_start + 3)),
+best AS (SELECT * FROM sc WHERE score >= 6 QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY score DESC, page_num) = 1)"""
+
+
+def scored_pages(spark, d):
+    words = F.array_distinct(F.flatten(F.collect_list(T.significant_words(F.col("text")))))
+    pages = blocks(spark, d).groupBy("doc_id", "page_num").agg(words.alias("pw"))
+    chunks = numbered(spark, d).select("doc_id", "seq", "page_start", F.col("page_start").alias("page_end"), T.significant_words(F.col("chunk_text")).alias("cw"))
+    out = L.candidate_pages(chunks, pages, "doc_id").withColumn("score", F.size(F.array_intersect("cw", "pw")))
+    return L.primary_page(out.where(F.col("score") >= L.MIN_MATCHED), "doc_id", "seq")
+
+
+@query(f"WITH {SCORED} SELECT doc_id, seq, page_num, score FROM best")
+def primary_page(spark, d):
+    return scored_pages(spark, d).select("doc_id", "seq", "page_num", "score")
+
+
+@query(f"WITH {SCORED} SELECT doc_id, seq, page_start, page_num FROM best WHERE page_start <> page_num")
+def page_mismatch(spark, d):
+    return scored_pages(spark, d).where("page_start <> page_num").select("doc_id", "seq", "page_start", "page_num")
+
+
+@query()
+def match_words(spark, d):
+    """The sequential matcher: every chunk against the pages around its declared ones."""
+    page = blocks(spark, d).groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), " ").alias("t"))
+    chunks = numbered(spark, d).select("doc_id", "seq", "page_start", F.col("page_start").alias("page_end"), T.chunk_tokens(F.col("chunk_text"), F.lit(None).cast("string")).alias("tokens"))
+    page = page.select("doc_id", "page_num", T.chunk_tokens(F.col("t"), F.lit(None).cast("string")).alias("words"))
+    out = L.candidate_pages(chunks, page, "doc_id").withColumn("m", L.match_words_udf("words", "tokens"))
+    scored = out.select("doc_id", "seq", "page_num", F.size("tokens").alias("n_tokens"), F.size("m.places").alias("score"), F.col("m.offset").alias("offset"))
+    return L.matching_pages(scored, ["doc_id", "seq"])
+
+
+# ---- HTML
+
+
+@query(f"SELECT page_id, block_no, text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<p>([^<]*)', 1)) AS raw, unnest(range(len(regexp_extract_all(html, '<p>([^<]*)', 1)))) AS block_no, trim(raw, {WS}) AS text FROM pages) WHERE text <> ''")
+def html_blocks(spark, d):
+    return D.html_blocks(table(spark, d, "pages"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)', 1) AS level_1, regexp_extract(html, '<b>([^<]*)', 1) AS level_2 FROM pages")
+def html_outline(spark, d):
+    return D.html_headings(table(spark, d, "pages"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
+def html_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
+
+
+@query(f"WITH {RAW} SELECT doc_id, block_no, l1 || CASE WHEN l2 IS NULL THEN '' ELSE ' &rsaquo; ' || l2 END || CASE WHEN l3 IS NULL THEN '' ELSE ' &rsaquo; ' || l3 END AS crumb FROM raw")
+def heading_breadcrumb(spark, d):
+    return raw_chunks(spark, d).select("doc_id", "block_no", T.heading_breadcrumb(F.col("level_1_heading"), F.col("level_2_heading"), F.col("level_3_heading")).alias("crumb"))
+
+
+@query("SELECT p_partkey, '<table><thead><tr><th>name</th><th>size</th></tr></thead><tbody><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr></tbody></table>' AS html FROM part")
+def table_md_to_html(spark, d):
+    md = F.concat(F.lit("| name | size |\n|---|---|\n| "), F.col("p_name"), F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))
+    return table(spark, d, "part").select("p_partkey", T.table_md_to_html(md).alias("html"))
