@@ -75,19 +75,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # plain keys, so one exchange serves window and joins
-    base = docs.select("doc_id", owner.alias("_d"), text.alias("text"), F.xxhash64(text).alias("_h"), F.char_length(text).cast("long").alias("n_chars"))
-    keyed = base.withColumn("_k", F.row_number().over(Window.partitionBy("_d").orderBy("_h"))).drop("_h")
-    ids = positions(ordered(keyed.select("_d", "_k", "n_chars"), [F.col("_d").desc(), F.col("_k").desc()]))
+    place = F.row_number().over(Window.partitionBy("_d").orderBy("_h"))
+    base = [owner.alias("_d"), F.xxhash64(text).alias("_h")]
+    # both joins below need the same columns of this, or Spark would deal the texts out twice
+    keyed = docs.select(*base, text.alias("text")).withColumn("_k", place).drop("_h")
+    ids = docs.select(*base, F.char_length(text).cast("long").alias("n_chars")).withColumn("_k", place).select("_d", "_k", "n_chars")
+    ids = positions(ordered(ids, [F.col("_d").desc(), F.col("_k").desc()]))
     n = F.broadcast(ids.agg(F.count("*").alias("_n")))  # one row
     this = ids.join(n).select("_d", "_k", "n_chars", ((F.col("pos") + 1) % F.col("_n")).alias("_next"))
     other = ids.select(F.col("_d").alias("_nd"), F.col("_k").alias("_nk"), F.col("pos").alias("_next"))
     asks = this.join(other, "_next").select(F.col("_d").alias("_ad"), F.col("_k").alias("_ak"), F.floor(F.col("n_chars") / 3).cast("int").alias("_third"), "_nd", "_nk")
-    heads = asks.join(keyed.select("doc_id", "_d", "text", "n_chars", "_k"), (F.col("_nd") == F.col("_d")) & ((F.col("_nk") - F.col("_k")) == 0))
+    heads = asks.join(keyed, (F.col("_nd") == F.col("_d")) & ((F.col("_nk") - F.col("_k")) == 0))
     # digests travel as four bytes each
     heads = heads.select("_ad", "_ak", F.substring("text", F.lit(1), F.col("_third")).alias("head"), F.unhex(F.array_join(leaves(F.col("text")), "")).alias("_packed"))
-    full = keyed.select("doc_id", "_d", "text", "n_chars", "_k").join(heads, (F.col("_ad") == F.col("_d")) & ((F.col("_ak") - F.col("_k")) == 0))
+    full = keyed.join(heads, (F.col("_ad") == F.col("_d")) & ((F.col("_ak") - F.col("_k")) == 0))
     unpacked = F.regexp_extract_all(F.lower(F.hex("_packed")), F.lit("[0-9a-f]{8}"), F.lit(0))
-    return full.select("doc_id", "text", "n_chars", "head", unpacked.alias("next_leaves"))
+    doc_id = F.nullif(F.col("_d"), F.lit(-(1 << 63)))
+    return full.select(doc_id.alias("doc_id"), "text", F.char_length("text").cast("long").alias("n_chars"), "head", unpacked.alias("next_leaves"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,306 @@
+import hashlib
+import random
+import struct
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import fingerprints, licenses, media, mixing, packing, sharding, simhash, substrings, toxicity
+from quire.llm.language import identify
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, h string, pos long"
+
+
+def docs(spark, texts, ids=None):
+    """Documents with columns whose names clash with those inside the operators."""
+    rows = [(i if ids is None else ids[i], t, "en", "s", len(t or ""), "x", "y", i) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def prose(n, seed, vocabulary=4000):
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+    return " ".join(w + ("." if rng.random() < 0.1 else "") for w in words)
+
+
+EDGE = [None, "", "same text here", "same text here", "x" * 200_000, " \n\t ", "ü€😀 " * 40, "One. Two. Three."]
+
+
+# ---- sharding
+
+
+def brute_capacity(sizes, shards):
+    low, high = max(sizes), sum(sizes)
+    while low < high:
+        mid, used, fill = (low + high) // 2, 1, 0
+        for s in sizes:
+            if fill + s > mid:
+                used, fill = used + 1, 0
+            fill += s
+        low, high = (low, mid) if used <= shards else (mid + 1, high)
+    return low
+
+
+@pytest.mark.parametrize("kept", [65_536, 3])
+def test_sharding_is_minimax(spark, monkeypatch, kept):
+    monkeypatch.setattr(sharding, "KEPT", kept)
+    rng = random.Random(1)
+    texts = [prose(rng.randrange(1, 60), i) for i in range(150)] + ["copy"] * 60 + EDGE
+    out = sharding.shard_table(docs(spark, texts)).toPandas()
+    assert len(out) == len(texts)
+    keys = docs(spark, texts).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).toPandas().merge(out, on="doc_id")
+    groups = keys.groupby("k")["size"].sum().sort_index()
+    assert keys.groupby("shard")["size"].sum().max() == brute_capacity(groups.tolist(), 8)
+    assert (keys.groupby("k")["shard"].nunique() == 1).all()
+    for _, s in out.groupby("shard"):
+        assert sorted(s["slot"]) == list(range(len(s)))
+    assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.size == len((texts[r.doc_id] or "").encode()) + 1 for r in out.itertuples())
+
+
+def test_sharding_of_nothing(spark):
+    assert sharding.shard_table(docs(spark, []).limit(0)).count() == 0
+
+
+# ---- fingerprints
+
+
+def test_fingerprints(spark, tmp_path):
+    texts = [*EDGE, "first line of words here\nsecond line of words here\n\nnew section with many words", prose(300, 3)]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in fingerprints.op2_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        t, other = t or "", texts[i - 1] or ""
+        k = len(t) // 3
+        assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + other[:k]).encode()).hexdigest()
+    assert out[2].fingerprint == out[3].fingerprint != out[7].fingerprint and out[0].fingerprint == out[1].fingerprint
+    assert 0.5 < out[9].near_edited < 0.8 and out[9].near_next < 0.05 and out[3].near_next == 1.0
+    got = spark.createDataFrame([("a\n\nb\n\nc", "a\n\nB\n\nc")], "a string, b string").select(fingerprints.edited_branches(F.col("a"), F.col("b")).alias("x")).first()["x"]
+    assert got == [1]
+    joined = docs(spark, texts).select(F.array_join(fingerprints.passages(F.coalesce("text", F.lit(""))), "").alias("j"), F.coalesce("text", F.lit("")).alias("t"))
+    assert all(r.j == r.t for r in joined.collect())
+
+
+# ---- simhash
+
+
+def test_every_block_lies_near_an_anchor():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 1 << 32, 2000, dtype=np.uint32)
+    row, anchor = simhash.anchors(x)
+    d = np.bitwise_count(anchor ^ x[row])
+    assert (d <= simhash.COVER + 1).all() and (simhash._syndromes(anchor) == 0).all()
+    assert set(row[d <= simhash.COVER].tolist()) == set(range(2000))
+    for bits in combinations(range(0, 32, 5), 2):  # blocks two bits apart meet
+        y = x ^ np.uint32(sum(1 << b for b in bits))
+        a, b = simhash.anchors(x[:200]), simhash.anchors(y[:200])
+        assert all(set(a[1][a[0] == i]) & set(b[1][b[0] == i]) for i in range(200))
+
+
+def brute_components(fps, ids, most):
+    label = list(range(len(fps)))
+    for i, j in combinations(range(len(fps)), 2):
+        if bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= most:
+            a, b = label[i], label[j]
+            label = [a if x == b else x for x in label]
+    return {ids[i]: min(ids[j] for j in range(len(fps)) if label[j] == label[i]) for i in range(len(fps))}
+
+
+def test_components_against_brute_force(spark):
+    base = prose(150, 9)
+    texts = [*EDGE, *(base + f" tail{i}" for i in range(12)), base, base, *(prose(40, i) for i in range(40))]
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert len(got) == len(texts) and got[0][0] == got[1][0] == 0
+    fps = [simhash.simhash64(t) for t in texts]
+    assert all(got[i][0] & (1 << 64) - 1 == fps[i] for i in range(len(texts)))
+    assert {i: c for i, (_, c) in got.items()} == brute_components(fps, list(range(len(texts))), 4)
+
+
+def test_forest_of_a_large_group():
+    rng = random.Random(4)
+    x = [rng.getrandbits(64) for _ in range(600)]
+    x += [a ^ 1 << rng.randrange(64) for a in x[:300]]
+    links = simhash._forest(np.array(x, np.uint64).reshape(-1, 1), 4)
+    assert all(bin(x[a] ^ x[b]).count("1") <= 4 for a, b in links)
+    label = list(range(len(x)))
+    for a, b in links:
+        p, q = label[a], label[b]
+        label = [p if v == q else v for v in label]
+    want = brute_components(x, list(range(len(x))), 4)
+    assert len(set(label)) == len(set(want.values()))
+
+
+def test_near_copies(spark):
+    base = [prose(300, i) for i in range(6)]
+    changed = [b.replace(b.split()[100], "other", 1) for b in base]
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, base + changed + EDGE)).collect()}
+    assert all(out[i + 6] == i and out[i] == i for i in range(6)) and out[15] == 14 and out[13] == 12
+
+
+def test_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert dict(simhash.components(links).collect()) == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+# ---- substrings
+
+
+def test_substrings(spark):
+    passage = prose(60, 5)
+    texts = [prose(80, 1) + " " + passage + " " + prose(40, 2), prose(50, 3) + " " + passage, prose(70, 4), "and " * 300, *EDGE]
+    out = {r.doc_id: r for r in substrings.dedup_spans(docs(spark, texts)).collect()}
+    assert len(out) == len(texts) and out[0].text == texts[0] and out[2].text == texts[2] and out[4].text is None
+    assert " ".join(passage.split()[15:45]) not in out[1].text and out[1].text.startswith(prose(40, 3)[:100]) and out[1].removed_words >= 30
+    assert out[8].text == texts[8] and out[1].fp == "x"
+    assert substrings.dedup_spans(docs(spark, []).limit(0)).count() == 0
+
+
+def test_spans_against_brute_force():
+    words, ends = substrings.sentences("A b. C d e, f\n\ngggggggggg h i. " * 4)
+    starts = [0, *ends[:-1]]
+    want = []
+    for i, a in enumerate(starts):
+        z = next((e for j, e in enumerate(ends) if j >= i + 2 and e - a >= 20), None)
+        if z:
+            want.append((a, z))
+    assert [(a, z) for _, a, z in substrings.spans(words, ends)] == want
+
+
+# ---- packing
+
+
+def test_packing(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(2)
+    texts = [*EDGE, *(prose(rng.randrange(1, 900), i) for i in range(60)), prose(9000, 77)]
+    out = packing.pack(packing.piece_rows(docs(spark, texts), path)).toPandas()
+    t = Tokenizer.from_file(path)
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        mine = out[out["doc_id"] == i].sort_values("piece")
+        parts = [ids[k : k + 4096] for k in range(0, len(ids), 4096)]
+        assert mine["length"].tolist() == list(map(len, parts))
+        assert mine["ids_crc32"].tolist() == [zlib.crc32(struct.pack(f"<{len(p)}I", *p)) for p in parts]
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert (s["length"].cumsum() - s["length"]).tolist() == s["offset"].tolist() and s["length"].sum() <= 4096
+    assert out["sequence_id"].nunique() <= -(-out["length"].sum() // 4096) + 1
+
+
+def test_genetic_packing_reaches_the_bound():
+    rng = random.Random(0)
+    lengths = [x for _ in range(40) for x in (a := rng.randrange(200, 500), b := rng.randrange(100, 400), 1000 - a - b)]
+    first = packing.best_fit(lengths, list(range(len(lengths))), [], 1000)
+    best = packing.evolve(lengths, [], 1000, random.Random(1), 60)[0]
+    assert sorted(i for b in best for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 1000 for b in best)
+    assert 40 <= len(best) <= len(first)
+
+
+# ---- media
+
+
+def test_media_round_trip(spark):
+    for t in EDGE:
+        n, payload = media.payload_of(t)
+        m = media.encode_avi(payload)
+        fps, offsets, sizes = media.read_avi(m)
+        assert fps == media.FPS and media.decode_frames(m, offsets, sizes).tobytes() == payload and media.digest(t)[:2] == (n, len(payload))
+    frames = np.array([[10] * 192] * 20 + [[200] * 192] * 20, np.uint8)
+    assert media.shots(frames).tolist() == [0, 20]
+    rows = media.clip_rows(media.media_table(docs(spark, EDGE))).toPandas()
+    assert set(rows["doc_id"]) == set(range(len(EDGE)))
+
+
+def test_general_decoder_agrees(monkeypatch):
+    m = media.encode_avi(bytes(range(192)))
+    _, offsets, sizes = media.read_avi(m)
+    fast = media.decode_frames(m, offsets, sizes)
+    monkeypatch.setattr(media, "_fixed", lambda t: None)
+    slow = media.decode_frames(m, offsets, sizes)
+    assert (slow[0] == fast[0][:, None]).all()
+
+
+# ---- licenses
+
+
+def test_licenses(spark):
+    texts = [*EDGE, prose(200, 1) + "\nReleased under the MIT License.\n" + prose(100, 2), "This program is free software you can redistribute it and modify it under the terms of the GNU General Public License as published by the Free Software Foundation either version 3 of the License or any later version"]
+    out = {r.doc_id: r for r in licenses.scan_table(docs(spark, texts)).collect()}
+    assert len(out) == len(texts) and out[8].license == "MIT" and out[8].coverage == 1.0 and out[9].license == "GPL-3.0-header" and out[2].license is None
+
+
+def test_alignment_is_a_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = ([rng.choice("abcdefghij") for _ in range(rng.randrange(0, 14))] for _ in range(2))
+        got = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+    a = [f"u{i}" for i in range(30)]
+    assert len(licenses.align(a, ["x"] * 5 + a[:10] + ["y"] * 3 + a[10:])) == 30
+
+
+# ---- toxicity
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_automaton_against_brute_force():
+    rng = random.Random(6)
+    lexicon = ["idiot", "worthless", "moron", "scum", "disgusting"]
+    a = toxicity.LexiconAutomaton(lexicon)
+    words = ["".join(rng.choice("idotmrnwhles") for _ in range(rng.randrange(1, 10))) for _ in range(500)]
+    for w in lexicon:
+        words += [w[:i] + c + w[i + k :] for i in range(len(w)) for c in ("", "x", "xy") for k in (0, 1, 2)]
+    for w in words:
+        d = [(levenshtein(w, x), k) for k, x in enumerate(lexicon) if levenshtein(w, x) <= a.budget(x)]
+        assert a.match(w) == (min(d) if d else None), w
+
+
+def test_toxicity(spark):
+    rng = random.Random(1)
+    texts = [prose(60, i, 400) + (" you idiot and moron" if i % 3 == 0 else "") for i in range(300)]
+    d = docs(spark, texts + EDGE + ["what an idiiot"])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(d, labels)
+    assert {"idiot", "moron"} <= set(model["words"])
+    out = {r.doc_id: r.score for r in toxicity.score_texts(d, model).collect()}
+    assert all((out[i] >= toxicity.THRESHOLD) == (i % 3 == 0) for i in range(300)) and out[301] < 0.5 and rng
+    assert toxicity.learn(d, labels.limit(0))["words"] == []
+    quoted = toxicity.matches('they said "idiot" today', toxicity.LexiconAutomaton(["idiot"]), set())
+    assert quoted == [("idiot", 0, 0, True)]
+
+
+# ---- mixing and language
+
+
+def test_mixing_meets_targets(spark):
+    texts = [prose(80, i) if i % 4 else "### *** %%% && !! " * 12 for i in range(200)] + EDGE
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    out = mixing.mix(docs(spark, texts), labels, {"low": 0.1, "high": 0.9}).toPandas()
+    assert len(out) == len(texts) and (out["rate"] >= 0).all() and {"fp", "pos"} <= set(out.columns)
+    tokens = out["tokens"] * out["rate"]
+    assert abs((tokens * out["p_low"]).sum() / tokens.sum() - 0.1) < 0.01
+    assert mixing.mix(docs(spark, []).limit(0), labels).count() == 0
+
+
+def test_language(spark):
+    en, de = "the quick brown fox and the lazy dog run over there", "der schnelle braune fuchs und der faule hund laufen dort"
+    known = spark.createDataFrame([(i, (en, de)[i % 2], ("en", "de")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame(
+        [(1, "http://a.example.de/x", f'<html lang="de"><p>{de}</p>'), (2, "http://b.example.com/y", f"<html><p>{en}</p>"), (3, None, None), (4, "nonsense", ""), *((i, "http://a.example.de/z", f'<html lang="de"><p>{de}') for i in range(5, 9)), (9, "http://a.example.de/e", '<html lang="de">')],
+        "page_id long, url string, html string",
+    )
+    out = {r.page_id: r for r in identify(pages, known).collect()}
+    assert len(out) == 9 and out[1].lang == "de" and out[2].lang == "en" and out[9].lang == "de" and out[3].lang in ("de", "en")
