@@ -38,6 +38,11 @@ def process_documents(spark: SparkSession, path: str, output_dir: str, backend:
     Responses are written before use, next to the output, so that no request is made twice.
     """
     model = R.model_name(model)
+    if "://" not in path:
+        if not os.path.exists(path):
+            raise FileNotFoundError(path)
+        if os.path.isdir(path) and not any(n.endswith(".pdf") for n in os.listdir(path)):
+            return []
     files = D.scan_pdf_dir(spark, path).withColumn("doc_id", F.col("path"))
     done = [d.partition("=")[2] for d in os.listdir(output_dir)] if os.path.isdir(output_dir) else []
     todo = files if overwrite or not done else files.where(~F.col("document_id").isin([d for d in done if d]))

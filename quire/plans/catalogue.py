@@ -189,7 +189,7 @@ def sound_documents(spark, d):
     return C.only_sound(raw, C.document_status(raw)).select("doc_id", "block_no")
 
 
-@query("SELECT event_id, 0 AS ord, CAST(json_extract(props, '$.k') AS VARCHAR) AS chunk_text, CAST(NULL AS VARCHAR) AS error FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, NULL, NULL, 'no JSON object in the response' FROM events WHERE event_id % 4 = 3")
+@query("SELECT event_id, CAST(0 AS INT) AS ord, CAST(json_extract(props, '$.k') AS VARCHAR) AS chunk_text, CAST(NULL AS VARCHAR) AS error FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, NULL, NULL, 'no JSON object in the response' FROM events WHERE event_id % 4 = 3")
 def json_responses(spark, d):
     k = F.get_json_object("props", "$.k")
     body = F.concat(F.lit('{"chunks": [{"chunk_text": "'), k, F.lit('", "page_start": 1}]}'))
@@ -289,7 +289,7 @@ def outline_nodes(spark, d):
     return out.select("doc_id", F.array_join("path", " > ").alias("path"), "level", "title", "first_seq", "own_count", "chunk_count", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
-@query(f"WITH {PATHS} SELECT level, count(*) AS n_nodes, sum(chunk_count) AS chunks, sum(own_count) AS own FROM nodes GROUP BY level")
+@query(f"WITH {PATHS} SELECT level, count(*) AS n_nodes, CAST(sum(chunk_count) AS BIGINT) AS chunks, CAST(sum(own_count) AS BIGINT) AS own FROM nodes GROUP BY level")
 def outline_rollup(spark, d):
     out = O.outline_nodes(numbered(spark, d).withColumn("chunk_id", F.col("seq").cast("string")))
     return out.groupBy("level").agg(F.count("*").alias("n_nodes"), F.sum("chunk_count").alias("chunks"), F.sum("own_count").alias("own"))

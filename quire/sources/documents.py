@@ -57,10 +57,10 @@ def scan_chunks(spark: SparkSession, path: str, strict: bool = True) -> DataFram
 
 
 def scan_pdf_dir(spark: SparkSession, path: str) -> DataFrame:
-    """path, document_id, source, content of the ``*.pdf`` files right in a folder, by path; a missing folder raises."""
+    """path, document_id, source, content of the ``*.pdf`` files right in a folder, by path; without any it raises."""
     from quire.functions.text import safe_stem, stem
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    files = spark.read.format("binaryFile").load(path if path.endswith(".pdf") else f"{path.rstrip('/')}/*.pdf")  # folders inside are not looked at
     return files.select("path", safe_stem(F.col("path")).alias("document_id"), stem(F.col("path")).alias("source"), "content").orderBy("path")
 
 
