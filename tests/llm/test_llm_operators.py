@@ -153,7 +153,7 @@ def test_substrings(spark):
     texts = [prose(80, 1) + " " + passage + " " + prose(40, 2), prose(50, 3) + " " + passage, prose(70, 4), "and " * 300, *EDGE]
     out = {r.doc_id: r for r in substrings.dedup_spans(docs(spark, texts)).collect()}
     assert len(out) == len(texts) and out[0].text == texts[0] and out[2].text == texts[2] and out[4].text is None
-    assert " ".join(passage.split()[15:45]) not in out[1].text and out[1].text.startswith(prose(40, 3)[:100]) and out[1].removed_words >= 30
+    assert " ".join(passage.split()[15:45]) not in out[1].text and out[1].text.startswith(prose(50, 3)[:100]) and out[1].removed_words >= 30
     assert out[8].text == texts[8] and out[1].fp == "x"
     assert substrings.dedup_spans(docs(spark, []).limit(0)).count() == 0
 
@@ -194,7 +194,10 @@ def test_packing(spark):
 
 def test_genetic_packing_reaches_the_bound():
     rng = random.Random(0)
-    lengths = [x for _ in range(40) for x in (a := rng.randrange(200, 500), b := rng.randrange(100, 400), 1000 - a - b)]
+    lengths = []
+    for _ in range(40):
+        a, b = rng.randrange(200, 500), rng.randrange(100, 400)
+        lengths += [a, b, 1000 - a - b]
     first = packing.best_fit(lengths, list(range(len(lengths))), [], 1000)
     best = packing.evolve(lengths, [], 1000, random.Random(1), 60)[0]
     assert sorted(i for b in best for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 1000 for b in best)
