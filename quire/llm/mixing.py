@@ -37,7 +37,7 @@ EDGES = {
 CELLS = math.prod(len(e) + 1 for e in EDGES.values())
 TARGETS = {"low": 0.05, "high": 0.95}
 RIDGE = 0.001
-STEPS, SMALL = 40, 1e-5
+STEPS, SMALL = 30, 1e-4
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -122,12 +122,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     narrow = written(features(docs.select("doc_id", "text")).select("doc_id", "tokens", *_bins()))
     weights, prior = learn(narrow.join(y, "doc_id"))
     p = _posterior(weights, prior)
-    cells = narrow.groupBy(*_bins()).agg(F.sum("tokens").alias("tokens")).select("tokens", p.alias("p"))
-    rate, _ = fit_rates(written(cells.coalesce(1)), targets, headroom)  # CELLS rows at most
+    cells = narrow.groupBy(*_bins()).agg(F.sum("tokens").alias("tokens")).withColumn("p", p)
+    cells = written(cells.coalesce(1))  # CELLS rows at most, so they can also be broadcast
+    rate, _ = fit_rates(cells, targets, headroom)
+    rates = written(cells.select(*_bins(), "p", rate.alias("rate")).coalesce(1))
     u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 32)) / float(1 << 32)
-    out = features(docs).withColumn("p", p).withColumn("rate", rate)
+    out = features(docs).join(F.broadcast(rates), _bins())
     out = out.withColumns({"p_low": 1 - F.col("p"), "p_high": F.col("p"), "copies": F.floor(F.col("rate") + u).cast("int")})
-    return out.select(*docs.columns, "tokens", "p_low", "p_high", "rate", "copies")
+    return out.select(*[docs[c] for c in docs.columns], "tokens", "p_low", "p_high", "rate", "copies")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
