@@ -53,8 +53,10 @@ def features(docs: DataFrame) -> DataFrame:
         "size": F.log(tokens + 1.0),
         "length": n / F.greatest(tokens, F.lit(1)),
     }
-    bins = {f"_{k}": sum(((v >= e).cast("int") for e in EDGES[k][1:]), start=(v >= EDGES[k][0]).cast("int")) for k, v in values.items()}
-    return out.withColumns({"tokens": tokens.cast("long")} | bins).drop("_w")
+    # values first, so that each is computed once and not for each threshold
+    out = out.withColumns({"tokens": tokens.cast("long")} | {f"_v_{k}": v for k, v in values.items()})
+    bins = {f"_{k}": sum(((F.col(f"_v_{k}") >= e).cast("int") for e in edges[1:]), start=(F.col(f"_v_{k}") >= edges[0]).cast("int")) for k, edges in EDGES.items()}
+    return out.withColumns(bins).drop("_w", *(f"_v_{k}" for k in EDGES))
 
 
 def _bins() -> list[str]:
