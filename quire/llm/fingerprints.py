@@ -81,8 +81,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*base, text.alias("text")).withColumn("_k", place).drop("_h")
     ids = docs.select(*base, F.char_length(text).cast("long").alias("n_chars")).withColumn("_k", place).select("_d", "_k", "n_chars")
     ids = positions(ordered(ids, [F.col("_d").desc(), F.col("_k").desc()]))
-    n = F.broadcast(ids.agg(F.count("*").alias("_n")))  # one row
-    this = ids.join(n).select("_d", "_k", "n_chars", ((F.col("pos") + 1) % F.col("_n")).alias("_next"))
+    n = max(1, ids.count())
+    this = ids.select("_d", "_k", "n_chars", ((F.col("pos") + 1) % n).alias("_next"))
     other = ids.select(F.col("_d").alias("_nd"), F.col("_k").alias("_nk"), F.col("pos").alias("_next"))
     asks = this.join(other, "_next").select(F.col("_d").alias("_ad"), F.col("_k").alias("_ak"), F.floor(F.col("n_chars") / 3).cast("int").alias("_third"), "_nd", "_nk")
     heads = asks.join(keyed, (F.col("_nd") == F.col("_d")) & ((F.col("_nk") - F.col("_k")) == 0))

@@ -103,8 +103,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     def sums(by: str, name: str) -> DataFrame:
         return seen.groupBy(by).agg(*(F.sum(F.col("p")[i]).alias(f"{name}{i}") for i in k))
 
-    whole = seen.agg(*(F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"w{i}") for i in k))  # one row
-    out = seen.join(sums("host", "h"), "host").join(sums("domain", "d"), "domain").join(sums("declared", "m"), "declared").join(sums("suffix", "s"), "suffix").crossJoin(F.broadcast(whole))
+    # one number for each language reaches the driver
+    whole = seen.agg(*(F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"w{i}") for i in k)).first()
+    out = seen.join(sums("host", "h"), "host").join(sums("domain", "d"), "domain").join(sums("declared", "m"), "declared").join(sums("suffix", "s"), "suffix")
     p = [F.col("p")[i] for i in k]
 
     def share(name: str, above: list) -> list:
@@ -112,12 +113,11 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         n = sum(own[1:], start=own[0])
         return [(own[i] + SMOOTH * above[i]) / (n + SMOOTH) for i in k]
 
-    total = sum((F.col(f"w{i}") for i in k[1:]), start=F.col("w0"))
-    top = [(F.col(f"w{i}") + 1) / (total + len(langs)) for i in k]
+    top = [F.lit((whole[i] + 1) / (sum(whole) + len(langs))) for i in k]
     host = share("h", share("d", top))
     logs_ = [F.log(F.greatest(p[i], F.lit(1e-12))) + F.log(host[i]) for i in k]
     for name in ("m", "s"):  # P(value | language), without the page itself
-        logs_ = [x + F.log((F.greatest(F.col(f"{name}{i}") - p[i], F.lit(0.0)) + 0.5) / (F.col(f"w{i}") + 1)) for i, x in enumerate(logs_)]
+        logs_ = [x + F.log((F.greatest(F.col(f"{name}{i}") - p[i], F.lit(0.0)) + 0.5) / (whole[i] + 1)) for i, x in enumerate(logs_)]
     out = out.withColumn("_l", F.array(*logs_)).withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
     names = F.lit(langs)
     best = F.array_position("_e", F.array_max("_e")).cast("int")
