@@ -189,13 +189,13 @@ def sound_documents(spark, d):
     return C.only_sound(raw, C.document_status(raw)).select("doc_id", "block_no")
 
 
-@query("SELECT event_id, CAST(0 AS INT) AS ord, CAST(json_extract(props, '$.k') AS VARCHAR) AS chunk_text, CAST(NULL AS VARCHAR) AS error FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, NULL, NULL, 'no JSON object in the response' FROM events WHERE event_id % 4 = 3")
+@query("SELECT event_id, CAST(0 AS INT) AS ord, CAST(json_extract(props, '$.k') AS VARCHAR) AS chunk_text, CAST(NULL AS VARCHAR) AS error FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, CAST(-1 AS INT), NULL, 'no JSON object in the response' FROM events WHERE event_id % 4 = 3")
 def json_responses(spark, d):
     k = F.get_json_object("props", "$.k")
     body = F.concat(F.lit('{"chunks": [{"chunk_text": "'), k, F.lit('", "page_start": 1}]}'))
     kind = F.col("event_id") % 4
     text = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here it is: "), body, F.lit(" done."))).otherwise("no json here")
-    return C.ingest(table(spark, d, "events").select("event_id", text.alias("output_text"))).select("event_id", "ord", "chunk_text", "error")
+    return C.ingest(table(spark, d, "events").select("event_id", text.alias("output_text"))).select("event_id", F.coalesce("ord", F.lit(-1)).alias("ord"), "chunk_text", "error")
 
 
 # ---- names and texts
