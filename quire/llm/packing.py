@@ -13,14 +13,19 @@ table gives an empty one.
 
 from __future__ import annotations
 
+import os
 import random
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,42 +40,103 @@ CHILDREN = 6  # of an island in an epoch
 POPULATION = 4
 FULL = 0.985  # less filled bins are packed again in the next round
 ROUNDS = 6
-CACHED = 400_000  # words whose ids a worker remembers
-
-
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+CACHED = 1_000_000  # strings whose ids a worker remembers
+SLICE = 8 << 20  # bytes of text that a worker turns into arrays at once
+
+
+# A plain word: letters that lower-casing keeps one for one and NFC leaves alone, then signs that stay one token group.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = [chr(c) for c in (*range(ord("a"), ord("z") + 1), *range(ord("ß"), ord("ÿ") + 1)) if chr(c).isalpha()]
+
+
+class Words:
+    """The ids of words without blanks and line ends, as bytes of little-endian 32-bit numbers, remembered."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives every task its core
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.bytes_of = {ord(c): self.whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        self.known: dict[str, bytes] = {}
+        self.groups: dict[str, bytes] = {}
+
+    def _group(self, group: str) -> bytes:
+        found = self.groups.get(group)
+        if found is None:
+            found = self.groups[group] = array("I", [t.id for t in self.model.tokenize(group)]).tobytes()
+        return found
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        if len(self.known) + len(self.groups) > CACHED:
+            self.known, self.groups = {}, {"": b""}
+        self.groups.setdefault("", b"")
+        known, other = self.known, []
+        for w in words:
+            if w not in known:
+                m = _PLAIN.fullmatch(w)
+                if m is None:
+                    other.append(w)
+                else:
+                    known[w] = self._group(m[1].lower().translate(self.bytes_of)) + self._group(m[2])
+        for w, e in zip(other, self.whole.encode_batch(other, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        return [known[w] for w in words]
+
+
+@lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    """Kept for all tasks of a Python worker."""
+    return Words(path)
+
+
+def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts of ``most`` bytes or of one text."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield at, end - at
+        at = end
+
+
+def _text_ids(words: Words, texts: pa.Array) -> Iterator[bytes]:
+    """The ids of every text. Each different word is looked up once; the rest is array work."""
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    coded = lists.flatten().dictionary_encode()
+    codes, ends = coded.indices.to_numpy(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+    ids = words.ids(coded.dictionary.to_pylist())
+    sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+    starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+    counts = sizes[codes]
+    before = np.append(0, np.cumsum(counts))
+    flat = pool[np.repeat(starts[codes] - before[:-1], counts) + np.arange(before[-1])].tobytes()
+    places = (4 * before[ends]).tolist()
+    return (flat[a:z] for a, z in zip(places, places[1:]))
 
 
 def piece_rows(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: a row for each piece.
 
     Blanks and line ends always part tokens in this kind of tokenizer (white space is dropped before merging), so the
-    ids of a text are those of the strings between them, which are remembered.
+    ids of a text are those of the strings between them. Of these, plain words go to the tokenizer's model without its
+    normalizer, which would only lower-case them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(tokenizer)
-        known: dict[str, bytes] = {"": b""}
+        words, last = _words(tokenizer), end.to_bytes(4, "little")
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = (text or "").replace("\n", " ").split(" ")
-                new = [w for w in set(words) if w not in known]
-                if new:
-                    if len(known) > CACHED:
-                        known = {"": b""}
-                        new = list(set(words) - {""})
-                    for w, e in zip(new, encode.encode_batch(new, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join([known[w] for w in words]) + end.to_bytes(4, "little")
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts, docs_ = b.column("text").fill_null(""), b.column("doc_id").to_pylist()
+            for first, many in _slices(texts, SLICE):
+                rows = []
+                for doc, ids in zip(docs_[first : first + many], _text_ids(words, texts.slice(first, many)), strict=True):
+                    ids += last
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
