@@ -17,7 +17,6 @@ is null. Rows that share a ``doc_id`` are each kept. An empty table gives an emp
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,6 +166,13 @@ def anchor_links(nodes: DataFrame, most: int) -> DataFrame:
                 at = pa.array(anchor.astype(np.int64) | k << 32)
                 yield pa.RecordBatch.from_arrays([at, b.column("node").take(pa.array(row)), b.column("sig").take(pa.array(row))], ["anchor", "node", "sig"])
 
+    return links_at(nodes.mapInArrow(replicate, "anchor long, node long, sig binary"), most)
+
+
+def links_at(near: DataFrame, most: int) -> DataFrame:
+    """Links (a, b) that connect all nodes of ``near`` (anchor, node, sig) that share an anchor and whose signatures
+    differ in ``most`` bits at most."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -196,7 +202,6 @@ def anchor_links(nodes: DataFrame, most: int) -> DataFrame:
         if held:
             yield groups(held, True)
 
-    near = nodes.mapInArrow(replicate, "anchor long, node long, sig binary")
     near = near.repartition(F.col("anchor")).sortWithinPartitions("anchor")
     return near.mapInArrow(compare, "a long, b long").distinct()
 
@@ -238,54 +243,61 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near copies (``near_copies``): blocks of the fingerprint of words, bits of the fingerprint of shingles, and how many
-#: of those two texts of similarity 0.8 may differ in (their cosine is 0.89, 19.4 bits expected of 128, 4 the deviation).
-BLOCKS, SHINGLE_BITS, NEAR_BITS = 3, 128, 27
+#: Near copies (``near_copies``): BANDS keys of ROWS minima each of a text's shingles, and in how many of the bits, one
+#: a minimum, two texts may differ. Of pairs of similarity 0.8 a share of (1 - 0.8^ROWS)^BANDS = 5e-8 shares no key, and
+#: 4e-7 differ in more bits (12.8 expected of 128, 3.4 the deviation).
+BANDS, ROWS, NEAR_BITS = 32, 4, 34
+_MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_simhash(hashes: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
-    """Packed signs of the weighted sums of the bits (+1 or -1) of rows of hash bytes."""
-    total = np.zeros(hashes.shape[1] * 8)
-    for at in range(0, len(hashes), _PART):
-        bits = np.unpackbits(hashes[at : at + _PART], axis=1)
-        total += 2.0 * bits.sum(0, dtype=np.int64) - len(bits) if weights is None else weights[at : at + _PART] @ (2.0 * bits - 1)
-    return np.packbits(total > 0)
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the different runs of ``words`` words (lower case, no punctuation; fewer words: of all)."""
+    found = _TOKEN.findall((text or "").lower())
+    runs = {" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else ()
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs), np.uint64, len(runs)))
 
 
-def copy_sketch(text: str | None, words: int) -> tuple[bytes, bytes]:
-    """Of a text's words (lower case, no punctuation): BLOCKS 32-bit blocks of a SimHash of single words, weighted by
-    1 + log frequency, which near copies hardly change; and SHINGLE_BITS of a SimHash of its different shingles."""
-    found = _TOKEN.findall((text or "").lower())
-    if not found:
-        return bytes(4 * BLOCKS), bytes(SHINGLE_BITS // 8)
-    counts = Counter(found)
-    one = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in counts]), np.uint8).reshape(-1, 16)
-    single = wide_simhash(one[:, : 4 * BLOCKS], 1 + np.log(np.fromiter(counts.values(), float, len(counts))))
-    runs = {" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
-    many = np.frombuffer(b"".join([xxhash.xxh3_128_digest(r) for r in runs]), np.uint8).reshape(-1, 16)
-    return single.tobytes(), wide_simhash(many, None).tobytes()
+def copy_sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Of shingles: BANDS keys of 64 bits, each of ROWS minima under other hash functions; and one bit of each minimum."""
+    least = np.full(BANDS * ROWS, -1, np.int64).view(np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * _MIX[0] + _MIX[1]).min(0))
+    rows = least.reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = (keys ^ rows[:, k]) * _SPREAD
+        keys ^= keys >> np.uint64(29)
+    return keys.tobytes(), np.packbits(least * _SPREAD >> np.uint64(63) > 0).tobytes()
 
 
 def near_copies(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> DataFrame:
     """doc_id, component_id for every row of ``docs``: classes of copies and near copies of similarity 0.8.
 
-    Candidates meet at the anchors of their words' fingerprint; a link needs fingerprints of shingles that differ in
-    ``most`` bits at most. Equal texts are one node, named by their smallest doc_id. Rows without doc_id are left out.
+    Candidates share a key of minima of their shingles; a link needs bits of the minima that differ in ``most`` places
+    at most. Equal texts are one node. Rows without doc_id are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            sketches = [copy_sketch(t, words) for t in texts]
-            same = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(same, pa.binary()), pa.array([x for x, _ in sketches], pa.binary()), pa.array([y for _, y in sketches], pa.binary())], ["doc_id", "same", "blocks", "sig"])
-
-    sketched = written(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, blocks binary, sig binary"))
-    firsts = sketched.groupBy("same").agg(F.min("doc_id").alias("node"))
-    nodes = sketched.join(firsts, "same").where("doc_id = node").dropDuplicates(["node"]).select("node", "blocks", "sig")
-    labels = components(anchor_links(nodes, most))
-    named = firsts.join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
-    return sketched.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
+            sketches = [copy_sketch(shingles(t, words)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("node"), pa.array([x for x, _ in sketches], pa.binary()), pa.array([y for _, y in sketches], pa.binary())], ["doc_id", "node", "keys", "sig"])
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64).reshape(b.num_rows, -1)
+                for k in range(keys.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]), b.column("node"), b.column("sig")], ["anchor", "node", "sig"])
+
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    sketched = written(texts.mapInArrow(run, "doc_id long, node long, keys binary, sig binary"))
+    nodes = sketched.select("node", "keys", "sig").dropDuplicates(["node"])
+    labels = components(links_at(nodes.mapInArrow(replicate, "anchor long, node long, sig binary"), most))
+    named = sketched.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "label").select("node", "component_id")
+    return sketched.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

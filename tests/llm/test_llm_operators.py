@@ -140,6 +140,14 @@ def test_near_copies(spark):
     assert all(out[i + 6] == i and out[i] == i for i in range(6)) and out[15] == 14 and out[13] == 12
 
 
+def test_near_copies_with_edited_passages(spark):
+    base = [prose(300, 1000 + i) for i in range(40)]
+    edits = [lambda w, x: w + x[:60], lambda w, x: w[:250], lambda w, x: w[:100] + x[:25] + w[125:], lambda w, x: x[:60] + w]
+    changed = [" ".join(edits[i % 4](b.split(), prose(60, 5000 + i, 10**6).split())) for i, b in enumerate(base)]
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, base + changed)).collect()}
+    assert all(out[i + 40] == i and out[i] == i for i in range(40))
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert dict(simhash.components(links).collect()) == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
