@@ -30,6 +30,7 @@ from quire.llm.common import table, written
 COVER = 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TOKEN = re.compile(r"\w+")
+_MARK = re.compile(r"\S")
 _PART = 1 << 15  # shingles whose bits are counted at once
 _DENSE = 256  # fingerprints that are compared directly
 
@@ -247,13 +248,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
 #: a minimum, two texts may differ. Of pairs of similarity 0.8 a share of (1 - 0.8^ROWS)^BANDS = 5e-8 shares no key, and
 #: 4e-7 differ in more bits (12.8 expected of 128, 3.4 the deviation).
 BANDS, ROWS, NEAR_BITS = 32, 4, 34
+SIMILAR = 0.8
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted hashes of the different runs of ``words`` words (lower case, no punctuation; fewer words: of all)."""
-    found = _TOKEN.findall((text or "").lower())
+    """Sorted hashes of the different runs of ``words`` words (lower case, no punctuation; fewer words: of all). A text
+    without words counts by its characters that are not blank, one of blanks alone as a whole."""
+    text = (text or "").lower()
+    found = _TOKEN.findall(text) or _MARK.findall(text) or ([text] if text else [])
     runs = {" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else ()
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs), np.uint64, len(runs)))
 
@@ -271,11 +275,34 @@ def copy_sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
     return keys.tobytes(), np.packbits(least * _SPREAD >> np.uint64(63) > 0).tobytes()
 
 
+def _classes(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """node, label (the first of its class) of nodes with their shingles and bits; links are exact similarities.
+
+    As in ``_dense``, each node is compared with those that no earlier one reached: where all are copies, one pass is all.
+    """
+    sizes, sigs = np.array([len(h) for _, h, _ in held]), np.array([x for _, _, x in held])
+    rest, queue, labels, first = np.arange(len(held)), [], np.zeros(len(held), np.int64), 0
+    while len(rest) or queue:
+        if not queue:
+            first, queue, rest = rest[0], [rest[0]], rest[1:]
+        at = queue.pop()
+        labels[at] = held[first][0]
+        near = np.bitwise_count(sigs[rest] ^ sigs[at]).sum(1) <= NEAR_BITS
+        near &= np.minimum(sizes[rest], sizes[at]) >= SIMILAR * np.maximum(sizes[rest], sizes[at])
+        for i in np.flatnonzero(near):
+            same = len(np.intersect1d(held[at][1], held[rest[i]][1], assume_unique=True))
+            near[i] = same >= SIMILAR * (sizes[at] + sizes[rest[i]] - same)
+        queue += rest[near].tolist()
+        rest = rest[~near]
+    return pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in held], pa.int64()), pa.array(labels)], ["node", "label"])
+
+
 def near_copies(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> DataFrame:
     """doc_id, component_id for every row of ``docs``: classes of copies and near copies of similarity 0.8.
 
-    Candidates share a key of minima of their shingles; a link needs bits of the minima that differ in ``most`` places
-    at most. Equal texts are one node. Rows without doc_id are left out.
+    Candidates share a key of minima of their shingles, and bits of the minima that differ in ``most`` places at most.
+    The texts of each component of candidates then meet in one task, where only pairs of an exact similarity of
+    SIMILAR or more are links. Equal texts are one node. Rows without doc_id are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +317,29 @@ def near_copies(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> DataF
                 for k in range(keys.shape[1]):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]), b.column("node"), b.column("sig")], ["anchor", "node", "sig"])
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        at = None
+        for b in batches:
+            for label, node, text in zip(b.column("label").to_pylist(), b.column("node").to_pylist(), b.column("text"), strict=True):
+                if label != at and held:
+                    yield _classes(held)
+                    held = []
+                at = label
+                if not held or held[-1][0] != node:
+                    h = shingles(text.as_py(), words)
+                    held.append((node, h, np.frombuffer(copy_sketch(h)[1], np.uint64)))
+        if held:
+            yield _classes(held)
+
     texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
     sketched = written(texts.mapInArrow(run, "doc_id long, node long, keys binary, sig binary"))
     nodes = sketched.select("node", "keys", "sig").dropDuplicates(["node"])
-    labels = components(links_at(nodes.mapInArrow(replicate, "anchor long, node long, sig binary"), most))
+    loose = components(links_at(nodes.mapInArrow(replicate, "anchor long, node long, sig binary"), most))
+    # rows of one node have one text, so a single one of them is dealt out
+    firsts = sketched.groupBy("node").agg(F.min("doc_id").alias("first"))
+    met = texts.join(loose.join(firsts, "node"), "node").where("doc_id = first").select("label", "node", "text")
+    labels = met.repartition(F.col("label")).sortWithinPartitions("label", "node").mapInArrow(verify, "node long, label long").groupBy("node").agg(F.min("label").alias("label"))
     named = sketched.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")

@@ -148,6 +148,20 @@ def test_near_copies_with_edited_passages(spark):
     assert all(out[i + 40] == i and out[i] == i for i in range(40))
 
 
+def test_near_copies_are_verified(spark):
+    base = [prose(200, 2000 + i) for i in range(30)]
+    texts = base + [" ".join(b.split()[:145] + prose(20, 7000 + i, 10**6).split()) for i, b in enumerate(base)]
+    texts += ["!!! ???", "### $$$ %%%", "😀😀😀", " \n", "\t", None, "", *(prose(100, 3000).replace(".", "") + f" {t}" for t in ("a", "b"))]
+    texts += [" ".join(f"c{j}" for j in range(k, k + 100)) for k in range(0, 60, 10)]  # a chain: only neighbours are similar
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts)).collect()}
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if texts[i] == texts[j] or (both := len(sets[i] | sets[j])) == 0 or len(sets[i] & sets[j]) >= 0.8 * both:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert out == dict(enumerate(label)) and len({out[i] for i in range(66)}) == 66 and out[66] == 65 and out[68] == 67 and out[74] == 69
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert dict(simhash.components(links).collect()) == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
