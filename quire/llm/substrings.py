@@ -1,12 +1,16 @@
 """Substring dedup: sliding sentence spans.
 
 A text is cut into sentences: after words that end in ``.!?,;:``, at line ends, and, so that a passage that begins or
-ends inside a long sentence still has whole units, after words of LONG letters or more. The cuts depend on nothing but
-the word before them. From every sentence a span runs over at least RUN sentences until it holds WORDS words; spans are
+ends inside a long sentence still has whole units, after words of LONG letters or more. Where WINDOW words in a row have
+no such cut, one follows the word of the least hash among them (the last of equal ones), for each window of so many words. A cut depends
+on fewer than WINDOW words to either side of its word. Letters of scripts without blanks (Chinese, Japanese, Thai, ...) count
+as a word each. From every sentence a span runs over at least RUN sentences until it holds WORDS words; spans are
 hashed (words in lower case, single blanks). All equal spans of the corpus meet in one aggregation. Of equal spans the
 first stays, in the order of doc_id and, inside a document, of place, and every sentence that another one covers goes.
 
-A passage of over 50 words holds whole spans wherever it stands. Null texts stay null, texts without repeats stay as
+So a passage of over 50 words holds whole spans wherever it stands, if its lines break at the same words: cuts that
+lie WINDOW - 1 words or more inside it are the same in all copies, the first of them follows its word 2 * WINDOW - 1 or
+an earlier one, and the span from there ends within WORDS + WINDOW - 1 (or RUN * WINDOW) words. Null texts stay null, texts without repeats stay as
 they are, and a text that goes entirely becomes empty (the row stays). Rows with one doc_id count as one document: what
 repeats only between them stays. Rows without doc_id count as documents before all others. Other columns are kept. An
 empty table gives an empty one. Hot spans are summed before the shuffle, and their occurrences meet the
@@ -29,23 +33,50 @@ from quire.llm.common import table, written
 RUN = 3
 WORDS = 20
 LONG = 9
-_STOPS = ".!?,;:"
-_WORD = re.compile(r"\S+")
+WINDOW = 8
+_STOPS = ".!?,;:。！？，；：、"
+# fixed values: Thai, Lao, Myanmar, Khmer, kana, Han
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 
 
 def sentences(text: str) -> tuple[list[str], list[int]]:
     """The words in lower case, and the number of words before the end of each sentence."""
     words: list[str] = []
     ends: list[int] = []
+    unspaced = not text.isascii() and _HAS_UNSPACED.search(text) is not None
     for line in text.lower().split("\n"):
-        found = line.split()
+        found = _WORD.findall(line) if unspaced else line.split()
         if found:
             base = len(words) + 1
             ends += [base + i for i, w in enumerate(found) if w[-1] in _STOPS or len(w) >= LONG]
             words += found
             if not ends or ends[-1] != len(words):
                 ends.append(len(words))
-    return words, ends
+    out, before = [], 0
+    for end in ends:
+        # the word before the end is a cut already
+        if end - 1 - before >= WINDOW:
+            out += _bounded(words, before, end - 1)
+        out.append(end)
+        before = end
+    return words, out
+
+
+def _bounded(words: list[str], first: int, last: int) -> list[int]:
+    """Ends inside the words from ``first`` up to ``last``: of each WINDOW words one."""
+    keys = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words[first:last]]
+    out, at = [], -1
+    for i in range(len(keys) - WINDOW + 1):
+        new = i + WINDOW - 1
+        if at < i:
+            at = min(range(i, new + 1), key=lambda k: (keys[k], -k))
+        elif keys[new] <= keys[at]:
+            at = new
+        if not out or out[-1] != first + at + 1:
+            out.append(first + at + 1)
+    return out
 
 
 def spans(words: list[str], ends: list[int], run: int = RUN, least: int = WORDS) -> Iterator[tuple[int, int, int]]:
@@ -65,13 +96,15 @@ def spans(words: list[str], ends: list[int], run: int = RUN, least: int = WORDS)
 
 def without_repeats(text: str, foreign: set[int], run: int = RUN, least: int = WORDS) -> tuple[str, int]:
     """The text without the words of the spans in ``foreign`` and of those that stood before in this text; and how
-    many words went."""
+    many words went. A span that overlaps its first place goes from that place's end on."""
     words, ends = sentences(text)
-    gone, seen = bytearray(len(words)), set()
+    gone, seen = bytearray(len(words)), {}
     for h, a, z in spans(words, ends, run, least):
         if h in foreign or h in seen:
+            a = min(z, max(a, seen.get(h, 0)))
             gone[a:z] = b"\1" * (z - a)
-        seen.add(h)
+        else:
+            seen[h] = z
     if not any(gone):
         return text, 0
     places = [m.span() for m in _WORD.finditer(text)]

@@ -180,6 +180,29 @@ def test_substrings(spark):
     assert substrings.dedup_spans(docs(spark, []).limit(0)).count() == 0
 
 
+def test_passages_of_51_words_hold_spans():
+    rng = random.Random(8)
+
+    def text(n, unit):
+        return unit.join(rng.choice("abcdefgh") + rng.choice("aeiou") + rng.choice("klmn") for _ in range(n))
+
+    def held(x, at, size):
+        return {h for h, a, z in substrings.spans(*substrings.sentences(x)) if at <= a and z <= at + size}
+
+    for _ in range(300):
+        passage, a, b = text(51, " "), rng.randrange(40), rng.randrange(40)
+        x, y = (f"{text(n, ' ')} {passage} {text(30, ' ')}".strip() for n in (a, b))
+        assert held(x, a, 51) & held(y, b, 51)
+
+
+def test_repeats_without_stops_or_blanks(spark):
+    rng = random.Random(12)
+    han = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(90)) for _ in range(4)]
+    out = {r.doc_id: r.text for r in substrings.dedup_spans(docs(spark, [han[0] + han[1], han[2] + han[1] + han[3], "and " * 300])).collect()}
+    assert out[0] == han[0] + han[1] and han[1][20:70] not in out[1] and out[1].startswith(han[2][:80]) and out[1].endswith(han[3][10:])
+    assert 20 <= len(out[2].split()) < 50
+
+
 def test_spans_against_brute_force():
     words, ends = substrings.sentences("A b. C d e, f\n\ngggggggggg h i. " * 4)
     starts = [0, *ends[:-1]]
