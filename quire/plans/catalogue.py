@@ -213,8 +213,7 @@ def slugify_ascii(spark, d):
 
 @query()
 def slugify_nfkc(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", T.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query("SELECT doc_id, string_agg(lower(regexp_replace(t, '[^\\p{L}\\p{N}_]+', '', 'g')), ' ' ORDER BY n) AS tokens FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS t, unnest(range(len(regexp_split_to_array(text, '[ \\n]+')))) AS n FROM documents) WHERE regexp_replace(t, '[^\\p{L}\\p{N}_]+', '', 'g') <> '' GROUP BY doc_id")

@@ -1,9 +1,12 @@
 import json
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.plans import catalogue
 
 
 def one(spark, column):
@@ -36,6 +39,13 @@ def test_slugs(spark):
     assert one(spark, T.id_resolver(F.lit("s"), F.lit("문서"))) == "document"
 
 
+def test_slug_query_reads_whole_texts(spark, tmp_path):
+    texts = ["(ﬁrst) " + "Ünïcode, words: " * 40 + "①② ｆｕｌｌ　ｗｉｄｔｈ 하나은행\nlast_line.", "a b", " \n", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.slug for r in catalogue.QUERIES["slugify_nfkc"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else re.sub(r"[^\w.-]+", "_", unicodedata.normalize("NFKC", t)).strip("_") for i, t in enumerate(texts)}
+
+
 def test_strip_takes_all_white_space(spark):
     assert one(spark, T.strip(F.lit(T.WHITE + "x" + T.WHITE))) == "x"
 
