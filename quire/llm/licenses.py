@@ -6,8 +6,10 @@ between anchors are aligned in the same way. Where a gap has no such word, the t
 gives an anchor at its first place. The coverage is the aligned share of the template's words; a license is
 reported from COVERAGE on, over at most SPREAD times its length of text.
 
-No alignment can cover more than the template words that the text contains at all, so a text is only aligned with
-templates that pass this bound; nothing is lost. Null and empty texts have no license. Every input row gives one output
+So a template is aligned with windows of that size, one from each place of a template word in the text, and the window
+with the best coverage counts, of equal ones the tightest, then the first. No alignment can cover more than the template words that a window contains, so only
+windows (and texts) that pass this bound are aligned. Where patience alignment stays below the bound, the longest
+common subsequence of the window takes its place: a notice is found wherever it stands, and nothing is lost. Null and empty texts have no license. Every input row gives one output
 row, repeated rows equal ones; ties go to the longer template, then the first name. Other columns are ignored.
 """
 
@@ -98,25 +100,77 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     return sorted(done)
 
 
-def dense(found: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """The most aligned places within SPREAD times ``length`` (and two words) of text."""
-    best, first, most = (0, 0), 0, SPREAD * length + 2
-    for last in range(len(found)):
-        while found[last][1] - found[first][1] >= most:
-            first += 1
-        best = max(best, (last - first + 1, -first))
-    return found[-best[1] : -best[1] + best[0]]
+def longest(template: list[str], text: list[str]) -> list[tuple[int, int]]:
+    """Places (template, text) of the longest common subsequence."""
+    n = len(text)
+    best = [[0] * (n + 1)]
+    for w in reversed(template):
+        below, row = best[-1], [0] * (n + 1)
+        for j in range(n - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if w == text[j] else max(below[j], row[j + 1])
+        best.append(row)
+    best.reverse()
+    out, i, j = [], 0, 0
+    while i < len(template) and j < n:
+        if template[i] == text[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def windows(template: list[str], places: list[tuple[int, str]], least: float) -> Iterator[tuple[int, int]]:
+    """(first word, template words) of the windows that hold a share ``least`` of the template's words.
+
+    places: the places in the text, in order, of the template's words, and the words.
+    """
+    size, left, held, last = int(SPREAD * len(template)) + 2, Counter(template), 0, 0
+    for at, word in places:
+        while last < len(places) and places[last][0] < at + size:
+            w = places[last][1]
+            left[w] -= 1
+            held += left[w] >= 0
+            last += 1
+        if held / len(template) >= least:
+            yield at, held
+        left[word] += 1
+        held -= left[word] > 0
+
+
+def best_place(template: list[str], words: list[str], places: list[tuple[int, str]], least: float) -> tuple[int, int, int]:
+    """How many words of the template a window aligns at most (0: less than ``least``), and the first and last word."""
+    size = int(SPREAD * len(template)) + 2
+    best = (0, 0, 0)  # aligned words, words from the last to the first place (negative), first place
+    for at, bound in windows(template, places, least):
+        if bound < best[0]:
+            continue
+        text = words[at : at + size]
+        found = align(template, text)
+        if len(found) < bound:
+            found = max(found, longest(template, text), key=len)
+        new = (len(found), found[0][1] - found[-1][1], at + found[0][1]) if found else best
+        if new[:2] > best[:2] and new[0] / len(template) >= least:
+            best = new
+            if best[:2] == (len(template), 1 - len(template)):
+                break
+    return best[0], best[2], best[2] - best[1]
 
 
 def scan(text: str | None, templates: list[tuple[str, list[str]]], least: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """(name, coverage, first word, last word) of the licenses in a text, best first."""
     words = words_of(text or "")
     known, out = set(words), []
-    for name, t in templates:
-        if t and sum(w in known for w in t) / len(t) >= least:
-            found = dense(align(t, words), len(t))
-            if found and len(found) / len(t) >= least:
-                out.append((len(found) / len(t), len(t), name, found[0][1], found[-1][1]))
+    close = [(name, t) for name, t in templates if t and sum(w in known for w in t) / len(t) >= least]
+    wanted = {w for _, t in close for w in t}
+    places = [(i, w) for i, w in enumerate(words) if w in wanted]
+    for name, t in close:
+        mine = set(t)
+        n, first, last = best_place(t, words, [p for p in places if p[1] in mine], least)
+        if n:
+            out.append((n / len(t), len(t), name, first, last))
     return [(n, c, a, z) for c, _, n, a, z in sorted(out, key=lambda x: (-x[0], -x[1], x[2]))]
 
 

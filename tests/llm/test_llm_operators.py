@@ -282,6 +282,27 @@ def test_licenses(spark):
     assert len(out) == len(texts) and out[8].license == "MIT" and out[8].coverage == 1.0 and out[9].license == "GPL-3.0-header" and out[2].license is None
 
 
+def test_notices_after_stray_words():
+    known = [(k, licenses.words_of(v)) for k, v in sorted(licenses.TEMPLATES.items())]
+    stray = "the version was released in May under rain at MIT as a license. All the many people of this long and windy coast said their rights would in a good year be kept and reserved. "
+    for name, t in licenses.TEMPLATES.items():
+        strays = " ".join(f"{w} " + prose(30, i) for i, w in enumerate(licenses.words_of(t)))
+        for before in (stray + prose(3000, 1), strays + " " + prose(500, 2), strays + " " + t.split()[-1] + " " + prose(200, 3)):
+            n = len(licenses.words_of(before))
+            found = {x[0]: x[1:] for x in licenses.scan(f"{before} {t} {prose(100, 4)} {t}", known)}
+            assert found[name] == (1.0, n, n + len(licenses.words_of(t)) - 1), (name, found)
+
+
+def test_scan_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        t, text = ([rng.choice("abcdefg") for _ in range(n)] for n in (rng.randrange(3, 8), rng.randrange(0, 60)))
+        size = 2 * len(t) + 2
+        best = max((len(licenses.longest(t, text[i : i + size])) for i in range(len(text))), default=0)
+        found = licenses.scan(" ".join(text), [("x", t)])
+        assert (found[0][1] if found else 0) == (best / len(t) if best / len(t) >= licenses.COVERAGE else 0)
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(3)
     for _ in range(50):
