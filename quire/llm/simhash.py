@@ -170,9 +170,9 @@ def anchor_links(nodes: DataFrame, most: int) -> DataFrame:
     return links_at(nodes.mapInArrow(replicate, "anchor long, node long, sig binary"), most)
 
 
-def links_at(near: DataFrame, most: int) -> DataFrame:
+def links_at(near: DataFrame, most: int, forest=_forest, order: tuple[str, ...] = ("anchor",)) -> DataFrame:
     """Links (a, b) that connect all nodes of ``near`` (anchor, node, sig) that share an anchor and whose signatures
-    differ in ``most`` bits at most."""
+    differ in ``most`` bits at most. In the order of nodes, groups of the same copies at many anchors give the same links."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -188,7 +188,7 @@ def links_at(near: DataFrame, most: int) -> DataFrame:
                 starts, ends = starts[:-1], ends[:-1]
             links = []
             for a, z in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                links += [(node[a + x], node[a + y]) for x, y in _forest(sig[a:z], most)]
+                links += [(node[a + x], node[a + y]) for x, y in forest(sig[a:z], most)]
             out = np.array(links, np.int64).reshape(-1, 2)
             out.sort(axis=1)
             return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
@@ -203,7 +203,7 @@ def links_at(near: DataFrame, most: int) -> DataFrame:
         if held:
             yield groups(held, True)
 
-    near = near.repartition(F.col("anchor")).sortWithinPartitions("anchor")
+    near = near.repartition(F.col("anchor")).sortWithinPartitions(*order)
     return near.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -335,7 +335,7 @@ def near_copies(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> DataF
     texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
     sketched = written(texts.mapInArrow(run, "doc_id long, node long, keys binary, sig binary"))
     nodes = sketched.select("node", "keys", "sig").dropDuplicates(["node"])
-    loose = components(links_at(nodes.mapInArrow(replicate, "anchor long, node long, sig binary"), most))
+    loose = components(links_at(nodes.mapInArrow(replicate, "anchor long, node long, sig binary"), most, _dense, ("anchor", "node")))
     # rows of one node have one text, so a single one of them is dealt out
     firsts = sketched.groupBy("node").agg(F.min("doc_id").alias("first"))
     met = texts.join(loose.join(firsts, "node"), "node").where("doc_id = first").select("label", "node", "text")
