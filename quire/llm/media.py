@@ -321,7 +321,7 @@ def digest(text: str | None) -> tuple:
     frames = decode_frames(media, offsets, sizes)
     back = frames.tobytes()
     cuts = shots(frames)
-    feature = f"frames={len(frames)};shots={len(cuts)};starts={','.join(map(str, cuts[:16].tolist()))};mean={frames.mean():.3f};sd={frames.std():.3f}"
+    feature = f"frames={len(frames)};shots={len(cuts)};starts={','.join(map(str, cuts.tolist()))};mean={frames.mean():.3f};sd={frames.std():.3f}"
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 

@@ -264,6 +264,13 @@ def test_media_round_trip(spark):
     assert set(rows["doc_id"]) == set(range(len(EDGE)))
 
 
+def test_feature_lists_all_shots():
+    text = "".join(c * 192 * 20 for c in "\u0001\u007f" * 15)
+    frames = media.decode_frames(m := media.encode_avi(media.payload_of(text)[1]), *media.read_avi(m)[1:])
+    cuts = media.shots(frames).tolist()
+    assert len(cuts) > 16 and f";starts={','.join(map(str, cuts))};" in media.digest(text)[-1]
+
+
 def test_general_decoder_agrees(monkeypatch):
     m = media.encode_avi(bytes(range(192)))
     _, offsets, sizes = media.read_avi(m)
