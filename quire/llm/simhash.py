@@ -11,7 +11,8 @@ Components are found by minimum labels with pointer jumping over those links; eq
 start, so a group of copies is a single row, however large.
 
 Null and empty texts have the fingerprint zero. Null ``doc_id``s are kept; they never name a component unless all of it
-is null. Rows that share a ``doc_id`` are each kept. An empty table gives an empty one.
+is null. Rows that share a ``doc_id`` are each kept. An empty table gives an empty one. Columns other than ``doc_id`` and
+``text`` are ignored, whatever their names (``without_near_copies`` keeps them).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, written
+from quire.llm.common import HOT_SHARE, fresh, quoted, skewed_join, table, written
 
 COVER = 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -234,14 +235,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
     if most > 5:
         raise ValueError("two halves find all pairs up to 5 bits only")
     fps = written(fingerprints(docs, words))
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     sig = F.to_binary(F.lpad(F.hex("fp"), 16, "0"), F.lit("hex"))  # the order of the bytes is the same for all
     links = anchor_links(firsts.select(F.col("fp").alias("node"), sig.alias("blocks"), sig.alias("sig")), most)
     labels = components(links)
     named = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "label").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(least, "label").select("fp", "component_id", "n")
+    return skewed_join(fps, written(named), "fp", "n", fps.count()).select("doc_id", "fp", "component_id")
 
 
 #: Near copies (``near_copies``): BANDS keys of ROWS minima each of a text's shingles, and in how many of the bits, one
@@ -249,6 +250,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
 #: 4e-7 differ in more bits (12.8 expected of 128, 3.4 the deviation).
 BANDS, ROWS, NEAR_BITS = 32, 4, 34
 SIMILAR = 0.8
+LIMIT = 512  # nodes of a component of candidates that meet in one task; more are dealt into parts
+HOT = 50_000  # nodes at one key that are compared there; more are candidates without comparison
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -275,8 +278,8 @@ def copy_sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
     return keys.tobytes(), np.packbits(least * _SPREAD >> np.uint64(63) > 0).tobytes()
 
 
-def _classes(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """node, label (the first of its class) of nodes with their shingles and bits; links are exact similarities.
+def _classes(held: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For nodes with their shingles and bits the first node of each one's class; links are exact similarities.
 
     As in ``_dense``, each node is compared with those that no earlier one reached: where all are copies, one pass is all.
     """
@@ -294,21 +297,117 @@ def _classes(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             near[i] = same >= SIMILAR * (sizes[at] + sizes[rest[i]] - same)
         queue += rest[near].tolist()
         rest = rest[~near]
-    return pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in held], pa.int64()), pa.array(labels)], ["node", "label"])
+    return labels
 
 
-def near_copies(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> DataFrame:
-    """doc_id, component_id for every row of ``docs``: classes of copies and near copies of similarity 0.8.
+def _compared(texts: DataFrame, words: int) -> DataFrame:
+    """part, node, leader of (part, node, text): the first node of each node's class among those of its part. A part's
+    texts meet in one task."""
 
-    Candidates share a key of minima of their shingles, and bits of the minima that differ in ``most`` places at most.
-    The texts of each component of candidates then meet in one task, where only pairs of an exact similarity of
-    SIMILAR or more are links. Equal texts are one node. Rows without doc_id are left out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        at = None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at] * len(held), pa.int64()), pa.array([n for n, _, _ in held], pa.int64()), pa.array(_classes(held))], ["part", "node", "leader"])
+
+        for b in batches:
+            for part, node, text in zip(b.column("part").to_pylist(), b.column("node").to_pylist(), b.column("text"), strict=True):
+                if part != at and held:
+                    yield out()
+                    held = []
+                at = part
+                if not held or held[-1][0] != node:  # a node's rows have one text
+                    h = shingles(text.as_py(), words)
+                    held.append((node, h, np.frombuffer(copy_sketch(h)[1], np.uint64)))
+        if held:
+            yield out()
+
+    return texts.repartition(F.col("part")).sortWithinPartitions("part", "node").mapInArrow(run, "part long, node long, leader long")
+
+
+def _across(texts: DataFrame, nodes: DataFrame, classes: DataFrame, words: int, most: int) -> DataFrame:
+    """Links (a, b) of exact similarity between classes of one component. classes: node, comp, leader.
+
+    Only nodes outside the largest class of their component look for partners, at the keys they share with any other
+    class; of the pairs at a key those go on whose signatures are near enough.
+    """
+    sizes = classes.groupBy("comp", "leader").count()
+    largest = sizes.groupBy("comp").agg(F.max(F.struct("count", "leader")).alias("m"), F.count("*").alias("n")).where("n > 1").select("comp", F.col("m.leader").alias("main"))
+    open_ = classes.join(largest, "comp").join(nodes, "node")
+    words_ = [F.conv(F.hex(F.substring("sig", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(BANDS * ROWS // 64)]
+    keys = F.regexp_extract_all(F.hex("keys"), F.lit("[0-9A-F]{16}"), F.lit(0))
+    at = written(open_.select("node", "leader", (F.col("leader") != F.col("main")).alias("astray"), *words_, F.explode(F.array_distinct(keys)).alias("key")))
+    x, y = at.where("astray").alias("x"), at.alias("y")
+    bits = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, len(words_))), start=F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.leader") != F.col("y.leader")) & (bits <= most))
+    pairs = written(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, text in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([shingles(text.as_py(), words).view(np.int64)], pa.list_(pa.int64()))], ["node", "sh"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(texts.join(asked, "node").select("node", "text").mapInArrow(run, "node long, sh array<long>"))
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "sh": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "sh": "sb"}), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    return both.where(same >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+
+
+def _verified(texts: DataFrame, nodes: DataFrame, loose: DataFrame, words: int, most: int) -> DataFrame:
+    """node, label for the nodes of ``loose`` (node, label: components of candidates); links are exact similarities.
+
+    A component of LIMIT nodes or fewer meets in one task. A larger one is dealt into parts of about so many; then the
+    first nodes of the classes are compared in the same way, as long as that leaves fewer, and in the end nodes of
+    different classes at the keys they share. texts: node, text, one row for each node.
+    """
+    sizes = written(loose.groupBy("label").agg(F.count("*").alias("n")))
+    members = written(skewed_join(loose, sizes.withColumn("parts", F.ceil(F.col("n") / LIMIT)), "label", "n", loose.count()))
+
+    def dealt(rows: DataFrame, salt: int) -> DataFrame:
+        part = F.when(F.col("parts") == 1, F.xxhash64("label")).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(salt)), "parts")))
+        return rows.withColumn("part", part)
+
+    first = written(_compared(texts.join(dealt(members, 0).select("node", "part"), "node").select("part", "node", "text"), words))
+    labels = first.select("node", F.col("leader").alias("label"))
+    if sizes.where(F.col("n") > LIMIT).isEmpty():
+        return labels
+    split = written(members.where("parts > 1").join(labels.withColumnRenamed("label", "leader"), "node").select("node", F.col("label").alias("comp"), "leader"))
+    links = split.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    heads, before, salt = split.where("node = leader").select("node", F.col("comp").alias("label")), None, 1
+    while True:
+        parts = heads.groupBy("label").agg(F.count("*").alias("n"))
+        total, most_parts = heads.count(), parts.agg(F.max(F.ceil(F.col("n") / LIMIT))).first()[0] or 0
+        if before is not None and (last == 1 or total > 0.9 * before):
+            break
+        rows = dealt(skewed_join(heads, parts.withColumn("parts", F.ceil(F.col("n") / LIMIT)), "label", "n", total), salt)
+        found = written(_compared(texts.join(rows.select("node", "part"), "node").select("part", "node", "text"), words))
+        links = written(links.union(found.where("node <> leader").select("leader", "node")))
+        heads = written(heads.join(found.where("node = leader").select("node"), "node", "left_semi"))
+        before, last, salt = total, most_parts, salt + 1
+
+    def merged(links: DataFrame) -> DataFrame:
+        joined = split.select("node", "comp").join(components(links), "node", "left")
+        return joined.select("node", "comp", F.coalesce("label", "node").alias("leader"))
+
+    links = written(links.union(_across(texts, nodes, merged(links), words, most)))
+    return labels.join(split.select("node"), "node", "left_anti").unionByName(merged(links).select("node", F.col("leader").alias("label")))
+
+
+def text_classes(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> tuple[DataFrame, DataFrame]:
+    """Classes of copies and near copies of similarity 0.8: (node, label, first, n) of every different text, and (node,
+    doc_id) of every row.
+
+    node: the hash of a text; label: the same for all texts of a class; first: the least doc_id with that text; n: its rows.
+    Candidates share a key of minima of their shingles, and bits of the minima that differ in ``most`` places at most (at a hot
+    key: any). Of these only pairs of an exact similarity of SIMILAR or more are links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sketches = [copy_sketch(shingles(t, words)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("node"), pa.array([x for x, _ in sketches], pa.binary()), pa.array([y for _, y in sketches], pa.binary())], ["doc_id", "node", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array([x for x, _ in sketches], pa.binary()), pa.array([y for _, y in sketches], pa.binary())], ["doc_id", "node", "keys", "sig"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,33 +416,47 @@ def near_copies(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> DataF
                 for k in range(keys.shape[1]):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]), b.column("node"), b.column("sig")], ["anchor", "node", "sig"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
-        at = None
-        for b in batches:
-            for label, node, text in zip(b.column("label").to_pylist(), b.column("node").to_pylist(), b.column("text"), strict=True):
-                if label != at and held:
-                    yield _classes(held)
-                    held = []
-                at = label
-                if not held or held[-1][0] != node:
-                    h = shingles(text.as_py(), words)
-                    held.append((node, h, np.frombuffer(copy_sketch(h)[1], np.uint64)))
-        if held:
-            yield _classes(held)
-
-    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
     sketched = written(texts.mapInArrow(run, "doc_id long, node long, keys binary, sig binary"))
+    firsts = written(sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     nodes = sketched.select("node", "keys", "sig").dropDuplicates(["node"])
-    loose = components(links_at(nodes.mapInArrow(replicate, "anchor long, node long, sig binary"), most, _dense, ("anchor", "node")))
-    # rows of one node have one text, so a single one of them is dealt out
-    firsts = sketched.groupBy("node").agg(F.min("doc_id").alias("first"))
-    met = texts.join(loose.join(firsts, "node"), "node").where("doc_id = first").select("label", "node", "text")
-    labels = met.repartition(F.col("label")).sortWithinPartitions("label", "node").mapInArrow(verify, "node long, label long").groupBy("node").agg(F.min("label").alias("label"))
-    named = sketched.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "label").select("node", "component_id")
-    return sketched.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    near = nodes.mapInArrow(replicate, "anchor long, node long, sig binary")
+    bound = max(HOT, BANDS * sketched.count() // HOT_SHARE)  # so there are HOT_SHARE hot keys at most
+    hot = written(near.groupBy("anchor").agg(F.count("*").alias("n"), F.min("node").alias("m")).where(F.col("n") > bound).select("anchor", "m"))
+    links = links_at(near.join(F.broadcast(hot), "anchor", "left_anti"), most, _dense, ("anchor", "node"))
+    if not hot.isEmpty():
+        links = links.union(near.join(F.broadcast(hot), "anchor").where("node <> m").select(F.least("m", "node"), F.greatest("m", "node")))
+    loose = components(links)
+    # of the rows of one node, which have one text, those of a single doc_id are dealt out
+    met = texts.join(loose.join(firsts, "node").select("node", "first"), "node").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
+    labels = _verified(met, nodes, loose, words, most)
+    return written(firsts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first", "n")), sketched.select("node", "doc_id")
+
+
+def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, component_id for every row of ``docs``: classes of copies and near copies (``text_classes``). The
+    component is named by its smallest doc_id; it is null where all of its rows lack one."""
+    classes, rows = text_classes(docs, words)
+    least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = written(classes.join(least, "label").select("node", "component_id", "n"))
+    return skewed_join(rows, named, "node", "n", rows.count()).select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` with one row left of each class (``text_classes``): the one with the smallest doc_id, of
+    equal or missing ones any. Rows are told apart by doc_id and text, so texts that share a doc_id are not lost."""
+    classes, rows = text_classes(docs, words)
+    node, many, text, first = fresh(docs, "node_", "many_", "text_", "first_")
+    best = classes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("m"))
+    best = best.select(F.col("m.node").alias("n0"), F.col("m.first").alias("f0"))
+    stay = best.join(rows, (F.col("n0") == F.col("node")) & F.col("f0").eqNullSafe(F.col("doc_id"))).groupBy("n0", "f0").agg(F.count("*").alias(many))
+    stay = written(stay.withColumnsRenamed({"n0": text, "f0": first}))
+    kept = docs.withColumn(node, F.xxhash64(F.coalesce("text", F.lit("")))).join(stay, (F.col(node) == F.col(text)) & F.col("doc_id").cast("long").eqNullSafe(F.col(first)))
+    mine = [F.col(quoted(c)) for c in docs.columns]
+    if stay.where(F.col(many) > 1).isEmpty():
+        return kept.select(*mine)
+    again = kept.where(F.col(many) > 1).dropDuplicates([text, first])
+    return kept.where(F.col(many) == 1).select(*mine).unionByName(again.select(*mine))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,40 @@ def test_near_copies_are_verified(spark):
     assert out == dict(enumerate(label)) and len({out[i] for i in range(66)}) == 66 and out[66] == 65 and out[68] == 67 and out[74] == 69
 
 
+def similar_labels(texts):
+    """The classes of texts by brute force: the first text of each one's component of similarity 0.8."""
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if texts[i] == texts[j] or (both := len(sets[i] | sets[j])) == 0 or len(sets[i] & sets[j]) >= 0.8 * both:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize(("limit", "hot"), [(4, 50_000), (4, 3), (512, 3)])
+def test_near_copies_of_large_groups(spark, monkeypatch, limit, hot):
+    monkeypatch.setattr(simhash, "LIMIT", limit)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    base = prose(120, 1).split()
+    texts = [" ".join(base[: 70 + i]) for i in range(0, 50, 2)]  # only those of about one length are similar
+    texts += [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 100, 4)] + [prose(60, 50 + i) for i in range(10)]
+    other = base[:85] + prose(35, 9).split()  # a second class, candidates of the first
+    texts += [" ".join([*other[:i], f"y{i}", *other[i + 1 :]]) for i in range(0, 120, 9)]
+    random.Random(5).shuffle(texts)
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts)).collect()}
+    assert out == dict(enumerate(similar_labels(texts))) and len(set(out.values())) == 12
+
+
+def test_near_copies_are_rows_not_ids(spark):
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    d = docs(spark, [a, a, b, c, b, a, c, None, "", None], [1, 1, 1, None, 2, 3, None, 5, 6, None])
+    got = sorted((r.doc_id or -1, r.text or "") for r in simhash.without_near_copies(d.withColumnsRenamed({"h": "node_", "pos": "first_"})).collect())
+    assert got == sorted([(1, a), (1, b), (-1, c), (5, "")])
+    assert simhash.without_near_copies(docs(spark, []).limit(0)).count() == 0 and simhash.near_copies(docs(spark, []).limit(0)).count() == 0
+    named = [(r.doc_id, r.component_id) for r in simhash.near_copies(d).collect()]
+    assert len(named) == 10 and named.count((1, 1)) == 3 and named.count((None, None)) == 2 and named.count((None, 5)) == 1
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert dict(simhash.components(links).collect()) == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
