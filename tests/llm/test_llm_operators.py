@@ -395,14 +395,57 @@ def test_toxicity(spark):
 # ---- mixing and language
 
 
+def least_squares(p, tokens, target, steps=200_000):
+    """Rates by plain projected gradient over all documents."""
+    total, natural = tokens.sum(), (p * tokens[:, None]).sum(0) / tokens.sum()
+    rate = np.ones(len(p))
+    for _ in range(steps):
+        push = ((p * (tokens * rate)[:, None]).sum(0) / total - target) / natural
+        new = np.maximum(0, rate - 0.5 * (p @ push + mixing.RIDGE * (rate - 1)))
+        if np.abs(new - rate).max() < 1e-12:
+            break
+        rate = new
+    return rate
+
+
+@pytest.mark.parametrize("many", [2, 3])
+def test_rates_against_plain_projected_gradient(spark, many):
+    rng = np.random.default_rng(many)
+    p = rng.dirichlet([0.4] * many, 60)
+    tokens = rng.integers(1, 500, 60)
+    targets = dict(zip("abc", [0.8, 0.15, 0.05][:many] if many == 3 else [0.9, 0.1], strict=False))
+    rows = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p, strict=True)], "tokens long, " + ", ".join(f"p_{d} double" for d in targets))
+    a, info = mixing.fit_rates(rows, targets)
+    want = least_squares(p, tokens.astype(float), np.array(info["target"]))
+    got = np.maximum(0, 1 - p @ np.array(a))
+    assert np.abs(got - want).max() < 1e-3 and want.min() < 0.01
+    assert mixing.fit_rates(rows.limit(0), targets)[0] == [0.0] * many
+
+
 def test_mixing_meets_targets(spark):
     texts = [prose(80, i) if i % 4 else "### *** %%% && !! " * 12 for i in range(200)] + EDGE
-    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
-    out = mixing.mix(docs(spark, texts), labels, {"low": 0.1, "high": 0.9}).toPandas()
-    assert len(out) == len(texts) and (out["rate"] >= 0).all() and {"fp", "pos"} <= set(out.columns)
+    labels = spark.createDataFrame([(i, "high" if i % 4 else "low") for i in range(200)] + [(None, "high"), (3, None), (4, "other")], "doc_id long, domain string")
+    d = docs(spark, texts).withColumn("RATE", F.lit("mine")).withColumn("p_", F.lit(1)).withColumn("words_", F.lit(2))
+    out = mixing.mix(d, labels, {"high": 0.9, "low": 0.1}).toPandas()
+    assert len(out) == len(texts) and (out["rate"] >= 0).all() and {"fp", "pos", "p_", "words_"} <= set(out.columns) and (out["words_"] == 2).all()
     tokens = out["tokens"] * out["rate"]
     assert abs((tokens * out["p_low"]).sum() / tokens.sum() - 0.1) < 0.01
-    assert mixing.mix(docs(spark, []).limit(0), labels).count() == 0
+    labelled = out[out["doc_id"] < 200]
+    assert ((labelled["p_low"] > 0.5) == (labelled["doc_id"] % 4 == 0)).mean() > 0.98
+    same = out[out["doc_id"].isin([202, 203])]
+    assert same["rate"].nunique() == 1 and out[out["doc_id"] == 200]["tokens"].item() == 0
+    assert mixing.mix(docs(spark, []).limit(0), labels, {"high": 0.9, "low": 0.1}).count() == 0
+    assert set(mixing.mix(d, labels.limit(0), {"high": 0.5, "low": 0.5}).toPandas()["rate"].round(6)) == {1.0}
+
+
+def test_held_out_domains(spark):
+    """Labels that learning has not seen are told from the text."""
+    rng = random.Random(7)
+    texts = [prose(120, i) if i % 3 else " ".join(rng.choice(["Buy", "NOW!!", "###", "click|"]) + str(rng.randrange(50)) for _ in range(100)) for i in range(300)]
+    labels = spark.createDataFrame([(i, "high" if i % 3 else "low") for i in range(200)], "doc_id long, domain string")
+    out = mixing.posteriors(docs(spark, texts), mixing.learn(docs(spark, texts), labels, ["high", "low"])).toPandas()
+    apart = out[out["doc_id"] >= 200]
+    assert ((apart["p_low"] > 0.5) == (apart["doc_id"] % 3 == 0)).mean() > 0.98
 
 
 def test_language(spark):
