@@ -14,6 +14,8 @@ ROW_BITS = 33
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # what a Python worker gets at once; a batch and its copies must fit beside the heap, however long the texts
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,19 +4,23 @@ A lexicon is learned from labelled training rows: words and word beginnings whos
 others by far, and surely. The trie of its words is walked by the Levenshtein automaton of each text word (prefix rows of the edit
 distance, cut where all entries exceed the budget), turned around: the automaton of the whole trie is built lazily as a
 deterministic one, its states being sets of (trie node, edits so far), so each text word is read once and most die
-after a few letters. A match has the weight its word learned; a misspelled one less, and none if the surface form is
-common in harmless training rows. A match inside quotation marks or next to a word of speech within a window
-of WINDOW words counts as quoted. A logistic regression over the matches' sums gives the score.
-
-Learning uses at most SAMPLE labelled rows, chosen by hash, of those whose crc32(doc_id as text) mod 3 is not 1.
-Null and empty texts score as texts without matches. Null ``doc_id``s are scored and never held out. Repeated rows get
-equal scores. Without labels the score is the prior of an empty model. Other columns are ignored.
+after a few letters. Words with digits or signs among their letters (``id1ot``, ``st*pid``) are read as they stand, each sign being a
+wrong letter, and without the signs (``i.d.i.o.t``). A match has the weight its word learned; a misspelled one less, and none if the
+surface form is common in harmless training rows. A match inside quotation marks or next to a word of speech within a window
+of WINDOW words counts as quoted. A logistic regression over the logarithms of the matches' sums gives the score.
+
+Learning uses at most SAMPLE labelled rows, about, chosen by hash, of those whose crc32(doc_id as text) mod 3 is not 1; lexicon
+and harmless forms are words of these rows, so the sample bounds them as well. Labels of one doc_id that disagree count as
+toxic. Null and empty texts score as texts without matches. Null ``doc_id``s are scored and never held out. Repeated
+rows get equal scores. Without toxic labels the score is that of an empty model. Other columns are kept, but for one that has the name
+of the result ``score``. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,28 +28,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, written
+from quire.llm.common import quoted, table, without, written
 
 SAMPLE = 40_000  # labelled rows for learning, about
-TERMS = 4_096  # words of the lexicon at most
 RATIO = 8.0  # of the smoothed document frequencies, for a lexicon word
 CERTAIN = 28.0  # its log-likelihood ratio statistic; chance reaches it once in ten million words
 STEMS = (4, 5, 6, 7, 8)  # letters of the word beginnings that can be lexicon entries, written with a star
 WINDOW = 8  # words on either side of a match
 THRESHOLD = 0.7
+REMEMBERED = 200_000  # words, and states of an automaton by a quarter of it, that a worker remembers
 _WORD = re.compile(r"[^\W\d_]+")
+_INNER = r"[0-9@$*!|.·_+-]{1,3}"  # digits and signs that may stand for letters or between them
+_NO_LETTER = re.compile(r"[\W\d_]+")
+_HAS_INNER = re.compile(rf"(?<=[^\W\d_]){_INNER}(?=[^\W\d_])")
+_SIGNED = re.compile(rf"[^\W\d_]+(?:{_INNER}[^\W\d_]+)+")
 # fixed values: marks and words of quotation
 _MARKS = "\"“”„«»‘’"
 _SPEECH = {"said", "says", "quote", "quoted", "quoting", "wrote", "called", "cited", "sagte", "zitat", "dit", "citation", "dijo", "cita"}
 
 
 class LexiconAutomaton:
-    """All words within ``budget(word)`` edits of a lexicon word: one for words of 5 letters or more, two from 9.
+    """All words within ``budget(word)`` edits of a lexicon word: one for words of ``least`` letters or more, two from 9.
 
     State: a frozen set of (trie node, edits); -1 is the dead state. Transitions are remembered.
     """
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], least: int = 5):
+        self.least = least
         self.children: list[dict[str, int]] = [{}]
         self.word: list[int] = [-1]
         self.room: list[int] = [0]  # the largest budget of a word below the node
@@ -73,9 +82,8 @@ class LexiconAutomaton:
         self.begins: list[int] = []
         self.start = self._state({0: 0})
 
-    @staticmethod
-    def budget(word: str) -> int:
-        return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+    def budget(self, word: str) -> int:
+        return 0 if len(word) < self.least else 1 if len(word) < 9 else 2
 
     def _state(self, nodes: dict[int, int]) -> int:
         todo = list(nodes)
@@ -112,7 +120,7 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, index) of the nearest lexicon entry: the word, else a longer word's beginning, else a misspelling."""
-        if len(self.states) > 200_000:  # forget what is remembered; the answers stay the same
+        if len(self.states) > REMEMBERED // 4:  # forget what is remembered; the answers stay the same
             self.states, self.ids, self.moves, self.accepts, self.begins = [], {}, [], [], []
             self.start = self._state({0: 0})
         state, moves, begins, begin = self.start, self.moves, self.begins, -1
@@ -129,38 +137,72 @@ class LexiconAutomaton:
         return (0, begin) if begin >= 0 and (found is None or found[0]) else found
 
 
-def matches(text: str, automaton: LexiconAutomaton, benign: set[str]) -> list[tuple[str, int, int, bool]]:
-    """(surface, edits, lexicon index, quoted) of each match in a text."""
-    low = text.lower()
-    words = _WORD.findall(low)
-    hits: dict[str, tuple[int, int]] = {}
-    match = automaton.match
-    for w in set(words):
-        m = match(w)
-        if m is not None and not (m[0] and w in benign):
-            hits[w] = m
-    if not hits:
-        return []
-    found = list(_WORD.finditer(low))
-    out = []
-    for i, m in enumerate(found):
-        w = m.group()
-        if w in hits:
-            a, z = found[max(0, i - WINDOW)], found[min(len(found) - 1, i + WINDOW)]
-            before, after = low[a.start() : m.start()].rpartition("\n")[2], low[m.end() : z.end()].partition("\n")[0]
+class Matcher:
+    """Finds lexicon words and their misspellings in texts; what a word is, is remembered."""
+
+    def __init__(self, words: list[str], benign: set[str] = frozenset()):
+        self.automaton, self.benign = LexiconAutomaton(words), benign
+        # no plain word holds signs, so there words of four letters may differ as well
+        self.signed = LexiconAutomaton([w for w in words if "*" not in w], 4)
+        self.at = [k for k, w in enumerate(words) if "*" not in w]
+        self.hits: dict[str, tuple[int, int]] = {}
+        self.clean: set[str] = set()
+
+    def near(self, word: str) -> tuple[int, int] | None:
+        """(edits, index) of the nearest lexicon entry, of a plain word or of one with signs."""
+        if _WORD.fullmatch(word):
+            return self.automaton.match(word)
+        found = [(m[0] + extra, self.at[m[1]]) for form, extra in ((word, 0), (_NO_LETTER.sub("", word), 1)) if (m := self.signed.match(form)) is not None]
+        return min(found, default=None)
+
+    def known(self, words: set[str]) -> dict[str, tuple[int, int]]:
+        if len(self.clean) > REMEMBERED:
+            self.clean.clear()
+        for w in words - self.clean - self.hits.keys():
+            m = self.near(w)
+            if m is None or m[0] and w in self.benign:
+                self.clean.add(w)
+            else:
+                self.hits[w] = m
+        out = {w: self.hits[w] for w in words & self.hits.keys()}
+        if len(self.hits) > REMEMBERED:
+            self.hits.clear()
+        return out
+
+    def matches(self, text: str) -> list[tuple[str, int, int, bool]]:
+        """(surface, edits, lexicon index, quoted) of each match in a text."""
+        low = text.lower()
+        hits = self.known(set(_WORD.findall(low)))
+        signed = {}
+        if _HAS_INNER.search(low):
+            signed = self.known({m for m in _SIGNED.findall(low)})
+        if not hits and not signed:
+            return []
+        found = list(_WORD.finditer(low))
+        out = [(m.start(), m.end(), m.group(), i, i) for i, m in enumerate(found) if m.group() in hits]
+        if signed:
+            starts = [m.start() for m in found]
+            for m in _SIGNED.finditer(low):
+                if m.group() in signed:
+                    out.append((m.start(), m.end(), m.group(), bisect_left(starts, m.start()), bisect_left(starts, m.end()) - 1))
+        rows = []
+        for start, end, w, i, j in sorted(out):
+            a, z = found[max(0, i - WINDOW)], found[min(len(found) - 1, j + WINDOW)]
+            before, after = low[a.start() : start].rpartition("\n")[2], low[end : z.end()].partition("\n")[0]
             quoted = any(q in before for q in _MARKS) and any(q in after for q in _MARKS) or any(x.group() in _SPEECH for x in found[max(0, i - WINDOW) : i])
-            out.append((w, *hits[w], quoted))
-    return out
+            rows.append((w, *(hits.get(w) or signed[w]), quoted))
+        return rows
 
 
-def features(text: str | None, model: dict, automaton: LexiconAutomaton) -> list[float]:
-    """1, sum of the weights of the different exact matches, of misspelled ones, both quoted, and log of matches."""
+def features(text: str | None, weights: list[float], matcher: Matcher) -> list[float]:
+    """1, logarithms of the sums of the weights of the different exact matches, of misspelled ones, both quoted, and of
+    the number of matches."""
     sums = {(False, False): {}, (False, True): {}, (True, False): {}, (True, True): {}}
-    found = matches(text or "", automaton, model["benign"])
+    found = matcher.matches(text or "")
     for w, edits, k, quoted in found:
-        sums[edits > 0, quoted][w] = model["weights"][k] / (1 + edits)
-    tot = {k: min(sum(v.values()), 30.0) for k, v in sums.items()}
-    return [1.0, tot[False, False], tot[True, False], tot[False, True] + tot[True, True], math.log1p(len(found))]
+        sums[edits > 0, quoted][w] = weights[k] / (1 + edits)
+    tot = {k: sum(v.values()) for k, v in sums.items()}
+    return [1.0, *map(math.log1p, (tot[False, False], tot[True, False], tot[False, True] + tot[True, True], len(found)))]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -194,8 +236,8 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
-    """Lexicon, weights and regression from about ``bound`` labelled rows. The driver gets the lexicon (TERMS words at
-    most), harmless forms near it, and five sums for each row of the sample."""
+    """Lexicon, weights and regression from about ``bound`` labelled rows. The driver gets the lexicon, harmless forms
+    near it, and five sums for each row of the sample."""
     sample = written(_training(docs, labels, bound))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +251,10 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 totals[toxic > 0] += 1
-                found = set(_WORD.findall(text.lower()))
-                for w in found | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}:
+                low = text.lower()
+                found = set(_WORD.findall(low))
+                signed = {w.replace("*", "\x00") for w in _SIGNED.findall(low)} if _HAS_INNER.search(low) else set()  # a star marks beginnings
+                for w in found | signed | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}:
                     tally.setdefault(w, [0, 0])[toxic > 0] += 1
             if len(tally) > 200_000:
                 yield out()
@@ -226,23 +270,23 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     both, share = F.col("bad") + F.col("good"), bad / (bad + good)
     part = [F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0) for n, p in ((F.col("bad"), share), (F.col("good"), max(1 - share, 1e-9)))]
     chosen = counts.where((F.length("word") >= 3) & (F.col("bad") > 0)).withColumns({"r": ratio, "g": 2 * (part[0] + part[1])})
-    terms = chosen.where((F.col("r") >= RATIO) & (F.col("g") >= CERTAIN)).orderBy(F.desc("g"), "word").limit(TERMS).collect()
+    terms = chosen.where((F.col("r") >= RATIO) & (F.col("g") >= CERTAIN) & F.col("word").rlike(r"^[\p{L}\p{M}]+[*]?$")).orderBy(F.desc("g"), "word").collect()
     words = [t["word"] for t in terms]
     weights = [math.log(t["r"]) for t in terms]
-    automaton = LexiconAutomaton(words)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(words)
         for b in batches:
-            yield b.filter(pa.array([(m := automaton.match(w)) is not None and m[0] > 0 for w in b.column("word").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([(m := matcher.near(w.replace("\x00", "*"))) is not None and m[0] > 0 for w in b.column("word").to_pylist()], pa.bool_()))
 
-    # forms near a lexicon word that harmless rows use as often as toxic ones: their number is bound by the lexicon's
+    # forms near a lexicon word that harmless rows use as often as toxic ones: words of the sample
     common = counts.where((F.col("word") != "") & ~F.col("word").endswith("*") & (F.col("good") >= 1) & (ratio < RATIO)).select("word").mapInArrow(near, "word string")
-    model = {"words": words, "weights": weights, "benign": {r[0] for r in common.collect()}, "regression": []}
+    model = {"words": words, "weights": weights, "benign": {r[0].replace("\x00", "*") for r in common.collect()}, "regression": []}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = LexiconAutomaton(words)
+        matcher = Matcher(words, model["benign"])
         for b in batches:
-            x = np.array([features(t, model, a) for t in b.column("text").to_pylist()]).reshape(-1, 5)
+            x = np.array([features(t.as_py(), weights, matcher) for t in b.column("text")]).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(5)), b.column("toxic").cast(pa.float64())], [*"abcde", "y"])
 
     data = sample.mapInArrow(measure, "a double, b double, c double, d double, e double, y double").toPandas().to_numpy()
@@ -252,19 +296,19 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
 
 def score_texts(docs: DataFrame, model: dict) -> DataFrame:
     """The rows and columns of ``docs`` and ``score``."""
+    docs = without(docs, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, w = LexiconAutomaton(model["words"]), np.array(model["regression"])
+        matcher, w = Matcher(model["words"], model["benign"]), np.array(model["regression"])
         for b in batches:
-            texts = b.column("text").to_pylist()
-            x = np.array([features(t, model, a) for t in texts]).reshape(-1, 5)
+            x = np.array([features(t.as_py(), model["weights"], matcher) for t in b.column("text")]).reshape(-1, 5)
             score = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score double")
+    return docs.mapInArrow(run, ", ".join(f"{quoted(c)} {t}" for c, t in docs.dtypes) + ", score double")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_texts(docs, learn(docs, table(spark, sf_dir, "labels")))
+    scored = score_texts(docs, learn(docs, table(spark, sf_dir, "labels")))  # texts go back through Arrow, but no further
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

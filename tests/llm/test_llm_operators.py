@@ -221,7 +221,7 @@ def test_passages_of_51_words_hold_spans():
         return unit.join(rng.choice("abcdefgh") + rng.choice("aeiou") + rng.choice("klmn") for _ in range(n))
 
     def held(x, at, size):
-        return {h for h, a, z in substrings.spans(*substrings.sentences(x)) if at <= a and z <= at + size}
+        return {h for h, a, z in zip(*map(np.ndarray.tolist, substrings.spans(*substrings.sentences(x))), strict=True) if at <= a and z <= at + size}
 
     for _ in range(300):
         passage, a, b = text(51, " "), rng.randrange(40), rng.randrange(40)
@@ -234,18 +234,92 @@ def test_repeats_without_stops_or_blanks(spark):
     han = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(90)) for _ in range(4)]
     out = {r.doc_id: r.text for r in substrings.dedup_spans(docs(spark, [han[0] + han[1], han[2] + han[1] + han[3], "and " * 300])).collect()}
     assert out[0] == han[0] + han[1] and han[1][20:70] not in out[1] and out[1].startswith(han[2][:80]) and out[1].endswith(han[3][10:])
-    assert 20 <= len(out[2].split()) < 50
+    assert 20 <= len(out[2].split()) < 60
+
+
+def plain_sentences(text):
+    """The words, and the ends of sentences, word by word."""
+    words, ends = [], set()
+    for line in text.lower().split("\n"):
+        found = substrings._WORD.findall(line)
+        ends |= {len(words) + i + 1 for i, w in enumerate(found) if w[-1] in ".!?。！？"}
+        words += found
+        ends |= {len(words)} - {0}
+    return words, sorted(ends)
+
+
+def plain_clauses(words, ends, window):
+    out = set(ends)
+    keys = substrings.sentences(" ".join(words))[0].tolist()
+    for i in range(len(words) - window + 1):
+        if not any(e in ends for e in range(i + 1, i + window + 1)):
+            out.add(max((-keys[k], k) for k in range(i, i + window))[1] + 1)
+    return sorted(out)
+
+
+def plain_spans(text, run=3, least=20):
+    words, ends = plain_sentences(text)
+    out = set()
+    for bounds, floor in ((ends, 0), (plain_clauses(words, ends, substrings.WINDOW), least)):
+        for i, a in enumerate([0, *bounds[:-1]] if bounds else []):
+            z = next((e for j, e in enumerate(bounds) if j >= i + run - 1 and e - a >= floor), None)
+            if z:
+                out.add((a, z))
+    if 0 < len(ends) < run:
+        out.add((0, ends[-1]))
+    return words, sorted(out)
+
+
+def plain_dedup(rows):
+    """(words that stay) of each (doc_id, text), by comparing all spans as texts."""
+    first, found = {}, []
+    for doc, text in rows:
+        words, places = plain_spans(text or "")
+        owner = -1 if doc is None else doc
+        found.append((owner, words, places))
+        for a, z in places:
+            key = tuple(words[a:z])
+            first[key] = min(first.get(key, owner), owner)
+    out = []
+    for owner, words, places in found:
+        gone, seen = set(), {}
+        for a, z in places:
+            key = tuple(words[a:z])
+            if first[key] != owner:
+                gone |= set(range(a, z))
+            elif key in seen:
+                gone |= set(range(max(a, seen[key]), z))
+            else:
+                seen[key] = z
+        out.append([w for i, w in enumerate(words) if i not in gone])
+    return out
+
+
+def test_sentences_against_plain_reading(monkeypatch):
+    monkeypatch.setattr(substrings, "PIECE", 40)
+    rng = random.Random(1)
+    parts = ["a", "b.", "c!", "字", "文。", "，", " ", "\u3000", " ", "\n", "\t", "é?", "xxxxx", "İ", "ไทย", "！", " ", "\x1c", "\x85"]
+    for _ in range(800):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(80)))
+        keys, ends = substrings.sentences(text)
+        words, want = plain_sentences(text)
+        assert ends.tolist() == want and len(keys) == len(words) and len(set(keys.tolist())) == len(set(words))
+        _, a, z = substrings.spans(keys, ends)
+        assert sorted(zip(a.tolist(), z.tolist(), strict=True)) == plain_spans(text)[1]
 
 
-def test_spans_against_brute_force():
-    words, ends = substrings.sentences("A b. C d e, f\n\ngggggggggg h i. " * 4)
-    starts = [0, *ends[:-1]]
-    want = []
-    for i, a in enumerate(starts):
-        z = next((e for j, e in enumerate(ends) if j >= i + 2 and e - a >= 20), None)
-        if z:
-            want.append((a, z))
-    assert [(a, z) for _, a, z in substrings.spans(words, ends)] == want
+def test_dedup_against_brute_force(spark):
+    rng = random.Random(3)
+    lines = [prose(rng.randrange(1, 40), i, 200) for i in range(60)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9))) for _ in range(80)] + ["No stop here", "no  stop\there", "Short. Text.", "Short. Text.", *EDGE[:4]]
+    ids = [rng.randrange(70) if i % 9 else None for i in range(len(texts))]
+    rows = docs(spark, texts, ids).withColumn("Removed_Words", F.lit("x")).withColumn("owner_", F.lit(1)).withColumn("foreign_", F.lit(2))
+    out = substrings.dedup_spans(rows).collect()
+    want = dict(zip(range(len(texts)), plain_dedup(list(zip(ids, texts, strict=True))), strict=True))
+    assert len(out) == len(texts) and {"owner_", "foreign_", "removed_words"} <= set(out[0].asDict())
+    for r in out:
+        assert (r.text or "").lower().split() == want[r.pos] and r.removed_words == len((texts[r.pos] or "").split()) - len(want[r.pos]), r
+        assert r.removed_words or r.text == texts[r.pos]
 
 
 # ---- packing
@@ -388,8 +462,40 @@ def test_toxicity(spark):
     out = {r.doc_id: r.score for r in toxicity.score_texts(d, model).collect()}
     assert all((out[i] >= toxicity.THRESHOLD) == (i % 3 == 0) for i in range(300)) and out[301] < 0.5 and rng
     assert toxicity.learn(d, labels.limit(0))["words"] == []
-    quoted = toxicity.matches('they said "idiot" today', toxicity.LexiconAutomaton(["idiot"]), set())
-    assert quoted == [("idiot", 0, 0, True)]
+    assert toxicity.Matcher(["idiot"]).matches('they said "idiot" today') == [("idiot", 0, 0, True)]
+
+
+def test_misspelled_terms():
+    m = toxicity.Matcher(["idiot", "scum", "worthless", "stup*"], {"idio"})
+    got = {w: [x[1:3] for x in m.matches(f"some {w} here")] for w in ("idiot", "idoit", "id1ot", "i.d.i.o.t", "idiiot", "idio", "sc*m", "scam", "scvm", "w0rth-less", "well-known", "stupidity", "e.g.this")}
+    assert got == {"idiot": [(0, 0)], "idoit": [], "id1ot": [(1, 0)], "i.d.i.o.t": [(1, 0)], "idiiot": [(1, 0)], "idio": [], "sc*m": [(1, 1)], "scam": [], "scvm": [], "w0rth-less": [(2, 2)], "well-known": [], "stupidity": [(0, 3)], "e.g.this": []}
+
+
+def test_toxicity_query(spark, tmp_path):
+    """The contract's columns, whole tables, and no label of a held-out row in any score."""
+    rng = random.Random(2)
+    texts = [prose(60, i, 400) + (" you idiot and moron" if i % 3 == 0 else "") for i in range(400)]
+    texts += [*EDGE, "word " * 50_000 + "idiot", "", texts[0], texts[0]]
+    d = docs(spark, texts, [*range(400 + len(EDGE) + 2), None, 1])
+    folders = []
+    for name, flip in (("a", False), ("b", True)):
+        folders.append(str(tmp_path / name))
+        held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1}
+        rows = [(i, 1, int(i % 3 == 0) if not (flip and i in held) else rng.randrange(2)) for i in range(400)] + [(None, 1, 1), (5000, 0, None)]
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(folders[-1] + "/labels.parquet")
+        d.write.parquet(folders[-1] + "/documents.parquet")
+    a, b = (sorted(map(tuple, toxicity.op1_toxicity(spark, f).select("doc_id", "held_out", "score", "predicted").collect()), key=str) for f in folders)
+    assert a == b and len(a) == len(texts)
+    for doc, out, score, predicted in a:
+        assert out == (doc is not None and zlib.crc32(str(doc).encode()) % 3 == 1) and 0 <= score <= 1 and predicted == int(score >= 0.7)
+    held = [(doc, p) for doc, out, _, p in a if out and doc < 400 and doc != 1]
+    assert len(held) > 100 and all(p == (doc % 3 == 0) for doc, p in held)
+    assert len({s for doc, _, s, _ in a if doc in (400, 401)}) == 1
+    empty = d.limit(0)
+    model = toxicity.learn(empty, spark.read.parquet(folders[0] + "/labels.parquet"))
+    assert toxicity.score_texts(empty, model).count() == 0
+    clash = toxicity.score_texts(d.withColumn("Score", F.lit("mine")).withColumn("matcher", F.lit(1)), model)
+    assert dict(clash.dtypes)["score"] == "double" and clash.where("matcher = 1").count() == len(texts)
 
 
 # ---- mixing and language
