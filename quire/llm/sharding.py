@@ -1,6 +1,6 @@
 """Sharding: minimax contiguous partition of atomic groups [native].
 
-Rows with equal texts form a group that is never split. Groups stand in the order of their text's hash;
+Rows with equal texts form a group that is never split. Groups stand in the order of their text's MD5 (its first 60 bits);
 the shards are contiguous ranges of that order, and the largest shard is as small as any contiguous cut allows.
 
 Null texts count as empty ones (size 1). Null ``doc_id``s, repeated rows and an empty table are allowed: each input
@@ -89,7 +89,7 @@ def minimax_cuts(ends: DataFrame, shards: int, total: int, widest: int) -> list[
 def shard_table(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_group"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("_group"))
     rows = positions(ordered(rows, [F.col("_group"), F.col("doc_id")]), "size")
     groups = rows.groupBy("_group").agg(F.max("cum").alias("end"), F.sum("size").alias("w"))
     ends = written(groups.repartitionByRange("end").sortWithinPartitions("end").select("end", "w"))

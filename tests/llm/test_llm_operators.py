@@ -5,10 +5,12 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import fingerprints, licenses, media, mixing, packing, sharding, simhash, substrings, toxicity
+from quire.llm import queries as llm_queries
 from quire.llm.language import identify
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, h string, pos long"
@@ -29,6 +31,20 @@ def prose(n, seed, vocabulary=4000):
 EDGE = [None, "", "same text here", "same text here", "x" * 200_000, " \n\t ", "ü€😀 " * 40, "One. Two. Three."]
 
 
+def rows_of(frame):
+    frame = frame[sorted(frame.columns)].astype(object)
+    return sorted(tuple("" if pd.isna(v) else str(float(v)) if isinstance(v, (int, float)) or hasattr(v, "__index__") else str(v) for v in r) for r in frame.itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.ORACLE))
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    assert rows_of(llm_queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()) == rows_of(con.execute(llm_queries.ORACLE[name]).df())
+
+
 # ---- sharding
 
 
@@ -51,7 +67,7 @@ def test_sharding_is_minimax(spark, monkeypatch, kept):
     texts = [prose(rng.randrange(1, 60), i) for i in range(150)] + ["copy"] * 60 + EDGE
     out = sharding.shard_table(docs(spark, texts)).toPandas()
     assert len(out) == len(texts)
-    keys = docs(spark, texts).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).toPandas().merge(out, on="doc_id")
+    keys = docs(spark, texts).select("doc_id", F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long").alias("k")).toPandas().merge(out, on="doc_id")
     groups = keys.groupby("k")["size"].sum().sort_index()
     assert keys.groupby("shard")["size"].sum().max() == brute_capacity(groups.tolist(), 8)
     assert (keys.groupby("k")["shard"].nunique() == 1).all()
@@ -77,13 +93,59 @@ def test_fingerprints(spark, tmp_path):
         k = len(t) // 3
         assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + other[:k]).encode()).hexdigest()
     assert out[2].fingerprint == out[3].fingerprint != out[7].fingerprint and out[0].fingerprint == out[1].fingerprint
+    for i, t in enumerate(texts):
+        parts, edited = (x.splitlines(keepends=True) for x in ((t or "").replace("\x1c", " "), ((t or "")[: len(t or "") - len(t or "") // 3] + (texts[i - 1] or "")[: len(t or "") // 3])))
+        first = next((k for k, (x, y) in enumerate(zip(parts, edited, strict=False)) if x != y), min(len(parts), len(edited)))
+        assert out[i].edit_from == first and out[i].edit_until >= first <= out[i].edited_until and parts[out[i].edit_until :] == edited[out[i].edited_until :]
     assert 0.5 < out[9].near_edited < 0.8 and out[9].near_next < 0.05 and out[3].near_next == 1.0
-    got = spark.createDataFrame([("a\n\nb\n\nc", "a\n\nB\n\nc")], "a string, b string").select(fingerprints.edited_branches(F.col("a"), F.col("b")).alias("x")).first()["x"]
-    assert got == [1]
     joined = docs(spark, texts).select(F.array_join(fingerprints.passages(F.coalesce("text", F.lit(""))), "").alias("j"), F.coalesce("text", F.lit("")).alias("t"))
     assert all(r.j == r.t for r in joined.collect())
 
 
+def test_roots_are_of_texts(spark):
+    """Equal roots mean equal texts, whatever the blank lines; the tree by hand."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    texts = ["", "\n", "\n\n", "a", "a\n", "\na", "a\n\nb", "a\n\n\nb", "a\nb", "a\n\nb\n", "a b c d e\n\n\nf", "a b c d e f"]
+    nodes = fingerprints.paragraphs(fingerprints.passage_digests(F.col("text")))
+    got = {r.text: (r.root, r.s) for r in docs(spark, texts).select("text", fingerprints.root(nodes).alias("root"), fingerprints.section_digests(nodes).alias("s")).collect()}
+    assert len({r for r, _ in got.values()}) == len(texts)
+    one = sha(sha(sha("a b c d ") + sha("e\n")) + sha(sha("\n")) + sha(sha("\n")))
+    assert got["a b c d e\n\n\nf"] == (sha(one + sha(sha(sha("f")))), [one, sha(sha(sha("f")))]) and got[""] == (sha(""), [])
+
+
+def test_edits_are_located(spark):
+    rng = random.Random(9)
+    lines = [f"line {i} of some words" for i in range(30)] + [""] * 8
+    pairs = []
+    for _ in range(60):
+        old = [rng.choice(lines) for _ in range(rng.randrange(0, 25))]
+        new = list(old)
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(new) + 1)
+            new[at : at + rng.randrange(2)] = [rng.choice([*lines, "inserted", "another one"])] * rng.randrange(2)
+        pairs.append(("\n".join(old), "\n".join(new)))
+    a, b = (docs(spark, [p[k] for p in pairs] + EDGE) for k in (0, 1))
+    got = fingerprints.located_edits(a, b).collect()
+    found = {(r.doc_id, r.side): set() for r in got}
+    for r in got:
+        found[r.doc_id, r.side].add(r.paragraph)
+    whole = lambda t: [x for x in t.splitlines(keepends=True) if x]
+    for i, (old, new) in enumerate(pairs):
+        parts = {"old": whole(old), "new": whole(new)}
+        for side, other in (("old", "new"), ("new", "old")):
+            mine, theirs = parts[side], parts[other]
+            marked = found.get((i, side), set())
+            lacking = {x for x in set(mine) if mine.count(x) > theirs.count(x)}
+            assert lacking <= {mine[k] for k in marked}, (i, side)  # whatever the other side has less of is found
+            assert old != new or not marked
+    # one inserted section marks neither those before nor those after it
+    old = "\n\n".join(f"section {i}\nmore of it" for i in range(9)) + "\n"
+    new = old.replace("section 4", "inserted\n\nsection 4")
+    got = fingerprints.located_edits(docs(spark, [old, "same"]), docs(spark, [new, "same"])).collect()
+    assert [(r.doc_id, r.side, r.paragraph) for r in got if r.paragraph is not None] == [(0, "new", 12), (0, "new", 13)]
+    assert fingerprints.located_edits(a.limit(0), b.limit(0)).count() == 0
+
+
 # ---- simhash
 
 
