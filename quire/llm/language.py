@@ -3,12 +3,16 @@
 Evidence: the likelihood of the visible text under character trigram models, the declared markup language, the address
 suffix, and a prior for the host. The trigram models are learned from a sample of documents of known language. The
 text-only posteriors of all pages, summed by grouped aggregation, then give the reliability of the other evidence:
-P(declared | language), P(suffix | language), and host priors smoothed over the hierarchy host, domain, all pages, each
-without the page's own share. The fused posterior is the normalised product.
+P(declared | language) and P(suffix | language), smoothed over the values that occur, and host priors smoothed over the
+hierarchy host, registrable domain, all pages. No page and no host counts twice: a page's own share is left out, and the domain's level
+holds its other hosts only. The fused posterior is the normalised product.
 
+The registrable domain is the last two labels of a host, or three after a short second level under a country (co.uk).
 SAMPLE bounds the documents for learning (chosen by hash); the model's size is fixed. Pages with null or empty markup,
-no address or no declaration use the evidence they have; without any it is the overall prior. Repeated rows get equal
-results. Unknown languages in declarations are just another value. Other columns are ignored.
+no address or no declaration use the evidence they have; without any it is the overall prior. Null page_ids are kept. Repeated rows get equal
+results. Unknown languages in declarations are just another value. Ties go to the language that is first by name. Other
+columns are ignored. An empty table gives an empty one; without documents of known language there is no language (null).
+Hot hosts, suffixes and declarations are summed before the shuffle, and their sums are broadcast (``skewed_join``).
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, written
+from quire.llm.common import skewed_join, table, written
 
 SAMPLE = 8_000  # documents for learning, about
 BUCKETS = 1 << 16  # of hashed trigrams
@@ -33,6 +37,15 @@ _DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b|<m
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 
 
+# fixed values: second levels under which names are registered in many countries
+_SECOND = {"ac", "co", "com", "edu", "gob", "gov", "gouv", "net", "nom", "or", "org"}
+
+
+def registrable(host: str) -> str:
+    parts = host.split(".")
+    return ".".join(parts[-3:] if len(parts) > 2 and len(parts[-1]) == 2 and parts[-2] in _SECOND else parts[-2:])
+
+
 def trigrams(text: str) -> np.ndarray:
     """Hashed trigrams of the letters, in lower case, with single blanks between words."""
     clean = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
@@ -84,7 +97,7 @@ def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
                 t = trigrams(html_lib.unescape(_HIDDEN.sub(" ", markup or "")))
                 ll = logs[:, t].sum(1) * min(1.0, TEMPER / max(1, len(t))) if len(t) else np.zeros(len(langs))
                 p = np.exp(ll - ll.max()) if len(langs) else ll
-                rows.append((page, host, ".".join(parts[-3:]), parts[-1] if parts else "", (d[1] or d[2]).lower() if d else "", (p / p.sum()).tolist() if len(langs) else []))
+                rows.append((page, host, registrable(host), parts[-1] if parts else "", (d[1] or d[2]).lower() if d else "", (p / p.sum()).tolist() if len(langs) else []))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64(), *[pa.string()] * 4, pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "host", "domain", "suffix", "declared", "p"])
@@ -100,24 +113,33 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         return seen.select("page_id", "host", "declared", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"))
     k = range(len(langs))
 
-    def sums(by: str, name: str) -> DataFrame:
-        return seen.groupBy(by).agg(*(F.sum(F.col("p")[i]).alias(f"{name}{i}") for i in k))
-
-    # one number for each language reaches the driver
-    whole = seen.agg(*(F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"w{i}") for i in k)).first()
-    out = seen.join(sums("host", "h"), "host").join(sums("domain", "d"), "domain").join(sums("declared", "m"), "declared").join(sums("suffix", "s"), "suffix")
+    def sums(by: str, name: str, *more: str) -> DataFrame:
+        return seen.groupBy(by, *more).agg(*(F.sum(F.col("p")[i]).alias(f"{name}{i}") for i in k), F.count("*").alias("n"))
+
+    hosts = written(sums("host", "h", "domain"))
+    domains = hosts.groupBy("domain").agg(*(F.sum(f"h{i}").alias(f"d{i}") for i in k))
+    hosts = hosts.join(domains, "domain").drop("domain")
+    declared, suffixes = written(sums("declared", "m")), written(sums("suffix", "s"))
+    # one number for each language, and two more, reach the driver
+    whole = seen.agg(*(F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"w{i}") for i in k), F.count("*").alias("n")).first()
+    values = {"m": declared.count(), "s": suffixes.count()}
+    out = skewed_join(seen, written(hosts), "host", "n", whole["n"])
+    out = written(skewed_join(written(out), declared, "declared", "n", whole["n"]))  # read twice each, so written
+    out = skewed_join(out, suffixes, "suffix", "n", whole["n"])
     p = [F.col("p")[i] for i in k]
 
-    def share(name: str, above: list) -> list:
-        own = [F.greatest(F.col(f"{name}{i}") - p[i], F.lit(0.0)) for i in k]
+    def share(own: list, above: list) -> list:
         n = sum(own[1:], start=own[0])
         return [(own[i] + SMOOTH * above[i]) / (n + SMOOTH) for i in k]
 
-    top = [F.lit((whole[i] + 1) / (sum(whole) + len(langs))) for i in k]
-    host = share("h", share("d", top))
+    def less(name: str, other: list) -> list:
+        return [F.greatest(F.col(f"{name}{i}") - other[i], F.lit(0.0)) for i in k]
+
+    top = [F.lit((whole[i] + 1) / (sum(whole[j] for j in k) + len(langs))) for i in k]
+    host = share(less("h", p), share(less("d", [F.col(f"h{i}") for i in k]), top))
     logs_ = [F.log(F.greatest(p[i], F.lit(1e-12))) + F.log(host[i]) for i in k]
-    for name in ("m", "s"):  # P(value | language), without the page itself
-        logs_ = [x + F.log((F.greatest(F.col(f"{name}{i}") - p[i], F.lit(0.0)) + 0.5) / (whole[i] + 1)) for i, x in enumerate(logs_)]
+    for name, many in values.items():  # P(value | language), without the page itself
+        logs_ = [x + F.log((less(name, p)[i] + 0.5) / (whole[i] + 0.5 * many)) for i, x in enumerate(logs_)]
     out = out.withColumn("_l", F.array(*logs_)).withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
     names = F.lit(langs)
     best = F.array_position("_e", F.array_max("_e")).cast("int")

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprints, licenses, media, mixing, packing, sharding, simhash, substrings, toxicity
+from quire.llm import fingerprints, language, licenses, media, mixing, packing, sharding, simhash, substrings, toxicity
 from quire.llm import queries as llm_queries
 from quire.llm.language import identify
 
@@ -625,3 +625,53 @@ def test_language(spark):
     )
     out = {r.page_id: r for r in identify(pages, known).collect()}
     assert len(out) == 9 and out[1].lang == "de" and out[2].lang == "en" and out[9].lang == "de" and out[3].lang in ("de", "en")
+
+
+def plain_posteriors(pages, langs):
+    """The fused posteriors by loops over all pages."""
+    total = [sum(r.p[i] for r in pages) for i in range(len(langs))]
+    out = []
+    for k, r in enumerate(pages):
+        others = [q for j, q in enumerate(pages) if j != k]
+        top = [(t + 1) / (sum(total) + len(langs)) for t in total]
+        prior = top
+        for group in ([q for q in others if q.domain == r.domain and q.host != r.host], [q for q in others if q.host == r.host]):
+            own = [sum(q.p[i] for q in group) for i in range(len(langs))]
+            prior = [(o + language.SMOOTH * a) / (sum(own) + language.SMOOTH) for o, a in zip(own, prior, strict=True)]
+        post = [max(x, 1e-12) * y for x, y in zip(r.p, prior, strict=True)]
+        for name in ("declared", "suffix"):
+            many = len({getattr(q, name) for q in pages})
+            post = [x * (sum(q.p[i] for q in others if getattr(q, name) == getattr(r, name)) + 0.5) / (total[i] + 0.5 * many) for i, x in enumerate(post)]
+        out.append((r.page_id, max(post) / sum(post), langs[post.index(max(post))]))
+    return out
+
+
+@pytest.mark.parametrize("share", [10_000, 2])
+def test_language_against_loops(spark, monkeypatch, share):
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rng = random.Random(4)
+    texts = {"en": "the quick brown fox and the lazy dog run over there", "de": "der schnelle braune fuchs und der faule hund laufen dort", "fr": "le renard brun et rapide avec les chiens qui sont ici"}
+    known = spark.createDataFrame([(i, " ".join(rng.sample(t.split(), 8)), lang) for i in range(30) for lang, t in texts.items()] + [(None, None, "en"), (5, "x", None)], "doc_id long, text string, lang string")
+    rows = [(None, None, None), (1, "nonsense", ""), (2, "http://a.co.uk/", "<html lang=en>"), (2, "http://a.co.uk/", "<html lang=en>")]
+    for i in range(3, 200):
+        lang = rng.choice(list(texts))
+        host = rng.choice([f"{lang}.hot.org", f"www{i % 5}.hot.org", f"{lang}{i % 4}.example.{lang}", "blog.example.com", "a.b.co.uk"])
+        body = " ".join(rng.choice(texts[lang].split()) for _ in range(rng.randrange(0, 12)))
+        rows.append((i, f"https://{host}/{i}", f'<html lang="{rng.choice([lang, lang, "xx"])}"><p>{body}</p><script>the the</script>'))
+    rows.append((500, "https://en.hot.org/long", "<p>" + "the lazy dog " * 50_000))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("mine")).withColumn("n", F.lit(1))
+    langs, logs = language.learn(known)
+    want = plain_posteriors(language.evidence(pages, langs, logs).collect(), langs)
+    got = [(r.page_id, r.confidence, r.lang) for r in identify(pages, known).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 and a[2] == b[2]
+    assert identify(pages.limit(0), known).count() == 0
+    assert {r.lang for r in identify(pages, known.limit(0)).collect()} == {None}
+
+
+def test_registrable_domains():
+    got = [language.registrable(h) for h in ("blog.example.com", "example.com", "a.b.co.uk", "b.co.uk", "co.uk", "x.y.z.de", "localhost", "")]
+    assert got == ["example.com", "example.com", "b.co.uk", "b.co.uk", "co.uk", "z.de", "localhost", ""]
