@@ -2,15 +2,19 @@
 
 A template's words are aligned with a whole text's: words that stand exactly once in both are anchors, the longest
 increasing subsequence of the anchors stays, the runs around each anchor are extended word by word, and the gaps
-between anchors are aligned in the same way. Where a gap has no such word, the template word that is rarest in the text
-gives an anchor at its first place. The coverage is the aligned share of the template's words; a license is
-reported from COVERAGE on, over at most SPREAD times its length of text.
+between anchors are aligned in the same way, until a gap has no such word. There the longest common subsequence of the
+gap decides. The coverage is the aligned share of the template's words; a license is reported from COVERAGE on, over at most SPREAD
+times its length of text.
 
 So a template is aligned with windows of that size, one from each place of a template word in the text, and the window
-with the best coverage counts, of equal ones the tightest, then the first. No alignment can cover more than the template words that a window contains, so only
-windows (and texts) that pass this bound are aligned. Where patience alignment stays below the bound, the longest
-common subsequence of the window takes its place: a notice is found wherever it stands, and nothing is lost. Null and empty texts have no license. Every input row gives one output
-row, repeated rows equal ones; ties go to the longer template, then the first name. Other columns are ignored.
+with the best coverage counts, of equal ones the tightest, then the first. The length of the longest common subsequence, by
+bits, bounds what any alignment can cover, so only windows (and texts) that pass this bound are aligned; where patience
+alignment stays below the bound, the longest common subsequence of the window takes its place. A notice is found
+wherever it stands, and nothing is lost. The templates are short notices, the headers that stand for the long licenses
+(Apache, GPL, LGPL, AGPL, MPL), and whole short licenses.
+
+Null and empty texts have no license. Every input row gives one output row, repeated rows equal ones; ties go to the
+longer template, then the first name. Null doc_ids are kept. Other columns are ignored. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,23 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import table
+from quire.llm.license_texts import HEADERS, LICENSES, NOTICES
 
 COVERAGE = 0.75
 SPREAD = 2.0
 _WORD = re.compile(r"[^\W_]+")
-# fixed values: short notices and opening passages of public licenses
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "proprietary": "All rights reserved.",
-}
+TEMPLATES = NOTICES | HEADERS | LICENSES
 
 
 def words_of(text: str) -> list[str]:
@@ -87,13 +80,8 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
         inside = {w: p[bisect_left(p, c) : bisect_left(p, d)] for w in counts if (p := places.get(w))}
         anchors = _increasing([(i, inside[w][0]) for i, w in enumerate(template[a:b], a) if counts[w] == 1 and len(inside.get(w, ())) == 1])
         if not anchors:
-            rare = [(len(p), template.index(w, a), w) for w, p in inside.items() if p]
-            if not rare:
-                continue
-            _, i, w = min(rare)
-            j = inside[w][0]
-            room = int(SPREAD * (b - a)) + 1
-            anchors, c, d = [(i, j)], max(c, j - room), min(d, j + room)
+            done += [(a + i, c + j) for i, j in longest(template[a:b], text[c:d])]
+            continue
         done += anchors
         edges = [(a - 1, c - 1), *anchors, (b, d)]
         todo += [(x + 1, z, y + 1, t) for (x, y), (z, t) in zip(edges, edges[1:], strict=False)]
@@ -102,6 +90,9 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
 
 def longest(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     """Places (template, text) of the longest common subsequence."""
+    mine = set(template)
+    at = [j for j, w in enumerate(text) if w in mine]
+    text = [text[j] for j in at]
     n = len(text)
     best = [[0] * (n + 1)]
     for w in reversed(template):
@@ -113,7 +104,7 @@ def longest(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     out, i, j = [], 0, 0
     while i < len(template) and j < n:
         if template[i] == text[j]:
-            out.append((i, j))
+            out.append((i, at[j]))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
@@ -122,61 +113,87 @@ def longest(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def bits_of(template: list[str]) -> dict[str, int]:
+    """The places of each word, as bits."""
+    out: dict[str, int] = {}
+    for i, w in enumerate(template):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def common_length(bits: dict[str, int], size: int, words: list[str]) -> int:
+    """Length of the longest common subsequence of a template of ``size`` words and ``words``, all of them in it."""
+    full = (1 << size) - 1
+    row = full
+    for w in words:
+        hit = row & bits[w]
+        row = (row + hit | row - hit) & full
+    return size - row.bit_count()
+
+
 def windows(template: list[str], places: list[tuple[int, str]], least: float) -> Iterator[tuple[int, int]]:
-    """(first word, template words) of the windows that hold a share ``least`` of the template's words.
+    """(first, last) of the windows' ``places`` that hold a share ``least`` of the template's words.
 
     places: the places in the text, in order, of the template's words, and the words.
     """
     size, left, held, last = int(SPREAD * len(template)) + 2, Counter(template), 0, 0
-    for at, word in places:
+    for first, (at, word) in enumerate(places):
         while last < len(places) and places[last][0] < at + size:
             w = places[last][1]
             left[w] -= 1
             held += left[w] >= 0
             last += 1
         if held / len(template) >= least:
-            yield at, held
+            yield first, last
         left[word] += 1
         held -= left[word] > 0
 
 
 def best_place(template: list[str], words: list[str], places: list[tuple[int, str]], least: float) -> tuple[int, int, int]:
     """How many words of the template a window aligns at most (0: less than ``least``), and the first and last word."""
-    size = int(SPREAD * len(template)) + 2
+    bits, many = bits_of(template), len(template)
     best = (0, 0, 0)  # aligned words, words from the last to the first place (negative), first place
-    for at, bound in windows(template, places, least):
-        if bound < best[0]:
+    for first, last in windows(template, places, least):
+        inside = [w for _, w in places[first:last]]
+        n = common_length(bits, many, inside)
+        # a window whose first word is not needed is no better than one that begins later
+        if n < best[0] or n / many < least or common_length(bits, many, inside[1:]) == n:
             continue
-        text = words[at : at + size]
+        at = places[first][0]
+        text = words[at : places[last - 1][0] + 1]
         found = align(template, text)
-        if len(found) < bound:
-            found = max(found, longest(template, text), key=len)
-        new = (len(found), found[0][1] - found[-1][1], at + found[0][1]) if found else best
-        if new[:2] > best[:2] and new[0] / len(template) >= least:
+        if len(found) < n:
+            found = longest(template, text)
+        new = (len(found), found[0][1] - found[-1][1], at + found[0][1])
+        if new[:2] > best[:2]:
             best = new
-            if best[:2] == (len(template), 1 - len(template)):
+            if best[:2] == (many, 1 - many):
                 break
     return best[0], best[2], best[2] - best[1]
 
 
-def scan(text: str | None, templates: list[tuple[str, list[str]]], least: float = COVERAGE) -> list[tuple[str, float, int, int]]:
+def prepared(templates: dict[str, str]) -> list[tuple[str, list[str], Counter]]:
+    """Name, words, and how often each word stands in it."""
+    return [(k, words, Counter(words)) for k, v in sorted(templates.items()) if (words := words_of(v))]
+
+
+def scan(text: str | None, templates: list[tuple[str, list[str], Counter]], least: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """(name, coverage, first word, last word) of the licenses in a text, best first."""
     words = words_of(text or "")
     known, out = set(words), []
-    close = [(name, t) for name, t in templates if t and sum(w in known for w in t) / len(t) >= least]
-    wanted = {w for _, t in close for w in t}
-    places = [(i, w) for i, w in enumerate(words) if w in wanted]
-    for name, t in close:
-        mine = set(t)
-        n, first, last = best_place(t, words, [p for p in places if p[1] in mine], least)
-        if n:
-            out.append((n / len(t), len(t), name, first, last))
+    close = [(name, t, n) for name, t, n in templates if sum(n[w] for w in n.keys() & known) >= least * len(t)]
+    wanted = {w for _, _, n in close for w in n}
+    places = [(i, w) for i, w in enumerate(words) if w in wanted] if wanted else []
+    for name, t, n in close:
+        many, first, last = best_place(t, words, [p for p in places if p[1] in n], least)
+        if many:
+            out.append((many / len(t), len(t), name, first, last))
     return [(n, c, a, z) for c, _, n, a, z in sorted(out, key=lambda x: (-x[0], -x[1], x[2]))]
 
 
 def scan_table(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = COVERAGE) -> DataFrame:
     """doc_id, license, coverage, first_word, last_word, licenses (all names) for every row of ``docs``."""
-    known = [(k, words_of(v)) for k, v in sorted(templates.items())]
+    known = prepared(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -454,13 +454,15 @@ def test_general_decoder_agrees(monkeypatch):
 
 
 def test_licenses(spark):
-    texts = [*EDGE, prose(200, 1) + "\nReleased under the MIT License.\n" + prose(100, 2), "This program is free software you can redistribute it and modify it under the terms of the GNU General Public License as published by the Free Software Foundation either version 3 of the License or any later version"]
+    texts = [*EDGE, prose(200, 1) + "\nReleased under the MIT License.\n" + prose(100, 2), "" + licenses.TEMPLATES["GPL-3.0-header"].replace("MERCHANTABILITY", "use").replace("program", "tool"), licenses.TEMPLATES["BSD-3-Clause"], licenses.TEMPLATES["BSD-2-Clause"]]
     out = {r.doc_id: r for r in licenses.scan_table(docs(spark, texts)).collect()}
     assert len(out) == len(texts) and out[8].license == "MIT" and out[8].coverage == 1.0 and out[9].license == "GPL-3.0-header" and out[2].license is None
+    assert out[10].license == "BSD-3-Clause" and out[11].license == "BSD-2-Clause" and out[10].coverage == out[11].coverage == 1.0
+    assert licenses.scan_table(docs(spark, texts, [None] * len(texts)).limit(0)).count() == 0
 
 
 def test_notices_after_stray_words():
-    known = [(k, licenses.words_of(v)) for k, v in sorted(licenses.TEMPLATES.items())]
+    known = licenses.prepared(licenses.TEMPLATES)
     stray = "the version was released in May under rain at MIT as a license. All the many people of this long and windy coast said their rights would in a good year be kept and reserved. "
     for name, t in licenses.TEMPLATES.items():
         strays = " ".join(f"{w} " + prose(30, i) for i, w in enumerate(licenses.words_of(t)))
@@ -470,13 +472,37 @@ def test_notices_after_stray_words():
             assert found[name] == (1.0, n, n + len(licenses.words_of(t)) - 1), (name, found)
 
 
+def planted(rng, text, share):
+    """The words of a license, a share of them changed, left out or followed by another, in new lines."""
+    out = []
+    for w in text.split():
+        kind = rng.random() / share if share else 9
+        out += [] if kind < 1 / 3 else [f"other{rng.randrange(99)}"] if kind < 2 / 3 else [w, f"more{rng.randrange(99)}"] if kind < 1 else [w]
+    return "".join(w + rng.choice(["\n", " ", " ", " "]) for w in out)
+
+
+def test_planted_licenses_are_found():
+    """Recall on whole licenses and headers with edited words, behind and before other text."""
+    rng = random.Random(11)
+    known = licenses.prepared(licenses.TEMPLATES)
+    for share in (0.0, 0.05, 0.1, 0.15):
+        tries = hits = 0
+        for name, text in (licenses.HEADERS | licenses.LICENSES).items():
+            for k in range(4):
+                found = licenses.scan(f"{prose(300, k)} {planted(rng, text, share)} {prose(200, k + 9)}", known)
+                tries += 1
+                hits += bool(found) and (found[0][0] == name or name in [x[0] for x in found])
+        assert hits >= 0.95 * tries, share
+    assert all(licenses.scan(prose(2000, k), known) == [] for k in range(20))
+
+
 def test_scan_against_brute_force():
     rng = random.Random(5)
     for _ in range(200):
         t, text = ([rng.choice("abcdefg") for _ in range(n)] for n in (rng.randrange(3, 8), rng.randrange(0, 60)))
         size = 2 * len(t) + 2
         best = max((len(licenses.longest(t, text[i : i + size])) for i in range(len(text))), default=0)
-        found = licenses.scan(" ".join(text), [("x", t)])
+        found = licenses.scan(" ".join(text), licenses.prepared({"x": " ".join(t)}))
         assert (found[0][1] if found else 0) == (best / len(t) if best / len(t) >= licenses.COVERAGE else 0)
 
 
@@ -486,6 +512,14 @@ def test_alignment_is_a_common_subsequence():
         a, b = ([rng.choice("abcdefghij") for _ in range(rng.randrange(0, 14))] for _ in range(2))
         got = licenses.align(a, b)
         assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]  # lengths of common subsequences, by the definition
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        bits = licenses.bits_of(a)
+        assert len(licenses.longest(a, b)) == best[-1][-1] == licenses.common_length(bits, len(a), [w for w in b if w in bits]) >= len(got)
+    # a gap without a word that is unique in both is aligned, not guessed
+    assert len(licenses.align("x a b a b y".split(), "x a c a b a y".split())) == 5
     a = [f"u{i}" for i in range(30)]
     assert len(licenses.align(a, ["x"] * 5 + a[:10] + ["y"] * 3 + a[10:])) == 30
 
