@@ -3,12 +3,13 @@
 Documents become token ids (plus one end id); only documents over the capacity are cut into pieces. A piece that fills
 a sequence alone is one. The other pieces are dealt at random into blocks of about BLOCK pieces. Every block is packed
 by ISLANDS islands, each a task of its own with its own population: crossover injects whole well-filled bins of one
-parent into the other, removes the bins that hold duplicates, and best-fits the displaced pieces. Between epochs each
-island gets the elite of its neighbour. Blocks whose packing meets the lower bound stop at once. Bins that stay
-under FULL go, with their pieces, into the next round's fewer blocks, until one block holds what is left.
+parent into the other, removes the bins that hold duplicates, opens badly filled ones, and best-fits the displaced pieces:
+the longest first, and the piece or pair that leaves the least room beside it. Between epochs each island gets the elite
+of its neighbour. Blocks whose packing meets the lower bound stop at once. Bins that stay under FULL go, with their pieces,
+into the next round's fewer blocks, until one block holds what is left or a round leaves hardly fewer pieces than it had.
 
-Null texts count as empty: a single end id. Repeated rows are packed once per row. Null ``doc_id``s are kept. An empty
-table gives an empty one.
+Null texts count as empty: a single end id. Repeated rows are packed once per row. Null ``doc_id``s are kept. Columns of
+``pieces`` are kept, but for those that have the name of a result (sequence_id, offset). An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import random
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,18 +30,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, written
+from quire.llm.common import fresh, table, without, written
 
 CAPACITY = 4096
 END = 1
 BLOCK = 2_048  # pieces of a block, about
 ISLANDS = 2
-EPOCHS = 2
-CHILDREN = 6  # of an island in an epoch
+EPOCHS = 3
+CHILDREN = 16  # of an island in an epoch
 POPULATION = 4
 FULL = 0.985  # less filled bins are packed again in the next round
-ROUNDS = 6
-CACHED = 1_000_000  # strings whose ids a worker remembers
+CACHED = 300_000  # strings whose ids a worker remembers
 SLICE = 8 << 20  # bytes of text that a worker turns into arrays at once
 
 
@@ -166,11 +166,53 @@ def fitness(lengths: list[int], bins: list[list[int]], capacity: int) -> float:
     return sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def refill(lengths: list[int], items: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+    """Bins for ``items``: each begins with the longest left, takes pieces of about the mean that it needs while more
+    than two are to come, and ends with the pair (or piece) that leaves the least room."""
+    left = sorted(items, key=lambda i: lengths[i])
+    sizes = [lengths[i] for i in left]
+    total, bins = sum(sizes), []
+    while left:
+        new, room = [], capacity
+
+        def take(k: int) -> None:
+            nonlocal room, total
+            new.append(left.pop(k))
+            size = sizes.pop(k)
+            room, total = room - size, total - size
+
+        take(-1)
+        while left and room >= sizes[0]:
+            last = bisect_right(sizes, room) - 1
+            many = room * len(sizes) / total if total else 1.0
+            if many >= 2.6:
+                at = bisect_left(sizes, room / round(many)) + rng.randrange(-8, 9)
+                take(min(max(at, 0), last))
+                continue
+            best, pair, a, z = sizes[last], (last,), 0, last
+            while a < z and best < room:
+                both = sizes[a] + sizes[z]
+                if both > room:
+                    z -= 1
+                else:
+                    if both > best:
+                        best, pair = both, (z, a)
+                    a += 1
+            for k in pair:
+                take(k)
+        bins.append(new)
+    return bins
+
+
 def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Some of the best-filled bins of ``a`` go whole into ``b``; its bins with the same pieces go, and the pieces that
-    lost their place are best-fitted."""
-    best = sorted(a, key=lambda x: -sum(lengths[i] for i in x))
-    best = best[: max(1, len(best) // 2)]
+    """Some of the best-filled bins of ``a`` go whole into ``b``; its bins with the same pieces go, the worst of the
+    others are opened, and the pieces that lost their place are fitted anew."""
+
+    def fill(x: list[int]) -> int:
+        return sum(lengths[i] for i in x)
+
+    best = sorted(a, key=fill, reverse=True)
+    best = best[: max(1, len(best) * 2 // 3)]
     injected = [x for x in best if rng.random() < 0.5] or best[:1]
     inside = {i for x in injected for i in x}
     kept, displaced = [], []
@@ -179,11 +221,11 @@ def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capaci
             kept.append(x)
         else:
             displaced += [i for i in x if i not in inside]
-    # the worst bins are opened too, so that their pieces can move
-    kept.sort(key=lambda x: sum(lengths[i] for i in x))
-    for x in kept[: max(1, len(kept) // 20)]:
+    kept.sort(key=fill)
+    opened = min(sum(fill(x) < 0.995 * capacity for x in kept), len(kept) // 4 + 1)
+    for x in kept[:opened]:
         displaced += x
-    return best_fit(lengths, displaced, injected + kept[max(1, len(kept) // 20) :], capacity)
+    return injected + kept[opened:] + refill(lengths, displaced, capacity, rng)
 
 
 def evolve(lengths: list[int], population: list[list[list[int]]], capacity: int, rng: random.Random, children: int = CHILDREN) -> list[list[list[int]]]:
@@ -196,10 +238,7 @@ def evolve(lengths: list[int], population: list[list[list[int]]], capacity: int,
     if not population:
         population = [best_fit(lengths, list(range(len(lengths))), [], capacity)]
     if len(population[0]) > least:
-        while len(population) < POPULATION:  # others than the first start from random orders, by first fit of a part
-            order = list(range(len(lengths)))
-            rng.shuffle(order)
-            population.append(best_fit(lengths, order[: len(order) // 2], best_fit(lengths, order[len(order) // 2 :], [], capacity), capacity))
+        population += [refill(lengths, list(range(len(lengths))), capacity, rng) for _ in range(POPULATION - len(population))]
     population.sort(key=rank)
     for _ in range(children):
         if len(population[0]) <= least or len(population) < 2:
@@ -268,28 +307,29 @@ def pack_round(items: DataFrame, blocks: int, capacity: int) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``pieces`` (with a ``length``), whatever their other columns."""
-    pieces = written(pieces.withColumn("uid", F.monotonically_increasing_id()))
-    alone = pieces.where(F.col("length") >= capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, parts = pieces.where(F.col("length") < capacity).select("uid", F.col("length").cast("int").alias("length")), [alone]
-    left = rest.count()
-    for k in range(ROUNDS):
-        if not left:
-            break
+    pieces = without(pieces, "sequence_id", "offset")
+    (uid,) = fresh(pieces, "uid")
+    pieces = written(pieces.withColumn(uid, F.monotonically_increasing_id()))
+    items = pieces.select(F.col(uid).alias("uid"), F.col("length").cast("int").alias("length"))
+    alone = items.where(F.col("length") >= capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest, parts = items.where(F.col("length") < capacity), [alone]
+    left, before, k = rest.count(), None, 0
+    while left:
         blocks = -(-left // BLOCK)
-        last = blocks == 1 or k == ROUNDS - 1
+        last = blocks == 1 or before is not None and left > 0.95 * before
         packed = written(pack_round(rest, blocks, capacity))
         good = packed if last else packed.where(F.col("fill") >= FULL * capacity)
         # a bin has few pieces, so this window never gathers much
-        before = F.sum("length").over(_bin_window())
-        parts.append(good.select("uid", (F.lit(k << 56) + F.col("block") * (1 << 20) + F.col("bin")).alias("sequence_id"), (before - F.col("length")).alias("offset")))
+        upto = F.sum("length").over(_bin_window())
+        parts.append(good.select("uid", (F.lit(k << 56) + F.col("block") * (1 << 20) + F.col("bin")).alias("sequence_id"), (upto - F.col("length")).alias("offset")))
         if last:
             break
         rest = packed.where(F.col("fill") < FULL * capacity).select("uid", F.col("length").cast("int").alias("length"))
-        left = rest.count()
+        before, left, k = left, rest.count(), k + 1
     placed = parts[0]
     for p in parts[1:]:
         placed = placed.unionByName(p)
-    return pieces.join(placed, "uid").drop("uid")
+    return pieces.join(placed.withColumnRenamed("uid", uid), uid).drop(uid)
 
 
 def _bin_window():

@@ -407,16 +407,53 @@ def test_packing(spark):
     assert out["sequence_id"].nunique() <= -(-out["length"].sum() // 4096) + 1
 
 
-def test_genetic_packing_reaches_the_bound():
-    rng = random.Random(0)
-    lengths = []
-    for _ in range(40):
-        a, b = rng.randrange(200, 500), rng.randrange(100, 400)
-        lengths += [a, b, 1000 - a - b]
-    first = packing.best_fit(lengths, list(range(len(lengths))), [], 1000)
-    best = packing.evolve(lengths, [], 1000, random.Random(1), 60)[0]
-    assert sorted(i for b in best for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 1000 for b in best)
-    assert 40 <= len(best) <= len(first)
+def parts_of(many, bins, seed):
+    """Pieces that fill ``bins`` bins exactly, ``many`` of about one size in each."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(bins):
+        sizes = [int(4096 / many * (0.8 + 0.4 * rng.random())) for _ in range(many - 1)]
+        out += [*sizes, 4096 - sum(sizes)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("many", "bins"), [(3, 300), (4, 400), (5, 300)])
+def test_genetic_packing_nears_the_bound(many, bins):
+    surplus = {"best fit": 0, "genetic": 0}
+    for seed in range(3):
+        lengths = parts_of(many, bins, seed)
+        population = []
+        for epoch in range(packing.EPOCHS):
+            population = packing.evolve(lengths, population, 4096, random.Random(seed + epoch))
+        best = population[0]
+        assert sorted(i for b in best for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 4096 for b in best)
+        surplus["best fit"] += len(packing.best_fit(lengths, list(range(len(lengths))), [], 4096)) - bins
+        surplus["genetic"] += len(best) - bins
+    assert surplus["genetic"] <= surplus["best fit"] / 2 and surplus["best fit"] > 10, surplus
+
+
+def test_crossover_keeps_all_pieces():
+    rng = random.Random(5)
+    for _ in range(100):
+        lengths = [rng.randrange(1, 100) for _ in range(rng.randrange(1, 40))]
+        a, b = (packing.refill(lengths, rng.sample(range(len(lengths)), len(lengths)), 100, rng) for _ in range(2))
+        child = packing.crossover(lengths, a, b, 100, rng)
+        assert sorted(i for x in child for i in x) == list(range(len(lengths))) and all(sum(lengths[i] for i in x) <= 100 for x in child)
+
+
+def test_packing_in_many_blocks(spark, monkeypatch):
+    """Every block goes through rounds until one is left; clashing names, equal and full pieces."""
+    monkeypatch.setattr(packing, "BLOCK", 64)
+    rng = random.Random(1)
+    lengths = [rng.randrange(1, 2500) for _ in range(900)] + [4096, 4096, 1, 1, 1]
+    rows = spark.createDataFrame([(i, n, "mine", i) for i, n in enumerate(lengths)], "doc_id long, length long, Offset string, uid long")
+    out = packing.pack(rows).toPandas()
+    assert sorted(out["uid"]) == list(range(len(lengths)))
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert (s["length"].cumsum() - s["length"]).tolist() == s["offset"].tolist() and s["length"].sum() <= 4096
+    assert out["sequence_id"].nunique() <= 1.01 * -(-sum(lengths) // 4096) + 2
+    assert packing.pack(rows.limit(0)).count() == 0
 
 
 # ---- media
