@@ -4,21 +4,24 @@
 value (the unit is the block's DC coefficient, quantised by 8), FRAME bytes make a frame of 16x12 blocks, and the
 frames stand in a RIFF container with an ``idx1`` index. Any baseline decoder shows the same grey values. The Huffman
 tables are chosen so that every block takes 16 bits and no byte is 0xFF, so frames have one size and both ways
-are array operations. ``read_avi`` parses the RIFF chunks and the index, ``decode_frames`` decodes intra frames (any
-grey baseline JPEG, including AC coefficients, restarts excepted), and ``shots`` cuts where the difference between
-consecutive histograms exceeds a threshold that adapts to its surroundings.
+are array operations. ``read_avi`` parses the RIFF chunks and the index, ``decode_frame`` decodes an intra frame (any
+baseline JPEG: grey or colour with subsampling, restarts, the usual Huffman tables where a frame brings none), and ``shots`` cuts where
+the difference between consecutive histograms of the brightness exceeds a threshold that adapts to its surroundings.
 
 Null texts count as empty; an empty text is stored as FRAME blanks. Lone surrogates cannot occur in Spark strings.
-Every input row gives one output row, rows with equal texts the same values. Columns other than ``doc_id`` and ``text``
-are ignored. A text's media take about three times its bytes of memory, one text at a time.
+Every input row gives one output row, rows with equal texts the same values. Null doc_ids are kept. Columns other than ``doc_id`` and
+``text`` are ignored. A text's media take about three times its bytes of memory, one text at a time. An empty table gives an
+empty one. A media file that can't be read gives one row with an error (``clip_rows``), and fails nothing else.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -132,13 +135,34 @@ def read_avi(media: bytes) -> tuple[float, np.ndarray, np.ndarray]:
     return fps, offsets + 8, index["size"].astype(np.int64)
 
 
+# fixed values: the usual Huffman tables, as counts of codes by length and the symbols that come first; a table's other
+# symbols (runs of 0 to 15 before sizes of 1 to 10) follow in their order
+_USUAL = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x10: ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a"),
+    0x11: ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+}
+
+
+def usual_symbols(table: int) -> list[int]:
+    first = list(bytes.fromhex(_USUAL[table][1]))
+    return first if table < 0x10 else first + sorted({r << 4 | n for r in range(16) for n in range(1, 11)} - set(first))
+
+
 def _tables(header: bytes) -> dict:
-    """What the marker segments up to the scan say."""
-    out: dict = {"dht": {}, "dqt": {}}
+    """What the marker segments up to the scan say. parts: (across, down, quantisation, DC table, AC table) of each component."""
+    out: dict = {"dht": {k: _codes(counts, usual_symbols(k)) for k, (counts, _) in _USUAL.items()}, "dqt": {}, "every": 0}
+    frame: dict = {}
     at = 2
     while at + 4 <= len(header):
+        if header[at] != 0xFF:
+            raise ValueError("no marker where one must be")
         marker, size = header[at + 1], struct.unpack_from(">H", header, at + 2)[0]
         body = header[at + 4 : at + 2 + size]
+        if marker == 0xFF:  # a fill byte
+            at += 1
+            continue
         if marker == 0xDB:
             while body:
                 wide = 1 + (body[0] >> 4)
@@ -146,18 +170,22 @@ def _tables(header: bytes) -> dict:
                 body = body[1 + 64 * wide :]
         elif marker == 0xC0:
             out["height"], out["width"], parts = struct.unpack_from(">HHB", body, 1)
-            if parts != 1:
-                raise ValueError("only grey frames can be decoded")
-            out["q"] = body[8]
+            frame = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(parts)}
         elif marker == 0xC4:
             while body:
                 counts = list(body[1:17])
                 out["dht"][body[0]] = _codes(counts, list(body[17 : 17 + sum(counts)]))
                 body = body[17 + sum(counts) :]
+        elif marker == 0xDD:
+            out["every"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            out["dc"], out["ac"] = out["dht"][body[2] >> 4], out["dht"][0x10 | body[2] & 15]
+            seen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+            if not frame or seen.keys() != frame.keys():
+                raise ValueError("the scan does not hold the components of the frame")
+            out["parts"] = [(*frame[c], out["dht"][seen[c] >> 4], out["dht"][0x10 | seen[c] & 15]) for c in seen]
+            out["q"], out["dc"], out["ac"] = out["parts"][0][2:]
             return out
-        elif marker in (0xC1, 0xC2, 0xC3):
+        elif marker in (0xC1, 0xC2, 0xC3) or 0xC5 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("not a baseline JPEG")
         at += 2 + size
     raise ValueError("no scan")
@@ -176,93 +204,142 @@ def _fixed(t: dict) -> np.ndarray | None:
     return out
 
 
-def _blocks(data: bytes, t: dict, n: int) -> np.ndarray:
-    """n blocks of coefficients (zigzag order) from entropy-coded bytes, bit by bit."""
-    bits = "".join(f"{x:08b}" for x in data.replace(b"\xff\x00", b"\xff"))
-    back = [{f"{c:0{k}b}": s for s, (c, k) in t[name].items()} for name in ("dc", "ac")]
-    at, last, out = 0, 0, np.zeros((n, 64), np.int64)
-
-    def symbol(codes: dict[str, int]) -> int:
-        nonlocal at
-        for k in range(1, 17):
-            if (s := codes.get(bits[at : at + k])) is not None:
-                at += k
-                return s
-        raise ValueError("bad Huffman code")
-
-    def number(k: int) -> int:
-        nonlocal at
-        x = int(bits[at : at + k] or "0", 2)
-        at += k
-        return x if not k or x >> (k - 1) else x - (1 << k) + 1
-
-    for block in out:
-        last += number(symbol(back[0]))
-        block[0], k = last, 1
-        while k < 64:
-            s = symbol(back[1])
-            if s == 0:
-                break
-            k += s >> 4
-            if s != 0xF0:
-                block[k] = number(s & 15)
-            k += 1
+@lru_cache(maxsize=16)
+def _lookup(codes: tuple) -> list[tuple[int, int] | None]:
+    """16 bits -> (symbol, length) of the code that they begin with."""
+    out: list[tuple[int, int] | None] = [None] * (1 << 16)
+    for s, (code, k) in codes:
+        out[code << (16 - k) : (code + 1) << (16 - k)] = [(s, k)] * (1 << (16 - k))
     return out
 
 
+class _Bits:
+    def __init__(self, data: bytes):
+        self.data, self.at = data.replace(b"\xff\x00", b"\xff") + b"\x00" * 8, 0
+        self.end = 8 * (len(self.data) - 8)
+
+    def peek(self) -> int:
+        return int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 3], "big") >> (8 - (self.at & 7)) & 0xFFFF
+
+    def symbol(self, table: list[tuple[int, int] | None]) -> int:
+        found = table[self.peek()]
+        if found is None or self.at > self.end:
+            raise ValueError("bad Huffman code")
+        self.at += found[1]
+        return found[0]
+
+    def number(self, k: int) -> int:
+        if not k:
+            return 0
+        x = self.peek() >> (16 - k)
+        self.at += k
+        return x if x >> (k - 1) else x - (1 << k) + 1
+
+
+_BASIS = np.cos((2 * np.arange(8)[:, None] + 1) * np.arange(8) * np.pi / 16) * np.where(np.arange(8) == 0, np.sqrt(1 / 8), 0.5)
+
+
+def decode_frame(jpeg: bytes) -> list[np.ndarray]:
+    """The planes (height, width; uint8) of a baseline JPEG's components, each in its own resolution."""
+    scan = _scan_start(jpeg)
+    t = _tables(jpeg[:scan])
+    end = jpeg.rfind(b"\xff\xd9")
+    pieces = re.split(rb"\xff[\xd0-\xd7]", jpeg[scan : end if end > 0 else len(jpeg)])
+    single = len(t["parts"]) == 1
+    parts = [(1, 1, *p[2:]) for p in t["parts"]] if single else t["parts"]
+    across, down = max(p[0] for p in parts), max(p[1] for p in parts)
+    wide, high = -(-t["width"] // (8 * across)), -(-t["height"] // (8 * down))
+    out = [np.zeros((high * p[1], wide * p[0], 64), np.int64) for p in parts]
+    tables = [tuple(_lookup(tuple(sorted(x.items()))) for x in p[3:]) for p in parts]
+    every, bits, last = t["every"] or wide * high, None, []
+    for unit in range(wide * high):
+        if unit % every == 0:
+            if unit // every >= len(pieces):
+                raise ValueError("a restart is missing")
+            bits, last = _Bits(pieces[unit // every]), [0] * len(parts)
+        y, x = divmod(unit, wide)
+        for i, p in enumerate(parts):
+            dc, ac = tables[i]
+            for v in range(p[1]):
+                for h in range(p[0]):
+                    block = out[i][y * p[1] + v, x * p[0] + h]
+                    last[i] += bits.number(bits.symbol(dc))
+                    block[0], k = last[i], 1
+                    while k < 64:
+                        s = bits.symbol(ac)
+                        if s == 0:
+                            break
+                        k += s >> 4
+                        if s != 0xF0:
+                            if k > 63:
+                                raise ValueError("too many coefficients")
+                            block[k] = bits.number(s & 15)
+                        k += 1
+    planes = []
+    for p, blocks in zip(parts, out, strict=True):
+        coefficients = np.zeros(blocks.shape)
+        coefficients[..., _ZIGZAG] = blocks * t["dqt"][p[2]]
+        pixels = _BASIS @ coefficients.reshape(*blocks.shape[:2], 8, 8) @ _BASIS.T
+        plane = np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(8 * blocks.shape[0], -1)
+        planes.append(plane[: -(-t["height"] * p[1] // down), : -(-t["width"] * p[0] // across)])
+    return planes
+
+
 def decode_frames(media: bytes, offsets: np.ndarray, sizes: np.ndarray) -> list[np.ndarray] | np.ndarray:
-    """Per frame the blocks' samples, uint8: (frames, blocks, 64), or (frames, blocks) if all blocks are flat.
+    """Per frame the samples of the brightness: (frames, blocks) if all blocks are flat, else a plane for each frame.
 
     Flat frames with one header and 16-bit blocks are decoded together.
     """
     whole = np.frombuffer(media, np.uint8)
-    if len(sizes) and (sizes == sizes[0]).all():
+    if len(sizes) and (sizes == sizes[0]).all() and offsets.max() + sizes[0] <= len(whole):
         frames = whole[offsets[:, None] + np.arange(sizes[0])] if (np.diff(offsets) != sizes[0] + 8).any() else np.lib.stride_tricks.as_strided(whole[offsets[0] :], (len(offsets), sizes[0]), (int(sizes[0]) + 8, 1), writeable=False)
         first = frames[0].tobytes()
         scan = _scan_start(first)
         t = _tables(first[:scan])
         n = -(-t["width"] // 8) * -(-t["height"] // 8)
-        fixed = _fixed(t)
+        fixed = _fixed(t) if len(t["parts"]) == 1 and not t["every"] else None
         body = frames[:, scan : scan + 2 * n]
         if fixed is not None and body.shape[1] == 2 * n and (frames[:, :scan] == frames[0, :scan]).all() and not (body == 0xFF).any():
             steps = fixed[np.ascontiguousarray(body).view(">u2")]
             if (steps != 1 << 14).all():
                 level = np.cumsum(steps, axis=1, dtype=np.int32) * int(t["dqt"][t["q"]][0])
                 return np.clip(level // 8 + 128, 0, 255).astype(np.uint8)
-    out = []
-    k = np.arange(8)
-    basis = np.cos((2 * k[:, None] + 1) * k * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)
-    for o, size in zip(offsets.tolist(), sizes.tolist(), strict=True):
-        jpeg = media[o : o + size]
-        scan = _scan_start(jpeg)
-        t = _tables(jpeg[:scan])
-        n = -(-t["width"] // 8) * -(-t["height"] // 8)
-        end = jpeg.rfind(b"\xff\xd9")
-        coefficients = np.zeros((n, 64))
-        coefficients[:, _ZIGZAG] = _blocks(jpeg[scan:end], t, n) * t["dqt"][t["q"]]
-        pixels = basis @ coefficients.reshape(n, 8, 8) @ basis.T
-        out.append(np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8).reshape(n, 64))
-    return out
+    return [decode_frame(media[o : o + size])[0] for o, size in zip(offsets.tolist(), sizes.tolist(), strict=True)]
 
 
 def _scan_start(jpeg: bytes) -> int:
+    if jpeg[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG")
     at = 2
-    while jpeg[at + 1] != 0xDA:
-        at += 2 + struct.unpack_from(">H", jpeg, at + 2)[0]
-    return at + 2 + struct.unpack_from(">H", jpeg, at + 2)[0]
+    while at + 4 <= len(jpeg):
+        if jpeg[at + 1] == 0xFF:
+            at += 1
+            continue
+        size = 2 + struct.unpack_from(">H", jpeg, at + 2)[0]
+        if jpeg[at + 1] == 0xDA:
+            return at + size
+        at += size
+    raise ValueError("no scan")
 
 
-def shots(frames: np.ndarray) -> np.ndarray:
-    """First frames of the shots of (frames, samples).
+def histograms(frames: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    """The shares of the BINS brightnesses in each frame."""
+    if isinstance(frames, list):
+        return np.array([np.bincount(f.ravel() >> 4, minlength=BINS) / max(1, f.size) for f in frames]).reshape(-1, BINS)
+    n = len(frames)
+    return np.bincount((np.arange(n)[:, None] * BINS + (frames.reshape(n, -1) >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS) / frames[0].size
+
+
+def shots(frames: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    """First frames of the shots.
 
     The difference of two histograms is the share of samples that change bins. A cut is a difference of LEAST at least,
     a local maximum, and over the mean of its WINDOW neighbours on either side by SPREAD standard deviations.
     """
     n = len(frames)
     if n < 2:
-        return np.zeros(1, np.int64)
-    bins = np.bincount((np.arange(n)[:, None] * BINS + (frames.reshape(n, -1) >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    d = np.abs(np.diff(bins, axis=0)).sum(1) / (2.0 * frames[0].size)
+        return np.zeros(min(n, 1), np.int64)
+    d = np.abs(np.diff(histograms(frames), axis=0)).sum(1) / 2
     if d.max() < LEAST:
         return np.zeros(1, np.int64)
     total, square = np.r_[0, np.cumsum(d)], np.r_[0, np.cumsum(d * d)]
@@ -291,25 +368,34 @@ def media_table(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, media binary")
 
 
+CLIPS = "doc_id long, clip int, start_s double, end_s double, frames long, mean_level double, error string"
+
+
+def clips_of(media: bytes) -> list[tuple]:
+    """clip, start_s, end_s, frames, mean_level of each shot of a file."""
+    fps, offsets, sizes = read_avi(media)
+    frames = decode_frames(media, offsets, sizes)
+    cuts = shots(frames).tolist()
+    return [(k, a / fps, z / fps, z - a, float(np.mean([f.mean() for f in frames[a:z]]))) for k, (a, z) in enumerate(zip(cuts, [*cuts[1:], len(frames)], strict=False))]
+
+
 def clip_rows(media: DataFrame) -> DataFrame:
-    """doc_id, clip, start_s, end_s, frames, mean_level: a row for each shot of each media file; none for null media."""
+    """CLIPS: a row for each shot of each media file; none for null media and files without frames; for a file that
+    can't be read one row with the error and nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["doc_id", "clip", "start_s", "end_s", "frames", "mean_level", "error"], [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.string()]
         for b in batches:
             rows = []
-            for doc, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True):
-                if m is None:
-                    continue
-                fps, offsets, sizes = read_avi(m)
-                frames = np.array([f.mean(-1) if f.ndim > 1 else f for f in decode_frames(m, offsets, sizes)]).astype(np.uint8)
-                cuts = shots(frames)
-                for k, (a, z) in enumerate(zip(cuts, [*cuts[1:], len(frames)], strict=True)):
-                    rows.append((doc, k, a / fps, z / fps, int(z - a), float(frames[a:z].mean())))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "clip", "start_s", "end_s", "frames", "mean_level"])
+            for doc, m in zip(b.column("doc_id").to_pylist(), b.column("media"), strict=True):
+                try:
+                    rows += [(doc, *c, None) for c in (clips_of(m.as_py()) if m.is_valid else [])]
+                except (ValueError, IndexError, KeyError, struct.error) as e:
+                    rows.append((doc, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return media.selectExpr("cast(doc_id as long) doc_id", "media").mapInArrow(run, "doc_id long, clip int, start_s double, end_s double, frames long, mean_level double")
+    return media.selectExpr("cast(doc_id as long) doc_id", "media").mapInArrow(run, CLIPS)
 
 
 def digest(text: str | None) -> tuple:
@@ -331,7 +417,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = list(zip(*map(digest, b.column("text").to_pylist()), strict=True)) or [[]] * len(names)
+            columns = list(zip(*(digest(t.as_py()) for t in b.column("text")), strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) doc_id", "text")

@@ -484,7 +484,99 @@ def test_general_decoder_agrees(monkeypatch):
     fast = media.decode_frames(m, offsets, sizes)
     monkeypatch.setattr(media, "_fixed", lambda t: None)
     slow = media.decode_frames(m, offsets, sizes)
-    assert (slow[0] == fast[0][:, None]).all()
+    assert (slow[0] == np.kron(fast[0].reshape(12, 16), np.ones((8, 8), np.uint8))).all()
+
+
+def java_pixels(spark, jpeg):
+    """Brightness by another decoder (Java's)."""
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(jpeg))
+    w, h = image.getWidth(), image.getHeight()
+    if image.getRaster().getNumBands() == 1:
+        return np.array(list(image.getRaster().getSamples(0, 0, w, h, 0, jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Integer.TYPE, w * h)))).reshape(h, w)
+    rgb = np.array(list(image.getRGB(0, 0, w, h, None, 0, w))).reshape(h, w)
+    return 0.299 * (rgb >> 16 & 255) + 0.587 * (rgb >> 8 & 255) + 0.114 * (rgb & 255)
+
+
+def test_another_decoder_shows_the_same(spark):
+    rng = np.random.default_rng(3)
+    payload = rng.integers(0, 256, 192 * 3, dtype=np.uint8).tobytes()
+    m = media.encode_avi(payload)
+    _, offsets, sizes = media.read_avi(m)
+    for k, (o, n) in enumerate(zip(offsets.tolist(), sizes.tolist(), strict=True)):
+        want = np.frombuffer(payload, np.uint8)[k * 192 : (k + 1) * 192].reshape(12, 16)
+        assert (java_pixels(spark, m[o : o + n])[::8, ::8] == want).all() and (java_pixels(spark, m[o : o + n])[7::8, 7::8] == want).all()
+
+
+def test_usual_huffman_tables(spark):
+    jpeg = spark._jvm.javax.imageio.plugins.jpeg.JPEGHuffmanTable
+    for k, name in ((0x00, "StdDCLuminance"), (0x01, "StdDCChrominance"), (0x10, "StdACLuminance"), (0x11, "StdACChrominance")):
+        table = getattr(jpeg, name)
+        counts = list(table.getLengths())
+        assert media._USUAL[k][0][: len(counts)] == counts and media.usual_symbols(k) == list(table.getValues())
+
+
+def java_jpeg(spark, rgb, grey=False):
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(rgb.shape[1], rgb.shape[0], 10 if grey else 1)
+    for y in range(rgb.shape[0]):
+        for x in range(rgb.shape[1]):
+            image.setRGB(x, y, int(rgb[y, x]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def avi_of(jpegs):
+    """A file of the frames; offsets count from the start of the list."""
+    chunks, index, at = b"", b"", 4
+    for j in jpegs:
+        chunk = b"00dc" + struct.pack("<I", len(j)) + j + b"\0" * (len(j) % 2)
+        index += b"00dc" + struct.pack("<III", 0x10, at, len(j))
+        chunks, at = chunks + chunk, at + len(chunk)
+    riff = lambda name, body: name + struct.pack("<I", len(body)) + body
+    avih = riff(b"avih", struct.pack("<14I", 100_000, *[0] * 13))
+    return riff(b"RIFF", b"AVI " + riff(b"LIST", b"hdrl" + avih) + riff(b"LIST", b"movi" + chunks) + riff(b"idx1", index))
+
+
+def test_real_frames_and_broken_files(spark):
+    """Colour frames with subsampling from another encoder, odd sizes, without their Huffman tables, and broken files."""
+    y, x = np.mgrid[0:27, 0:37]
+    dark, light = (np.uint32(0xFF000000) | (r + 2 * x).astype(np.uint32) << 16 | (r + 3 * y).astype(np.uint32) << 8 | np.uint32(b) for r, b in ((0, 40), (120, 200)))
+    frames = [java_jpeg(spark, a.astype(np.int64) - (1 << 32)) for a in (dark, light)]
+    for jpeg in frames:
+        planes = media.decode_frame(jpeg)
+        assert len(planes) == 3 and planes[0].shape == (27, 37) and planes[1].shape == (14, 19)
+        assert np.abs(planes[0] - java_pixels(spark, jpeg)).mean() < 2 and np.abs(planes[0] - java_pixels(spark, jpeg)).max() < 12
+    bare, at = frames[0][:2], 2
+    while frames[0][at + 1] != 0xDA:  # the same frame without its tables, as cameras leave them out
+        size = 2 + struct.unpack_from(">H", frames[0], at + 2)[0]
+        bare += b"" if frames[0][at + 1] == 0xC4 else frames[0][at : at + size]
+        at += size
+    bare += frames[0][at:]
+    assert all((a == b).all() for a, b in zip(media.decode_frame(bare), media.decode_frame(frames[0]), strict=True))
+    film = avi_of([frames[0], bare] * 8 + [frames[1]] * 16)
+    rows = spark.createDataFrame([(1, film), (2, b"no film"), (3, film[:300]), (4, None), (None, avi_of([frames[0]])), (5, avi_of([frames[0][:200]])), (6, avi_of([]))], "doc_id long, media binary")
+    got = media.clip_rows(rows).collect()
+    clips = {(r.doc_id, r.clip): (round(r.start_s, 3), round(r.end_s, 3), r.frames) for r in got if r.error is None}
+    assert clips == {(1, 0): (0.0, 1.6, 16), (1, 1): (1.6, 3.2, 16), (None, 0): (0.0, 0.1, 1)}
+    assert sorted(r.doc_id for r in got if r.error) == [2, 3, 5] and all(r.clip is None for r in got if r.error)
+
+
+def test_restarts():
+    """The stored frames again, with a restart after every row of blocks."""
+    payload = bytes(range(192))
+    m = media.encode_avi(payload)
+    _, offsets, sizes = media.read_avi(m)
+    jpeg = m[offsets[0] : offsets[0] + sizes[0]]
+    scan = media._scan_start(jpeg)
+    level = np.frombuffer(payload, np.uint8).astype(np.int16).reshape(12, 16) - 128
+    level[:, 1:] -= level[:, :-1].copy()
+    rows = [media._WORDS[r + 255].tobytes() for r in level]
+    sos = jpeg[:scan].rindex(b"\xff\xda")
+    body = b"".join(r + (bytes([0xFF, 0xD0 + i % 8]) if i < 11 else b"") for i, r in enumerate(rows))
+    new = jpeg[:sos] + media._segment(0xDD, struct.pack(">H", 16)) + jpeg[sos:scan] + body + b"\xff\xd9"
+    assert (media.decode_frame(new)[0] == media.decode_frame(jpeg)[0]).all()
 
 
 # ---- licenses
