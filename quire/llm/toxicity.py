@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,7 +218,18 @@ def _training(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     if n > bound:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
     # about ``bound`` rows of a number and a label: some hundred kilobytes
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id").select("text", "toxic").distinct()  # a text counts once, however many copies it has
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id").select("text", "toxic")
+    # a text counts once, however many copies it has; so do, mostly, near copies, which share the least hash of three words in a row
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = []
+            for t in b.column("text"):
+                w = t.as_py().split()
+                least.append(min(xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 2))) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([b.column("text"), b.column("toxic"), pa.array(least, pa.int64())], ["text", "toxic", "least"])
+
+    return rows.mapInArrow(key, "text string, toxic int, least long").dropDuplicates(["toxic", "least"]).select("text", "toxic")
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -235,6 +247,26 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def distinct_terms(bad: dict[str, int]) -> set[str]:
+    """Of words and beginnings (with a star) with their toxic rows those that say something of their own: a beginning
+    goes if a single longer entry makes up nearly all of it, and an entry under a beginning that stays if it is a small part."""
+
+    def under(stem: str, entry: str) -> bool:
+        return entry != stem and entry.startswith(stem[:-1])
+
+    order, stems = sorted(bad), set()
+    for w in order:  # entries under a beginning follow it
+        if w.endswith("*"):
+            most = 0
+            for c in order[bisect_left(order, w[:-1]) :]:
+                if not c.startswith(w[:-1]):
+                    break
+                most = max(most, bad[c] if c != w else 0)
+            if most < 0.9 * bad[w]:
+                stems.add(w)
+    return {w for w in bad if (w in stems or not w.endswith("*")) and not any(under(s, w) and 2 * bad[w] < bad[s] for k in STEMS if (s := w[:k] + "*") in stems)}
+
+
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     """Lexicon, weights and regression from about ``bound`` labelled rows. The driver gets the lexicon, harmless forms
     near it, and five sums for each row of the sample."""
@@ -271,8 +303,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     part = [F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0) for n, p in ((F.col("bad"), share), (F.col("good"), max(1 - share, 1e-9)))]
     chosen = counts.where((F.length("word") >= 3) & (F.col("bad") > 0)).withColumns({"r": ratio, "g": 2 * (part[0] + part[1])})
     terms = chosen.where((F.col("r") >= RATIO) & (F.col("g") >= CERTAIN) & F.col("word").rlike(r"^[\p{L}\p{M}]+[*]?$")).orderBy(F.desc("g"), "word").collect()
-    words = [t["word"] for t in terms]
-    weights = [math.log(t["r"]) for t in terms]
+    own = distinct_terms({t["word"]: t["bad"] for t in terms})
+    words = [t["word"] for t in terms if t["word"] in own]
+    weights = [math.log(t["r"]) for t in terms if t["word"] in own]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(words)
