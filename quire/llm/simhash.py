@@ -247,10 +247,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
 
 #: Near copies (``near_copies``): BANDS keys of ROWS minima each of a text's shingles, and in how many of the bits, one
 #: a minimum, two texts may differ. Of pairs of similarity 0.8 a share of (1 - 0.8^ROWS)^BANDS = 5e-8 shares no key, and
-#: 4e-7 differ in more bits (12.8 expected of 128, 3.4 the deviation).
-BANDS, ROWS, NEAR_BITS = 32, 4, 34
+#: about 2e-6 differ in more bits (12.8 expected of 128, 3.4 the deviation).
+BANDS, ROWS, NEAR_BITS = 32, 4, 30
 SIMILAR = 0.8
-LIMIT = 512  # nodes of a component of candidates that meet in one task; more are dealt into parts
+LIMIT = 4096  # nodes of a component of candidates that meet in one task; more are dealt into blocks
 HOT = 50_000  # nodes at one key that are compared there; more are candidates without comparison
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -326,73 +326,27 @@ def _compared(texts: DataFrame, words: int) -> DataFrame:
     return texts.repartition(F.col("part")).sortWithinPartitions("part", "node").mapInArrow(run, "part long, node long, leader long")
 
 
-def _across(texts: DataFrame, nodes: DataFrame, classes: DataFrame, words: int, most: int) -> DataFrame:
-    """Links (a, b) of exact similarity between classes of one component. classes: node, comp, leader.
-
-    Only nodes outside the largest class of their component look for partners, at the keys they share with any other
-    class; of the pairs at a key those go on whose signatures are near enough.
-    """
-    sizes = classes.groupBy("comp", "leader").count()
-    largest = sizes.groupBy("comp").agg(F.max(F.struct("count", "leader")).alias("m"), F.count("*").alias("n")).where("n > 1").select("comp", F.col("m.leader").alias("main"))
-    open_ = classes.join(largest, "comp").join(nodes, "node")
-    words_ = [F.conv(F.hex(F.substring("sig", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(BANDS * ROWS // 64)]
-    keys = F.regexp_extract_all(F.hex("keys"), F.lit("[0-9A-F]{16}"), F.lit(0))
-    at = written(open_.select("node", "leader", (F.col("leader") != F.col("main")).alias("astray"), *words_, F.explode(F.array_distinct(keys)).alias("key")))
-    x, y = at.where("astray").alias("x"), at.alias("y")
-    bits = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, len(words_))), start=F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.leader") != F.col("y.leader")) & (bits <= most))
-    pairs = written(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, text in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([shingles(text.as_py(), words).view(np.int64)], pa.list_(pa.int64()))], ["node", "sh"])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(texts.join(asked, "node").select("node", "text").mapInArrow(run, "node long, sh array<long>"))
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "sh": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "sh": "sb"}), "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    return both.where(same >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - same)).select("a", "b")
-
-
-def _verified(texts: DataFrame, nodes: DataFrame, loose: DataFrame, words: int, most: int) -> DataFrame:
+def _verified(texts: DataFrame, loose: DataFrame, words: int) -> DataFrame:
     """node, label for the nodes of ``loose`` (node, label: components of candidates); links are exact similarities.
 
-    A component of LIMIT nodes or fewer meets in one task. A larger one is dealt into parts of about so many; then the
-    first nodes of the classes are compared in the same way, as long as that leaves fewer, and in the end nodes of
-    different classes at the keys they share. texts: node, text, one row for each node.
+    A component of LIMIT nodes or fewer meets in one task. A larger one is dealt into blocks of half as many; every
+    pair of its blocks meets in a task, which links each node with the first of its class there, and the components of
+    those links are the classes. So no task holds more than about LIMIT texts, and no pairs but those links are given out.
+    texts: node, text, one row for each node.
     """
     sizes = written(loose.groupBy("label").agg(F.count("*").alias("n")))
-    members = written(skewed_join(loose, sizes.withColumn("parts", F.ceil(F.col("n") / LIMIT)), "label", "n", loose.count()))
-
-    def dealt(rows: DataFrame, salt: int) -> DataFrame:
-        part = F.when(F.col("parts") == 1, F.xxhash64("label")).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("node", F.lit(salt)), "parts")))
-        return rows.withColumn("part", part)
-
-    first = written(_compared(texts.join(dealt(members, 0).select("node", "part"), "node").select("part", "node", "text"), words))
-    labels = first.select("node", F.col("leader").alias("label"))
+    members = written(skewed_join(loose, sizes.withColumn("blocks", F.when(F.col("n") > LIMIT, F.ceil(F.col("n") * 2 / LIMIT)).otherwise(1).cast("int")), "label", "n", loose.count()))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = members.withColumn("block", block).withColumn("other", F.explode(others)).where("blocks = 1 or block <> other")
+    part = F.when(F.col("blocks") == 1, F.xxhash64("label")).otherwise(F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")))
+    first = written(_compared(texts.join(pairs.select("node", part.alias("part")), "node").select("part", "node", "text"), words))
     if sizes.where(F.col("n") > LIMIT).isEmpty():
-        return labels
-    split = written(members.where("parts > 1").join(labels.withColumnRenamed("label", "leader"), "node").select("node", F.col("label").alias("comp"), "leader"))
-    links = split.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    heads, before, salt = split.where("node = leader").select("node", F.col("comp").alias("label")), None, 1
-    while True:
-        parts = heads.groupBy("label").agg(F.count("*").alias("n"))
-        total, most_parts = heads.count(), parts.agg(F.max(F.ceil(F.col("n") / LIMIT))).first()[0] or 0
-        if before is not None and (last == 1 or total > 0.9 * before):
-            break
-        rows = dealt(skewed_join(heads, parts.withColumn("parts", F.ceil(F.col("n") / LIMIT)), "label", "n", total), salt)
-        found = written(_compared(texts.join(rows.select("node", "part"), "node").select("part", "node", "text"), words))
-        links = written(links.union(found.where("node <> leader").select("leader", "node")))
-        heads = written(heads.join(found.where("node = leader").select("node"), "node", "left_semi"))
-        before, last, salt = total, most_parts, salt + 1
-
-    def merged(links: DataFrame) -> DataFrame:
-        joined = split.select("node", "comp").join(components(links), "node", "left")
-        return joined.select("node", "comp", F.coalesce("label", "node").alias("leader"))
-
-    links = written(links.union(_across(texts, nodes, merged(links), words, most)))
-    return labels.join(split.select("node"), "node", "left_anti").unionByName(merged(links).select("node", F.col("leader").alias("label")))
+        return first.select("node", F.col("leader").alias("label"))
+    split = members.where("blocks > 1").select("node")
+    done = first.join(split, "node", "left_anti").select("node", F.col("leader").alias("label"))
+    links = first.join(split, "node", "left_semi").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    return done.unionByName(split.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
 
 def text_classes(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> tuple[DataFrame, DataFrame]:
@@ -429,7 +383,7 @@ def text_classes(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> tupl
     loose = components(links)
     # of the rows of one node, which have one text, those of a single doc_id are dealt out
     met = texts.join(loose.join(firsts, "node").select("node", "first"), "node").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
-    labels = _verified(met, nodes, loose, words, most)
+    labels = _verified(met, loose, words)
     return written(firsts.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first", "n")), sketched.select("node", "doc_id")
 
 
