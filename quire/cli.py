@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -32,51 +33,56 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def process_documents(spark: SparkSession, path: str, output_dir: str, backend: R.Backend, model: str | None = None, outline_model: str | None = None, batch_size: int = 2, zoom: float = 2.0, overwrite: bool = False, source_urls: dict[str, str] | None = None, resolver=T.id_resolver, reader: D.PdfReader = D.mupdf_reader) -> list[str]:
-    """The folders of the documents of a folder of PDFs (or of one file) whose chunks are there in the end.
+def process_documents(spark: SparkSession, path: str, output_dir: str, backend: R.Backend, model: str | None = None, outline_model: str | None = None, batch_size: int = 2, zoom: float = 2.0, overwrite: bool = False, source_urls: dict[str, str] | None = None, resolver=T.id_resolver, reader: D.PdfReader = D.mupdf_reader, chunk_template: str = T.CHUNK_TEMPLATE, outline_template: str = T.OUTLINE_TEMPLATE) -> list[str]:
+    """The chunk files (``<document_id>.jsonl``) of the documents of a folder of PDFs (or of one file) that are there in the end.
 
-    Responses are written before use, next to the output, so that no request is made twice.
+    Responses are written before use, next to the output, so that no request is made twice; that folder is the run's own
+    and goes in the end. A document that fails leaves no file, and the others alone.
     """
     model = R.model_name(model)
-    if "://" not in path:
-        if not os.path.exists(path):
-            raise FileNotFoundError(path)
-        if os.path.isdir(path) and not any(n.endswith(".pdf") for n in os.listdir(path)):
-            return []
+    if "://" not in path and not os.path.exists(path):
+        raise FileNotFoundError(path)
     files = D.scan_pdf_dir(spark, path).withColumn("doc_id", F.col("path"))
-    done = [d.partition("=")[2] for d in os.listdir(output_dir)] if os.path.isdir(output_dir) else []
-    todo = files if overwrite or not done else files.where(~F.col("document_id").isin([d for d in done if d]))
-    work = f"{output_dir.rstrip('/')}/_work"
+    todo = S.skip_existing(files, S.finished(spark, output_dir), "document_id", overwrite)
+    work = f"{output_dir.rstrip('/')}/_run-{uuid.uuid4().hex}"
 
     def kept(df, name):
         df.write.mode("overwrite").parquet(f"{work}/{name}")
-        return spark.read.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     pages = kept(D.pdf_pages(todo, reader, zoom).withColumn("doc_id", F.col("path")), "pages")
-    urls = spark.createDataFrame(list((source_urls or {}).items()) or [("", "")], "document_id string, source_url string")
-    docs = pages.groupBy("doc_id", "document_id", "source").agg(F.max("n_pages").alias("n_pages")).join(F.broadcast(urls), "document_id", "left").withColumn("source_url", F.coalesce("source_url", F.lit("")))
+    urls = spark.createDataFrame(list((source_urls or {}).items()), "document_id string, source_url string")
+    docs = pages.groupBy("doc_id", "document_id", "source").agg(F.max("n_pages").alias("n_pages")).join(urls, "document_id", "left").withColumn("source_url", F.coalesce("source_url", F.lit("")))
+    docs = kept(docs, "documents")
     images = F.transform(F.array_sort(F.collect_list(F.struct("page_num", "png"))), lambda x: T.image_url(x["png"]))
     whole = pages.groupBy("doc_id", "document_id", "source").agg(images.alias("images")).join(P.page_text(pages, "doc_id").withColumnRenamed("page_text", "text"), "doc_id")
-    outlines = kept(R.live_outlines(whole, backend, outline_model or model), "outlines")
+    outlines = kept(R.live_outlines(whole, backend, outline_model or model, template=outline_template), "outlines")
     batched = P.page_batches(pages, F.col("n_pages"), batch_size)
     keys = ["doc_id", "batch_no"]
     batches = batched.groupBy(*keys, "document_id", "source", "page_start", "page_end").agg(images.alias("images")).join(P.page_text(batched, *keys), keys)
     batches = batches.join(outlines.where("error is null").select("doc_id", F.col("outline").alias("known_outline")), "doc_id")
-    responses = kept(R.live_responses(batches, backend, model), "responses")
+    responses = kept(R.live_responses(batches, backend, model, template=chunk_template), "responses")
     bad = outlines.where("error is not null").select("doc_id").union(responses.where("error is not null").select("doc_id")).distinct()
     blocks = P.page_blocks(batched.select("doc_id", "batch_no", "page_num", F.explode("blocks").alias("b")).select("doc_id", "batch_no", "page_num", "b.block_no", "b.text"))
+    sound = docs.join(bad, "doc_id", "left_anti")
     good = responses.join(bad, "doc_id", "left_anti").drop("error")
-    chunks, _ = R.process(blocks.join(bad, "doc_id", "left_anti"), good, docs, resolver, batch_size)
-    S.write_jsonl(chunks, output_dir)
-    return sorted(f"{output_dir}/{d}" for d in os.listdir(output_dir) if d.startswith("document_id="))
+    chunks, status = R.process(blocks.join(bad, "doc_id", "left_anti"), good, sound, resolver, batch_size)
+    done = sound.join(status.where("status = 'ok'"), "doc_id", "left_semi").select("doc_id", F.col("document_id").alias("file_id"))
+    S.write_jsonl(kept(chunks, "chunks"), kept(done, "done"), output_dir)
+    files_, top = S._files(spark, work)
+    files_.delete(top, True)
+    mine = D.scan_pdf_dir(spark, path).select("document_id")
+    return sorted(f"{output_dir.rstrip('/')}/{r[0]}.jsonl" for r in S.finished(spark, output_dir).join(mine, "document_id", "left_semi").select("document_id").toLocalIterator())
 
 
 def outline_text(spark: SparkSession, path: str) -> str:
     chunks = D.scan_chunks(spark, path)
-    return "\n".join(r[0] for r in O.outline_markdown(O.outline_nodes(chunks, "document_id"), "document_id").orderBy("document_id").select("markdown").collect())
+    rows = O.outline_markdown(O.outline_nodes(chunks, "document_id"), "document_id").orderBy("document_id").select("markdown")
+    return "\n".join(r[0] for r in rows.toLocalIterator())
 
 
 def main(args: list[str] | None = None) -> None:
+    R.load_env()
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("quire").getOrCreate()
     if a.command == "outline":

@@ -7,19 +7,26 @@ import string
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 # fixed values: the 29 code points that Python's str.strip() removes
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
 MIN_WORDS, MIN_COVERAGE = 15, 0.3
+# fixed values: what stands in for a missing text, and the note of a recovered chunk
 NO_PAGE_TEXT = "(no text layer for this page range)"
 NO_OUTLINE = "(none established -- infer headings from this page layout)"
 NO_DOCUMENT_TEXT = "(no text layer for this document)"
 RECOVERED_NOTE = "Auto-recovered: present in the source but omitted from the VLM's own chunking output for this batch."
 
 
+def once(df: DataFrame, name: str, x: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, wherever and however often it is used: the optimizer moves no
+    expression through an explode."""
+    return df.select("*", F.explode(F.array(x)).alias(name))
+
+
 def strip(x: Column) -> Column:
     return F.btrim(x, F.lit(WHITE))
 
@@ -94,15 +101,29 @@ def embedding_text(source: Column, level_1: Column, level_2: Column, level_3: Co
     return strip(F.concat(*parts, F.lit("\ncontent:\n"), F.coalesce(text, blank)))
 
 
+def unfenced(text: Column) -> Column:
+    """A response without white space around it and without a fence, if it has one."""
+    t = strip(text)
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(t, r"^```(json)?", "")), r"```$", ""))
+    return F.when(t.startswith("```"), bare).otherwise(t)
+
+
+def json_value(t: Column) -> Column:
+    """A whole text as a JSON value, or null. In brackets, as what follows a value would not be seen else."""
+    both = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    return F.when(F.try_variant_get(both, "$[1]", "variant").isNull(), F.try_variant_get(both, "$[0]", "variant"))
+
+
+def braces(t: Column) -> Column:
+    """From the first { to the last }, or an empty string."""
+    return F.regexp_extract(t, r"(?s)\{.*\}", 0)
+
+
 def json_object_text(text: Column) -> Column:
     """The JSON of a response: without a fence if it has one; if that does not parse, from the first { to the last };
     null where neither parses. Native path: duplicate keys and NaN count as failures (see ``strict_json``)."""
-    t = strip(text)
-    fenced = t.startswith("```")
-    bare = strip(F.regexp_replace(F.regexp_replace(t, r"^```(json)?", ""), r"```\s*$", ""))
-    t = F.when(fenced, bare).otherwise(t)
-    braces = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(t).isNotNull() & t.rlike(r"(?s)^[\[{\"].*[\]}\"]$|^[^\s\[{\"]+$"), t).when(F.try_parse_json(braces).isNotNull(), braces)
+    t = unfenced(text)
+    return F.when(json_value(t).isNotNull(), t).when(json_value(braces(t)).isNotNull(), braces(t))
 
 
 def extract_json(text: str) -> object:
@@ -208,7 +229,8 @@ def request_content(prompt: Column, image_urls: Column) -> Column:
 
 
 def image_url(png: Column) -> Column:
-    return F.concat(F.lit("data:image/png;base64,"), F.base64(png))
+    """A data address; Spark may break base64 into lines, which an address must not hold."""
+    return F.concat(F.lit("data:image/png;base64,"), F.replace(F.base64(png), F.lit("\r\n"), F.lit("")))
 
 
 def norm_token(x: Column) -> Column:
@@ -258,7 +280,7 @@ def table_md_to_html(md: Column) -> Column:
     return F.when(F.size(rows) < 2, F.concat(F.lit("<pre>"), html_escape(md), F.lit("</pre>"))).otherwise(made)
 
 
-TURN = 0.6180339887498949  # of the hue circle from one section to the next
+TURN = 0.6180339887498949  # fixed value: of the hue circle from one section to the next
 
 
 def section_color(rank: Column) -> Column:

@@ -13,21 +13,73 @@ from quire.functions import text as T
 RAW = ["chunk_text", "page_start", "page_end", "level_1_heading", "level_2_heading", "level_3_heading", "content_type", "continuation_status", "table_markdown", "keywords", "entities", "source_notes"]
 
 
+def _kind(v: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _nothing(v: Column, path: str) -> Column:
+    """Whether a member is missing, null, or empty in the sense of Python (``""``, 0, false, [], {})."""
+    kind, text = _kind(v, path), F.try_variant_get(v, path, "string")
+    zero = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & text.rlike(r"^-?0*(\.0*)?$")
+    empty = kind.startswith("ARRAY") & (F.size(F.try_variant_get(v, path, "array<variant>")) == 0)
+    return kind.isNull() | kind.isin("VOID", "OBJECT<>") | ((kind == "STRING") & (text == "")) | zero | ((kind == "BOOLEAN") & (text == "false")) | empty
+
+
+def _wrong_type(v: Column, name: str) -> Column:
+    """Whether a member can't become the field ``name`` of a chunk."""
+    path = f"$.{name}"
+    kind = _kind(v, path)
+    if name in ("keywords", "entities"):
+        words = F.try_variant_get(v, path, "array<variant>")
+        return ~_nothing(v, path) & ~(kind.startswith("ARRAY") & F.forall(words, lambda x: F.schema_of_variant(x) == "STRING"))
+    if name in ("page_start", "page_end"):
+        number = F.try_variant_get(v, path, "string").rlike(r"^\s*[+-]?\d+(\.0*)?\s*$")
+        return ~_nothing(v, path) & ~((kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|STRING)") & number) | (kind == "BOOLEAN"))
+    allowed = {"content_type": schema.CONTENT_TYPES, "continuation_status": schema.CONTINUATION}.get(name)
+    good = kind == "STRING"
+    if allowed:
+        good = good & F.try_variant_get(v, path, "string").isin(allowed)
+    return ~(kind.isNull() | (kind == "VOID") | good)
+
+
+def type_error(v: Column, fields: list[str] | None = None) -> Column:
+    """The first field of a raw chunk (a variant) whose value a chunk can't have, or null."""
+    fields = fields or RAW
+    out = F.when(_wrong_type(v, fields[0]), F.lit(fields[0]))
+    for name in fields[1:]:
+        out = out.when(_wrong_type(v, name), F.lit(name))
+    return out
+
+
 def ingest(responses: DataFrame, strict: bool = False) -> DataFrame:
-    """Rows of raw chunks with ``ord`` from responses (with an ``output_text``), and ``error`` for those that do not parse.
+    """Rows of raw chunks with ``ord`` from responses (with an ``output_text``), and ``error``: for a response that does not
+    parse, is no object or whose ``chunks`` is no list of objects (one row without ``ord``), and for a chunk with a value of
+    a wrong type (the field's name).
 
-    A response without chunks gives no row; one that does not parse a row with an error. strict: parse in Python.
+    A response without chunks gives no row. strict: parse in Python. Each response is parsed once.
     """
     keys = [c for c in responses.columns if c != "output_text"]
     if strict:
-        parsed = responses.withColumn("_j", T.strict_json(F.col("output_text"))).select(*keys, F.col("_j.json").alias("_t"), F.col("_j.error").alias("error"))
+        rows = responses.withColumn("_j", T.strict_json(F.col("output_text")))
+        rows = T.once(rows.select(*keys, F.col("_j.json").alias("_t"), F.col("_j.error").alias("_e")), "_v", F.try_parse_json("_t"))
     else:
-        parsed = responses.select(*keys, T.json_object_text(F.col("output_text")).alias("_t"))
-        parsed = parsed.withColumn("error", F.when(F.col("_t").isNull(), F.lit("no JSON object in the response")))
-    parsed = parsed.withColumn("_r", F.from_json("_t", schema.BATCH_RESULT))
-    bad = parsed.where("error is not null").select(*keys, F.lit(None).cast("int").alias("ord"), F.lit(None).cast(schema.RAW_CHUNK).alias("raw"), "error")
-    good = parsed.where("error is null").select(*keys, F.posexplode("_r.chunks").alias("ord", "raw"), "error")
-    return good.unionByName(bad).select(*keys, "ord", "raw.*", "error")
+        rows = T.once(responses, "_t", T.unfenced(F.col("output_text")))
+        rows = T.once(rows, "_w", T.json_value(F.col("_t")))
+        rows = T.once(rows, "_v", F.when(F.col("_w").isNotNull(), F.col("_w")).otherwise(T.json_value(T.braces(F.col("_t")))))
+        rows = rows.withColumn("_e", F.lit(None).cast("string"))
+    v, found = F.col("_v"), F.try_variant_get("_v", "$.chunks", "array<variant>")
+    listed = _kind(v, "$.chunks").startswith("ARRAY")
+    error = (
+        F.when(F.col("_e").isNotNull(), F.col("_e")).when(v.isNull(), F.lit("no JSON object in the response"))
+        .when(~F.schema_of_variant(v).startswith("OBJECT"), F.lit("the response is no JSON object"))
+        .when(~_nothing(v, "$.chunks") & (~listed | F.exists(found, lambda x: ~F.schema_of_variant(x).startswith("OBJECT"))), F.lit("chunks is no list of objects"))
+    )
+    rows = T.once(rows.select(*keys, "_v", "_e"), "_bad", error)
+    rows = rows.select(*keys, F.col("_bad"), F.posexplode_outer(F.when(F.col("_bad").isNull() & listed, found)).alias("ord", "_c"))
+    rows = rows.where("_bad is not null or ord is not null")
+    c = F.col("_c")
+    values = {name: F.try_variant_get(c, f"$.{name}", "array<string>" if name in ("keywords", "entities") else "string") for name in RAW}
+    return rows.select(*keys, "ord", *(x.alias(k) for k, x in values.items()), F.coalesce("_bad", F.when(c.isNotNull(), type_error(c))).alias("error"))
 
 
 def batch_summaries(responses: DataFrame) -> DataFrame:
@@ -74,7 +126,7 @@ def find_missed_blocks(blocks: DataFrame, chunks: DataFrame, key: str = "doc_id"
 
     One exchange of each side on (key, batch_no); the join reuses the aggregation's partitioning.
     """
-    words = blocks.withColumn("_w", T.significant_words(F.col("text"))).where(F.size("_w") >= least)
+    words = T.once(blocks, "_w", T.significant_words(F.col("text"))).where(F.size("_w") >= least)
     covered = batch_words(chunks, key, "batch_no")
     out = words.join(covered, [key, "batch_no"], "left")
     ratio = T.words_coverage(F.col("_w"), F.coalesce("covered", F.array().cast("array<string>")))
@@ -112,21 +164,26 @@ def union_recovered(chunks: DataFrame, blocks: DataFrame, key: str = "doc_id") -
     return dense_seq(inherit_headings(both, key), key)
 
 
-def finish(chunks: DataFrame, document_id: Column, source: Column, source_url: Column, resolver: Callable[[Column, Column], Column] = T.id_resolver) -> DataFrame:
-    """The chunk schema (and ``seq``) from numbered chunks. The resolver sees the source in NFKC, stripped."""
-    out = chunks.withColumns({"document_id": document_id, "source": source, "source_url": F.coalesce(source_url, F.lit(""))})
+def finish(chunks: DataFrame, document_id: Column, source: Column, source_url: Column, resolver: Callable[[Column, Column], Column] = T.id_resolver, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The chunk schema (and ``seq``, and the columns in ``keep``) from numbered chunks. A chunk's document_id is the
+    resolver's; it sees the source in NFKC, stripped."""
+    out = chunks.withColumns({"source": source, "source_url": F.coalesce(source_url, F.lit("")), "_given": document_id})
     seen = F.col("source") if resolver is T.id_resolver else T.strip(T.nfkc(F.col("source")))  # the default ignores it
-    out = out.withColumn("chunk_id", T.chunk_id(resolver(seen, F.col("document_id")), F.col("seq")))
+    out = out.withColumn("document_id", resolver(seen, F.col("_given")))
+    out = out.withColumn("chunk_id", T.chunk_id(F.col("document_id"), F.col("seq")))
     out = out.withColumn("embedding_text", T.embedding_text(*(F.col(c) for c in ("source", "level_1_heading", "level_2_heading", "level_3_heading", "keywords", "entities", "chunk_text"))))
     out = out.withColumn("metadata", F.struct(*schema.METADATA_FIELDS))
-    return out.select("seq", *(F.col(c).cast(t) if c != "metadata" else c for c, t in schema.CHUNK_FIELDS.items()))
+    return out.select(*keep, "seq", *(F.col(c).cast(t) if c != "metadata" else c for c, t in schema.CHUNK_FIELDS.items()))
 
 
-def document_status(raw: DataFrame, key: str = "doc_id") -> DataFrame:
-    """status, error, n_chunks of each document: one bad chunk or response fails the whole document."""
+def document_status(raw: DataFrame, key: str = "doc_id", documents: DataFrame | None = None) -> DataFrame:
+    """status, error, n_chunks of each document: one bad chunk or response fails the whole document. With ``documents``
+    also those without any chunk are told."""
     bad = F.coalesce(F.col("error"), invalid()) if "error" in raw.columns else invalid()
     out = raw.groupBy(key).agg(F.min(bad).alias("error"), F.count("*").alias("n_chunks"))
-    return out.select(key, F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error", F.when(F.col("error").isNull(), F.col("n_chunks")).otherwise(0).alias("n_chunks"))
+    if documents is not None:
+        out = documents.select(key).distinct().join(out, key, "left")
+    return out.select(key, F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error", F.when(F.col("error").isNull(), F.coalesce("n_chunks", F.lit(0))).otherwise(0).alias("n_chunks"))
 
 
 def only_sound(chunks: DataFrame, status: DataFrame, key: str = "doc_id") -> DataFrame:

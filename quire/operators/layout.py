@@ -28,7 +28,7 @@ def consecutive_groups(rows: DataFrame, key: str, value: Column, order: str) ->
     return out.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_v", "_c")
 
 
-def split_regions(words: DataFrame, key: str, order: str, up: float = 3.0, gap: float = 40.0) -> DataFrame:
+def split_regions(words: DataFrame, key: str | list[str], order: str, up: float = 3.0, gap: float = 40.0) -> DataFrame:
     """Adds ``region``: a new one where a word stands over the one before or more than ``gap`` below it."""
     w = Window.partitionBy(key).orderBy(order)
     y0, y1 = F.lag("y0").over(w), F.lag("y1").over(w)
@@ -36,18 +36,23 @@ def split_regions(words: DataFrame, key: str, order: str, up: float = 3.0, gap:
     return words.withColumn("_j", F.coalesce(jump.cast("int"), F.lit(0))).withColumn("region", F.sum("_j").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_j")
 
 
-def region_boxes(regions: DataFrame, key: str, least: int = MIN_REGION) -> DataFrame:
-    out = regions.groupBy(key, "region").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_words"))
+def region_boxes(regions: DataFrame, key: str | list[str], least: int = MIN_REGION) -> DataFrame:
+    keys = [key] if isinstance(key, str) else key
+    out = regions.groupBy(*keys, "region").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_words"))
     return out.where(F.col("n_words") >= least)
 
 
-def preceding_prose(figures: DataFrame, blocks: DataFrame, key: str, least: int = 8, up: float = 260.0) -> DataFrame:
-    """``top`` of each figure: the lowest bottom of a block of ``least`` words over it that overlaps sideways, else
-    ``up`` above; not under 0."""
-    b = blocks.select(key, F.col("x0").alias("_bx0"), F.col("x1").alias("_bx1"), F.col("y1").alias("_by1"), F.size(T.chunk_tokens(F.col("text"), F.lit(None))).alias("_n")).where(F.col("_n") >= least)
+def preceding_prose(figures: DataFrame, blocks: DataFrame, key: str | list[str], least: int = 8, up: float = 260.0, gap: float = 4.0) -> DataFrame:
+    """``top`` of each figure: ``gap`` under the lowest bottom of a block of ``least`` words over it that overlaps
+    sideways, else ``up`` above; at most ``up`` above, and not under 0."""
+    keys = [key] if isinstance(key, str) else key
+    many = F.size(F.filter(F.split("text", f"[{T.WHITE}]+"), lambda w: w != ""))
+    b = blocks.where(many >= least).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("x0").alias("_bx0"), F.col("x1").alias("_bx1"), F.col("y1").alias("_by1"))
     over = (b["_by1"] <= figures["y0"] + 2) & (b["_bx0"] < figures["x1"]) & (b["_bx1"] > figures["x0"])
-    out = figures.join(b, (figures[key] == b[key]) & over, "left").groupBy(*(figures[c] for c in figures.columns)).agg(F.max("_by1").alias("_t"))
-    return out.withColumn("top", F.greatest(F.coalesce("_t", F.col("y0") - up), F.lit(0.0))).drop("_t")
+    for k in keys:
+        over = over & (figures[k] == b[f"_{k}"])
+    out = figures.join(b, over, "left").groupBy(*(figures[c] for c in figures.columns)).agg(F.max("_by1").alias("_t"))
+    return out.withColumn("top", F.greatest(F.coalesce(F.col("_t") + gap, F.col("y0") - up), F.col("y0") - up, F.lit(0.0))).drop("_t")
 
 
 def candidate_pages(chunks: DataFrame, pages: DataFrame, key: str, radius: int = RADIUS) -> DataFrame:
@@ -101,6 +106,36 @@ def match_words_udf(page: pd.Series, tokens: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["places", "offset"])
 
 
+def page_tokens(words: Column) -> Column:
+    """The normalised texts of a page's words, empty ones included, so that places are those of the words."""
+    return F.transform(words, lambda w: T.norm_token(w["text"]))
+
+
+def find_matching_pages(chunks: DataFrame, pages: DataFrame, key: str = "doc_id", blocks: DataFrame | None = None) -> DataFrame:
+    """key, seq, page_num, role, score, offset, boxes: where each chunk stands, by matching its words with those of the
+    pages around its declared ones.
+
+    chunks: key, seq, page_start, page_end, chunk_text, table_markdown, content_type; pages: key, page_num, words (boxes
+    with texts, in reading order); blocks: key, page_num, x0, x1, y1, text, for the top of figures. Matched words are parted
+    into regions; those of less than MIN_REGION words do not count.
+    """
+    tokens = chunks.select(key, "seq", "page_start", "page_end", "content_type", T.chunk_tokens(F.col("chunk_text"), F.col("table_markdown")).alias("tokens"))
+    near = candidate_pages(tokens, pages.select(key, "page_num", "words"), key).withColumn("m", match_words_udf(page_tokens(F.col("words")), F.col("tokens")))
+    by = [key, "seq", "page_num"]
+    near = near.select(*by, "content_type", F.size("tokens").alias("n_tokens"), F.col("m.offset").alias("offset"), F.posexplode(F.transform("m.places", lambda i: F.get("words", i))).alias("_i", "w"))
+    placed = near.select(*by, "content_type", "n_tokens", "offset", "_i", "w.x0", "w.y0", "w.x1", "w.y1")
+    regions = region_boxes(split_regions(placed, by, "_i"), [*by, "content_type", "n_tokens", "offset"])
+    if blocks is not None:  # a figure has no text but its caption: its first box begins under the prose before it
+        first = F.row_number().over(Window.partitionBy(*by).orderBy("region")) == 1
+        regions = regions.withColumn("_f", first & (F.coalesce("content_type", F.lit("")) == "figure"))
+        figures = preceding_prose(regions.where("_f"), blocks, [key, "page_num"]).withColumn("y0", F.col("top")).drop("top")
+        regions = regions.where("not _f").unionByName(figures)
+    box = F.struct("region", "x0", "y0", "x1", "y1")
+    scored = regions.groupBy(*by, "n_tokens", "offset").agg(F.sum("n_words").alias("score"), F.array_sort(F.collect_list(box)).alias("boxes"))
+    found = matching_pages(scored, [key, "seq"])
+    return found.select(*by, "role", "score", "offset", F.transform("boxes", lambda b: b.dropFields("region")).alias("boxes"))
+
+
 def matching_pages(scored: DataFrame, by: list[str]) -> DataFrame:
     """Primary page and, where its match starts late in the chunk, a head page before it.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,15 +23,41 @@ def outline_nodes(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.select(key, "path", F.size("path").alias("level"), F.element_at("path", -1).alias("title"), "first_seq", F.transform("_c", lambda x: x["chunk_id"]).alias("chunk_ids"), "own_count", "chunk_count")
 
 
+def node_order(key: str = "doc_id") -> Column:
+    """What sorts the nodes of a document as a tree: the first places of the nodes above each one and its own. A prefix sorts
+    before what it begins."""
+
+    def first(*above: Column) -> Column:
+        return F.min("first_seq").over(Window.partitionBy(key, *above))
+
+    one, two = F.get("path", F.lit(0)), F.get("path", F.lit(1))
+    return F.array_compact(F.array(first(one), F.when(F.col("level") > 1, first(one, two)), F.when(F.col("level") > 2, F.col("first_seq"))))
+
+
 def outline_markdown(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, markdown: an indented list in order of first appearance at each level, with the nodes' own counts."""
-    parents = nodes.select(key, F.col("path").alias("_p"), F.col("first_seq").alias("_f"))
-    prefixes = nodes.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", 1, i))))
-    # the order of a node: the first places of the nodes above it and its own; a prefix sorts before what it begins
-    placed = prefixes.join(parents, [key, "_p"]).groupBy(key, "path", "title", "level", "own_count").agg(F.array_sort(F.collect_list(F.struct(F.size("_p").alias("n"), "_f"))).alias("_o"))
+    """key, markdown: an indented list in order of first appearance at each level, with the nodes' own counts. Windows and
+    aggregation share one exchange by ``key``."""
     n = F.col("own_count")
     suffix = F.when(n == 0, "").when(n == 1, " (1 chunk)").otherwise(F.concat(F.lit(" ("), n.cast("string"), F.lit(" chunks)")))
     line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- "), F.col("title"), suffix)
-    order = F.transform("_o", lambda x: x["_f"])
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))), lambda x: x["line"])
+    placed = nodes.repartition(key).select(key, node_order(key).alias("o"), line.alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"])
     return placed.groupBy(key).agg(F.array_join(lines, "\n").alias("markdown"))
+
+
+def chunk_numbers(nodes: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``nodes`` with ``numbers``: those of their own chunks (key, chunk_id, number), in order; ids without one are left out."""
+    own = nodes.select(key, "path", F.posexplode("chunk_ids").alias("_i", "chunk_id")).join(chunks.select(key, "chunk_id", "number"), [key, "chunk_id"])
+    own = own.groupBy(key, "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "number"))), lambda x: x["number"]).alias("numbers"))
+    return nodes.join(own, [key, "path"], "left").withColumn("numbers", F.coalesce("numbers", F.array().cast("array<long>")))
+
+
+def node_colors(nodes: DataFrame, colors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``nodes`` with ``color``: that of the section with their title (key, title, color), else of the node above them."""
+    mine = nodes.join(colors.select(key, "title", "color"), [key, "title"], "left")
+
+    def over(n: int) -> Column:
+        path = [F.get("path", F.lit(i)) for i in range(n)]
+        return F.max(F.when(F.col("level") == n, F.col("color"))).over(Window.partitionBy(key, *path))
+
+    return mine.withColumn("color", F.coalesce("color", F.when(F.col("level") > 2, over(2)), F.when(F.col("level") > 1, over(1))))

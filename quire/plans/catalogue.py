@@ -6,15 +6,21 @@ batch; a block was chunked iff block_no % 3 <> 0 and batch_no % 4 <> 1, with hea
 
 from __future__ import annotations
 
+import base64
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import schema
 from quire.functions import text as T
 from quire.operators import chunks as C
 from quire.operators import layout as L
 from quire.operators import outline as O
 from quire.operators import pages as P
-from quire.sinks.chunks import chunk_lines, skip_existing
+from quire.plans import process as R
+from quire.sinks.chunks import chunk_lines, finished, report_html, skip_existing, write_jsonl
 from quire.sources import documents as D
 from quire.sources.documents import table
 
@@ -131,9 +137,9 @@ def significant_words(spark, d):
 
 @query(f"WITH {MISSED} SELECT w.doc_id, w.block_no, CASE WHEN len(ws) = 0 THEN 1.0 ELSE round(len(list_intersect(ws, coalesce(covered, []))) / len(ws), 6) END AS coverage FROM w LEFT JOIN cov USING (doc_id, batch_no)")
 def coverage_ratio(spark, d):
-    cov = C.batch_words(normalized(spark, d), "doc_id", "batch_no")
-    out = blocks(spark, d).join(cov, ["doc_id", "batch_no"], "left")
-    ratio = T.words_coverage(T.significant_words(F.col("text")), F.coalesce("covered", F.array().cast("array<string>")))
+    cov = C.batch_words(raw_chunks(spark, d), "doc_id", "batch_no")
+    out = T.once(blocks(spark, d), "words", T.significant_words(F.col("text"))).drop("text").join(cov, ["doc_id", "batch_no"], "left")
+    ratio = T.words_coverage(F.col("words"), F.coalesce("covered", F.array().cast("array<string>")))
     return out.select("doc_id", "block_no", F.round(ratio, 6).alias("coverage"))
 
 
@@ -198,6 +204,44 @@ def json_responses(spark, d):
     return C.ingest(table(spark, d, "events").select("event_id", text.alias("output_text"))).select("event_id", F.coalesce("ord", F.lit(-1)).alias("ord"), "chunk_text", "error")
 
 
+def _values(rows: list[tuple], names: str) -> str:
+    """A literal table in SQL."""
+
+    def one(v) -> str:
+        return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") t({names})"
+
+
+# responses by kind, and what becomes of each: (rows, first error)
+BAD_RESPONSES = [
+    ('{"chunks": [{"chunk_text": "a"}]}', 1, None), ("[1, 2]", 1, "the response is no JSON object"), ('"text"', 1, "the response is no JSON object"), ("12", 1, "the response is no JSON object"),
+    ('{"chunks": "x"}', 1, "chunks is no list of objects"), ('{"chunks": [1]}', 1, "chunks is no list of objects"), ('{"chunks": [null]}', 1, "chunks is no list of objects"), ('{"chunks": {"a": 1}}', 1, "chunks is no list of objects"),
+    ('{"chunks": null}', 0, None), ('{"chunks": ""}', 0, None), ('{"chunks": 0}', 0, None), ("{}", 0, None), ('{"a": 1} and {"b": 2}', 1, "no JSON object in the response"),
+    ('```json\n{"chunks": [{}, {"chunk_text": null}]}\n```', 2, None), ('so: {"chunks": [{"keywords": "ab"}]}.', 1, "keywords"),
+]
+# members of a chunk, and the field that is wrong
+CHUNK_TYPES = [
+    ('{"keywords": "ab"}', "keywords"), ('{"keywords": [1]}', "keywords"), ('{"keywords": ["a", null]}', "keywords"), ('{"keywords": []}', None), ('{"keywords": ""}', None), ('{"entities": {"a": 1}}', "entities"), ('{"entities": ["a"]}', None),
+    ('{"chunk_text": 5}', "chunk_text"), ('{"chunk_text": ""}', None), ('{"table_markdown": ["a"]}', "table_markdown"), ('{"level_1_heading": false}', "level_1_heading"), ('{"source_notes": null}', None),
+    ('{"page_start": 1.0}', None), ('{"page_start": 1.5}', "page_start"), ('{"page_start": "3"}', None), ('{"page_start": "x"}', "page_start"), ('{"page_start": true}', None), ('{"page_end": []}', None), ('{"page_end": [1]}', "page_end"), ('{"page_end": 0}', None),
+    ('{"content_type": "prose"}', "content_type"), ('{"content_type": ""}', "content_type"), ('{"content_type": "table"}', None), ('{"continuation_status": 1}', "continuation_status"), ('{"continuation_status": "new"}', None),
+]
+
+
+@query(_values([(i, n, e) for i, (_, n, e) in enumerate(BAD_RESPONSES)], "id, n_rows, error"))
+def bad_responses(spark, d):
+    rows = spark.createDataFrame([(i, r[0]) for i, r in enumerate(BAD_RESPONSES)], "id int, output_text string")
+    got = C.ingest(rows).groupBy("id").agg(F.count("*").alias("n_rows"), F.min("error").alias("error"))
+    return rows.select("id").join(got, "id", "left").select("id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "error")
+
+
+@query(_values([(i, e) for i, (_, e) in enumerate(CHUNK_TYPES)], "id, error"))
+def validate_chunk_types(spark, d):
+    rows = spark.createDataFrame([(i, f'{{"chunks": [{r[0]}]}}') for i, r in enumerate(CHUNK_TYPES)], "id int, output_text string")
+    return C.ingest(rows).select("id", "error")
+
+
 # ---- names and texts
 
 
@@ -267,12 +311,195 @@ def chunk_lines_json(spark, d):
     return chunk_lines(C.finish(out, F.col("doc_id").cast("string"), F.col("source"), F.lit("")))
 
 
-@query()
+@query("SELECT event_id, '{\"chunk_text\": \"' || event_type || '\", \"page_start\": 1}' AS last_chunk FROM events")
 def last_chunk_json(spark, d):
     body = F.concat(F.lit('{"chunks": [{"chunk_text": "'), F.col("event_type"), F.lit('", "page_start": 1}]}'))
     return table(spark, d, "events").select("event_id", T.last_item_json(body).alias("last_chunk"))
 
 
+@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_images, 2 + length(text) - length(replace(text, chr(10), '')) AS n_parts, 'input_text' AS first_type, source AS prompt, 'data:image/png;base64,' || to_base64(encode(string_split(text, chr(10))[-1])) AS last_image FROM documents")
+def request_content(spark, d):
+    images = F.transform(F.split("text", "\n"), lambda x: T.image_url(x.cast("binary")))
+    out = table(spark, d, "documents").select("doc_id", F.size(images).cast("long").alias("n_images"), T.request_content(F.col("source"), images).alias("c"))
+    return out.select("doc_id", "n_images", F.size("c").cast("long").alias("n_parts"), F.col("c")[0]["type"].alias("first_type"), F.col("c")[0]["text"].alias("prompt"), F.element_at("c", -1)["image_url"].alias("last_image"))
+
+
+@query("SELECT doc_id, string_agg(w, ' ' ORDER BY n) AS words, count(*) AS n_words FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS n FROM documents) GROUP BY doc_id")
+def page_words(spark, d):
+    """Words of a page, dealt out by block, line and place in the line, back in reading order."""
+    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
+    zero = F.lit(0.0)
+    w = w.select("doc_id", F.floor(F.col("i") / 50).cast("int").alias("block_no"), (F.floor(F.col("i") / 10) % 5).cast("int").alias("line_no"), (F.col("i") % 10).alias("word_no"), *(zero.alias(c) for c in ("x0", "y0", "x1", "y1")), "text")
+    return P.page_words(w, "doc_id").select("doc_id", F.array_join(F.transform("words", lambda x: x["text"]), " ").alias("words"), F.size("words").cast("long").alias("n_words"))
+
+
+# names and what NFKC and slugging make of them
+SLUGS = [("Hana Bank: Term Deposit (v2).pdf", "Hana_Bank_Term_Deposit_v2_.pdf"), ("하나은행 정기예금", "하나은행_정기예금"), ("ﬁnal①　ＡＢＣ", "final1_ABC"), ("  _x_ ", "x"), ("áé", "áé"), ("…", "..."), ("日本/語", "日本_語"), ("", "")]
+SOURCES = [(" ＡＢＣ　", "ABC"), ("ﬁn\u00a0", "fin"), ("Plain", "Plain"), ("①②", "12")]
+
+
+@query(_values([(i, b) for i, (_, b) in enumerate(SLUGS)], "id, slug"))
+def slugs_by_hand(spark, d):
+    return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(SLUGS)], "id int, name string").select("id", T.slugify(F.col("name")).alias("slug"))
+
+
+@query(_values([(i, b, f"{b}-doc") for i, (_, b) in enumerate(SOURCES)], "id, seen, chunk_document"))
+def sources_by_hand(spark, d):
+    """What a resolver of one's own sees of a source, and that its answer names the document."""
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(SOURCES)], "id int, source string")
+    seen = T.strip(T.nfkc(F.col("source")))
+    own = {c: F.lit(None).cast(t) for c, t in schema.CHUNK_FIELDS.items() if c not in ("source", "metadata", "keywords", "entities")}
+    empty = F.array().cast("array<string>")
+    raw = rows.select("id", seen.alias("seen"), "source", *(v.alias(k) for k, v in own.items() if k not in ("chunk_id", "document_id", "source_url", "embedding_text")), empty.alias("keywords"), empty.alias("entities"), F.lit(0).alias("seq"))
+    done = C.finish(raw, F.lit("doc"), F.col("source"), F.lit(""), lambda source, document: F.concat(source, F.lit("-"), document), ("id", "seen"))
+    return done.select("id", "seen", F.col("document_id").alias("chunk_document"))
+
+
+ENV = "# settings\nexport A=1\nB = 'two words' # more\nC=plain # comment\n\nnot a setting\nD=\"x=y\"\n"
+
+
+@query(_values([("A", "1"), ("B", "two words"), ("C", "plain"), ("D", "x=y")], "name, value"))
+def env_file(spark, d):
+    return spark.createDataFrame(list(R.parse_env(ENV.splitlines()).items()), "name string, value string")
+
+
+# ---- files, written and read back
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder where all executors can write: beside the checkpoints, or in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/quire-files-{uuid.uuid4().hex}"
+
+
+def chunk_table(spark: SparkSession, d: str) -> DataFrame:
+    """All chunks in the chunk schema, with doc_id; kinds that the schema does not allow become null."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    sound = numbered(spark, d).withColumn("content_type", F.when(F.col("content_type") != "prose", F.col("content_type")))
+    return C.finish(sound.join(docs, "doc_id"), F.concat(F.lit("Doc-"), F.col("doc_id").cast("string")), F.col("source"), F.lit(""), keep=("doc_id",))
+
+
+def chunk_files(spark: SparkSession, d: str) -> str:
+    """A folder with a file for each document, also for those without chunks."""
+    out = _folder(spark)
+    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("file_id"))
+    write_jsonl(chunk_table(spark, d), files, out)
+    return out
+
+
+@query(f"WITH {NUMBERED} SELECT 'Doc ' || documents.doc_id AS document_id, count(seq) AS n_lines FROM documents LEFT JOIN numbered USING (doc_id) GROUP BY documents.doc_id")
+def chunk_files_written(spark, d):
+    folder = chunk_files(spark, d)
+    lines = spark.read.text(folder).where("value <> ''").select(T.stem(F.replace(F.input_file_name(), F.lit("%20"), F.lit(" "))).alias("document_id"))
+    found = finished(spark, folder).select(F.replace("document_id", F.lit("%20"), F.lit(" ")).alias("document_id"))
+    return found.join(lines.groupBy("document_id").agg(F.count("*").alias("n")), "document_id", "left").select("document_id", F.coalesce("n", F.lit(0)).alias("n_lines"))
+
+
+_SCANNED = f"WITH {NUMBERED} SELECT 'doc_' || doc_id AS document_id, seq, 'doc_' || doc_id || '_' || seq AS chunk_id, chunk_text, l1 AS level_1_heading, page_start FROM numbered"
+
+
+@query(_SCANNED)
+def scan_chunks_jsonl(spark, d):
+    return D.scan_chunks(spark, chunk_files(spark, d)).select("document_id", "seq", "chunk_id", "chunk_text", "level_1_heading", "page_start")
+
+
+@query(_SCANNED)
+def scan_chunks_raw(spark, d):
+    return D.scan_chunks(spark, chunk_files(spark, d), strict=False).select("document_id", "seq", "chunk_id", "chunk_text", "level_1_heading", "page_start")
+
+
+# documents of three kinds of pages stand in for PDF files; the reader sees a file's bytes
+PDFS = [("one", ["Intro", "Body of one"]), ("Two words (v2)", ["Only page"]), ("blank", [" "])]
+
+
+def _paged(content: bytes, zoom: float) -> list[dict]:
+    pages = content.decode().split("\f")
+    return [{"text": t, "blocks": [(0, 0, 1, 1, t, 0, 0)], "words": [(0, 0, 1, 1, w, 0, 0, i) for i, w in enumerate(t.split())], "png": f"{t}@{zoom}".encode()} for t in pages]
+
+
+def pdf_folder(spark: SparkSession) -> str:
+    """PDFS as files, and one that is none."""
+    out = _folder(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, pages in [*((f"{n}.pdf", p) for n, p in PDFS), ("note.txt", ["no"])]:
+        stream = files.create(path(out, name), True)
+        stream.write(bytearray("\f".join(pages).encode()))
+        stream.close()
+    return out
+
+
+_IDS = {n: n.replace(" (", "_").replace(")", "").replace(" ", "_") for n, _ in PDFS}
+
+
+@query(_values([(_IDS[n], n, len("\f".join(p))) for n, p in PDFS], "document_id, source, size"))
+def scan_pdf_dir(spark, d):
+    return D.scan_pdf_dir(spark, pdf_folder(spark)).select("document_id", F.replace("source", F.lit("%20"), F.lit(" ")).alias("source"), F.octet_length("content").alias("size"))
+
+
+@query(_values([(_IDS[n], i, len(p), "data:image/png;base64," + base64.b64encode(f"{t}@2.0".encode()).decode(), len(t.split())) for n, p in PDFS for i, t in enumerate(p, 1)], "document_id, page_num, n_pages, image_url, n_words"))
+def render_pages(spark, d):
+    """With a reader that stands in for the PDF library."""
+    pages = D.pdf_pages(D.scan_pdf_dir(spark, pdf_folder(spark)), _paged, 2.0)
+    return pages.select("document_id", "page_num", "n_pages", T.image_url(F.col("png")).alias("image_url"), F.size("words").alias("n_words"))
+
+
+# ---- requests, to a client that answers by rule
+
+
+class _Client:
+    """What a client library offers: ``responses.create``; it answers with the pages' paragraphs, or an outline."""
+
+    def __init__(self):
+        self.responses = self
+
+    def create(self, model, input, temperature, max_output_tokens):  # noqa: A002
+        content = input[0]["content"]
+        text = content[0]["text"]
+        if text.startswith("List the headings"):
+            title = text.split("Document: ")[1].split(" (")[0]
+            text = json.dumps({"level_1": title, "sections": [{"level_2": f"Images {len(content) - 1}", "first_page": 1}]})
+        else:
+            text = R.RuleBased()(model, content, max_output_tokens, temperature)
+        return type("Response", (), {"output_text": text})
+
+
+def batch_texts(spark: SparkSession, d: str) -> DataFrame:
+    b = P.page_text(blocks(spark, d).groupBy("doc_id", "batch_no", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n").alias("text")), "doc_id", "batch_no")
+    doc, first = F.col("doc_id").cast("string"), (F.col("batch_no") * 2 + 1).alias("page_start")
+    return b.select("doc_id", doc.alias("document_id"), doc.alias("source"), "batch_no", first, (F.col("batch_no") * 2 + 2).alias("page_end"), "page_text", F.lit("").alias("known_outline"), F.array(F.lit("data:,x")).alias("images"))
+
+
+@query(f"WITH {BLOCKS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, batch_no, count(*) AS n_chunks, CAST(min(page_num) AS VARCHAR) AS first_page, count(*) || ' paragraphs' AS summary FROM blocks GROUP BY doc_id, batch_no")
+def vlm_chunker(spark, d):
+    """Every batch asked of a client, in the order of its document; what the responses hold."""
+    got = R.live_responses(batch_texts(spark, d), R.Responses(_Client), "model")
+    summary = C.batch_summaries(got.drop("error"))
+    chunks = C.ingest(got.drop("error")).groupBy("doc_id", "batch_no").agg(F.count("*").alias("n_chunks"), F.min(F.col("page_start").cast("int")).cast("string").alias("first_page"))
+    return chunks.join(summary, ["doc_id", "batch_no"]).select("doc_id", "batch_no", "n_chunks", "first_page", F.col("batch_summary").alias("summary"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, '- ' || source || chr(10) || '  - Images 2' AS outline FROM documents")
+def vlm_outline(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("document_id"), "source", "text", F.array(F.lit("data:,a"), F.lit("data:,b")).alias("images"))
+    return R.live_outlines(docs, R.Responses(_Client), "model").select("doc_id", "outline")
+
+
+@query(f"WITH {BLOCKS} SELECT DISTINCT doc_id, batch_no, 'outline of ' || source AS known_outline FROM blocks JOIN documents USING (doc_id)")
+def known_outline_of_batches(spark, d):
+    outlines = table(spark, d, "documents").select("doc_id", F.concat(F.lit("outline of "), F.col("source")).alias("known_outline"))
+    return blocks(spark, d).select("doc_id", "batch_no").distinct().join(outlines, "doc_id")
+
+
+URLS = {"src0": "https://a.example/0", "src3": "https://a.example/3"}
+
+
+@query("SELECT doc_id, CASE source WHEN 'src0' THEN 'https://a.example/0' WHEN 'src3' THEN 'https://a.example/3' ELSE '' END AS source_url FROM documents")
+def source_urls_map(spark, d):
+    urls = spark.createDataFrame(list(URLS.items()), "source string, url string")
+    return table(spark, d, "documents").select("doc_id", "source").join(F.broadcast(urls), "source", "left").select("doc_id", F.coalesce("url", F.lit("")).alias("source_url"))  # URLS is a fixed map
+
+
 # ---- outline
 
 PATHS = f"""{NUMBERED},
@@ -301,6 +528,34 @@ def outline_markdown(spark, d):
     return O.outline_markdown(O.outline_nodes(numbered(spark, d).withColumn("chunk_id", F.col("seq").cast("string"))))
 
 
+@query(f"""WITH {NUMBERED}, p AS (SELECT doc_id, seq, list_filter([l1, l2, l3], lambda x: x IS NOT NULL AND x <> '') AS path FROM numbered)
+SELECT doc_id, array_to_string(path, ' > ') AS path, string_agg(CAST(seq + 1 AS VARCHAR), ',' ORDER BY seq) AS numbers FROM p WHERE len(path) > 0 GROUP BY doc_id, path""")
+def outline_numbers(spark, d):
+    chunks = numbered(spark, d).withColumns({"chunk_id": F.col("seq").cast("string"), "number": F.col("seq").cast("long") + 1})
+    out = O.chunk_numbers(O.outline_nodes(chunks), chunks).where(F.size("numbers") > 0)
+    return out.select("doc_id", F.array_join("path", " > ").alias("path"), F.array_join(F.transform("numbers", lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+@query(f"""WITH {PATHS}, s AS (SELECT doc_id, coalesce(nullif(l2, ''), nullif(l1, ''), 'Untitled') AS title, min(seq) AS first_seq FROM numbered GROUP BY ALL), c AS (SELECT doc_id, title, 'c' || (row_number() OVER (PARTITION BY doc_id ORDER BY first_seq) - 1) AS color FROM s)
+SELECT n.doc_id, n.path, coalesce(c.color, CASE WHEN n.level > 2 THEN c2.color END, CASE WHEN n.level > 1 THEN c1.color END) AS color FROM nodes n LEFT JOIN c ON c.doc_id = n.doc_id AND c.title = n.title LEFT JOIN c c2 ON c2.doc_id = n.doc_id AND c2.title = n.t2 LEFT JOIN c c1 ON c1.doc_id = n.doc_id AND c1.title = n.t1""")
+def outline_colors(spark, d):
+    chunks = numbered(spark, d).withColumn("chunk_id", F.col("seq").cast("string"))
+    order = L.section_order(chunks, "doc_id", T.section_key(F.col("level_1_heading"), F.col("level_2_heading")), "seq")
+    colors = order.select("doc_id", "title", F.concat(F.lit("c"), F.col("rank").cast("string")).alias("color"))
+    return O.node_colors(O.outline_nodes(chunks), colors).select("doc_id", F.array_join("path", " > ").alias("path"), "color")
+
+
+@query(f"""WITH {PATHS}, g AS (SELECT doc_id, page_start, seq, CASE WHEN l2 IS NOT DISTINCT FROM lag(l2) OVER w AND l3 IS NOT DISTINCT FROM lag(l3) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS starts FROM numbered WINDOW w AS (PARTITION BY doc_id, page_start ORDER BY seq)),
+a AS (SELECT doc_id, count(*) AS cards, CAST(sum(starts) AS BIGINT) AS groups FROM g GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS items, CAST(sum(own_count) AS BIGINT) AS links FROM nodes GROUP BY doc_id)
+SELECT doc_id, cards, groups, coalesce(items, 0) AS items, coalesce(links, 0) AS links, cards AS notes FROM a LEFT JOIN b USING (doc_id)""")
+def report_counts(spark, d):
+    """How many cards, groups, outline items, links and notes the reports hold; every chunk is said to stand one page on."""
+    chunks = chunk_table(spark, d)
+    html = report_html(chunks, matches=chunks.select("doc_id", "seq", (F.col("page_start") + 1).alias("page_num")))
+    marks = {"cards": 'class="card"', "groups": 'class="group"', "items": "<li ", "links": '<a href="#chunk-', "notes": 'class="note"'}
+    return html.select("doc_id", *(((F.char_length("html") - F.char_length(F.replace("html", F.lit(m), F.lit("")))) / len(m)).cast("long").alias(k) for k, m in marks.items()))
+
+
 # ---- layout
 
 
@@ -368,26 +623,98 @@ def page_mismatch(spark, d):
     return scored_pages(spark, d).where("page_start <> page_num").select("doc_id", "seq", "page_start", "page_num")
 
 
+def laid_out(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' words with boxes by rule: ten words a line, lines 14 apart."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), " ")
+    page = blocks(spark, d).groupBy("doc_id", "page_num").agg(F.split(lines, f"[{T.WHITE}]+").alias("w"))
+
+    def box(w, i):
+        x, y = (i % 10) * 50.0, F.floor(i / 10) * 14.0
+        return F.struct(x.alias("x0"), y.alias("y0"), (x + 45).alias("x1"), (y + 12).alias("y1"), w.alias("text"))
+
+    return page.select("doc_id", "page_num", F.transform("w", box).alias("words"))
+
+
 @query()
 def match_words(spark, d):
     """The sequential matcher: every chunk against the pages around its declared ones."""
-    page = blocks(spark, d).groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), " ").alias("t"))
-    chunks = numbered(spark, d).select("doc_id", "seq", "page_start", F.col("page_start").alias("page_end"), T.chunk_tokens(F.col("chunk_text"), F.lit(None).cast("string")).alias("tokens"))
-    page = page.select("doc_id", "page_num", T.chunk_tokens(F.col("t"), F.lit(None).cast("string")).alias("words"))
-    out = L.candidate_pages(chunks, page, "doc_id").withColumn("m", L.match_words_udf("words", "tokens"))
-    scored = out.select("doc_id", "seq", "page_num", F.size("tokens").alias("n_tokens"), F.size("m.places").alias("score"), F.col("m.offset").alias("offset"))
-    return L.matching_pages(scored, ["doc_id", "seq"])
+    chunks = numbered(spark, d).select("doc_id", "seq", "page_start", F.col("page_start").alias("page_end"), "chunk_text", F.lit(None).cast("string").alias("table_markdown"), F.lit("paragraph").alias("content_type"))
+    found = L.find_matching_pages(chunks, laid_out(spark, d))
+    return found.select("doc_id", "seq", "page_num", "role", "score", "offset", F.size("boxes").alias("n_boxes"))
+
+
+# a page and chunks by hand: where a chunk's words begin on the page, which places match, and from which word of the chunk
+PAGE = "plan overview notes the plan covers many cases and more words follow here until the very end of it all"
+MATCHES = [
+    ("the plan covers many cases", "3,4,5,6,7", 0), ("plan covers many", "0,5,6", 0), ("unknown words only", "", 0), ("covers, MANY! cases.", "5,6,7", 0), ("nothing here fits", "", 0),
+    ("lost start of a chunk that goes on the very end of it all", "15,16,17,18,19", 9), ("plan covers xx yy many cases", "0,5", 0), ("", "", 0), ("all", "", 0),
+]
+
+
+@query(_values([(i, m, o) for i, (_, m, o) in enumerate(MATCHES)], "id, places, start"))
+def matches_by_hand(spark, d):
+    rows = spark.createDataFrame([(i, m[0], PAGE) for i, m in enumerate(MATCHES)], "id int, chunk_text string, page string")
+    none = F.lit(None).cast("string")
+    m = L.match_words_udf(T.chunk_tokens(F.col("page"), none), T.chunk_tokens(F.col("chunk_text"), none))
+    out = rows.select("id", m.alias("m"))
+    return out.select("id", F.array_join(F.transform("m.places", lambda x: x.cast("string")), ",").alias("places"), F.col("m.offset").alias("start"))
+
+
+# one chunk that begins on page 1 and ends on page 2, one whose declared page is wrong, one that stands nowhere
+_HEAD, _TAIL = " ".join(f"h{i}" for i in range(25)), " ".join(f"t{i}" for i in range(35))
+FOUND = [(0, 1, "head", 25, 0, 0.0, 0.0, 495.0, 40.0), (0, 2, "primary", 30, 30, 0.0, 0.0, 495.0, 54.0), (1, 3, "primary", 12, 0, 0.0, 0.0, 495.0, 26.0)]
+
+
+@query(_values(FOUND, "seq, page_num, role, score, start, x0, y0, x1, y1"))
+def pages_by_hand(spark, d):
+    third = " ".join(f"u{i}" for i in range(12))
+    pages = spark.createDataFrame([("a", 1, _HEAD), ("a", 2, _TAIL), ("a", 3, third)], "doc_id string, page_num int, text string")
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(((i % 10) * 50.0).alias("x0"), (F.floor(i / 10) * 14.0).alias("y0"), ((i % 10) * 50.0 + 45).alias("x1"), (F.floor(i / 10) * 14.0 + 12).alias("y1"), w.alias("text")))
+    chunks = [("a", 0, 2, 2, f"{_HEAD} {_TAIL}"), ("a", 1, 1, None, third), ("a", 2, 1, 3, "not on any page at all, this one")]
+    chunks = spark.createDataFrame([(*c, None, "paragraph") for c in chunks], "doc_id string, seq int, page_start int, page_end int, chunk_text string, table_markdown string, content_type string")
+    found = L.find_matching_pages(chunks, pages.select("doc_id", "page_num", words.alias("words")))
+    return found.select("seq", "page_num", "role", F.col("score").cast("int").alias("score"), F.col("offset").alias("start"), F.explode("boxes").alias("b")).select("seq", "page_num", "role", "score", "start", "b.*")
+
+
+@query(f"""WITH {BOXES}, f AS (SELECT * FROM w WHERE event_id % 10 = 0), b AS (SELECT *, event_id % 12 AS n FROM w WHERE event_id % 10 <> 0)
+SELECT f.event_id, f.user_id, greatest(coalesce(max(b.y1) + 4, f.y0 - 260), f.y0 - 260, 0) AS top FROM f LEFT JOIN b ON b.user_id = f.user_id AND b.n >= 8 AND b.y1 <= f.y0 + 2 AND least(b.x1, f.x1) > greatest(b.x0, f.x0) GROUP BY f.event_id, f.user_id, f.y0""")
+def preceding_prose(spark, d):
+    b = boxes(spark, d)
+    prose = b.where("event_id % 10 <> 0").withColumn("text", F.repeat(F.lit("word "), (F.col("event_id") % 12).cast("int")))
+    return L.preceding_prose(b.where("event_id % 10 = 0"), prose, "user_id").select("event_id", "user_id", "top")
+
+
+@query(f"WITH {NUMBERED} SELECT doc_id, seq, l2 AS level_2, l3 AS level_3, CAST((page_start - 1) // 2 + 1 AS INT) AS batch FROM numbered")
+def heading_groups(spark, d):
+    key = T.heading_group_key(F.col("level_2_heading"), F.col("level_3_heading"))
+    return numbered(spark, d).select("doc_id", "seq", key.alias("k"), T.batch_for_page(F.col("page_start"), 2).alias("batch")).select("doc_id", "seq", "k.level_2", "k.level_3", "batch")
+
+
+@query("SELECT c_custkey, CAST('0x' || lpad(printf('%x', c_custkey % 256), 2, '0') AS INT) AS red, CAST(c_custkey // 7 % 256 AS INT) AS green, CAST(c_nationkey AS INT) AS blue FROM customer")
+def hex_to_rgb(spark, d):
+    k = F.col("c_custkey")
+    parts = [F.lower(F.lpad(F.hex(x), 2, "0")) for x in (k % 256, F.floor(k / 7) % 256, F.col("c_nationkey").cast("long"))]
+    rgb = T.hex_to_rgb(F.concat(F.lit("#"), *parts))
+    return table(spark, d, "customer").select("c_custkey", *(F.get(rgb, F.lit(i)).alias(n) for i, n in enumerate(("red", "green", "blue"))))
 
 
 # ---- HTML
 
 
-@query(f"SELECT page_id, block_no, text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<p>([^<]*)', 1)) AS raw, unnest(range(len(regexp_extract_all(html, '<p>([^<]*)', 1)))) AS block_no, trim(raw, {WS}) AS text FROM pages) WHERE text <> ''")
+def plain_sql(x: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        x = f"replace({x if x.startswith('replace') else f"regexp_replace({x}, '{D.TAG_RE}', '', 'g')"}, '{a}', '{b}')"
+    return f"trim({x}, {WS})"
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '{D.HIDDEN_RE}', '', 'g'), '{D.PARAGRAPH_RE}')[2:] AS parts FROM pages),
+b AS (SELECT page_id, unnest(parts) AS part, CAST(unnest(range(len(parts))) AS INT) AS block_no FROM p)
+SELECT * FROM (SELECT page_id, block_no, {plain_sql(f"regexp_extract(part, '{D.TO_END_RE}', 1)")} AS text FROM b) WHERE text <> ''""")
 def html_blocks(spark, d):
     return D.html_blocks(table(spark, d, "pages"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)', 1) AS level_1, regexp_extract(html, '<b>([^<]*)', 1) AS level_2 FROM pages")
+@query("SELECT page_id, " + ", ".join(plain_sql(f"regexp_extract(html, '(?is)<{t}(?:\\s[^>]*)?>(.*?)</{t}\\s*>', 1)") + f" AS {n}" for t, n in (("h1", "level_1"), ("b", "level_2"))) + " FROM pages")
 def html_outline(spark, d):
     return D.html_headings(table(spark, d, "pages"))
 

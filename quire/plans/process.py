@@ -31,14 +31,46 @@ class Backend(Protocol):
     def __call__(self, model: str, content: list[dict], max_output_tokens: int, temperature: float) -> str: ...
 
 
+def parse_env(lines) -> dict[str, str]:
+    """The settings of ``NAME=value`` lines; comments, ``export`` and quotes are allowed."""
+    found: dict[str, str] = {}
+    for line in lines:
+        name, equals, value = line.strip().removeprefix("export ").partition("=")
+        name, value = name.strip(), value.strip()
+        if not equals or not name or name.startswith("#"):
+            continue
+        if value[:1] in ("'", '"') and value.find(value[0], 1) > 0:
+            value = value[1 : value.find(value[0], 1)]
+        else:
+            value = value.partition(" #")[0].strip()
+        found[name] = value
+    return found
+
+
+def load_env(path: str = ".env") -> dict[str, str]:
+    """The settings of a file, if it is there, put into the environment where they are not set yet."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        found = parse_env(f)
+    for name, value in found.items():
+        os.environ.setdefault(name, value)
+    return found
+
+
 class Responses:
-    """Any client library with ``responses.create``; ``make`` builds the client on the executor."""
+    """Any client library with ``responses.create``; ``make`` builds the client on the executor, once for a task."""
 
     def __init__(self, make: Callable[[], object]):
-        self.make = make
+        self.make, self._client = make, None
+
+    def __getstate__(self) -> dict:
+        return {"make": self.make, "_client": None}
 
     def __call__(self, model: str, content: list[dict], max_output_tokens: int, temperature: float) -> str:
-        return self.make().responses.create(model=model, input=[{"role": "user", "content": content}], temperature=temperature, max_output_tokens=max_output_tokens).output_text
+        if self._client is None:
+            self._client = self.make()
+        return self._client.responses.create(model=model, input=[{"role": "user", "content": content}], temperature=temperature, max_output_tokens=max_output_tokens).output_text
 
 
 class RuleBased:
@@ -57,7 +89,18 @@ class RuleBased:
 RESPONSE = "doc_id string, batch_no int, output_text string, error string"
 
 
-def live_responses(batches: DataFrame, backend: Backend, model: str, max_output_tokens: int = 8000, temperature: float = 0.1) -> DataFrame:
+def content_of(prompt: str, images) -> list[dict]:
+    """The request's parts: the text, then the images."""
+    return [{"type": "input_text", "text": prompt}, *({"type": "input_image", "image_url": u} for u in (images if images is not None else []))]
+
+
+def filled(template: str, values: dict[str, object]) -> str:
+    for k, v in values.items():
+        template = template.replace("{{" + k + "}}", str(v))
+    return template
+
+
+def live_responses(batches: DataFrame, backend: Backend, model: str, max_output_tokens: int = 8000, temperature: float = 0.1, template: str = T.CHUNK_TEMPLATE) -> DataFrame:
     """RESPONSE rows. batches: doc_id, document_id, source, batch_no, page_start, page_end, page_text, known_outline, images.
 
     The fold carries a summary and the last chunk from batch to batch, so a document is one group and its batches are
@@ -69,13 +112,13 @@ def live_responses(batches: DataFrame, backend: Backend, model: str, max_output_
         summary = last = ""
         rows = []
         for r in pdf.sort_values("batch_no").itertuples():
-            prompt = T.CHUNK_TEMPLATE
-            for k, v in (("document_id", r.document_id), ("source", r.source), ("page_start", r.page_start), ("page_end", r.page_end), ("previous_batch_summary", summary), ("previous_last_chunk", last), ("extracted_page_text", r.page_text or T.NO_PAGE_TEXT), ("known_outline", r.known_outline or T.NO_OUTLINE)):
-                prompt = prompt.replace("{{" + k + "}}", str(v))
-            content = [{"type": "input_text", "text": prompt}, *({"type": "input_image", "image_url": u} for u in (r.images if r.images is not None else []))]
+            prompt = filled(template, {"document_id": r.document_id, "source": r.source, "page_start": r.page_start, "page_end": r.page_end, "previous_batch_summary": summary, "previous_last_chunk": last, "extracted_page_text": r.page_text or T.NO_PAGE_TEXT, "known_outline": r.known_outline or T.NO_OUTLINE})
+            content = content_of(prompt, r.images)
             try:
                 text = backend(model, content, max_output_tokens, temperature)
                 found = T.extract_json(text)
+                if not isinstance(found, dict):
+                    raise ValueError("the response is no JSON object")
                 summary = found.get("batch_summary") or summary
                 if found.get("chunks"):
                     last = json.dumps(found["chunks"][-1], ensure_ascii=False)
@@ -88,17 +131,15 @@ def live_responses(batches: DataFrame, backend: Backend, model: str, max_output_
     return batches.groupBy("doc_id").applyInPandas(fold, RESPONSE)
 
 
-def live_outlines(documents: DataFrame, backend: Backend, model: str, max_output_tokens: int = 2000, temperature: float = 0.1) -> DataFrame:
+def live_outlines(documents: DataFrame, backend: Backend, model: str, max_output_tokens: int = 2000, temperature: float = 0.1, template: str = T.OUTLINE_TEMPLATE) -> DataFrame:
     """doc_id, outline (text of the known outline), error. documents: doc_id, document_id, source, text, images."""
 
     def ask(frames):
         for f in frames:
             rows = []
             for r in f.itertuples():
-                prompt = T.OUTLINE_TEMPLATE
-                for k, v in (("document_id", r.document_id), ("source", r.source), ("extracted_text", r.text or T.NO_DOCUMENT_TEXT)):
-                    prompt = prompt.replace("{{" + k + "}}", v)
-                content = [{"type": "input_text", "text": prompt}, *({"type": "input_image", "image_url": u} for u in (r.images if r.images is not None else []))]
+                prompt = filled(template, {"document_id": r.document_id, "source": r.source, "extracted_text": r.text or T.NO_DOCUMENT_TEXT})
+                content = content_of(prompt, r.images)
                 try:
                     rows.append((str(r.doc_id), json.dumps(T.extract_json(backend(model, content, max_output_tokens, temperature))), None))
                 except Exception as e:  # noqa: BLE001
@@ -116,10 +157,10 @@ def process(blocks: DataFrame, responses: DataFrame, documents: DataFrame, resol
     document_id, source, source_url, n_pages. A document with one bad response or chunk yields no chunks.
     """
     raw = C.ingest(responses, strict)
-    status = C.document_status(raw)
+    status = C.document_status(raw, documents=documents)
     raw = C.only_sound(raw, status).where("error is null").drop("error").join(documents.select("doc_id", "n_pages"), "doc_id")
     start = F.col("batch_no") * batch_size + 1
     chunks = C.normalize(raw, start, F.least(start + batch_size - 1, F.col("n_pages"))).drop("n_pages")
     sound = C.only_sound(blocks, status)
     done = C.union_recovered(chunks, sound).join(documents.drop("n_pages"), "doc_id")
-    return C.finish(done, F.col("document_id"), F.col("source"), F.col("source_url"), resolver), status
+    return C.finish(done, F.col("document_id"), F.col("source"), F.col("source_url"), resolver, ("doc_id",)), status

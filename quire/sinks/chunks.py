@@ -2,37 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schema
 from quire.functions import text as T
+from quire.operators import layout as L
+from quire.operators import outline as O
 
 
 def skip_existing(documents: DataFrame, done: DataFrame, key: str, overwrite: bool = False) -> DataFrame:
     return documents if overwrite else documents.join(done.select(key).distinct(), key, "left_anti")
 
 
+def _files(spark: SparkSession, folder: str):
+    """The folder's file system and path, of whatever store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def finished(spark: SparkSession, folder: str) -> DataFrame:
+    """document_id, path of the chunk files of a folder, listed by Spark; their contents are not read."""
+    files, path = _files(spark, folder)
+    if not files.exists(path):
+        return spark.createDataFrame([], "document_id string, path string")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
+    return found.select(T.stem(F.col("path")).alias("document_id"), "path")
+
+
 def chunk_lines(chunks: DataFrame) -> DataFrame:
     """document_id, seq, line: compact JSON in the declared order with explicit nulls."""
     return chunks.select("document_id", "seq", F.to_json(F.struct(*schema.CHUNK_FIELDS), {"ignoreNullFields": "false"}).alias("line"))
 
 
-def write_jsonl(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A folder of JSON lines for each document (``document_id=...``), its rows in order.
+def write_jsonl(chunks: DataFrame, documents: DataFrame, folder: str) -> None:
+    """``<file_id>.jsonl`` for each of ``documents`` (key ``doc_id``, ``file_id``), its chunks (``doc_id``) in order; a document
+    without chunks gets a file with a blank line, which readers skip (Spark does not list files without a byte).
 
-    A document's rows are sorted in one task; only the partitions of the written documents are overwritten. Nothing
-    appears before the job has succeeded.
+    A document's lines are sorted and written by one task, into a folder beside the results; after the job has succeeded
+    each file gets its place by a rename, so a file is there as a whole or not at all. The driver sees file names only.
     """
-    lines = chunk_lines(chunks).withColumn("_k", F.col("document_id"))
-    lines = lines.repartition("_k").sortWithinPartitions("_k", "seq").select("document_id", "line")
-    lines.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("document_id").text(path)
+    spark = chunks.sparkSession
+    lines = chunks.select("doc_id", "seq", F.to_json(F.struct(*schema.CHUNK_FIELDS), {"ignoreNullFields": "false"}).alias("line"))
+    named = documents.select("doc_id", "file_id").join(lines, "doc_id", "left")
+    work = f"{folder.rstrip('/')}/_work-{uuid.uuid4().hex}"
+    rows = named.repartition("file_id").sortWithinPartitions("file_id", "seq")
+    rows.select("file_id", F.coalesce("line", F.lit("")).alias("value")).write.option("lineSep", "\n").partitionBy("file_id").text(work)
+    files, top = _files(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for entry in files.listStatus(path(work)):
+        if entry.isDirectory():
+            name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(entry.getPath().getName()).partition("=")[2]
+            target = path(top, f"{name}.jsonl")
+            files.delete(target, False)
+            part = next(f.getPath() for f in files.listStatus(entry.getPath()) if f.getPath().getName().startswith("part-"))
+            files.rename(part, target)
+    files.delete(path(work), True)
+
+
+def section_colors(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, title, color of each document's sections, in their order of appearance."""
+    order = L.section_order(chunks, key, T.section_key(F.col("level_1_heading"), F.col("level_2_heading")), "seq")
+    return order.select(key, "title", T.section_color(F.col("rank")).alias("color"))
 
 
-def report_html(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, html: the chunks of each document as cards grouped under their headings."""
+def page_note(page_start: Column, pages: Column) -> Column:
+    """Where a chunk stands, if not (only) on its declared page. pages: the matched ones, sorted."""
+    listed = F.array_join(F.transform(pages, lambda p: p.cast("string")), ", ")
+    spans = F.concat(F.lit("on pages "), listed, F.lit(", labelled "), page_start.cast("string"))
+    return F.when(F.size(pages) > 1, spans).when((F.size(pages) == 1) & (F.get(pages, F.lit(0)) != page_start), F.concat(F.lit("on page "), listed, F.lit(", labelled "), page_start.cast("string")))
+
+
+def card_html(number: Column, color: Column, note: Column) -> Column:
+    """A chunk as a card: number, kind, id, headings, note, text or table, keywords."""
     body = F.when(F.coalesce(F.col("table_markdown"), F.lit("")) != "", T.table_md_to_html(F.col("table_markdown"))).otherwise(F.concat(F.lit("<p>"), T.html_escape(F.coalesce("chunk_text", F.lit(""))), F.lit("</p>")))
-    crumb = T.heading_breadcrumb(F.col("level_1_heading"), F.col("level_2_heading"), F.col("level_3_heading"))
-    card = F.concat(F.lit('<div class="card"><h4>'), crumb, F.lit("</h4>"), body, F.lit("</div>"))
-    cards = F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq"), card.alias("c")))), lambda x: x["c"])
-    return chunks.groupBy(key).agg(F.concat(F.lit("<!doctype html><body>"), F.array_join(cards, "\n"), F.lit("</body>")).alias("html"))
+    words = F.array_join("keywords", ", ")
+    parts = [
+        F.lit('<div class="card" id="chunk-'), number.cast("string"), F.lit('" style="--accent: '), color, F.lit('"><b>'), number.cast("string"), F.lit("</b> <i>"), T.html_escape(F.coalesce(T.falsy(F.col("content_type")), F.lit("mixed"))),
+        F.lit("</i> <code>"), T.html_escape(F.col("chunk_id")), F.lit("</code><h4>"), T.heading_breadcrumb(F.col("level_1_heading"), F.col("level_2_heading"), F.col("level_3_heading")), F.lit("</h4>"),
+        F.coalesce(F.concat(F.lit('<div class="note">'), note, F.lit("</div>")), F.lit("")), body, F.when(F.coalesce(words, F.lit("")) != "", F.concat(F.lit('<div class="keywords">'), T.html_escape(words), F.lit("</div>"))).otherwise(F.lit("")), F.lit("</div>"),
+    ]
+    return F.concat(*parts)
+
+
+def outline_html(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, outline: the heading tree as a list with links to the chunks' numbers, titles in their sections' colors (a
+    title without one has that of the node above it). chunks: with number."""
+    nodes = O.node_colors(O.chunk_numbers(O.outline_nodes(chunks, key), chunks, key), section_colors(chunks, key), key)
+    links = F.array_join(F.transform("numbers", lambda n: F.concat(F.lit('<a href="#chunk-'), n.cast("string"), F.lit('">'), n.cast("string"), F.lit("</a>"))), "")
+    style = F.coalesce(F.concat(F.lit(' style="color:'), F.col("color"), F.lit('"')), F.lit(""))
+    item = F.concat(F.lit('<li class="l'), F.col("level").cast("string"), F.lit('"><span'), style, F.lit(">"), T.html_escape(F.col("title")), F.lit("</span>"), links, F.lit("</li>"))
+    placed = nodes.withColumn("_o", O.node_order(key)).withColumn("_i", item)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_i"))), lambda x: x["_i"])
+    return placed.groupBy(key).agg(F.concat(F.lit("<ul>"), F.array_join(items, ""), F.lit("</ul>")).alias("outline"))
+
+
+def report_html(chunks: DataFrame, key: str = "doc_id", matches: DataFrame | None = None) -> DataFrame:
+    """key, html: a report for each document: its outline, and its chunks as cards, page after page, those in a row with
+    one heading (levels 2 and 3) in a group of their section's color. matches: key, seq, page_num of matched pages."""
+    numbered = chunks.withColumn("number", F.col("seq").cast("long") + 1)
+    colors = section_colors(numbered, key)
+    numbered = numbered.withColumn("title", T.section_key(F.col("level_1_heading"), F.col("level_2_heading"))).join(colors, [key, "title"])
+    if matches is None:
+        numbered = numbered.withColumn("_pages", F.array().cast("array<int>"))
+    else:
+        pages = matches.groupBy(key, "seq").agg(F.array_sort(F.collect_set("page_num")).alias("_pages"))
+        numbered = numbered.join(pages, [key, "seq"], "left").withColumn("_pages", F.coalesce("_pages", F.array().cast("array<int>")))
+    heading = T.heading_group_key(F.col("level_2_heading"), F.col("level_3_heading"))
+    runs = L.consecutive_groups(numbered.withColumn("_k", F.struct(F.col(key), F.col("page_start"))), "_k", heading, "seq")
+    card = card_html(F.col("number"), F.col("color"), page_note(F.col("page_start"), F.col("_pages")))
+    cards = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq"), card.alias("c")))), lambda x: x["c"]), "\n")
+    label = F.coalesce(T.falsy(T.heading_breadcrumb(F.col("level_2_heading"), F.col("level_3_heading"))), F.lit("No heading"))
+    first = F.min(F.struct("seq", label.alias("label"), "color"))
+    groups = runs.groupBy(key, "page_start", "run").agg(cards.alias("cards"), first.alias("f"))
+    group = F.concat(F.lit('<div class="group" style="--group-color: '), F.col("f.color"), F.lit('"><h3>'), F.col("f.label"), F.lit("</h3>"), F.col("cards"), F.lit("</div>"))
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("page_start", "run", group.alias("g")))), lambda x: x["g"])
+    body = groups.groupBy(key).agg(F.array_join(shown, "\n").alias("_body"))
+    whole = body.join(outline_html(numbered, key), key, "left")
+    return whole.select(key, F.concat(F.lit("<!doctype html><body>"), F.coalesce("outline", F.lit("")), F.col("_body"), F.lit("</body>")).alias("html"))

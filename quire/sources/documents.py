@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schema
-from quire.functions.text import WHITE, strip
+from quire.functions.text import WHITE, json_value, once, strip
 
 LINES_PER_PAGE, PAGES_PER_BATCH = 5, 2
 
@@ -26,42 +26,94 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return out.withColumn("batch_no", F.floor((F.col("page_num") - 1) / PAGES_PER_BATCH).cast("int")).select("doc_id", "block_no", "page_num", "batch_no", "text")
 
 
+# what ends a paragraph that has no end tag
+_ENDS = "address|article|aside|blockquote|div|dl|fieldset|figure|footer|form|h[1-6]|header|hr|main|nav|ol|pre|section|table|ul"
+HIDDEN_RE = r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->"
+PARAGRAPH_RE = r"(?is)<p(?:\s[^>]*)?>"
+TO_END_RE = rf"(?is)^(.*?)(?:</(?:p|article|body|div|main|section)\b|<(?:{_ENDS})\b|\z)"
+TAG_RE = r"(?s)<[^>]*>"
+
+
+def plain(markup: Column) -> Column:
+    """Markup without its tags, the usual entities resolved."""
+    x = F.regexp_replace(markup, TAG_RE, "")
+    # fixed values: the entities that ``html_escape`` writes, the ampersand last
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return strip(x)
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, block_no, text: the paragraphs of web pages without tags."""
-    found = F.regexp_extract_all(F.col("html"), F.lit(r"<p>([^<]*)"), F.lit(1))
-    out = pages.select("page_id", F.posexplode(found).alias("block_no", "text"))
-    return out.withColumn("text", strip(F.col("text"))).where("text <> ''")
+    """page_id, block_no, text: the paragraphs of web pages, with the text of the tags inside them. One ends at its end
+    tag, at the next paragraph or block, or where what holds it ends."""
+    visible = F.regexp_replace("html", HIDDEN_RE, "")
+    parts = pages.select("page_id", F.posexplode(F.split(visible, PARAGRAPH_RE)).alias("block_no", "part")).where("block_no > 0")
+    out = parts.select("page_id", (F.col("block_no") - 1).alias("block_no"), plain(F.regexp_extract("part", TO_END_RE, 1)).alias("text"))
+    return out.where("text <> ''")
 
 
 def html_headings(pages: DataFrame) -> DataFrame:
-    """page_id, level_1 (the first h1), level_2 (the first b)."""
+    """page_id, level_1 (the first h1), level_2 (the first b), with the text of the tags inside them."""
+
     def first(tag: str) -> Column:
-        return F.regexp_extract("html", rf"<{tag}>([^<]*)", 1)
+        return plain(F.regexp_extract("html", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1))
 
     return pages.select("page_id", first("h1").alias("level_1"), first("b").alias("level_2"))
 
 
+def chunk_error(v: Column) -> Column:
+    """The first member of a chunk line (a variant) that the chunk schema does not allow, or null."""
+    kind = F.schema_of_variant(v)
+    out = F.when(v.isNull() | ~kind.startswith("OBJECT"), F.lit("line"))
+    for where, fields in (("$", schema.CHUNK_FIELDS), ("$.metadata", schema.METADATA_FIELDS)):
+        for name, t in fields.items():
+            path = f"{where}.{name}"
+            found, text = F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.try_variant_get(v, path, "string")
+            missing = found.isNull()
+            if name == "metadata":
+                out = out.when(missing | ~found.startswith("OBJECT"), F.lit(path))
+            elif t == "array<string>":
+                out = out.when(~missing & ~(found.startswith("ARRAY") & F.forall(F.try_variant_get(v, path, "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")), F.lit(path))
+            elif t == "int":
+                whole = found.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|STRING)") & text.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$")
+                out = out.when(missing | ~(whole | (found == "BOOLEAN")), F.lit(path))
+            elif name in ("chunk_id", "document_id", "source"):
+                out = out.when(missing | (found != "STRING"), F.lit(path))
+            elif name in ("source_url", "embedding_text"):
+                out = out.when(~missing & (found != "STRING"), F.lit(path))
+            else:
+                allowed = {"content_type": schema.CONTENT_TYPES, "continuation_status": schema.CONTINUATION}.get(name)
+                good = found == "STRING"
+                out = out.when(~missing & (found != "VOID") & ~(good & text.isin(allowed) if allowed else good), F.lit(path))
+    return out
+
+
 def scan_chunks(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Chunks of a JSON-lines file or folder, blank lines skipped. strict: any bad line or invalid chunk raises.
+    """Chunks of a JSON-lines file or folder, blank lines skipped. strict: any bad line or invalid chunk raises; else what
+    does not fit is null.
 
     ``seq`` comes from the end of chunk_id, as Spark keeps no line order across files.
     """
     lines = spark.read.text(path).where(strip(F.col("value")) != "")
-    parsed = lines.select(F.from_json("value", schema.CHUNK, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("c")).select("c.*")
     if strict:
-        wrong = F.col("chunk_id").isNull() | F.col("document_id").isNull() | F.col("source").isNull() | F.col("page_start").isNull() | F.col("page_end").isNull() | F.col("metadata").isNull()
-        for name, allowed in (("content_type", schema.CONTENT_TYPES), ("continuation_status", schema.CONTINUATION)):
-            wrong = wrong | (F.col(name).isNotNull() & ~F.col(name).isin(allowed))
-        parsed = parsed.withColumn("chunk_id", F.when(wrong, F.raise_error(F.concat(F.lit("invalid chunk "), F.coalesce("chunk_id", F.lit("without id"))))).otherwise(F.col("chunk_id")))
+        lines = once(lines, "_v", json_value(strip(F.col("value"))))
+        lines = once(lines, "_e", chunk_error(F.col("_v")))
+        lines = lines.select(F.when(F.col("_e").isNotNull(), F.raise_error(F.concat(F.lit("invalid chunk: "), "_e", F.lit(" in "), F.substring("value", 1, 200)))).otherwise(F.col("value")).alias("value"))
+    parsed = lines.select(F.from_json("value", schema.CHUNK, {"mode": "PERMISSIVE"}).alias("c")).select("c.*")
+    if strict:  # defaults of the schema
+        empty = F.array().cast("array<string>")
+        parsed = parsed.withColumns({"keywords": F.coalesce("keywords", empty), "entities": F.coalesce("entities", empty), "source_url": F.coalesce("source_url", F.lit("")), "embedding_text": F.coalesce("embedding_text", F.lit(""))})
     return parsed.withColumn("seq", F.regexp_extract("chunk_id", r"_(\d+)$", 1).try_cast("int"))
 
 
 def scan_pdf_dir(spark: SparkSession, path: str) -> DataFrame:
-    """path, document_id, source, content of the ``*.pdf`` files right in a folder, by path; without any it raises."""
+    """path, document_id, source, content of the ``*.pdf`` files right in a folder (folders inside are not looked at),
+    without an order: sort the paths, not the contents. A folder that does not exist raises; one without such files is empty."""
     from quire.functions.text import safe_stem, stem
 
-    files = spark.read.format("binaryFile").load(path if path.endswith(".pdf") else f"{path.rstrip('/')}/*.pdf")  # folders inside are not looked at
-    return files.select("path", safe_stem(F.col("path")).alias("document_id"), stem(F.col("path")).alias("source"), "content").orderBy("path")
+    reader = spark.read.format("binaryFile")
+    files = reader.load(path) if path.endswith(".pdf") else reader.option("pathGlobFilter", "*.pdf").load(path)
+    return files.select("path", safe_stem(F.col("path")).alias("document_id"), stem(F.col("path")).alias("source"), "content")
 
 
 #: (bytes) -> list of pages: {"text": str, "blocks": [(x0, y0, x1, y1, text, block_no, block_type)], "words": [...], "png": bytes}

@@ -107,9 +107,10 @@ def test_command_line_round_trip(spark, tmp_path):
 
     out = str(tmp_path / "out")
     found = process_documents(spark, str(tmp_path), out, backend, "m", reader=reader)
-    assert [f.rsplit("=")[-1] for f in found] == ["Two_words", "one"]
+    assert [f.rsplit("/")[-1] for f in found] == ["Two_words.jsonl", "one.jsonl"]
     assert outline_text(spark, found[0]) == "- T (1 chunk)"
-    line = (next((tmp_path / "out" / "document_id=one").glob("part-*"))).read_text().strip()
+    line = (tmp_path / "out" / "one.jsonl").read_text().strip()
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith(".")) == ["Two_words.jsonl", "one.jsonl"]
     assert list(json.loads(line))[:3] == ["chunk_id", "document_id", "source"] and json.loads(line)["table_markdown"] is None
     assert process_documents(spark, str(tmp_path), out, lambda *a: 1 / 0, "m", reader=reader) == found
 
