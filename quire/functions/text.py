@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType, StructType
 
 # fixed values: the 29 code points that Python's str.strip() removes
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+# fixed values: what Python's str.splitlines() takes for a line's end
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 MIN_WORDS, MIN_COVERAGE = 15, 0.3
 # fixed values: what stands in for a missing text, and the note of a recovered chunk
 NO_PAGE_TEXT = "(no text layer for this page range)"
@@ -269,14 +271,14 @@ def heading_breadcrumb(*levels: Column) -> Column:
 def table_md_to_html(md: Column) -> Column:
     """Fewer than two rows: preformatted. Else the first row is the header and the second is left out; pipes at a
     row's edges go, however many."""
-    rows = F.filter(F.transform(F.split(md, "\n"), strip), lambda r: r != "")
+    rows = F.filter(F.transform(F.split(md, LINE_END), strip), lambda r: r != "")
 
     def cells(row: Column, tag: str) -> Column:
         found = F.transform(F.split(F.btrim(row, F.lit("|")), r"\|"), lambda c: F.concat(F.lit(f"<{tag}>"), html_escape(strip(c)), F.lit(f"</{tag}>")))
         return F.concat(F.lit("<tr>"), F.array_join(found, ""), F.lit("</tr>"))
 
     body = F.transform(F.slice(rows, F.lit(3), F.greatest(F.size(rows) - 2, F.lit(0))), lambda r: cells(r, "td"))
-    made = F.concat(F.lit("<table><thead>"), cells(F.get(rows, F.lit(0)), "th"), F.lit("</thead><tbody>"), F.array_join(body, ""), F.lit("</tbody></table>"))
+    made = F.concat(F.lit('<table class="chunk-table"><thead>'), cells(F.get(rows, F.lit(0)), "th"), F.lit("</thead><tbody>"), F.array_join(body, ""), F.lit("</tbody></table>"))
     return F.when(F.size(rows) < 2, F.concat(F.lit("<pre>"), html_escape(md), F.lit("</pre>"))).otherwise(made)
 
 

@@ -305,7 +305,17 @@ def skip_existing_documents(spark, d):
     return skip_existing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
-@query()
+_KIND = "CASE WHEN NOT is_recovered AND ord % 11 = 0 THEN 'prose' ELSE 'paragraph' END"
+_PAGES = "'page_start': CAST(page_start AS INT), 'page_end': CAST(CASE WHEN is_recovered THEN page_start ELSE batch_no * 2 + 2 END AS INT)"
+_HEADINGS = f"'level_1_heading': l1, 'level_2_heading': l2, 'level_3_heading': l3, 'content_type': {_KIND}, 'continuation_status': CASE WHEN is_recovered THEN 'partial' ELSE 'new' END"
+_IDS_SQL = "'document_id': CAST(doc_id AS VARCHAR), 'source': source, 'source_url': ''"
+
+
+@query(f"""WITH {NUMBERED}, k AS (SELECT numbered.*, source, CASE WHEN NOT is_recovered AND ord % 2 = 0 THEN ['alpha', 'beta'] ELSE []::VARCHAR[] END AS kw FROM numbered JOIN documents USING (doc_id))
+SELECT CAST(doc_id AS VARCHAR) AS document_id, seq, CAST(to_json({{'chunk_id': doc_id || '_' || seq, {_IDS_SQL}, {_PAGES}, {_HEADINGS}, 'chunk_text': chunk_text, 'table_markdown': NULL::VARCHAR, 'keywords': kw, 'entities': []::VARCHAR[],
+'source_notes': CASE WHEN is_recovered THEN '{T.RECOVERED_NOTE.replace(chr(39), chr(39) * 2)}' END,
+'embedding_text': trim('source: ' || source || chr(10) || 'title: ' || coalesce(l1, '') || chr(10) || 'section: ' || coalesce(l2, '') || chr(10) || 'topic: ' || coalesce(l3, '') || chr(10) || 'keywords: ' || array_to_string(kw, ', ') || chr(10) || 'entities: ' || chr(10) || chr(10) || 'content:' || chr(10) || chunk_text, {WS}),
+'metadata': {{{_IDS_SQL}, {_PAGES}, {_HEADINGS}}}}}) AS VARCHAR) AS line FROM k""")
 def chunk_lines_json(spark, d):
     out = numbered(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return chunk_lines(C.finish(out, F.col("doc_id").cast("string"), F.col("source"), F.lit("")))
@@ -408,6 +418,18 @@ def scan_chunks_raw(spark, d):
     return D.scan_chunks(spark, chunk_files(spark, d), strict=False).select("document_id", "seq", "chunk_id", "chunk_text", "level_1_heading", "page_start")
 
 
+@query(f"""WITH {NUMBERED}, p AS (SELECT 'doc_' || doc_id AS doc_id, seq, list_filter([l1, l2, l3], lambda x: x IS NOT NULL AND x <> '') AS path FROM numbered), x AS (SELECT doc_id, seq, path, unnest(range(1, len(path) + 1)) AS k FROM p WHERE len(path) > 0),
+n AS (SELECT doc_id, path[1:k] AS path, CAST(k AS INT) AS level, min(seq) AS first_seq, count(*) FILTER (WHERE len(path) = k) AS own, min(path[1]) AS t1, min(CASE WHEN k > 1 THEN path[2] END) AS t2 FROM x GROUP BY doc_id, path[1:k], k),
+o AS (SELECT n.*, min(first_seq) OVER (PARTITION BY doc_id, t1) AS f1, CASE WHEN level > 1 THEN min(first_seq) OVER (PARTITION BY doc_id, t1, t2) END AS f2, CASE WHEN level > 2 THEN first_seq END AS f3 FROM n),
+m AS (SELECT doc_id, string_agg(repeat('  ', level - 1) || '- ' || path[level] || CASE own WHEN 0 THEN '' WHEN 1 THEN ' (1 chunk)' ELSE ' (' || own || ' chunks)' END, chr(10) ORDER BY f1, f2 NULLS FIRST, f3 NULLS FIRST) AS markdown FROM o GROUP BY doc_id)
+SELECT string_agg(markdown, chr(10) ORDER BY doc_id) AS printed FROM m""")
+def outline_printed(spark, d):
+    """What the outline command prints for a folder of chunk files."""
+    from quire.cli import outline_text
+
+    return spark.createDataFrame([(outline_text(spark, chunk_files(spark, d)),)], "printed string")
+
+
 # documents of three kinds of pages stand in for PDF files; the reader sees a file's bytes
 PDFS = [("one", ["Intro", "Body of one"]), ("Two words (v2)", ["Only page"]), ("blank", [" "])]
 
@@ -556,6 +578,29 @@ def report_counts(spark, d):
     return html.select("doc_id", *(((F.char_length("html") - F.char_length(F.replace("html", F.lit(m), F.lit("")))) / len(m)).cast("long").alias(k) for k, m in marks.items()))
 
 
+@query(_values([("a", 1, 160, 120, "255,0,0", "255,227,227", "255,255,255")], "doc_id, page_num, width, height, edge, inside, outside"))
+def boxed_pages(spark, d):
+    """A white page with two boxes of one chunk, one of them outside, and a page whose image is broken."""
+    import numpy as np
+    import pandas as pd
+
+    from quire.sinks import images
+
+    pages = spark.createDataFrame([("a", 1, images.write_png(np.full((120, 160, 3), 255, np.uint8))), ("b", 1, b"broken")], "doc_id string, page_num int, png binary")
+    rows = [("a", 1, 12, "#ff0000", 20.0, 20.0, 60.0, 40.0), ("a", 1, 12, "#ff0000", 500.0, 500.0, 600.0, 600.0), ("b", 1, 1, "#00ff00", 0.0, 0.0, 9.0, 9.0)]
+    boxes = spark.createDataFrame(rows, "doc_id string, page_num int, number int, color string, x0 double, y0 double, x1 double, y1 double")
+
+    def look(frames):
+        for f in frames:
+            shown = [images.read_png(bytes(x)) for x in f["png"]]
+            out = pd.DataFrame({"doc_id": f["doc_id"], "page_num": f["page_num"], "width": [p.shape[1] for p in shown], "height": [p.shape[0] for p in shown]})
+            for name, y, x in (("edge", 70, 38), ("inside", 65, 100), ("outside", 5, 5)):
+                out[name] = [",".join(map(str, p[y, x])) for p in shown]
+            yield out
+
+    return images.boxed_pages(pages, boxes).mapInPandas(look, "doc_id string, page_num int, width int, height int, edge string, inside string, outside string")
+
+
 # ---- layout
 
 
@@ -608,7 +653,7 @@ best AS (SELECT * FROM sc WHERE score >= 6 QUALIFY row_number() OVER (PARTITION
 def scored_pages(spark, d):
     words = F.array_distinct(F.flatten(F.collect_list(T.significant_words(F.col("text")))))
     pages = blocks(spark, d).groupBy("doc_id", "page_num").agg(words.alias("pw"))
-    chunks = numbered(spark, d).select("doc_id", "seq", "page_start", F.col("page_start").alias("page_end"), T.significant_words(F.col("chunk_text")).alias("cw"))
+    chunks = T.once(numbered(spark, d).select("doc_id", "seq", "page_start", F.col("page_start").alias("page_end"), "chunk_text"), "cw", T.significant_words(F.col("chunk_text"))).drop("chunk_text")
     out = L.candidate_pages(chunks, pages, "doc_id").withColumn("score", F.size(F.array_intersect("cw", "pw")))
     return L.primary_page(out.where(F.col("score") >= L.MIN_MATCHED), "doc_id", "seq")
 
@@ -729,7 +774,21 @@ def heading_breadcrumb(spark, d):
     return raw_chunks(spark, d).select("doc_id", "block_no", T.heading_breadcrumb(F.col("level_1_heading"), F.col("level_2_heading"), F.col("level_3_heading")).alias("crumb"))
 
 
-@query("SELECT p_partkey, '<table><thead><tr><th>name</th><th>size</th></tr></thead><tbody><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr></tbody></table>' AS html FROM part")
+# tables as models write them, and their markup
+_T = '<table class="chunk-table"><thead><tr>'
+TABLES = [
+    ("one row", "<pre>one row</pre>"), ("", "<pre></pre>"), ("| a < b |", "<pre>| a &lt; b |</pre>"), ("| a | b |\n|---|---|\n| 1 | 2 |", _T + "<th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>"),
+    ("a | b\n---|---\n|| 1 | <x> |", _T + "<th>a</th><th>b</th></tr></thead><tbody><tr><td>1</td><td>&lt;x&gt;</td></tr></tbody></table>"), ("\n h |\n\n s \n", _T + "<th>h</th></tr></thead><tbody></tbody></table>"),
+    ("| a | b | c |\r\n|-|-|-|\r\n| 1 | | 3 |\r\n| 'q' |", _T + "<th>a</th><th>b</th><th>c</th></tr></thead><tbody><tr><td>1</td><td></td><td>3</td></tr><tr><td>&#x27;q&#x27;</td></tr></tbody></table>"),
+]
+
+
+@query(_values([(i, h) for i, (_, h) in enumerate(TABLES)], "id, html"))
+def tables_by_hand(spark, d):
+    return spark.createDataFrame([(i, m) for i, (m, _) in enumerate(TABLES)], "id int, md string").select("id", T.table_md_to_html(F.col("md")).alias("html"))
+
+
+@query("SELECT p_partkey, '<table class=\"chunk-table\"><thead><tr><th>name</th><th>size</th></tr></thead><tbody><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr></tbody></table>' AS html FROM part")
 def table_md_to_html(spark, d):
     md = F.concat(F.lit("| name | size |\n|---|---|\n| "), F.col("p_name"), F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))
     return table(spark, d, "part").select("p_partkey", T.table_md_to_html(md).alias("html"))

@@ -96,3 +96,21 @@ def test_colors(spark):
     for i in range(12):
         rgb = colorsys.hls_to_rgb(i * T.TURN % 1.0, 0.45, 0.6)
         assert one(spark, T.section_color(F.lit(i))) == "#" + "".join(f"{round(c * 255):02x}" for c in rgb)
+
+
+def test_images_have_one_line(spark):
+    import base64
+
+    data = bytes(range(256)) * 3
+    assert one(spark, T.image_url(F.lit(data))) == "data:image/png;base64," + base64.b64encode(data).decode()
+
+
+def test_settings_file(tmp_path, monkeypatch):
+    from quire.plans import process as R
+
+    (tmp_path / "env").write_text("# x\nexport QUIRE_VLM_MODEL='a b' # c\nSET=new\n")
+    monkeypatch.setenv("SET", "old")
+    monkeypatch.delenv(R.MODEL_VARIABLE, raising=False)
+    monkeypatch.setattr("os.environ", dict(__import__("os").environ))
+    assert R.load_env(str(tmp_path / "env")) == {"QUIRE_VLM_MODEL": "a b", "SET": "new"} and R.load_env(str(tmp_path / "none")) == {}
+    assert R.model_name() == "a b" and __import__("os").environ["SET"] == "old"
