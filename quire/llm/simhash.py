@@ -7,8 +7,8 @@ one bit from either, and the anchor next to that midpoint is within COVER + 1 of
 replicated to the (at most 17) anchors of each block within that radius, fingerprints are compared only with those at
 the same anchor, and no pair is lost. Groups at an anchor yield a spanning forest of their links, never all pairs.
 
-Components are found by minimum labels with pointer jumping over those links; equal fingerprints are one node from the
-start, so a group of copies is a single row, however large.
+Components are found by merging linked nodes, round after round; equal fingerprints are one node from the start, so a
+group of copies is a single row, however large.
 
 Null and empty texts have the fingerprint zero. Null ``doc_id``s are kept; they never name a component unless all of it
 is null. Rows that share a ``doc_id`` are each kept. An empty table gives an empty one. Columns other than ``doc_id`` and
@@ -211,23 +211,32 @@ def links_at(near: DataFrame, most: int, forest=_forest, order: tuple[str, ...]
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """node, label (the smallest node of its component) for all nodes of ``links`` (a, b).
 
-    Each round hangs every node's label under the smallest label next to it and halves the paths; the number of rounds
-    grows with the logarithm of the longest path. Only counts reach the driver.
+    Each round merges every node into the least of itself and its neighbours, by number in even rounds (so the stars of
+    ``links_at`` go in the first) and by a hash in odd ones (so chains shrink by a constant share), and keeps the links
+    between what is left. So the rounds grow with the logarithm of the number of nodes. Neighbours are summed before the
+    shuffle; the joins are plain ones of tables, which Spark splits where a node has many links. Only whether links are
+    left reaches the driver.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(rounds):
-        across = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        # what a node sees is also told to the node that its label names
-        seen = labels.join(across, "node").select("node", "label", "m")
-        told = seen.groupBy(F.col("label").alias("node")).agg(F.min("m").alias("t"))
-        hung = seen.join(told, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "m", F.coalesce("t", "m")).alias("label"))
-        jump = hung.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = written(hung.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        if new.where("old <> label").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
-    raise RuntimeError(f"components have not settled in {rounds} rounds")
+    left = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    merges: list[DataFrame] = []
+    while not left.isEmpty():
+        if len(merges) == rounds:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
+        rank = F.xxhash64("y", F.lit(len(merges))) if len(merges) % 2 else F.col("y")
+        both = left.select(F.col("a").alias("x"), F.col("b").alias("y")).union(left.select("b", "a")).union(left.select("a", "a")).union(left.select("b", "b"))
+        least = both.groupBy(F.col("x").alias("node")).agg(F.min(F.struct(rank.alias("rank"), F.col("y").alias("into"))).alias("m"))
+        merge = written(least.select("node", F.col("m.into").alias("into")))
+        merges.append(merge)
+        new = left.join(merge.withColumnsRenamed({"node": "a", "into": "p"}), "a").join(merge.withColumnsRenamed({"node": "b", "into": "q"}), "b")
+        left = written(new.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+    if not merges:
+        return links.limit(0).select(F.col("a").alias("node"), F.col("b").alias("label"))
+    found = merges[0].withColumnRenamed("into", "label")
+    for k, merge in enumerate(merges[1:]):
+        found = found.join(merge.withColumnsRenamed({"node": "label", "into": f"to{k}"}), "label", "left").select("node", F.coalesce(f"to{k}", "label").alias("label"))
+    found = written(found)
+    names = written(found.groupBy("label").agg(F.min("node").alias("name"), F.count("*").alias("n")))
+    return skewed_join(found, names, "label", "n", found.count()).select("node", F.col("name").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
@@ -240,8 +249,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
     links = anchor_links(firsts.select(F.col("fp").alias("node"), sig.alias("blocks"), sig.alias("sig")), most)
     labels = components(links)
     named = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "label").select("fp", "component_id", "n")
+    named = written(named)
+    least = written(named.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("many")))
+    named = skewed_join(named, least, "label", "many", named.count()).select("fp", "component_id", "n")
     return skewed_join(fps, written(named), "fp", "n", fps.count()).select("doc_id", "fp", "component_id")
 
 
@@ -391,8 +401,8 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, component_id for every row of ``docs``: classes of copies and near copies (``text_classes``). The
     component is named by its smallest doc_id; it is null where all of its rows lack one."""
     classes, rows = text_classes(docs, words)
-    least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = written(classes.join(least, "label").select("node", "component_id", "n"))
+    least = written(classes.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("many")))
+    named = written(skewed_join(classes, least, "label", "many", classes.count()).select("node", "component_id", "n"))
     return skewed_join(rows, named, "node", "n", rows.count()).select("doc_id", "component_id")
 
 

@@ -263,6 +263,19 @@ def test_long_chain(spark):
     assert dict(simhash.components(links).collect()) == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_components_of_random_links(spark):
+    rng = random.Random(3)
+    for many, nodes in ((0, 5), (1, 2), (60, 80), (150, 100), (400, 60)):
+        links = [(rng.randrange(nodes) * 7 - 50, rng.randrange(nodes) * 7 - 50) for _ in range(many)] + [(5000, 5000 + i) for i in range(1, many)] + [(9000 + i, 9001 + i) for i in range(many // 5)]
+        label = {x: x for link in links for x in link if link[0] != link[1]}
+        for a, b in links:
+            if a != b and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+        got = simhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(got) == len(label) and dict(map(tuple, got)) == label
+
+
 # ---- substrings
 
 
