@@ -115,6 +115,42 @@ def test_command_line_round_trip(spark, tmp_path):
     assert process_documents(spark, str(tmp_path), out, lambda *a: 1 / 0, "m", reader=reader) == found
 
 
+def test_documents_that_fail_or_have_no_chunks(spark, tmp_path):
+    """One file for each document that did not fail, also without chunks; bad answers fail their document only; templates of one's own."""
+    for name in ("list", "text", "none", "types", "good"):
+        (tmp_path / f"{name}.pdf").write_bytes(name.encode())
+
+    def reader(content, zoom):
+        return [{"text": content.decode(), "blocks": [(0, 0, 1, 1, content.decode(), 0, 0)], "words": [], "png": b"x"}]
+
+    answers = {"list": "[1]", "text": '"x"', "none": "{}", "types": '{"chunks": [{"keywords": "ab"}]}', "good": '{"chunks": [{"chunk_text": "t"}]}'}
+    def backend(model, content, most, temperature):
+        prompt = content[0]["text"]
+        assert prompt.startswith(("mine ", "own "))
+        return json.dumps({}) if prompt.startswith("mine ") else answers[prompt.split()[1]]
+
+    out = str(tmp_path / "out")
+    found = process_documents(spark, str(tmp_path), out, backend, "m", reader=reader, outline_template="mine {{document_id}}", chunk_template="own {{document_id}} {{known_outline}}", source_urls={"good": "https://x.example"})
+    assert [f.rsplit("/")[-1] for f in found] == ["good.jsonl", "none.jsonl"]
+    got = D.scan_chunks(spark, out).collect()
+    assert [(r.chunk_id, r.document_id, r.source_url, r.metadata.source_url) for r in got] == [("good_0", "good", "https://x.example", "https://x.example")]
+    assert process_documents(spark, str(tmp_path / "out"), out, backend, "m", reader=reader) == []
+    with pytest.raises(FileNotFoundError):
+        process_documents(spark, str(tmp_path / "nowhere"), out, backend, "m", reader=reader)
+
+
+def test_stream(spark, tmp_path):
+    """Documents that arrive as files: the lost blocks of each are found once."""
+    from quire.streaming import stream_missed_blocks
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    chunks = spark.createDataFrame([(1, 0, LONG, None)], "doc_id long, batch_no int, chunk_text string, table_markdown string")
+    for k in (1, 2):
+        spark.createDataFrame([(k, LONG, "en", "s", len(LONG))], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_missed_blocks(spark, str(tmp_path / "in"), chunks, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
+    assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+
+
 def test_model_is_needed(monkeypatch):
     monkeypatch.delenv(R.MODEL_VARIABLE, raising=False)
     with pytest.raises(ValueError):
