@@ -162,6 +162,24 @@ def test_every_block_lies_near_an_anchor():
         assert all(set(a[1][a[0] == i]) & set(b[1][b[0] == i]) for i in range(200))
 
 
+def test_bits_by_their_definition():
+    """Of the whole text: words, runs of four (repeats included), XXH64 with seed 42, bits set in over half of the hashes."""
+    import re
+
+    import xxhash
+
+    rng = random.Random(1)
+    texts = [prose(n, n) for n in (1, 3, 4, 5, 50, 700)] + ["", " \t\r\n\x0b\x0c", "ABC Äß a", "a b a b a b a b", "x\u00a0y z", "\x1cq w e r t"]
+    texts += ["".join(rng.choice("aB \t\u3000é") for _ in range(60)) for _ in range(30)]
+    for t in texts:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        words = re.findall("[^\x20\x09-\x0D]+", low)
+        runs = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64(r.encode(), seed=42).intdigest() for r in runs]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.simhash64(t) == want, t
+
+
 def brute_components(fps, ids, most):
     label = list(range(len(fps)))
     for i, j in combinations(range(len(fps)), 2):
@@ -851,3 +869,37 @@ def test_language_against_loops(spark, monkeypatch, share):
 def test_registrable_domains():
     got = [language.registrable(h) for h in ("blog.example.com", "example.com", "a.b.co.uk", "b.co.uk", "co.uk", "x.y.z.de", "localhost", "")]
     assert got == ["example.com", "example.com", "b.co.uk", "b.co.uk", "co.uk", "z.de", "localhost", ""]
+
+
+ODD = [None, "", "same text here", "same text here", "x" * 30_000, " \n\t ", "ü€😀 " * 40, "One. Two. Three.", "### !!!"]
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Whole tables with nulls in every column, repeated rows and ids, ties, a long text and names that clash; and empty ones."""
+    folders = {k: str(tmp_path_factory.mktemp(k)) for k in ("odd", "empty")}
+    texts = ODD + [prose(80, i) for i in range(20)] + [prose(80, 3), "word " * 20_000]
+    ids = [*range(len(ODD)), *range(100, 120), 103, None]
+    d = docs(spark, texts, ids).withColumn("lang", F.when(F.col("pos") % 5 > 0, "en")).withColumns({n: F.lit("mine") for n in ("score", "tokens", "uid", "label", "removed_words", "shard", "size", "edited", "first")})
+    d = d.unionByName(d.where("pos < 9"))
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(100, 112)] + [(None, 1, 1), (100, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(1, "http://a.example.com/x", f"<html lang=en><p>{texts[10]}"), (1, None, None), (None, "x", ""), (2, "http://a.example.com/x", "<p>" + "word " * 20_000)] * 2, "page_id long, url string, html string").withColumn("host", F.lit(1))
+    for k, f in folders.items():
+        for name, t in (("documents", d), ("labels", labels), ("pages", pages)):
+            (t if k == "odd" else t.limit(0)).write.parquet(f"{f}/{name}.parquet")
+    return folders, d.count(), pages.count()
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.QUERIES))
+def test_queries_over_odd_and_empty_tables(spark, odd_tables, name):
+    folders, documents, pages = odd_tables
+    assert llm_queries.QUERIES[name](spark, folders["empty"]).count() == 0
+    out = llm_queries.QUERIES[name](spark, folders["odd"]).toPandas()
+    assert len(out) == (pages if name == "op3_language" else documents + (out["piece"] > 0).sum() if name == "op7_packing" else documents)
+    if name == "op3_language":
+        assert out["lang"].eq("en").all() and out["page_id"].isna().sum() == 2
+        return
+    assert (out if name != "op7_packing" else out[out["piece"] == 0])["doc_id"].isna().sum() == 1
+    if name not in ("op7_packing", "op5_sharding"):  # equal rows get equal results, but where each has a place of its own
+        mine = out[out["doc_id"] == 4].drop(columns=[c for c in ("edited_sha256", "edited_fingerprint", "near_edited", "near_next", "edit_from", "edit_until", "edited_until") if c in out])
+        assert len(mine.astype(str).drop_duplicates()) == 1
