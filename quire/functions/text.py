@@ -16,6 +16,7 @@ WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(
 # fixed values: what Python's str.splitlines() takes for a line's end
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 MIN_WORDS, MIN_COVERAGE = 15, 0.3
+WORD_LENGTH = 4  # letters that a word needs to count
 # fixed values: what stands in for a missing text, and the note of a recovered chunk
 NO_PAGE_TEXT = "(no text layer for this page range)"
 NO_OUTLINE = "(none established -- infer headings from this page layout)"
@@ -41,7 +42,7 @@ def falsy(x: Column) -> Column:
 def significant_words(text: Column) -> Column:
     """Distinct runs of four or more of a-z, 0-9 and Hangul syllables, A-Z in lower case. Null for null."""
     lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.array_distinct(F.regexp_extract_all(lower, F.lit("[a-z0-9가-힣]{4,}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(lower, F.lit(f"[a-z0-9가-힣]{{{WORD_LENGTH},}}"), F.lit(0)))
 
 
 def significant_word_count(text: Column) -> Column:

@@ -116,17 +116,21 @@ def normalize(raw: DataFrame, start: Column, end: Column, recovered: Column | No
 
 
 def batch_words(chunks: DataFrame, *by: str) -> DataFrame:
-    """The distinct words of each batch's texts and tables: once a batch, not once a block."""
+    """The distinct words of each batch's texts and tables: once a batch, not once a block. Texts are dealt out before
+    they are read, so that it does not matter how the table is stored."""
     body = F.concat_ws(" ", F.coalesce("chunk_text", F.lit("")), F.coalesce("table_markdown", F.lit("")))
-    return chunks.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list(T.significant_words(body)))).alias("covered"))
+    dealt = chunks.select(*by, body.alias("_b")).repartition(*by)
+    return dealt.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list(T.significant_words(F.col("_b"))))).alias("covered"))
 
 
 def find_missed_blocks(blocks: DataFrame, chunks: DataFrame, key: str = "doc_id", least: int = T.MIN_WORDS, most: float = T.MIN_COVERAGE) -> DataFrame:
     """Blocks of ``least`` distinct words or more of which the batch's chunks cover less than ``most``.
 
-    One exchange of each side on (key, batch_no); the join reuses the aggregation's partitioning.
+    One exchange of each side on (key, batch_no), of texts that are long enough to hold so many words; the words are read
+    behind it, and the join reuses its partitioning.
     """
-    words = T.once(blocks, "_w", T.significant_words(F.col("text"))).where(F.size("_w") >= least)
+    long = F.char_length("text") >= T.WORD_LENGTH * least + least - 1  # words of WORD_LENGTH letters, parted by one
+    words = T.once(blocks.where(long).repartition(key, "batch_no"), "_w", T.significant_words(F.col("text"))).where(F.size("_w") >= least)
     covered = batch_words(chunks, key, "batch_no")
     out = words.join(covered, [key, "batch_no"], "left")
     ratio = T.words_coverage(F.col("_w"), F.coalesce("covered", F.array().cast("array<string>")))

@@ -138,7 +138,7 @@ def significant_words(spark, d):
 @query(f"WITH {MISSED} SELECT w.doc_id, w.block_no, CASE WHEN len(ws) = 0 THEN 1.0 ELSE round(len(list_intersect(ws, coalesce(covered, []))) / len(ws), 6) END AS coverage FROM w LEFT JOIN cov USING (doc_id, batch_no)")
 def coverage_ratio(spark, d):
     cov = C.batch_words(raw_chunks(spark, d), "doc_id", "batch_no")
-    out = T.once(blocks(spark, d), "words", T.significant_words(F.col("text"))).drop("text").join(cov, ["doc_id", "batch_no"], "left")
+    out = T.once(blocks(spark, d).repartition("doc_id", "batch_no"), "words", T.significant_words(F.col("text"))).drop("text").join(cov, ["doc_id", "batch_no"], "left")
     ratio = T.words_coverage(F.col("words"), F.coalesce("covered", F.array().cast("array<string>")))
     return out.select("doc_id", "block_no", F.round(ratio, 6).alias("coverage"))
 
