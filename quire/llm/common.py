@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 ROW_BITS = 33
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # what a Python worker gets at once; a batch and its copies must fit beside the heap, however long the texts
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at once: a batch and its copies must fit beside the heap, however long the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset (tests): one in the warehouse, which is shared as well."""
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-work"
