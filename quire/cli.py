@@ -75,6 +75,14 @@ def process_documents(spark: SparkSession, path: str, output_dir: str, backend:
     return sorted(f"{output_dir.rstrip('/')}/{r[0]}.jsonl" for r in S.finished(spark, output_dir).join(mine, "document_id", "left_semi").select("document_id").toLocalIterator())
 
 
+def process_pdf(spark: SparkSession, path: str, output_dir: str, backend: R.Backend, **options) -> str:
+    """The chunk file of one PDF; options as for ``process_documents``. RuntimeError if the document fails."""
+    found = process_documents(spark, path, output_dir, backend, **options)
+    if not found:
+        raise RuntimeError(f"{path} has given no chunk file: a response or chunk was not valid, or the file is empty")
+    return found[0]
+
+
 def outline_text(spark: SparkSession, path: str) -> str:
     chunks = D.scan_chunks(spark, path)
     rows = O.outline_markdown(O.outline_nodes(chunks, "document_id"), "document_id").orderBy("document_id").select("markdown")

@@ -6,7 +6,9 @@ batch; a block was chunked iff block_no % 3 <> 0 and batch_no % 4 <> 1, with hea
 
 from __future__ import annotations
 
+import atexit
 import base64
+import contextlib
 import json
 import uuid
 
@@ -376,10 +378,24 @@ def env_file(spark, d):
 # ---- files, written and read back
 
 
+_MADE: list[str] = []
+
+
 def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: beside the checkpoints, or in the warehouse."""
+    """A new folder where all executors can write: beside the checkpoints, or in the warehouse. It goes when the driver's
+    process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/quire-files-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/quire-files-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@atexit.register
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # a session that has ended can't remove them
+        while _MADE:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import quire
 from quire.cli import outline_text, process_documents
 from quire.operators import chunks as C
 from quire.operators import layout as L
@@ -135,6 +136,9 @@ def test_documents_that_fail_or_have_no_chunks(spark, tmp_path):
     got = D.scan_chunks(spark, out).collect()
     assert [(r.chunk_id, r.document_id, r.source_url, r.metadata.source_url) for r in got] == [("good_0", "good", "https://x.example", "https://x.example")]
     assert process_documents(spark, str(tmp_path / "out"), out, backend, "m", reader=reader) == []
+    assert quire.process_pdf(spark, str(tmp_path / "none.pdf"), out, backend, model="m", reader=reader).endswith("/none.jsonl")
+    with pytest.raises(RuntimeError):
+        quire.process_pdf(spark, str(tmp_path / "list.pdf"), out, backend, model="m", reader=reader, outline_template="mine", chunk_template="own {{document_id}}")
     with pytest.raises(FileNotFoundError):
         process_documents(spark, str(tmp_path / "nowhere"), out, backend, "m", reader=reader)
 
