@@ -143,6 +143,22 @@ def test_documents_that_fail_or_have_no_chunks(spark, tmp_path):
         process_documents(spark, str(tmp_path / "nowhere"), out, backend, "m", reader=reader)
 
 
+def test_both_ways_to_parse_agree(spark):
+    from quire.plans import catalogue as K
+
+    texts = [r[0] for r in K.BAD_RESPONSES] + [f'{{"chunks": [{r[0]}]}}' for r in K.CHUNK_TYPES] + ["", "no json", "``` \n{}```", '```json{"chunks": [{"chunk_text": "x", "extra": {"a": [1]}}]}```', 'a {"chunks": []} b', None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, output_text string")
+
+    def told(strict):
+        return sorted(((r.doc_id, r.ord, r.chunk_text, r.page_start, r.keywords, r.error if r.ord is not None else r.error is not None) for r in C.ingest(rows, strict).collect()), key=str)
+
+    native, strict = told(False), told(True)
+    assert [x for x in native if x[0] < len(texts) - 1] == [x for x in strict if x[0] < len(texts) - 1]
+    raw = C.ingest(rows)
+    status = {r.doc_id: (r.status, r.n_chunks) for r in C.document_status(raw, documents=rows).collect()}
+    assert status[0] == ("ok", 1) and status[1][0] == "failed" and status[11] == ("ok", 0) and len(status) == len(texts)
+
+
 def test_stream(spark, tmp_path):
     """Documents that arrive as files: the lost blocks of each are found once."""
     from quire.streaming import stream_missed_blocks
