@@ -69,11 +69,6 @@ def primary_page(scored: DataFrame, *by: str) -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def word_overlap(chunk: Column, page: Column) -> Column:
-    """An approximation of the sequential matcher: the number of significant words in common."""
-    return F.size(F.array_intersect(T.significant_words(chunk), T.significant_words(page)))
-
-
 def _walk(page: list[str], at: int, tokens: list[str], ahead: int) -> list[int]:
     """Places of ``tokens`` on the page from ``at`` on: each within ``ahead`` words; a miss moves on by one."""
     found = []

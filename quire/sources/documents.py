@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schema
-from quire.functions.text import WHITE, json_value, once, strip
+from quire.functions.text import json_value, once, strip
 
 LINES_PER_PAGE, PAGES_PER_BATCH = 5, 2
 
@@ -152,9 +152,3 @@ def pdf_pages(files: DataFrame, reader: PdfReader = mupdf_reader, zoom: float =
                 )
 
     return files.mapInPandas(run, PAGE)
-
-
-def pdf_blocks(pages: DataFrame) -> DataFrame:
-    """path, page_num, block_no, text: nonblank blocks in reading order."""
-    out = pages.select("path", "page_num", F.explode("blocks").alias("b")).select("path", "page_num", "b.block_no", F.btrim(F.col("b.text"), F.lit(WHITE)).alias("text"))
-    return out.where("text <> ''").orderBy("path", "page_num", "block_no")
