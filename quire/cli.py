@@ -67,7 +67,8 @@ def process_documents(spark: SparkSession, path: str, output_dir: str, backend:
     sound = docs.join(bad, "doc_id", "left_anti")
     good = responses.join(bad, "doc_id", "left_anti").drop("error")
     chunks, status = R.process(blocks.join(bad, "doc_id", "left_anti"), good, sound, resolver, batch_size)
-    done = sound.join(status.where("status = 'ok'"), "doc_id", "left_semi").select("doc_id", F.col("document_id").alias("file_id"))
+    done = sound.join(status.where("status = 'ok'"), "doc_id", "left_semi")
+    done = done.groupBy(F.col("document_id").alias("file_id")).agg(F.min("doc_id").alias("doc_id"))  # of files with one name after slugging the first counts
     S.write_jsonl(kept(chunks, "chunks"), kept(done, "done"), output_dir)
     files_, top = S._files(spark, work)
     files_.delete(top, True)

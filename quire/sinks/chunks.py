@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +41,52 @@ def chunk_lines(chunks: DataFrame) -> DataFrame:
     return chunks.select("document_id", "seq", F.to_json(F.struct(*schema.CHUNK_FIELDS), {"ignoreNullFields": "false"}).alias("line"))
 
 
-def write_jsonl(chunks: DataFrame, documents: DataFrame, folder: str) -> None:
-    """``<file_id>.jsonl`` for each of ``documents`` (key ``doc_id``, ``file_id``), its chunks (``doc_id``) in order; a document
-    without chunks gets a file with a blank line, which readers skip (Spark does not list files without a byte).
+def _direct(folder: str) -> bool:
+    """Whether workers can open the folder's store by themselves."""
+    try:
+        pafs.FileSystem.from_uri(_uri(folder))
+    except (OSError, ValueError, NotImplementedError, pa.ArrowException):
+        return False
+    return True
 
-    A document's lines are sorted and written by one task, into a folder beside the results; after the job has succeeded
-    each file gets its place by a rename, so a file is there as a whole or not at all. The driver sees file names only.
-    """
-    spark = chunks.sparkSession
-    lines = chunks.select("doc_id", "seq", F.to_json(F.struct(*schema.CHUNK_FIELDS), {"ignoreNullFields": "false"}).alias("line"))
-    named = documents.select("doc_id", "file_id").join(lines, "doc_id", "left")
-    work = f"{folder.rstrip('/')}/_work-{uuid.uuid4().hex}"
-    rows = named.repartition("file_id").sortWithinPartitions("file_id", "seq")
-    rows.select("file_id", F.coalesce("line", F.lit("")).alias("value")).write.option("lineSep", "\n").partitionBy("file_id").text(work)
+
+def _uri(folder: str) -> str:
+    return f"file://{folder[5:]}" if folder.startswith("file:/") and not folder.startswith("file://") else folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+
+
+def _written_by_workers(rows: DataFrame, folder: str, work: str) -> None:
+    """A file for each ``file_id`` of rows that are sorted by it, first under another name, then in its place."""
+    target, beside = _uri(folder), _uri(work)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = pafs.FileSystem.from_uri(target)
+        aside = pafs.FileSystem.from_uri(beside)[1]
+        store.create_dir(aside, recursive=True)
+        now, out, done = None, None, 0
+        temporary = f"{aside}/{uuid.uuid4().hex}"  # a task's own, however often it is tried
+
+        def close() -> None:
+            out.close()
+            store.move(temporary, f"{top}/{now}.jsonl")
+
+        for b in batches:
+            for name, line in zip(b.column("file_id").to_pylist(), b.column("value"), strict=True):
+                if name != now:
+                    if out is not None:
+                        close()
+                    now, out, done = name, store.open_output_stream(temporary), done + 1
+                out.write(line.as_py().encode() + b"\n")
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["files"])
+
+    rows.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
+def _written_by_spark(rows: DataFrame, folder: str, work: str) -> None:
+    """The same by Spark's writer, for stores that only Spark opens; the driver renames file by file."""
+    spark = rows.sparkSession
+    rows.write.option("lineSep", "\n").partitionBy("file_id").text(work)
     files, top = _files(spark, folder)
     path = spark._jvm.org.apache.hadoop.fs.Path
     for entry in files.listStatus(path(work)):
@@ -59,7 +96,25 @@ def write_jsonl(chunks: DataFrame, documents: DataFrame, folder: str) -> None:
             files.delete(target, False)
             part = next(f.getPath() for f in files.listStatus(entry.getPath()) if f.getPath().getName().startswith("part-"))
             files.rename(part, target)
-    files.delete(path(work), True)
+
+
+def write_jsonl(chunks: DataFrame, documents: DataFrame, folder: str) -> None:
+    """``<file_id>.jsonl`` for each of ``documents`` (key ``doc_id``, ``file_id``), its chunks (``doc_id``) in order; a document
+    without chunks gets a file with a blank line, which readers skip (Spark does not list files without a byte).
+
+    A document's lines are sorted and written by one task, beside the results, and get their place by a rename, so a file
+    is there as a whole or not at all, and a task that is tried again writes the same. Where workers can't open the store,
+    Spark writes and the driver renames.
+    """
+    spark = chunks.sparkSession
+    lines = chunks.select("doc_id", "seq", F.to_json(F.struct(*schema.CHUNK_FIELDS), {"ignoreNullFields": "false"}).alias("line"))
+    named = documents.select("doc_id", "file_id").join(lines, "doc_id", "left")
+    rows = named.repartition("file_id").sortWithinPartitions("file_id", "seq").select("file_id", F.coalesce("line", F.lit("")).alias("value"))
+    work = f"{folder.rstrip('/')}/_work-{uuid.uuid4().hex}"
+    files, _ = _files(spark, folder)
+    files.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    (_written_by_workers if _direct(folder) else _written_by_spark)(rows, folder, work)
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(work), True)
 
 
 def section_colors(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

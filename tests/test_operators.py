@@ -143,6 +143,26 @@ def test_documents_that_fail_or_have_no_chunks(spark, tmp_path):
         process_documents(spark, str(tmp_path / "nowhere"), out, backend, "m", reader=reader)
 
 
+def test_both_ways_to_write_agree(spark, tmp_path, monkeypatch):
+    """Files by the workers and by Spark: the same, in order, overwritten as a whole, with odd names."""
+    from quire import schema
+
+    docs = spark.createDataFrame([("a", "A b=c%"), ("b", "하나"), ("c", "none")], "doc_id string, file_id string")
+    rows = [(d, i) for d, n in (("a", 30), ("b", 3)) for i in range(n)]
+    chunks = spark.createDataFrame(rows, "doc_id string, seq int").select("*", *(F.lit(None).cast(t).alias(c) if c not in ("chunk_id", "chunk_text") else F.concat("doc_id", F.lit(" é "), F.col("seq").cast("string")).alias(c) for c, t in schema.CHUNK_FIELDS.items()))
+    found = []
+    for name, direct in (("workers", True), ("spark", False)):
+        monkeypatch.setattr(S, "_direct", lambda folder, direct=direct: direct)
+        out = tmp_path / name
+        for _ in range(2):
+            S.write_jsonl(chunks.orderBy(F.desc("seq")), docs, str(out) if direct else f"file:{out}")
+        found.append({p.name: p.read_text() for p in out.iterdir() if not p.name.startswith(".")})
+    assert found[0] == found[1] and sorted(found[0]) == ["A b=c%.jsonl", "none.jsonl", "하나.jsonl"] and found[0]["none.jsonl"] == "\n"
+    assert [json.loads(x)["chunk_text"] for x in found[0]["A b=c%.jsonl"].splitlines()] == [f"a é {i}" for i in range(30)]
+    monkeypatch.undo()
+    assert S._direct(str(tmp_path)) and S._direct(f"file:{tmp_path}") and not S._direct("viewfs://store/x")
+
+
 def test_both_ways_to_parse_agree(spark):
     from quire.plans import catalogue as K
 
