@@ -511,9 +511,11 @@ def batch_texts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {BLOCKS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, batch_no, count(*) AS n_chunks, CAST(min(page_num) AS VARCHAR) AS first_page, count(*) || ' paragraphs' AS summary FROM blocks GROUP BY doc_id, batch_no")
 def vlm_chunker(spark, d):
     """Every batch asked of a client, in the order of its document; what the responses hold."""
-    got = R.live_responses(batch_texts(spark, d), R.Responses(_Client), "model")
-    summary = C.batch_summaries(got.drop("error"))
-    chunks = C.ingest(got.drop("error")).groupBy("doc_id", "batch_no").agg(F.count("*").alias("n_chunks"), F.min(F.col("page_start").cast("int")).cast("string").alias("first_page"))
+    answers = R.live_responses(batch_texts(spark, d), R.Responses(_Client), "model")
+    answers.write.parquet(folder := _folder(spark))  # no request is made twice
+    got = spark.read.schema(answers.schema).parquet(folder).drop("error")
+    summary = C.batch_summaries(got)
+    chunks = C.ingest(got).groupBy("doc_id", "batch_no").agg(F.count("*").alias("n_chunks"), F.min(F.col("page_start").cast("int")).cast("string").alias("first_page"))
     return chunks.join(summary, ["doc_id", "batch_no"]).select("doc_id", "batch_no", "n_chunks", "first_page", F.col("batch_summary").alias("summary"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,32 +104,40 @@ def filled(template: str, values: dict[str, object]) -> str:
 def live_responses(batches: DataFrame, backend: Backend, model: str, max_output_tokens: int = 8000, temperature: float = 0.1, template: str = T.CHUNK_TEMPLATE) -> DataFrame:
     """RESPONSE rows. batches: doc_id, document_id, source, batch_no, page_start, page_end, page_text, known_outline, images.
 
-    The fold carries a summary and the last chunk from batch to batch, so a document is one group and its batches are
-    asked in order; documents run side by side. Write the result before use: a repeated task asks again. An error ends
-    its document only.
+    The fold carries a summary and the last chunk from batch to batch, so a document's batches are asked in order by one
+    task, which goes through its documents one after the other; documents run side by side. Write the result before use:
+    a repeated task asks again. An error ends its document only.
     """
+    names = ["doc_id", "document_id", "source", "batch_no", "page_start", "page_end", "page_text", "known_outline", "images"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        summary = last = ""
-        rows = []
-        for r in pdf.sort_values("batch_no").itertuples():
-            prompt = filled(template, {"document_id": r.document_id, "source": r.source, "page_start": r.page_start, "page_end": r.page_end, "previous_batch_summary": summary, "previous_last_chunk": last, "extracted_page_text": r.page_text or T.NO_PAGE_TEXT, "known_outline": r.known_outline or T.NO_OUTLINE})
-            content = content_of(prompt, r.images)
-            try:
-                text = backend(model, content, max_output_tokens, temperature)
-                found = T.extract_json(text)
-                if not isinstance(found, dict):
-                    raise ValueError("the response is no JSON object")
-                summary = found.get("batch_summary") or summary
-                if found.get("chunks"):
-                    last = json.dumps(found["chunks"][-1], ensure_ascii=False)
-            except Exception as e:  # noqa: BLE001  one document's failure leaves the others alone
-                rows.append((str(r.doc_id), r.batch_no, None, f"{type(e).__name__}: {e}"))
-                break
-            rows.append((str(r.doc_id), r.batch_no, text, None))
-        return pd.DataFrame(rows, columns=["doc_id", "batch_no", "output_text", "error"])
-
-    return batches.groupBy("doc_id").applyInPandas(fold, RESPONSE)
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = summary = last = None
+        failed = False
+        for part in parts:
+            rows = []
+            for r in part.to_pylist():
+                if doc is None or r["doc_id"] != doc:
+                    doc, summary, last, failed = r["doc_id"], "", "", False
+                if failed:
+                    continue
+                values = {k: r[k] for k in ("document_id", "source", "page_start", "page_end")}
+                values |= {"previous_batch_summary": summary, "previous_last_chunk": last, "extracted_page_text": r["page_text"] or T.NO_PAGE_TEXT, "known_outline": r["known_outline"] or T.NO_OUTLINE}
+                text = error = None
+                try:
+                    text = backend(model, content_of(filled(template, values), r["images"]), max_output_tokens, temperature)
+                    found = T.extract_json(text)
+                    if not isinstance(found, dict):
+                        raise ValueError("the response is no JSON object")
+                    summary = found.get("batch_summary") or summary
+                    if found.get("chunks"):
+                        last = json.dumps(found["chunks"][-1], ensure_ascii=False)
+                except Exception as e:  # noqa: BLE001  one document's failure leaves the others alone
+                    text, error, failed = None, f"{type(e).__name__}: {e}", True
+                rows.append((str(doc), r["batch_no"], text, error))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["doc_id", "batch_no", "output_text", "error"])
+
+    return batches.select(*names).repartition("doc_id").sortWithinPartitions("doc_id", "batch_no").mapInArrow(fold, RESPONSE)
 
 
 def live_outlines(documents: DataFrame, backend: Backend, model: str, max_output_tokens: int = 2000, temperature: float = 0.1, template: str = T.OUTLINE_TEMPLATE) -> DataFrame:
