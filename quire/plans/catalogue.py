@@ -503,7 +503,8 @@ class _Client:
 
 
 def batch_texts(spark: SparkSession, d: str) -> DataFrame:
-    b = P.page_text(blocks(spark, d).groupBy("doc_id", "batch_no", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n").alias("text")), "doc_id", "batch_no")
+    # dealt out by document once, for both aggregations
+    b = P.page_text(blocks(spark, d).repartition("doc_id").groupBy("doc_id", "batch_no", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n").alias("text")), "doc_id", "batch_no")
     doc, first = F.col("doc_id").cast("string"), (F.col("batch_no") * 2 + 1).alias("page_start")
     return b.select("doc_id", doc.alias("document_id"), doc.alias("source"), "batch_no", first, (F.col("batch_no") * 2 + 2).alias("page_end"), "page_text", F.lit("").alias("known_outline"), F.array(F.lit("data:,x")).alias("images"))
 
