@@ -1,7 +1,8 @@
 """Substring dedup: sliding sentence spans.
 
-A sentence ends after a word that ends in a stop mark, and at a line end. Every run of RUN consecutive sentences is a
-span; a text of fewer sentences is one span as a whole. So that a passage that begins or ends inside a sentence, or has
+A sentence ends after a word that ends in a stop mark, and at a line end. From every sentence a span runs over RUN
+consecutive sentences, and on until it holds SHORT words, so that stock phrases and headings that clean documents share are
+no passages; a text that holds no such run is one span as a whole. So that a passage that begins or ends inside a sentence, or has
 no stops at all, holds spans as well, long sentences are also cut into clauses: where WINDOW words in a row have no
 sentence end, a clause ends after the word of the least hash among them (the last of equal ones), for each window of so
 many words. A cut depends on fewer than WINDOW words to either side of its word. From every clause a second kind of span
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import fresh, quoted, table, without, written
 
 RUN = 3
-WORDS = 20
+SHORT = 16  # words of a run of sentences at least
+WORDS = 20  # and of a run of clauses
 WINDOW = 10
 PIECE = 1 << 20  # bytes of a text that are read at once
 # fixed values: Thai, Lao, Myanmar, Khmer, kana, Han
@@ -138,12 +140,12 @@ def clauses(keys: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> np.ndar
 def spans(keys: np.ndarray, ends: np.ndarray, run: int = RUN, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first word, word after the last) of every span, in the order of their first words."""
     found = []
-    for bounds, words in ((ends, 0), (clauses(keys, ends), least)):
+    for bounds, words in ((ends, min(SHORT, least)), (clauses(keys, ends), least)):
         starts = np.concatenate([[0], bounds[:-1]]).astype(np.int64) if len(bounds) else np.zeros(0, np.int64)
         at = np.maximum(np.arange(len(starts)) + run - 1, np.searchsorted(bounds, starts + words))
         whole = at < len(bounds)
         found.append(starts[whole] << 32 | bounds[at[whole]])
-    if 0 < len(ends) < run:
+    if len(ends) and not sum(map(len, found)):
         found.append(ends[-1:])
     both = np.unique(np.concatenate(found))
     first, last = both >> 32, both & 0xFFFFFFFF

@@ -353,12 +353,12 @@ def plain_clauses(words, ends, window):
 def plain_spans(text, run=3, least=20):
     words, ends = plain_sentences(text)
     out = set()
-    for bounds, floor in ((ends, 0), (plain_clauses(words, ends, substrings.WINDOW), least)):
+    for bounds, floor in ((ends, substrings.SHORT), (plain_clauses(words, ends, substrings.WINDOW), least)):
         for i, a in enumerate([0, *bounds[:-1]] if bounds else []):
             z = next((e for j, e in enumerate(bounds) if j >= i + run - 1 and e - a >= floor), None)
             if z:
                 out.add((a, z))
-    if 0 < len(ends) < run:
+    if ends and not out:
         out.add((0, ends[-1]))
     return words, sorted(out)
 
