@@ -57,3 +57,31 @@ c AS (SELECT list_transform(range({_SHARDS - 1}), lambda j: list_reduce(list_con
 s AS (SELECT o.*, CAST(len(list_filter(cuts, lambda x: x < o.reach)) AS INT) AS shard FROM o, c)
 SELECT doc_id, size, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, v: xor(c >> 8, tab[CAST(xor(c, v) & 255 AS INT) + 1])), 4294967295::BIGINT) AS text_crc32,
 'bytes' AS law, shard, pos - min(pos) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard FROM s, crc"""
+
+
+OP11 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w, row_number() OVER () AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.w, c.w, true), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+
+def _leaf(text: str) -> str:
+    """The digest of a row with ``text`` in the place of its text."""
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')" for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_CRC_ID = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, v: xor(c >> 8, tab[CAST(xor(c, v) & 255 AS INT) + 1])), 4294967295::BIGINT)"
+# level by level up the trees of the sources, whose roots are the leaves of the last one (key NULL); then from every leaf up
+OP13 = f"""WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+d AS MATERIALIZED (SELECT doc_id, coalesce('s' || source, '') AS key, {_leaf("text")} AS leaf, {_leaf(f"CASE WHEN {_CRC_ID} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS start FROM documents, crc),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM d),
+t AS (SELECT key, 0 AS lvl, i, n, leaf AS h FROM l UNION ALL SELECT key, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY key, lvl, i // 3, n),
+s AS MATERIALIZED (SELECT key, h AS subroot, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, i, n, subroot AS h FROM s UNION ALL SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 3, n),
+p AS MATERIALIZED (SELECT key, lvl, i // 3 AS up, string_agg(h, '' ORDER BY i) AS pre FROM t WHERE n > 1 GROUP BY key, lvl, i // 3),
+v AS MATERIALIZED (SELECT lvl, i // 3 AS up, string_agg(h, '' ORDER BY i) AS pre FROM u WHERE n > 1 GROUP BY lvl, i // 3),
+a AS (SELECT doc_id, key, leaf, 0 AS lvl, i, n, start AS acc, '' AS sib FROM l UNION ALL
+  SELECT doc_id, a.key, leaf, a.lvl + 1, i // 3, (n + 2) // 3, sha256(left(pre, 64 * (i % 3)) || acc || pre[64 * (i % 3) + 65:]), sib || left(pre, 64 * (i % 3)) || pre[64 * (i % 3) + 65:] FROM a JOIN p ON p.key = a.key AND p.lvl = a.lvl AND p.up = i // 3 WHERE n > 1),
+b AS (SELECT doc_id, leaf, subroot, 0 AS lvl, s.i, s.n, acc, sib FROM a JOIN s USING (key) WHERE a.n = 1 UNION ALL
+  SELECT doc_id, leaf, subroot, b.lvl + 1, i // 3, (n + 2) // 3, sha256(left(pre, 64 * (i % 3)) || acc || pre[64 * (i % 3) + 65:]), sib || left(pre, 64 * (i % 3)) || pre[64 * (i % 3) + 65:] FROM b JOIN v ON v.lvl = b.lvl AND v.up = i // 3 WHERE n > 1)
+SELECT doc_id, leaf, subroot, h AS root, sha256(sib) AS proof_sha256, acc AS folded_root, acc = h AS verified FROM b, (SELECT h FROM u WHERE n = 1) WHERE n = 1"""
