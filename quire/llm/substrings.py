@@ -1,8 +1,7 @@
 """Substring dedup: sliding sentence spans.
 
 A sentence ends after a word that ends in a stop mark, and at a line end. From every sentence a span runs over RUN
-consecutive sentences, and on until it holds SHORT words, so that stock phrases and headings that clean documents share are
-no passages; a text that holds no such run is one span as a whole. So that a passage that begins or ends inside a sentence, or has
+consecutive sentences, however short; a text that holds no such run is one span as a whole. So that a passage that begins or ends inside a sentence, or has
 no stops at all, holds spans as well, long sentences are also cut into clauses: where WINDOW words in a row have no
 sentence end, a clause ends after the word of the least hash among them (the last of equal ones), for each window of so
 many words. A cut depends on fewer than WINDOW words to either side of its word. From every clause a second kind of span
@@ -16,8 +15,8 @@ break at the same words: cuts that lie WINDOW - 1 words or more inside it are th
 follows its word 2 * WINDOW - 1 or an earlier one, and the span from there ends within WORDS + WINDOW - 1 (or RUN * WINDOW) words.
 
 Null texts stay null, texts without repeats stay as they are, and a text that goes entirely becomes empty (the row
-stays). Rows with one doc_id count as one document: what repeats only between them stays. Rows without doc_id are one
-such document, which stands before all others, so of what repeats among them all copies stay. Other columns are kept, but for one that
+stays). Rows with one doc_id count as one document: what repeats only between them stays. Rows without doc_id are
+documents each, before all others (among each other in the order in which they are read). Other columns are kept, but for one that
 has the name of the result ``removed_words``. An empty table gives an empty one. Hot spans are summed before the
 shuffle, and their occurrences meet the repeated spans in a join that Spark splits where it is skewed.
 """
@@ -35,8 +34,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import fresh, quoted, table, without, written
 
 RUN = 3
-SHORT = 16  # words of a run of sentences at least
-WORDS = 20  # and of a run of clauses
+WORDS = 20  # of a run of clauses at least
 WINDOW = 10
 PIECE = 1 << 20  # bytes of a text that are read at once
 # fixed values: Thai, Lao, Myanmar, Khmer, kana, Han
@@ -140,7 +138,7 @@ def clauses(keys: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> np.ndar
 def spans(keys: np.ndarray, ends: np.ndarray, run: int = RUN, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first word, word after the last) of every span, in the order of their first words."""
     found = []
-    for bounds, words in ((ends, min(SHORT, least)), (clauses(keys, ends), least)):
+    for bounds, words in ((ends, 0), (clauses(keys, ends), least)):
         starts = np.concatenate([[0], bounds[:-1]]).astype(np.int64) if len(bounds) else np.zeros(0, np.int64)
         at = np.maximum(np.arange(len(starts)) + run - 1, np.searchsorted(bounds, starts + words))
         whole = at < len(bounds)
@@ -183,7 +181,10 @@ def without_repeats(text: str, foreign: np.ndarray, run: int = RUN, least: int =
 def dedup_spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """The rows and columns of ``docs`` with repeated spans cut from ``text``, and ``removed_words``."""
     docs = without(docs, "removed_words")
-    mine, cut_ = fresh(docs, "owner_", "foreign_")
+    owner, mine, cut_ = fresh(docs, "owner_", "mine_", "foreign_")
+    # rows without doc_id get a number of their own, which must not change while it is used
+    nameless = written(docs.where("doc_id is null").withColumn(owner, F.monotonically_increasing_id() + F.lit(-(1 << 63))))
+    docs_ = docs.where("doc_id is not null").withColumn(owner, F.col("doc_id").cast("long")).unionByName(nameless)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,13 +208,12 @@ def dedup_spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFram
             columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns)][:-1]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], [*b.schema.names[:-1], "removed_words"])
 
-    owner = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    found = written(docs.select(owner.alias("d"), "text").mapInArrow(find, "h long, d long, again boolean"))
+    found = written(docs_.select(F.col(owner).alias("d"), "text").mapInArrow(find, "h long, d long, again boolean"))
     repeated = found.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first <> last").select("h", "first")
     later = found.select("h", "d").join(repeated, "h").where("d <> first").select("d", "h")
     inside = found.where("again").select("d", F.lit(None).cast("long").alias("h")).distinct()
     foreign = later.unionByName(inside).groupBy(F.col("d").alias(mine)).agg(F.collect_set("h").alias(cut_))
-    joined = docs.join(foreign, owner == F.col(mine), "left").select(*(quoted(c) for c in docs.columns), cut_)
+    joined = docs_.join(foreign, F.col(owner) == F.col(mine), "left").select(*(quoted(c) for c in docs.columns), cut_)
     return joined.mapInArrow(cut, ", ".join(f"{quoted(c)} {t}" for c, t in docs.dtypes) + ", removed_words int")
 
 

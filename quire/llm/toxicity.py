@@ -10,7 +10,7 @@ surface form is common in harmless training rows. A match inside quotation marks
 of WINDOW words counts as quoted. A logistic regression over the logarithms of the matches' sums gives the score.
 
 Learning uses at most SAMPLE labelled rows, about, chosen by hash, of those whose crc32(doc_id as text) mod 3 is not 1; lexicon
-and harmless forms are words of these rows, so the sample bounds them as well. Labels of one doc_id that disagree count as
+and harmless forms are words of these rows, so the sample bounds them as well. Near copies among them (``_training``) count once. Labels of one doc_id that disagree count as
 toxic. Null and empty texts score as texts without matches. Null ``doc_id``s are scored and never held out. Repeated
 rows get equal scores. Without toxic labels the score is that of an empty model. Other columns are kept, but for one that has the name
 of the result ``score``. An empty table gives an empty one.
@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import quoted, table, without, written
+from quire.llm.simhash import SIMILAR, shingles
 
 SAMPLE = 40_000  # labelled rows for learning, about
 RATIO = 8.0  # of the smoothed document frequencies, for a lexicon word
@@ -211,7 +211,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _training(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """text, toxic of about ``bound`` labelled rows that are not held out."""
+    """text, toxic of about ``bound`` labelled rows that are not held out.
+
+    Near copies count once, so that a text with many copies teaches no more than another: of the rows of one label whose
+    least hashes of five words in a row are equal, a row goes if an earlier one that stays has a similarity of SIMILAR
+    or more (the order is that of the texts' hashes, so the same rows stay however they are dealt). Texts that only share a phrase
+    stay. At one key meet the shingles of rows of the sample, which ``bound`` bounds.
+    """
     labels = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     labels = labels.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = labels.count()
@@ -219,17 +225,37 @@ def _training(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
     # about ``bound`` rows of a number and a label: some hundred kilobytes
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id").select("text", "toxic")
-    # a text counts once, however many copies it has; so do, mostly, near copies, which share the least hash of three words in a row
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least = []
-            for t in b.column("text"):
-                w = t.as_py().split()
-                least.append(min(xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 2))) - (1 << 63))
+            least = [int(min(shingles(t.as_py(), 5), default=0)) - (1 << 63) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("text"), b.column("toxic"), pa.array(least, pa.int64())], ["text", "toxic", "least"])
 
-    return rows.mapInArrow(key, "text string, toxic int, least long").dropDuplicates(["toxic", "least"]).select("text", "toxic")
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that are no near copy of an earlier one of their key that stays."""
+        at, held = None, []
+        for b in batches:
+            stay = []
+            for text, *here in zip(b.column("text"), b.column("toxic").to_pylist(), b.column("least").to_pylist(), strict=True):
+                if here != at:
+                    at, held = here, []
+                h = shingles(text.as_py(), 5)
+                stay.append(not any(_alike(h, other) for other in held))
+                if stay[-1]:
+                    held.append(h)
+            yield b.filter(pa.array(stay, pa.bool_())).select(["text", "toxic"])
+
+    by, order = ["toxic", "least"], [F.xxhash64("text"), F.col("text")]
+    rows = rows.distinct().mapInArrow(key, "text string, toxic int, least long")
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(first, "text string, toxic int")
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a similarity of SIMILAR or more."""
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same >= SIMILAR * (len(a) + len(b) - same)
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -354,7 +354,7 @@ def plain_clauses(words, ends, window):
 def plain_spans(text, run=3, least=20):
     words, ends = plain_sentences(text)
     out = set()
-    for bounds, floor in ((ends, substrings.SHORT), (plain_clauses(words, ends, substrings.WINDOW), least)):
+    for bounds, floor in ((ends, 0), (plain_clauses(words, ends, substrings.WINDOW), least)):
         for i, a in enumerate([0, *bounds[:-1]] if bounds else []):
             z = next((e for j, e in enumerate(bounds) if j >= i + run - 1 and e - a >= floor), None)
             if z:
@@ -367,9 +367,9 @@ def plain_spans(text, run=3, least=20):
 def plain_dedup(rows):
     """(words that stay) of each (doc_id, text), by comparing all spans as texts."""
     first, found = {}, []
-    for doc, text in rows:
+    for i, (doc, text) in enumerate(rows):
         words, places = plain_spans(text or "")
-        owner = -1 if doc is None else doc
+        owner = i - len(rows) if doc is None else doc
         found.append((owner, words, places))
         for a, z in places:
             key = tuple(words[a:z])
@@ -416,6 +416,21 @@ def test_dedup_against_brute_force(spark):
         assert r.removed_words or r.text == texts[r.pos]
 
 
+def test_short_sentences_that_repeat(spark):
+    """Three sentences are a run however short they are, and so for documents without doc_id."""
+    run = "It rained. We left. Nobody cared."
+    texts = [f"{prose(60, i)} {run} {prose(60, i + 50)}" for i in range(4)]
+    for ids in ([1, 2, 3, 4], [None] * 4):
+        out = sorted(substrings.dedup_spans(docs(spark, texts, ids)).collect(), key=lambda r: r.pos)
+        assert [run in r.text for r in out] == [True, False, False, False]
+
+
+def test_many_documents_without_id(spark):
+    texts = [f"{prose(30, i)} one two three. four five six. seven eight nine." for i in range(2_000)]
+    out = substrings.dedup_spans(docs(spark, texts, [None] * 2_000)).where("text like '%seven eight nine.'").collect()
+    assert [r.pos for r in out] == [0]
+
+
 # ---- packing
 
 
