@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import skewed_join, table, written
 
-CACHED = 200_000  # stretches, and groups, that a worker remembers
+CACHED = 400_000  # stretches, and groups, that a worker remembers, about
+TOGETHER = 8192  # stretches that are tokenized as one text
+ROWS = 256  # documents that are read together
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _BLANK, _BYTE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
 _BAD = -1
@@ -41,6 +43,19 @@ _BAD = -1
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups array<struct<gid: long, n: long>>, more array<struct<a: int, b: int, more: long>>, new array<string>"
 
 
+class _Bytes:
+    """The bytes of ids, for arrays of them."""
+
+    def __init__(self, known: list[bytes]):
+        self.size = np.array([len(x) for x in known])
+        self.starts, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(known), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        before = np.cumsum(size) - size
+        return self.flat[np.repeat(self.starts[ids] - before, size) + np.arange(size.sum())]
+
+
 class Pair:
     """Two tokenizers: ids of stretches, and bytes of ids."""
 
@@ -56,6 +71,8 @@ class Pair:
         self.pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(_BLANK, " ").encode() for p in self.pieces]
 
+        self.table_a, self.table_b = _Bytes([self.bytes_a.get(i, b"") for i in range(max(self.bytes_a) + 1)]), _Bytes(self.bytes_b)
+
     def split_safely(self) -> bool:
         """No piece holds a blank after another character, or a line end beside others: so no piece reaches over a cut.
         (A's pattern starts a token at each cut.)"""
@@ -63,7 +80,7 @@ class Pair:
 
     def ids(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Each starts with a blank, which B adds by itself, or with a line end, before which B adds a blank that goes."""
-        of_a = self.a.encode_batch(stretches, add_special_tokens=False)
+        of_a = self.a.encode_batch_fast(stretches, add_special_tokens=False)
         of_b = self.b.encode([s[s[0] == " " :] for s in stretches], num_threads=1)
         return ((x.ids, y if s[0] == " " else y[1:]) for s, x, y in zip(stretches, of_a, of_b, strict=True))
 
@@ -111,16 +128,19 @@ class Groups:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}  # of a stretch without its blank; whole if it starts with more white space
+        self.code: dict[str, int] = {}  # of stretches that start with a single blank, by what follows it
+        self.whole: dict[str, int] = {}  # of all others
+        self.odd: set[str] = set()  # what stands between blanks and is no stretch
         self.text: list[str] = []
         self.n_a, self.n_b, self.n_groups = array("q"), array("q"), array("q")
         self.flat, self.ends = array("q"), array("q", [0])
         self.group: dict[str, int] = {}
+        self.packed: dict[tuple[int, int], int] = {}
         self.keys: list[str] = []
         self.gids, self.pairs, self.pair_ends = array("q"), array("q"), array("q", [0])
 
     def full(self) -> bool:
-        return len(self.text) > CACHED or len(self.keys) > CACHED
+        return max(len(self.text), len(self.keys), len(self.odd)) > CACHED
 
     def _group(self, key: str) -> int:
         g = self.group.get(key)
@@ -136,48 +156,96 @@ class Groups:
         a, b = ([int(x) for x in side.split(",")] for side in key.split("|"))
         return links(a, b, [len(self.pair.bytes_a[x]) for x in a], [len(self.pair.bytes_b[x]) for x in b])
 
-    def _add(self, name: str, parts: list[tuple[list[int], list[int]]], stretch: str) -> None:
-        """parts: ids of the consecutive parts of ``stretch``."""
-        a, b = ([x for p in parts for x in p[k]] for k in (0, 1))
+    def _add(self, code: dict[str, int], name: str, groups: list[int], n_a: int, n_b: int) -> None:
+        code[name] = len(self.text)
+        self.text.append(";".join([self.keys[g] for g in groups]))
+        for held, n in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, len(groups))):
+            held.append(n)
+        self.flat.extend(groups)
+        self.ends.append(len(self.flat))
+
+    def _one(self, code: dict[str, int], name: str, stretch: str) -> None:
+        """A stretch by itself."""
+        a, b = next(self.pair.ids([stretch]))
         whole = stretch.encode("utf-8", "surrogatepass")
         of_a, of_b = [self.pair.bytes_a.get(x, b"") for x in a], [self.pair.bytes_b[x] for x in b]
         if b"".join(of_a) != whole or b"".join(of_b) != whole:
-            self.code[name] = _BAD
+            code[name] = _BAD
+        else:
+            self._add(code, name, [self._group(k) for k in cut_groups(a, b, list(map(len, of_a)), list(map(len, of_b)))], len(a), len(b))
+
+    def _many(self, names: list[str]) -> None:
+        """Stretches of plain names, tokenized as one text, since all of them begin where texts are cut."""
+        text = " " + " ".join(names)
+        whole = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        a, b = (np.array(x, np.int64) for x in next(self.pair.ids([text])))
+        if not (np.array_equal(self.pair.table_a.joined(a), whole) and np.array_equal(self.pair.table_b.joined(b), whole)):
+            for n in names:
+                self._one(self.code, n, " " + n)
             return
-        keys = cut_groups(a, b, list(map(len, of_a)), list(map(len, of_b)))
-        self.code[name] = len(self.text)
-        self.text.append(";".join(keys))
-        for held, n in ((self.n_a, len(a)), (self.n_b, len(b)), (self.n_groups, len(keys))):
-            held.append(n)
-        self.flat.extend(map(self._group, keys))
-        self.ends.append(len(self.flat))
-
-    def learn(self, names: list[str]) -> None:
-        """names: as the keys of ``code``. Cuts before line ends inside them are used."""
-        parts = [_CUT.split(n if n[0] in " \n" else " " + n) for n in names]
-        ids = self.pair.ids([x for p in parts for x in p])
-        for name, p in zip(names, parts, strict=True):
-            self._add(name, [next(ids) for _ in p], "".join(p))
-
-    def stretches(self, text: str) -> list[str]:
-        """The names of a text's stretches. Blanks part them, if each stands alone: else a slower way cuts."""
-        names = text.split(" ")
-        if any(not n or n[0].isspace() or n[-1].isspace() for n in set(names)):
-            names = [s[1:] if s[0] == " " and not s[1].isspace() else s for s in _CUT.split(" " + text)]
-        return names
+        to_a, to_b = np.cumsum(self.pair.table_a.size[a]), np.cumsum(self.pair.table_b.size[b])
+        cuts = np.intersect1d(to_a, to_b, assume_unique=True)
+        groups = self._numbers(a, b, np.searchsorted(to_a, cuts, "right"), np.searchsorted(to_b, cuts, "right"))
+        ends = np.cumsum([len(n.encode("utf-8", "surrogatepass")) + 1 for n in names])
+        n_a, n_b, n = (np.diff(np.searchsorted(to, ends, "right"), prepend=0).tolist() for to in (to_a, to_b, cuts))
+        at = 0
+        for k, name in enumerate(names):
+            self._add(self.code, name, groups[at : at + n[k]], n_a[k], n_b[k])
+            at += n[k]
+
+    def _numbers(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> list[int]:
+        """The groups of tokens that end before these places. Up to four ids of each side fit into a number, exactly."""
+        from_a, from_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
+        packed = []
+        for ids, first, last in ((a, from_a, to_a), (b, from_b, to_b)):
+            place = np.arange(len(ids)) - np.repeat(first, last - first)
+            packed.append(np.add.reduceat(np.where(place < 4, (ids + 1).astype(np.uint64) << (16 * np.minimum(place, 3)).astype(np.uint64), 0), first))
+        x, y = packed
+        mixed = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) ^ y
+        _, some, which = np.unique(mixed, return_index=True, return_inverse=True)
+        large = (to_a - from_a > 4) | (to_b - from_b > 4)
+        odd = large | (x != x[some][which]) | (y != y[some][which])
+
+        def number(k: int) -> int:
+            key = (int(x[k]), int(y[k]))
+            if not large[k] and key in self.packed:
+                return self.packed[key]
+            side = lambda ids, first, last: ",".join(map(str, ids[first[k] : last[k]].tolist()))
+            g = self._group(f"{side(a, from_a, to_a)}|{side(b, from_b, to_b)}")
+            if not large[k]:
+                self.packed[key] = g
+            return g
+
+        found = np.array([-1 if odd[k] else number(k) for k in some.tolist()])[which]
+        for k in np.flatnonzero(odd | (found < 0)).tolist():
+            found[k] = number(k)
+        return found.tolist()
+
+    def _codes(self, texts: list[str | None]) -> list[list[int]]:
+        """The stretches of each text. Where blanks stand alone they part them; else a slower way cuts."""
+        split = [t.split(" ") if t and _BLANK not in t else [] for t in texts]
+        code = self.code
+        new = {n for n in set().union(*split) if n not in code}
+        self.odd |= {n for n in new if not _plain(n)}
+        slow = {k: _CUT.split(" " + texts[k]) for k, names in enumerate(split) if self.odd and not self.odd.isdisjoint(names)}
+        new |= {s[1:] for parts in slow.values() for s in parts if s[0] == " " and _plain(s[1:])}
+        plain = [n for n in new if n not in self.odd and n not in self.code]
+        for at in range(0, len(plain), TOGETHER):
+            self._many(plain[at : at + TOGETHER])
+        for s in {s for parts in slow.values() for s in parts if not (s[0] == " " and _plain(s[1:]))} - self.whole.keys():
+            self._one(self.whole, s, s)
+        return [[code[s[1:]] if s[0] == " " and _plain(s[1:]) else self.whole[s] for s in slow[k]] if k in slow else list(map(code.__getitem__, names)) for k, names in enumerate(split)]
 
     def batch(self, ids: list[int | None], texts: list[str | None], told: set[str]) -> pa.RecordBatch:
         """A row for each document; ``told``: keys that this task has given out."""
-        names = [self.stretches(t) if t and _BLANK not in t else [] for t in texts]
-        self.learn([n for n in dict.fromkeys(n for doc in names for n in doc) if n not in self.code])
+        codes = self._codes(texts)
         view = {k: np.frombuffer(getattr(self, k), np.int64) for k in ("n_a", "n_b", "n_groups", "flat", "ends", "gids", "pairs", "pair_ends")}
-        rows = [self._row(i, doc, view, told) for i, doc in zip(ids, names, strict=True)]
+        rows = [self._row(i, doc, view, told) for i, doc in zip(ids, codes, strict=True)]
         plain = [pa.array([r[k] for r in rows], _ARROW.types[k]) for k in range(6)]
         lists = [pa.ListArray.from_arrays(_offsets([r[k] for r in rows]), _struct([r[k] for r in rows], _ARROW.types[k].value_type)) for k in (6, 7)]
         return pa.RecordBatch.from_arrays([*plain, *lists, pa.array([r[8] for r in rows], _ARROW.types[8])], schema=_ARROW)
 
-    def _row(self, doc_id: int | None, names: list[str], view: dict[str, np.ndarray], told: set[str]) -> tuple:
-        codes = [self.code[n] for n in names]
+    def _row(self, doc_id: int | None, codes: list[int], view: dict[str, np.ndarray], told: set[str]) -> tuple:
         if not codes or _BAD in codes:
             none = np.zeros((0, 3), np.int64)
             return doc_id, 0, 0, 0, 0, "", none[:, :2], none, []
@@ -201,6 +269,10 @@ _MORE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("more", pa.in
 _ARROW = pa.schema([("doc_id", pa.int64()), *((k, pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("groups", _GROUPS), ("more", _MORE), ("new", pa.list_(pa.string()))])
 
 
+def _plain(name: str) -> bool:
+    return bool(name) and not name[0].isspace() and not name[-1].isspace()
+
+
 def _offsets(lists: list[np.ndarray]) -> pa.Array:
     return pa.array(np.append(0, np.cumsum([len(x) for x in lists])), pa.int32())
 
@@ -232,12 +304,12 @@ def document_groups(docs: DataFrame, a: str, b: str) -> DataFrame:
         known, told = _groups(a, b), set()
         for batch in batches:
             ids, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text")
-            for k in range(0, batch.num_rows, 64):
+            for k in range(0, batch.num_rows, ROWS):
                 if known.full():
                     known.clear()
                 if len(told) > CACHED:
                     told.clear()
-                yield known.batch(ids.slice(k, 64).to_pylist(), texts.slice(k, 64).to_pylist(), told)
+                yield known.batch(ids.slice(k, ROWS).to_pylist(), texts.slice(k, ROWS).to_pylist(), told)
 
     return docs.select("doc_id", "text").mapInArrow(run, _DOC)
 

@@ -419,14 +419,14 @@ def test_dedup_against_brute_force(spark):
 def test_short_sentences_that_repeat(spark):
     """Three sentences are a run however short they are, and so for documents without doc_id."""
     run = "It rained. We left. Nobody cared."
-    texts = [f"{prose(60, i)} {run} {prose(60, i + 50)}" for i in range(4)]
+    texts = [f"{prose(60, i)}. {run} {prose(60, i + 50)}" for i in range(4)]
     for ids in ([1, 2, 3, 4], [None] * 4):
         out = sorted(substrings.dedup_spans(docs(spark, texts, ids)).collect(), key=lambda r: r.pos)
         assert [run in r.text for r in out] == [True, False, False, False]
 
 
 def test_many_documents_without_id(spark):
-    texts = [f"{prose(30, i)} one two three. four five six. seven eight nine." for i in range(2_000)]
+    texts = [f"{prose(30, i)}. one two three. four five six. seven eight nine." for i in range(2_000)]
     out = substrings.dedup_spans(docs(spark, texts, [None] * 2_000)).where("text like '%seven eight nine.'").collect()
     assert [r.pos for r in out] == [0]
 
