@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from quire.functions import text as T
 
@@ -42,17 +44,73 @@ def region_boxes(regions: DataFrame, key: str | list[str], least: int = MIN_REGI
     return out.where(F.col("n_words") >= least)
 
 
+def _nodes(first: Column, after: Column, levels: int) -> Column:
+    """The dyadic pieces (level, place) of the whole numbers from ``first`` to the one before ``after``."""
+
+    def of(k: Column) -> Column:
+        size = F.expr("bigint(1)") * F.pow(F.lit(2), k).cast("long")
+        low, high = F.ceil(first / size), F.floor(after / size)
+        piece = lambda i: F.struct(k.alias("level"), i.cast("long").alias("place"))
+        return F.array(F.when((low < high) & (low % 2 == 1), piece(low)), F.when((low < high) & (high % 2 == 1), piece(high - 1)))
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of))))
+
+
+def _above(nodes: Column, levels: int, least: int) -> Column:
+    """The pieces that hold ``nodes``, from ``least`` levels above them on."""
+
+    def of(n: Column) -> Column:
+        up = F.filter(F.sequence(F.lit(0), F.lit(levels)), lambda k: k >= n["level"] + least)
+        return F.transform(up, lambda k: F.struct(k.alias("level"), F.floor(n["place"] / F.pow(F.lit(2), k - n["level"])).cast("long").alias("place")))
+
+    return F.array_distinct(F.flatten(F.transform(nodes, of)))
+
+
 def preceding_prose(figures: DataFrame, blocks: DataFrame, key: str | list[str], least: int = 8, up: float = 260.0, gap: float = 4.0) -> DataFrame:
     """``top`` of each figure: ``gap`` under the lowest bottom of a block of ``least`` words over it that overlaps
-    sideways, else ``up`` above; at most ``up`` above, and not under 0."""
+    sideways, else ``up`` above; at most ``up`` above, and not under 0. Equal figures are one; one whose sides are the wrong
+    way round overlaps nothing."""
     keys = [key] if isinstance(key, str) else key
+    sweep = Window.partitionBy(*keys, "_band", "_n").orderBy("_y", "_f").rowsBetween(Window.unboundedPreceding, 0)
+    seen = prose_sweep(figures, blocks, keys, least, up, gap).withColumn("_t", F.max(F.when(~F.col("_f"), F.col("_y"))).over(sweep)).where("_f")
+    tops = seen.groupBy("_fig").agg(F.max("_t").alias("_t"))
+    wrong = figures.where(~F.coalesce(F.col("x0") <= F.col("x1"), F.lit(False))).distinct()
+    tops = tops.unionByName(wrong.select(F.struct(*figures.columns).alias("_fig"), F.lit(None).cast("double").alias("_t")))
+    top = F.greatest(F.coalesce(F.col("_t") + gap, F.col("_fig.y0") - up), F.col("_fig.y0") - up, F.lit(0.0))
+    return tops.select("_fig.*", top.alias("top"))
+
+
+def prose_sweep(figures: DataFrame, blocks: DataFrame, keys: list[str], least: int, up: float, gap: float) -> DataFrame:
+    """Figures (_f, _fig) and blocks with their y (_y) at the places (_band, _n) where they meet, for a sweep down the page:
+    no pairs of both are made.
+
+    The x of a key are numbered; what lies between two of them is cut into dyadic pieces, as few as can be. Two intervals meet
+    if and only if a piece of one holds a piece of the other, so blocks stand at their pieces, where figures look for them from
+    their own pieces up, and at the pieces above, where figures look from their own ones. At a piece, of all blocks over a
+    figure the last one in order of y is the lowest. Blocks that end over ``up`` above a figure change nothing, so pieces are
+    parted by bands of y as well. Rows grow with the number of boxes times the logarithm of a key's different x.
+    """
     many = F.size(F.filter(F.split("text", f"[{T.WHITE}]+"), lambda w: w != ""))
-    b = blocks.where(many >= least).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("x0").alias("_bx0"), F.col("x1").alias("_bx1"), F.col("y1").alias("_by1"))
-    over = (b["_by1"] <= figures["y0"] + 2) & (b["_bx0"] < figures["x1"]) & (b["_bx1"] > figures["x0"])
-    for k in keys:
-        over = over & (figures[k] == b[f"_{k}"])
-    out = figures.join(b, over, "left").groupBy(*(figures[c] for c in figures.columns)).agg(F.max("_by1").alias("_t"))
-    return out.withColumn("top", F.greatest(F.coalesce(F.col("_t") + gap, F.col("y0") - up), F.col("y0") - up, F.lit(0.0))).drop("_t")
+    deep = up + gap + 2
+    band = lambda y: F.floor(y / deep)
+    given, look = F.struct(*figures.columns), F.col("y0").cast("double") + 2
+    seek = figures.distinct().select(*keys, "x0", "x1", look.alias("_y"), F.lit(True).alias("_f"), given.alias("_fig"), F.array(band(look), band(look) - 1).alias("_bands"))
+    prose = blocks.where(many >= least).select(*keys, "x0", "x1", F.col("y1").cast("double").alias("_y"), F.lit(False).alias("_f"), F.lit(None).cast(seek.schema["_fig"].dataType).alias("_fig"), F.array(band(F.col("y1"))).alias("_bands"))
+    both = prose.unionByName(seek).where("x0 <= x1")
+    spots = both.select(*keys, F.explode(F.array("x0", "x1")).alias("_x")).distinct()
+    spots = spots.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_x")).cast("long"))
+    for side in ("x0", "x1"):
+        both = both.join(spots.withColumnsRenamed({"_x": side, "_rank": f"_{side}"}), [*keys, side])
+    levels = (4 * (spots.agg(F.max("_rank")).first()[0] or 1) + 4).bit_length()
+    # four places a rank: open intervals meet as their boxes do, also those without width, which never meet each other
+    point = 4 * F.col("_x0") + F.when(F.col("_f"), -1).otherwise(1)
+    first = F.when(F.col("_x0") == F.col("_x1"), point).otherwise(4 * F.col("_x0") + 2)
+    after = F.when(F.col("_x0") == F.col("_x1"), point + 1).otherwise(4 * F.col("_x1") - 1)
+    both = T.once(both.withColumn("_band", F.explode("_bands")).drop("_bands"), "_own", _nodes(first, after, levels))
+    kind = lambda nodes, name: F.transform(nodes, lambda n: F.struct(F.lit(name).alias("kind"), n["level"].alias("level"), n["place"].alias("place")))
+    own, at, above = F.col("_own"), _above(F.col("_own"), levels, 0), _above(F.col("_own"), levels, 1)
+    stand = F.when(F.col("_f"), F.concat(kind(at, "own"), kind(own, "above"))).otherwise(F.concat(kind(own, "own"), kind(above, "above")))
+    return both.select(*keys, "_y", "_f", "_fig", "_band", F.explode(stand).alias("_n"))
 
 
 def candidate_pages(chunks: DataFrame, pages: DataFrame, key: str, radius: int = RADIUS) -> DataFrame:
@@ -69,36 +127,61 @@ def primary_page(scored: DataFrame, *by: str) -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def _walk(page: list[str], at: int, tokens: list[str], ahead: int) -> list[int]:
+def token_places(page: list[str]) -> dict[str, list[int]]:
+    """An inverted index of a page: the places of every token, in order."""
+    out: dict[str, list[int]] = {}
+    for i, token in enumerate(page):
+        out.setdefault(token, []).append(i)
+    return out
+
+
+def _walk(places: dict[str, list[int]], at: int, tokens: list[str], ahead: int) -> list[int]:
     """Places of ``tokens`` on the page from ``at`` on: each within ``ahead`` words; a miss moves on by one."""
     found = []
     for token in tokens:
-        window = page[at : at + ahead]
-        if token in window:
-            at += window.index(token)
-            found.append(at)
+        held = places.get(token)
+        if held is not None:
+            k = bisect_left(held, at)
+            if k < len(held) and held[k] < at + ahead:
+                at = held[k]
+                found.append(at)
         at += 1
     return found
 
 
-def match_words(page: list[str], tokens: list[str], ahead: int = AHEAD) -> tuple[list[int], int]:
-    """(places on the page, offset into the chunk) of the longest match from one of ANCHORS starts in the chunk."""
+def match_words(places: dict[str, list[int]], tokens: list[str], ahead: int = AHEAD) -> tuple[list[int], int]:
+    """(places on the page, offset into the chunk) of the longest match from one of ANCHORS starts in the chunk; of equal
+    ones the first. A start is the place of its first word whose PROBE words match best, and a quarter of them at least."""
     best: tuple[list[int], int] = ([], 0)
     for offset in sorted({len(tokens) * i // ANCHORS for i in range(ANCHORS)}):
         rest = tokens[offset:]
         probe = rest[:PROBE]
-        scores = [(len(_walk(page, at, probe, ahead)), -at) for at, w in enumerate(page) if rest and w == rest[0]]
+        scores = [(len(_walk(places, at, probe, ahead)), -at) for at in places.get(rest[0], ())] if rest else []
         if scores and max(scores)[0] >= max(2, len(probe) // 4):
-            found = _walk(page, -max(scores)[1], rest, ahead)
+            found = _walk(places, -max(scores)[1], rest, ahead)
             if len(found) > len(best[0]):
                 best = (found, offset)
     return best
 
 
-@F.pandas_udf(StructType().add("places", ArrayType(IntegerType())).add("offset", IntegerType()))
-def match_words_udf(page: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-    rows = [match_words(list(p), list(t)) if p is not None and t is not None else ([], 0) for p, t in zip(page, tokens, strict=True)]
-    return pd.DataFrame(rows, columns=["places", "offset"])
+def matched(near: DataFrame, key: str) -> DataFrame:
+    """key, seq, page_num, content_type, n_tokens, offset, places of the rows of ``possible_pages`` with a match. A page's rows
+    lie side by side, and its index is made once for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, places = None, {}
+        for b in batches:
+            rows = []
+            for at, tokens, page in zip(zip(b.column(key).to_pylist(), b.column("page_num").to_pylist(), strict=True), b.column("tokens").to_pylist(), b.column("page"), strict=True):
+                if at != held:
+                    held, places = at, token_places(page.as_py())
+                rows.append((len(tokens), *match_words(places, tokens)))
+            out = [b.column(c) for c in (key, "seq", "page_num", "content_type")] + [pa.array([n for n, _, _ in rows], pa.int32()), pa.array([o for _, _, o in rows], pa.int32()), pa.array([p for _, p, _ in rows], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(out, names).filter(pa.array([bool(p) for _, p, _ in rows], pa.bool_()))
+
+    names = [key, "seq", "page_num", "content_type", "n_tokens", "offset", "places"]
+    kinds = dict(near.dtypes) | {"n_tokens": "int", "offset": "int", "places": "array<int>"}
+    return near.sortWithinPartitions(key, "page_num").mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
 def page_tokens(words: Column) -> Column:
@@ -106,18 +189,35 @@ def page_tokens(words: Column) -> Column:
     return F.transform(words, lambda w: T.norm_token(w["text"]))
 
 
+def shared_tokens(a: Column, b: Column, common: Column, enough: int) -> Column:
+    """How many tokens the bags ``a`` and ``b`` share; counted by kind only where that is ``enough``. common: the kinds in both."""
+    many = lambda bag, t: F.size(F.filter(bag, lambda x: x == t))
+    return F.when(F.size(common) >= enough, F.size(common)).otherwise(F.aggregate(common, F.lit(0), lambda n, t: n + F.least(many(a, t), many(b, t))))
+
+
+def possible_pages(chunks: DataFrame, pages: DataFrame, key: str, least: int = MIN_MATCHED) -> DataFrame:
+    """key, seq, content_type, page_num, tokens (of the chunk), page (its tokens) for the pages around each chunk's declared ones
+    that can match ``least`` words: every match takes a token of the chunk and an equal one of the page, so there are no
+    more than the two bags of tokens share."""
+    tokens = T.once(chunks, "tokens", T.chunk_tokens(F.col("chunk_text"), F.col("table_markdown"))).where(F.size("tokens") >= least)
+    tokens = T.once(tokens.select(key, "seq", "page_start", "page_end", "content_type", "tokens"), "_kinds", F.array_distinct("tokens"))
+    texts = T.once(pages.select(key, "page_num", "words"), "page", page_tokens(F.col("words"))).drop("words")
+    near = T.once(candidate_pages(tokens, texts, key), "_common", F.array_intersect("_kinds", "page"))
+    return near.where(shared_tokens(F.col("tokens"), F.col("page"), F.col("_common"), least) >= least).select(key, "seq", "content_type", "page_num", "tokens", "page")
+
+
 def find_matching_pages(chunks: DataFrame, pages: DataFrame, key: str = "doc_id", blocks: DataFrame | None = None) -> DataFrame:
     """key, seq, page_num, role, score, offset, boxes: where each chunk stands, by matching its words with those of the
     pages around its declared ones.
 
     chunks: key, seq, page_start, page_end, chunk_text, table_markdown, content_type; pages: key, page_num, words (boxes
     with texts, in reading order); blocks: key, page_num, x0, x1, y1, text, for the top of figures. Matched words are parted
-    into regions; those of less than MIN_REGION words do not count.
+    into regions; those of less than MIN_REGION words do not count. The matcher sees the pages of ``possible_pages`` only, and
+    boxes are sent for the pages that match.
     """
-    tokens = chunks.select(key, "seq", "page_start", "page_end", "content_type", T.chunk_tokens(F.col("chunk_text"), F.col("table_markdown")).alias("tokens"))
-    near = candidate_pages(tokens, pages.select(key, "page_num", "words"), key).withColumn("m", match_words_udf(page_tokens(F.col("words")), F.col("tokens")))
     by = [key, "seq", "page_num"]
-    near = near.select(*by, "content_type", F.size("tokens").alias("n_tokens"), F.col("m.offset").alias("offset"), F.posexplode(F.transform("m.places", lambda i: F.get("words", i))).alias("_i", "w"))
+    near = matched(possible_pages(chunks, pages, key), key).where(F.size("places") >= MIN_MATCHED)
+    near = near.join(pages.select(key, "page_num", "words"), [key, "page_num"]).select(*by, "content_type", "n_tokens", "offset", F.posexplode(F.transform("places", lambda i: F.get("words", i))).alias("_i", "w"))
     placed = near.select(*by, "content_type", "n_tokens", "offset", "_i", "w.x0", "w.y0", "w.x1", "w.y1")
     regions = region_boxes(split_regions(placed, by, "_i"), [*by, "content_type", "n_tokens", "offset"])
     if blocks is not None:  # a figure has no text but its caption: its first box begins under the prose before it

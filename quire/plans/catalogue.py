@@ -699,45 +699,74 @@ def laid_out(spark: SparkSession, d: str) -> DataFrame:
     return page.select("doc_id", "page_num", F.transform("w", box).alias("words"))
 
 
-@query()
-def match_words(spark, d):
-    """The sequential matcher: every chunk against the pages around its declared ones."""
-    chunks = numbered(spark, d).select("doc_id", "seq", "page_start", F.col("page_start").alias("page_end"), "chunk_text", F.lit(None).cast("string").alias("table_markdown"), F.lit("paragraph").alias("content_type"))
-    found = L.find_matching_pages(chunks, laid_out(spark, d))
-    return found.select("doc_id", "seq", "page_num", "role", "score", "offset", F.size("boxes").alias("n_boxes"))
+# the same matching in SQL: ``chunks`` (doc_id, seq, page_start, page_end, chunk_text) against the pages of the blocks
 
+_NORM = r"lower(regexp_replace(x, '[^\p{L}\p{N}_]+', '', 'g'))"
 
-# a page and chunks by hand: where a chunk's words begin on the page, which places match, and from which word of the chunk
-PAGE = "plan overview notes the plan covers many cases and more words follow here until the very end of it all"
-MATCHES = [
-    ("the plan covers many cases", "3,4,5,6,7", 0), ("plan covers many", "0,5,6", 0), ("unknown words only", "", 0), ("covers, MANY! cases.", "5,6,7", 0), ("nothing here fits", "", 0),
-    ("lost start of a chunk that goes on the very end of it all", "15,16,17,18,19", 9), ("plan covers xx yy many cases", "0,5", 0), ("", "", 0), ("all", "", 0),
-]
 
+def tokens_sql(x: str) -> str:
+    return f"list_transform(regexp_split_to_array({x}, '[' || {WS} || ']+'), lambda x: {_NORM})"
+
+
+def walk_sql(at: str, tokens: str) -> str:
+    """Places of the tokens on ``page``, as a fold."""
+    k = f"coalesce(list_position(page[s.at + 1:s.at + {L.AHEAD}], x.t), 0)"
+    none = "[]::BIGINT[]"
+    return f"""list_reduce(list_concat([{{'t': '', 'at': {at}, 'f': {none}}}], list_transform({tokens}, lambda t: {{'t': t, 'at': 0::BIGINT, 'f': {none}}})),
+  lambda s, x: CASE WHEN {k} > 0 THEN {{'t': '', 'at': s.at + {k}, 'f': list_append(s.f, s.at + {k} - 1)}} ELSE {{'t': '', 'at': s.at + 1, 'f': s.f}} END).f"""
 
-@query(_values([(i, m, o) for i, (_, m, o) in enumerate(MATCHES)], "id, places, start"))
-def matches_by_hand(spark, d):
-    rows = spark.createDataFrame([(i, m[0], PAGE) for i, m in enumerate(MATCHES)], "id int, chunk_text string, page string")
-    none = F.lit(None).cast("string")
-    m = L.match_words_udf(T.chunk_tokens(F.col("page"), none), T.chunk_tokens(F.col("chunk_text"), none))
-    out = rows.select("id", m.alias("m"))
-    return out.select("id", F.array_join(F.transform("m.places", lambda x: x.cast("string")), ",").alias("places"), F.col("m.offset").alias("start"))
 
+MATCH = f"""pg AS (SELECT doc_id, page_num, {tokens_sql("string_agg(text, ' ' ORDER BY block_no)")} AS page FROM blocks GROUP BY ALL), np AS (SELECT doc_id, max(page_num) AS n FROM blocks GROUP BY doc_id),
+tk AS (SELECT doc_id, seq, page_start, page_end, list_filter({tokens_sql("chunk_text")}, lambda t: t <> '') AS tokens FROM chunks),
+near AS (SELECT tk.*, pg.page_num, pg.page FROM tk JOIN np USING (doc_id) JOIN pg ON pg.doc_id = tk.doc_id AND pg.page_num BETWEEN greatest(1, page_start - {L.RADIUS}) AND least(np.n, coalesce(page_end, page_start) + {L.RADIUS}) WHERE len(tokens) >= {L.MIN_MATCHED}),
+off AS (SELECT *, unnest(list_distinct(list_transform(range({L.ANCHORS}), lambda i: len(tokens) * i // {L.ANCHORS}))) AS o FROM near),
+st AS (SELECT *, unnest(list_filter(range(len(page)), lambda i: page[i + 1] = tokens[o + 1])) AS a FROM off),
+pr AS (SELECT *, len({walk_sql("a", f"tokens[o + 1:o + {L.PROBE}]")}) AS n FROM st),
+be AS (SELECT * FROM pr WHERE n >= greatest(2, least({L.PROBE}, len(tokens) - o) // 4) QUALIFY row_number() OVER (PARTITION BY doc_id, seq, page_num, o ORDER BY n DESC, a) = 1),
+fo AS (SELECT *, {walk_sql("a", "tokens[o + 1:]")} AS places FROM be),
+found AS (SELECT doc_id, seq, page_num, len(tokens) AS n_tokens, o AS "offset", places FROM fo QUALIFY row_number() OVER (PARTITION BY doc_id, seq, page_num ORDER BY len(places) DESC, o) = 1)"""
+PLACED = f"""{MATCH},
+pl AS (SELECT doc_id, seq, page_num, n_tokens, "offset", unnest(places) AS p, unnest(range(len(places))) AS i FROM found),
+bx AS (SELECT *, (p % 10) * 50.0 AS x0, (p // 10) * 14.0 AS y0, (p % 10) * 50.0 + 45 AS x1, (p // 10) * 14.0 + 12 AS y1, lag((p // 10) * 14.0) OVER w AS py0, lag((p // 10) * 14.0 + 12) OVER w AS py1 FROM pl WINDOW w AS (PARTITION BY doc_id, seq, page_num ORDER BY i)),
+rg AS (SELECT *, sum(CASE WHEN (y0 < py0 - 3 AND y0 < py1 - 3) OR y0 > py1 + 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, seq, page_num ORDER BY i) AS region FROM bx),
+rb AS (SELECT doc_id, seq, page_num, n_tokens, "offset", region, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM rg GROUP BY ALL HAVING count(*) >= {L.MIN_REGION}),
+sc AS (SELECT doc_id, seq, page_num, n_tokens, "offset", CAST(sum(n) AS BIGINT) AS score, CAST(count(*) AS INT) AS n_boxes, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM rb GROUP BY ALL HAVING sum(n) >= {L.MIN_MATCHED}),
+ma AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY score DESC, page_num) = 1),
+he AS (SELECT sc.* FROM sc JOIN ma USING (doc_id, seq) WHERE ma."offset" > ma.n_tokens * 0.1 AND sc.page_num < ma.page_num AND sc."offset" <= sc.n_tokens * 0.1 AND sc.score >= greatest(20, floor(sc.n_tokens * 0.15)) QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY sc.score DESC, sc.page_num) = 1),
+pages_found AS (SELECT *, 'primary' AS role FROM ma UNION ALL SELECT *, 'head' FROM he)"""
 
-# one chunk that begins on page 1 and ends on page 2, one whose declared page is wrong, one that stands nowhere
-_HEAD, _TAIL = " ".join(f"h{i}" for i in range(25)), " ".join(f"t{i}" for i in range(35))
-FOUND = [(0, 1, "head", 25, 0, 0.0, 0.0, 495.0, 40.0), (0, 2, "primary", 30, 30, 0.0, 0.0, 495.0, 54.0), (1, 3, "primary", 12, 0, 0.0, 0.0, 495.0, 26.0)]
+
+def _to_match(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "seq", "page_start", "page_end", "chunk_text", F.lit(None).cast("string").alias("table_markdown"), F.lit("paragraph").alias("content_type"))
+
+
+@query(f"""WITH {NUMBERED}, chunks AS (SELECT doc_id, seq, page_start, page_start AS page_end, chunk_text FROM numbered), {PLACED}
+SELECT doc_id, seq, page_num, role, score, CAST("offset" AS INT) AS "offset", n_boxes FROM pages_found""")
+def match_words(spark, d):
+    """The sequential matcher: every chunk against the pages around its declared ones."""
+    found = L.find_matching_pages(_to_match(numbered(spark, d).withColumn("page_end", F.col("page_start"))), laid_out(spark, d))
+    return found.select("doc_id", "seq", "page_num", "role", "score", "offset", F.size("boxes").alias("n_boxes"))
+
+
+@query(f"""WITH {BLOCKS}, chunks AS (SELECT doc_id, block_no AS seq, page_num AS page_start, page_num AS page_end, text AS chunk_text FROM blocks WHERE block_no % 10 = 3), {MATCH}
+SELECT doc_id, seq, page_num, array_to_string(places, ',') AS places, CAST("offset" AS INT) AS start FROM found WHERE len(places) > 0""")
+def matches_by_hand(spark, d):
+    """The matcher by itself: every tenth block against the pages around its own, place by place."""
+    chunks = blocks(spark, d).where("block_no % 10 = 3").select("doc_id", F.col("block_no").alias("seq"), F.col("page_num").alias("page_start"), F.col("page_num").alias("page_end"), F.col("text").alias("chunk_text"))
+    found = L.matched(L.possible_pages(_to_match(chunks), laid_out(spark, d), "doc_id", 0), "doc_id").where(F.col("n_tokens") >= L.MIN_MATCHED)
+    return found.select("doc_id", "seq", "page_num", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"), F.col("offset").alias("start"))
 
 
-@query(_values(FOUND, "seq, page_num, role, score, start, x0, y0, x1, y1"))
+@query(f"""WITH {BLOCKS}, chunks AS (SELECT doc_id, batch_no AS seq, batch_no * 2 + 2 AS page_start, NULL::INT AS page_end, string_agg(text, ' ' ORDER BY block_no) AS chunk_text FROM blocks GROUP BY ALL), {PLACED}
+SELECT doc_id, seq, page_num, role, score, CAST("offset" AS INT) AS start, n_boxes, x0, y0, x1, y1 FROM pages_found""")
 def pages_by_hand(spark, d):
-    third = " ".join(f"u{i}" for i in range(12))
-    pages = spark.createDataFrame([("a", 1, _HEAD), ("a", 2, _TAIL), ("a", 3, third)], "doc_id string, page_num int, text string")
-    words = F.transform(F.split("text", " "), lambda w, i: F.struct(((i % 10) * 50.0).alias("x0"), (F.floor(i / 10) * 14.0).alias("y0"), ((i % 10) * 50.0 + 45).alias("x1"), (F.floor(i / 10) * 14.0 + 12).alias("y1"), w.alias("text")))
-    chunks = [("a", 0, 2, 2, f"{_HEAD} {_TAIL}"), ("a", 1, 1, None, third), ("a", 2, 1, 3, "not on any page at all, this one")]
-    chunks = spark.createDataFrame([(*c, None, "paragraph") for c in chunks], "doc_id string, seq int, page_start int, page_end int, chunk_text string, table_markdown string, content_type string")
-    found = L.find_matching_pages(chunks, pages.select("doc_id", "page_num", words.alias("words")))
-    return found.select("seq", "page_num", "role", F.col("score").cast("int").alias("score"), F.col("offset").alias("start"), F.explode("boxes").alias("b")).select("seq", "page_num", "role", "score", "start", "b.*")
+    """Chunks over two pages, said to stand on the second one: where they begin and where most of them stands."""
+    chunk = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), " ")
+    chunks = blocks(spark, d).groupBy("doc_id", F.col("batch_no").alias("seq")).agg(chunk.alias("chunk_text")).withColumns({"page_start": F.col("seq") * 2 + 2, "page_end": F.lit(None).cast("int")})
+    found = L.find_matching_pages(_to_match(chunks), laid_out(spark, d))
+    side = lambda f, name: f(F.transform("boxes", lambda b: b[name])).alias(name)
+    sides = [side(F.array_min if name[1] == "0" else F.array_max, name) for name in ("x0", "y0", "x1", "y1")]
+    return found.select("doc_id", "seq", "page_num", "role", "score", F.col("offset").alias("start"), F.size("boxes").alias("n_boxes"), *sides)
 
 
 @query(f"""WITH {BOXES}, f AS (SELECT * FROM w WHERE event_id % 10 = 0), b AS (SELECT *, event_id % 12 AS n FROM w WHERE event_id % 10 <> 0)

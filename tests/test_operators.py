@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,10 +206,96 @@ def test_strict_scan_refuses_bad_chunks(spark, tmp_path):
         D.scan_chunks(spark, str(tmp_path / "c.jsonl")).collect()
 
 
+def plain_walk(page, at, tokens):
+    found = []
+    for t in tokens:
+        window = page[at : at + L.AHEAD]
+        if t in window:
+            at += window.index(t)
+            found.append(at)
+        at += 1
+    return found
+
+
+def plain_match(page, tokens):
+    """By looking at the words of the page, without an index."""
+    best = ([], 0)
+    for o in sorted({len(tokens) * i // L.ANCHORS for i in range(L.ANCHORS)}):
+        probe = tokens[o : o + L.PROBE]
+        scores = [(len(plain_walk(page, a, probe)), -a) for a, w in enumerate(page) if probe and w == probe[0]]
+        if scores and max(scores)[0] >= max(2, len(probe) // 4):
+            found = plain_walk(page, -max(scores)[1], tokens[o:])
+            best = (found, o) if len(found) > len(best[0]) else best
+    return best
+
+
+def random_match(rng):
+    kinds = [f"w{k}" for k in range(rng.choice([3, 8, 40]))]
+    page = [rng.choice([*kinds, ""]) for _ in range(rng.randrange(60))]
+    tokens = [rng.choice(kinds) for _ in range(rng.randrange(40))]
+    if page and rng.random() < 0.5:
+        a = rng.randrange(len(page))
+        tokens = [x for x in page[a : a + rng.randrange(30)] if x and rng.random() < 0.9] + tokens[:5]
+    return page, tokens
+
+
 def test_match_words():
     page = "plan overview the plan covers many cases and more words follow here".split()
-    assert L.match_words(page, "the plan covers many cases".split()) == ([2, 3, 4, 5, 6], 0)
-    assert L.match_words(page, "unknown words only".split())[0] == []
+    assert L.match_words(L.token_places(page), "the plan covers many cases".split()) == ([2, 3, 4, 5, 6], 0)
+    rng = random.Random(1)
+    for _ in range(2_000):
+        page, tokens = random_match(rng)
+        assert L.match_words(L.token_places(page), tokens) == plain_match(page, tokens)
+
+
+def test_pages_are_ruled_out_exactly(spark):
+    """No page with a match of MIN_MATCHED words is ruled out, and what is left shares as many tokens; a page's rows
+    make its index once, whatever batches they come in."""
+    rng = random.Random(2)
+    pairs = [random_match(rng) for _ in range(300)]
+    word = "struct<x0:double,y0:double,x1:double,y1:double,text:string>"
+    pages = spark.createDataFrame([(i, p, [(0.0, 0.0, 1.0, 1.0, w) for w in page]) for i in range(60) for p in (1, 2, 3) for page in [pairs[i + 60 * p][0]]], f"k int, page_num int, words array<{word}>")
+    chunks = [(i, j, 2, None, " ".join(pairs[(i + 7 * j) % 60 + 60 * (1 + j % 3)][1]), None, "paragraph") for i in range(60) for j in range(4)]
+    df = spark.createDataFrame(chunks, "k int, seq int, page_start int, page_end int, chunk_text string, table_markdown string, content_type string")
+    near = L.possible_pages(df, pages, "k")
+    left = {(r.k, r.seq, r.page_num) for r in near.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    got = {(r.k, r.seq, r.page_num): (r.places, r.offset) for r in L.matched(near, "k").collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, j, _, _, text, *_ in chunks:
+        for p in (1, 2, 3):
+            page, tokens = pairs[i + 60 * p][0], text.split()
+            shared = sum((Counter(tokens) & Counter(w for w in page if w)).values())
+            assert ((i, j, p) in left) == (shared >= L.MIN_MATCHED)
+            want = plain_match(page, tokens)
+            assert len(want[0]) <= shared
+            assert got.get((i, j, p)) == (want if want[0] and (i, j, p) in left else None)
+
+
+def test_preceding_prose_against_all_pairs(spark):
+    rng = random.Random(3)
+    x, y = lambda: float(rng.randrange(60)), lambda: float(rng.randrange(700))
+    figures = [(rng.randrange(4), i, a := x(), a + rng.choice([0, 0, 3, 8, -2]), b := y(), b + 5.0) for i in range(300)]
+    prose = [(rng.randrange(5), a := x(), a + rng.choice([0, 0, 5, 30]), b := y(), b + 3.0, "word " * rng.randrange(6, 11)) for _ in range(400)]
+    got = L.preceding_prose(spark.createDataFrame(figures, "k int, id int, x0 double, x1 double, y0 double, y1 double"), spark.createDataFrame(prose, "k int, x0 double, x1 double, y0 double, y1 double, text string"), "k")
+    want = {}
+    for k, i, x0, x1, y0, _ in figures:
+        over = [b[4] for b in prose if x0 <= x1 and b[0] == k and len(b[5].split()) >= 8 and b[4] <= y0 + 2 and b[1] < x1 and b[2] > x0]
+        want[i] = max(max(over) + 4 if over else y0 - 260, y0 - 260, 0.0)
+    assert {r.id: r.top for r in got.collect()} == want
+
+
+def test_rows_of_the_sweep_are_linear(spark):
+    """Twice the boxes at one key give about twice the rows, where pairs would be four times as many."""
+    made = []
+    for n in (200, 400):
+        e = spark.range(n).select(F.lit(1).alias("k"), "id", (F.col("id") * 31 % 500).cast("double").alias("x0"), (F.col("id") * 31 % 500 + 40).cast("double").alias("x1"), (F.col("id") * 7 % 90).cast("double").alias("y0"))
+        e = e.withColumn("y1", F.col("y0") + 12)
+        got = L.preceding_prose(e.where("id % 2 = 0"), e.where("id % 2 = 1").withColumn("text", F.repeat(F.lit("word "), 9)), "k")
+        assert got.count() == n // 2
+        rows = L.prose_sweep(e.where("id % 2 = 0"), e.where("id % 2 = 1").withColumn("text", F.repeat(F.lit("word "), 9)), ["k"], 8, 260.0, 4.0)
+        made.append(rows.count())
+    assert made[1] < 2.6 * made[0]
 
 
 def test_skip_existing(spark):
