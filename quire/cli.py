@@ -6,7 +6,7 @@ import argparse
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -70,7 +70,7 @@ def process_documents(spark: SparkSession, path: str, output_dir: str, backend:
     done = sound.join(status.where("status = 'ok'"), "doc_id", "left_semi")
     done = done.groupBy(F.col("document_id").alias("file_id")).agg(F.min("doc_id").alias("doc_id"))  # of files with one name after slugging the first counts
     S.write_jsonl(kept(chunks, "chunks"), kept(done, "done"), output_dir)
-    files_, top = S._files(spark, work)
+    files_, top = S.files_of(spark, work)
     files_.delete(top, True)
     mine = D.scan_pdf_dir(spark, path).select("document_id")
     return sorted(f"{output_dir.rstrip('/')}/{r[0]}.jsonl" for r in S.finished(spark, output_dir).join(mine, "document_id", "left_semi").select("document_id").toLocalIterator())
@@ -84,10 +84,16 @@ def process_pdf(spark: SparkSession, path: str, output_dir: str, backend: R.Back
     return found[0]
 
 
-def outline_text(spark: SparkSession, path: str) -> str:
-    chunks = D.scan_chunks(spark, path)
-    rows = O.outline_markdown(O.outline_nodes(chunks, "document_id"), "document_id").orderBy("document_id").select("markdown")
-    return "\n".join(r[0] for r in rows.toLocalIterator())
+def outline_lines(spark: SparkSession, path: str) -> DataFrame:
+    """document_id, position, line: the heading trees of a folder of chunk files, line by line."""
+    return O.outline_lines(O.outline_nodes(D.scan_chunks(spark, path), "document_id"), "document_id")
+
+
+def print_outlines(spark: SparkSession, path: str) -> None:
+    """The outlines in the order of the documents' ids: sorted over ranges, and read range by range, so that the driver
+    holds one of them at a time."""
+    for row in outline_lines(spark, path).orderBy("document_id", "position").toLocalIterator():
+        print(row["line"])
 
 
 def main(args: list[str] | None = None) -> None:
@@ -95,7 +101,7 @@ def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("quire").getOrCreate()
     if a.command == "outline":
-        print(outline_text(spark, a.path))
+        print_outlines(spark, a.path)
         return
     if not os.path.exists(a.path):
         raise SystemExit(f"{a.path} is neither a file nor a folder")

@@ -34,15 +34,23 @@ def node_order(key: str = "doc_id") -> Column:
     return F.array_compact(F.array(first(one), F.when(F.col("level") > 1, first(one, two)), F.when(F.col("level") > 2, F.col("first_seq"))))
 
 
-def outline_markdown(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, markdown: an indented list in order of first appearance at each level, with the nodes' own counts. Windows and
-    aggregation share one exchange by ``key``."""
+def _lines(nodes: DataFrame, key: str) -> DataFrame:
+    """key, lines. Windows and aggregation share one exchange by ``key``."""
     n = F.col("own_count")
     suffix = F.when(n == 0, "").when(n == 1, " (1 chunk)").otherwise(F.concat(F.lit(" ("), n.cast("string"), F.lit(" chunks)")))
     line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- "), F.col("title"), suffix)
     placed = nodes.repartition(key).select(key, node_order(key).alias("o"), line.alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"])
-    return placed.groupBy(key).agg(F.array_join(lines, "\n").alias("markdown"))
+    return placed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]).alias("lines"))
+
+
+def outline_markdown(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, markdown: an indented list in order of first appearance at each level, with the nodes' own counts."""
+    return _lines(nodes, key).select(key, F.array_join("lines", "\n").alias("markdown"))
+
+
+def outline_lines(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, position (from 0), line: the same, a row for each line."""
+    return _lines(nodes, key).select(key, F.posexplode("lines").alias("position", "line"))
 
 
 def chunk_numbers(nodes: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -22,7 +22,8 @@ from quire.operators import layout as L
 from quire.operators import outline as O
 from quire.operators import pages as P
 from quire.plans import process as R
-from quire.sinks.chunks import chunk_lines, finished, report_html, skip_existing, write_jsonl
+from quire.sinks.chunks import chunk_lines, report_html, skip_existing
+from quire.sinks.packed import export_lines, finished_packed, packed_lines, write_packed
 from quire.sources import documents as D
 from quire.sources.documents import table
 
@@ -405,45 +406,53 @@ def chunk_table(spark: SparkSession, d: str) -> DataFrame:
     return C.finish(sound.join(docs, "doc_id"), F.concat(F.lit("Doc-"), F.col("doc_id").cast("string")), F.col("source"), F.lit(""), keep=("doc_id",))
 
 
-def chunk_files(spark: SparkSession, d: str) -> str:
-    """A folder with a file for each document, also for those without chunks."""
+def packed_folder(spark: SparkSession, d: str) -> str:
+    """All chunks in a packed folder, and all documents in its manifest, also those without chunks."""
     out = _folder(spark)
     files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("file_id"))
-    write_jsonl(chunk_table(spark, d), files, out)
+    write_packed(chunk_table(spark, d), files, out)
     return out
 
 
 @query(f"WITH {NUMBERED} SELECT 'Doc ' || documents.doc_id AS document_id, count(seq) AS n_lines FROM documents LEFT JOIN numbered USING (doc_id) GROUP BY documents.doc_id")
 def chunk_files_written(spark, d):
-    folder = chunk_files(spark, d)
-    lines = spark.read.text(folder).where("value <> ''").select(T.stem(F.replace(F.input_file_name(), F.lit("%20"), F.lit(" "))).alias("document_id"))
-    found = finished(spark, folder).select(F.replace("document_id", F.lit("%20"), F.lit(" ")).alias("document_id"))
-    return found.join(lines.groupBy("document_id").agg(F.count("*").alias("n")), "document_id", "left").select("document_id", F.coalesce("n", F.lit(0)).alias("n_lines"))
+    """What the manifest lists, with the lines that are there."""
+    folder = packed_folder(spark, d)
+    lines = packed_lines(spark, folder).groupBy("file_id").agg(F.count("*").alias("n"))
+    found = finished_packed(spark, folder).join(lines, "file_id", "left").select(F.col("file_id").alias("document_id"), "n_lines", F.coalesce("n", F.lit(0)).alias("n"))
+    return found.select("document_id", F.when(F.col("n") == F.col("n_lines"), F.col("n")).alias("n_lines"))
 
 
 _SCANNED = f"WITH {NUMBERED} SELECT 'doc_' || doc_id AS document_id, seq, 'doc_' || doc_id || '_' || seq AS chunk_id, chunk_text, l1 AS level_1_heading, page_start FROM numbered"
 
 
+def exported(spark: SparkSession, d: str) -> str:
+    """A folder of JSON-lines files, each with the chunks of many documents."""
+    export_lines(spark, packed_folder(spark, d), out := _folder(spark))
+    return out
+
+
 @query(_SCANNED)
 def scan_chunks_jsonl(spark, d):
-    return D.scan_chunks(spark, chunk_files(spark, d)).select("document_id", "seq", "chunk_id", "chunk_text", "level_1_heading", "page_start")
+    """``seq`` is the order of lines."""
+    return D.scan_chunks(spark, exported(spark, d)).select("document_id", "seq", "chunk_id", "chunk_text", "level_1_heading", "page_start")
 
 
 @query(_SCANNED)
 def scan_chunks_raw(spark, d):
-    return D.scan_chunks(spark, chunk_files(spark, d), strict=False).select("document_id", "seq", "chunk_id", "chunk_text", "level_1_heading", "page_start")
+    lines = packed_lines(spark, packed_folder(spark, d)).select("seq", F.col("line").alias("value"))
+    return D.parse_chunks(lines, strict=False).select("document_id", "seq", "chunk_id", "chunk_text", "level_1_heading", "page_start")
 
 
 @query(f"""WITH {NUMBERED}, p AS (SELECT 'doc_' || doc_id AS doc_id, seq, list_filter([l1, l2, l3], lambda x: x IS NOT NULL AND x <> '') AS path FROM numbered), x AS (SELECT doc_id, seq, path, unnest(range(1, len(path) + 1)) AS k FROM p WHERE len(path) > 0),
 n AS (SELECT doc_id, path[1:k] AS path, CAST(k AS INT) AS level, min(seq) AS first_seq, count(*) FILTER (WHERE len(path) = k) AS own, min(path[1]) AS t1, min(CASE WHEN k > 1 THEN path[2] END) AS t2 FROM x GROUP BY doc_id, path[1:k], k),
-o AS (SELECT n.*, min(first_seq) OVER (PARTITION BY doc_id, t1) AS f1, CASE WHEN level > 1 THEN min(first_seq) OVER (PARTITION BY doc_id, t1, t2) END AS f2, CASE WHEN level > 2 THEN first_seq END AS f3 FROM n),
-m AS (SELECT doc_id, string_agg(repeat('  ', level - 1) || '- ' || path[level] || CASE own WHEN 0 THEN '' WHEN 1 THEN ' (1 chunk)' ELSE ' (' || own || ' chunks)' END, chr(10) ORDER BY f1, f2 NULLS FIRST, f3 NULLS FIRST) AS markdown FROM o GROUP BY doc_id)
-SELECT string_agg(markdown, chr(10) ORDER BY doc_id) AS printed FROM m""")
+o AS (SELECT n.*, min(first_seq) OVER (PARTITION BY doc_id, t1) AS f1, CASE WHEN level > 1 THEN min(first_seq) OVER (PARTITION BY doc_id, t1, t2) END AS f2, CASE WHEN level > 2 THEN first_seq END AS f3 FROM n)
+SELECT doc_id AS document_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f1, f2 NULLS FIRST, f3 NULLS FIRST) - 1 AS INT) AS position, repeat('  ', level - 1) || '- ' || path[level] || CASE own WHEN 0 THEN '' WHEN 1 THEN ' (1 chunk)' ELSE ' (' || own || ' chunks)' END AS line FROM o""")
 def outline_printed(spark, d):
-    """What the outline command prints for a folder of chunk files."""
-    from quire.cli import outline_text
+    """What the outline command prints for a folder of chunk files, line by line."""
+    from quire.cli import outline_lines
 
-    return spark.createDataFrame([(outline_text(spark, chunk_files(spark, d)),)], "printed string")
+    return outline_lines(spark, exported(spark, d))
 
 
 # documents of three kinds of pages stand in for PDF files; the reader sees a file's bytes

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -21,7 +21,7 @@ def skip_existing(documents: DataFrame, done: DataFrame, key: str, overwrite: bo
     return documents if overwrite else documents.join(done.select(key).distinct(), key, "left_anti")
 
 
-def _files(spark: SparkSession, folder: str):
+def files_of(spark: SparkSession, folder: str):
     """The folder's file system and path, of whatever store."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
@@ -29,7 +29,7 @@ def _files(spark: SparkSession, folder: str):
 
 def finished(spark: SparkSession, folder: str) -> DataFrame:
     """document_id, path of the chunk files of a folder, listed by Spark; their contents are not read."""
-    files, path = _files(spark, folder)
+    files, path = files_of(spark, folder)
     if not files.exists(path):
         return spark.createDataFrame([], "document_id string, path string")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
@@ -38,29 +38,37 @@ def finished(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:
     """document_id, seq, line: compact JSON in the declared order with explicit nulls."""
-    return chunks.select("document_id", "seq", F.to_json(F.struct(*schema.CHUNK_FIELDS), {"ignoreNullFields": "false"}).alias("line"))
+    return chunks.select("document_id", "seq", chunk_json().alias("line"))
 
 
-def _direct(folder: str) -> bool:
-    """Whether workers can open the folder's store by themselves."""
+def chunk_json() -> Column:
+    return F.to_json(F.struct(*schema.CHUNK_FIELDS), {"ignoreNullFields": "false"})
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and place that Hadoop's default file system gives it, which listings use as well."""
+    files, path = files_of(spark, folder)
+    found = files.makeQualified(path).toString()
+    return f"file://{found[5:]}" if found.startswith("file:/") and not found.startswith("file://") else found
+
+
+def _direct(spark: SparkSession, folder: str) -> bool:
+    """Whether workers can open the folder's store by themselves, and all see the same one: a local disk only if they are
+    the driver's own."""
+    if folder.startswith("file:") and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        return False
     try:
-        pafs.FileSystem.from_uri(_uri(folder))
+        pafs.FileSystem.from_uri(folder)
     except (OSError, ValueError, NotImplementedError, pa.ArrowException):
         return False
     return True
 
 
-def _uri(folder: str) -> str:
-    return f"file://{folder[5:]}" if folder.startswith("file:/") and not folder.startswith("file://") else folder if "://" in folder else f"file://{os.path.abspath(folder)}"
-
-
 def _written_by_workers(rows: DataFrame, folder: str, work: str) -> None:
     """A file for each ``file_id`` of rows that are sorted by it, first under another name, then in its place."""
-    target, beside = _uri(folder), _uri(work)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = pafs.FileSystem.from_uri(target)
-        aside = pafs.FileSystem.from_uri(beside)[1]
+        store, top = pafs.FileSystem.from_uri(folder)
+        aside = pafs.FileSystem.from_uri(work)[1]
         store.create_dir(aside, recursive=True)
         now, out, done = None, None, 0
         temporary = f"{aside}/{uuid.uuid4().hex}"  # a task's own, however often it is tried
@@ -87,7 +95,7 @@ def _written_by_spark(rows: DataFrame, folder: str, work: str) -> None:
     """The same by Spark's writer, for stores that only Spark opens; the driver renames file by file."""
     spark = rows.sparkSession
     rows.write.option("lineSep", "\n").partitionBy("file_id").text(work)
-    files, top = _files(spark, folder)
+    files, top = files_of(spark, folder)
     path = spark._jvm.org.apache.hadoop.fs.Path
     for entry in files.listStatus(path(work)):
         if entry.isDirectory():
@@ -103,17 +111,23 @@ def write_jsonl(chunks: DataFrame, documents: DataFrame, folder: str) -> None:
     without chunks gets a file with a blank line, which readers skip (Spark does not list files without a byte).
 
     A document's lines are sorted and written by one task, beside the results, and get their place by a rename, so a file
-    is there as a whole or not at all, and a task that is tried again writes the same. Where workers can't open the store,
-    Spark writes and the driver renames.
+    is there as a whole or not at all, and a task that is tried again writes the same. Where workers can't open the store, or
+    would each write to a disk of their own, Spark writes and the driver renames. A file for each document suits thousands of them;
+    ``quire.sinks.packed`` keeps any number in few files.
     """
-    spark = chunks.sparkSession
-    lines = chunks.select("doc_id", "seq", F.to_json(F.struct(*schema.CHUNK_FIELDS), {"ignoreNullFields": "false"}).alias("line"))
-    named = documents.select("doc_id", "file_id").join(lines, "doc_id", "left")
+    lines = chunks.select("doc_id", "seq", chunk_json().alias("line"))
+    write_lines(documents.select("doc_id", "file_id").join(lines, "doc_id", "left"), folder)
+
+
+def write_lines(named: DataFrame, folder: str) -> None:
+    """``<file_id>.jsonl`` of each file_id, its lines (seq, line) in order; null lines are left out."""
+    spark = named.sparkSession
+    folder = _qualified(spark, folder)
     rows = named.repartition("file_id").sortWithinPartitions("file_id", "seq").select("file_id", F.coalesce("line", F.lit("")).alias("value"))
     work = f"{folder.rstrip('/')}/_work-{uuid.uuid4().hex}"
-    files, _ = _files(spark, folder)
-    files.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
-    (_written_by_workers if _direct(folder) else _written_by_spark)(rows, folder, work)
+    files, top = files_of(spark, folder)
+    files.mkdirs(top)
+    (_written_by_workers if _direct(spark, folder) else _written_by_spark)(rows, folder, work)
     files.delete(spark._jvm.org.apache.hadoop.fs.Path(work), True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import schema
@@ -88,22 +88,36 @@ def chunk_error(v: Column) -> Column:
     return out
 
 
-def scan_chunks(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Chunks of a JSON-lines file or folder, blank lines skipped. strict: any bad line or invalid chunk raises; else what
-    does not fit is null.
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, line, value: the lines of text files that are not blank; in each file (block, line) is their order.
 
-    ``seq`` comes from the end of chunk_id, as Spark keeps no line order across files.
+    Spark splits large files; block is where a line's split begins, and inside a split numbers go up with the lines.
     """
-    lines = spark.read.text(path).where(strip(F.col("value")) != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.where(strip(F.col("value")) != "").withColumn("line", F.monotonically_increasing_id())
+
+
+def parse_chunks(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """The chunks of lines (``value``) with the other columns. strict: a bad line or invalid chunk raises; else what does
+    not fit is null."""
+    kept = [c for c in lines.columns if c != "value"]
     if strict:
         lines = once(lines, "_v", json_value(strip(F.col("value"))))
         lines = once(lines, "_e", chunk_error(F.col("_v")))
-        lines = lines.select(F.when(F.col("_e").isNotNull(), F.raise_error(F.concat(F.lit("invalid chunk: "), "_e", F.lit(" in "), F.substring("value", 1, 200)))).otherwise(F.col("value")).alias("value"))
-    parsed = lines.select(F.from_json("value", schema.CHUNK, {"mode": "PERMISSIVE"}).alias("c")).select("c.*")
+        lines = lines.select(*kept, F.when(F.col("_e").isNotNull(), F.raise_error(F.concat(F.lit("invalid chunk: "), "_e", F.lit(" in "), F.substring("value", 1, 200)))).otherwise(F.col("value")).alias("value"))
+    parsed = lines.select(*kept, F.from_json("value", schema.CHUNK, {"mode": "PERMISSIVE"}).alias("_c")).select(*kept, "_c.*")
     if strict:  # defaults of the schema
         empty = F.array().cast("array<string>")
         parsed = parsed.withColumns({"keywords": F.coalesce("keywords", empty), "entities": F.coalesce("entities", empty), "source_url": F.coalesce("source_url", F.lit("")), "embedding_text": F.coalesce("embedding_text", F.lit(""))})
-    return parsed.withColumn("seq", F.regexp_extract("chunk_id", r"_(\d+)$", 1).try_cast("int"))
+    return parsed
+
+
+def scan_chunks(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Chunks of a JSON-lines file or folder, blank lines skipped, with ``seq``: their places (from 0) among those of their
+    document in their file, in the order of lines, whatever the ids are. strict: see ``parse_chunks``."""
+    order = Window.partitionBy("file", "document_id").orderBy("block", "line")
+    found = parse_chunks(file_lines(spark, path), strict)
+    return found.withColumn("seq", (F.row_number().over(order) - 1).cast("int")).drop("file", "block", "line")
 
 
 def scan_pdf_dir(spark: SparkSession, path: str) -> DataFrame:

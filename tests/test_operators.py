@@ -1,18 +1,20 @@
 import json
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 import quire
-from quire.cli import outline_text, process_documents
+from quire.cli import print_outlines, process_documents
 from quire.operators import chunks as C
 from quire.operators import layout as L
 from quire.operators import outline as O
 from quire.operators import pages as P
 from quire.plans import process as R
 from quire.sinks import chunks as S
+from quire.sinks import packed
 from quire.sources import documents as D
 
 LONG = " ".join(f"substantial{i}" for i in range(20))
@@ -93,7 +95,7 @@ def test_live_fold_carries_context(spark):
     assert [json.loads(r.output_text)["chunks"][0]["chunk_text"] for r in got[:2]] == ["none", "s1"] and "down" in got[2].error and seen
 
 
-def test_command_line_round_trip(spark, tmp_path):
+def test_command_line_round_trip(spark, tmp_path, capsys):
     for name in ("one.pdf", "Two words.pdf", "bad.pdf", "note.txt"):
         (tmp_path / name).write_bytes(name.encode())
 
@@ -111,7 +113,8 @@ def test_command_line_round_trip(spark, tmp_path):
     out = str(tmp_path / "out")
     found = process_documents(spark, str(tmp_path), out, backend, "m", reader=reader)
     assert [f.rsplit("/")[-1] for f in found] == ["Two_words.jsonl", "one.jsonl"]
-    assert outline_text(spark, found[0]) == "- T (1 chunk)"
+    print_outlines(spark, found[0])
+    assert capsys.readouterr().out == "- T (1 chunk)\n"
     line = (tmp_path / "out" / "one.jsonl").read_text().strip()
     assert sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith(".")) == ["Two_words.jsonl", "one.jsonl"]
     assert list(json.loads(line))[:3] == ["chunk_id", "document_id", "source"] and json.loads(line)["table_markdown"] is None
@@ -154,7 +157,7 @@ def test_both_ways_to_write_agree(spark, tmp_path, monkeypatch):
     chunks = spark.createDataFrame(rows, "doc_id string, seq int").select("*", *(F.lit(None).cast(t).alias(c) if c not in ("chunk_id", "chunk_text") else F.concat("doc_id", F.lit(" é "), F.col("seq").cast("string")).alias(c) for c, t in schema.CHUNK_FIELDS.items()))
     found = []
     for name, direct in (("workers", True), ("spark", False)):
-        monkeypatch.setattr(S, "_direct", lambda folder, direct=direct: direct)
+        monkeypatch.setattr(S, "_direct", lambda session, folder, direct=direct: direct)
         out = tmp_path / name
         for _ in range(2):
             S.write_jsonl(chunks.orderBy(F.desc("seq")), docs, str(out) if direct else f"file:{out}")
@@ -162,7 +165,87 @@ def test_both_ways_to_write_agree(spark, tmp_path, monkeypatch):
     assert found[0] == found[1] and sorted(found[0]) == ["A b=c%.jsonl", "none.jsonl", "하나.jsonl"] and found[0]["none.jsonl"] == "\n"
     assert [json.loads(x)["chunk_text"] for x in found[0]["A b=c%.jsonl"].splitlines()] == [f"a é {i}" for i in range(30)]
     monkeypatch.undo()
-    assert S._direct(str(tmp_path)) and S._direct(f"file:{tmp_path}") and not S._direct("viewfs://store/x")
+    here = S._qualified(spark, str(tmp_path))
+    assert here == f"file://{tmp_path}" and S._direct(spark, here) and not S._direct(spark, "viewfs://store/x")
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"))
+    assert not S._direct(cluster, here)  # each worker would write to a disk of its own
+
+
+def test_paths_follow_the_default_file_system(spark, tmp_path):
+    """A folder without a scheme is one of Hadoop's default file system, for writing as for listing."""
+    conf = spark._jsc.hadoopConfiguration()
+    old = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.other.link./in", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://other/")
+    try:
+        assert S._qualified(spark, "/in/x").startswith("viewfs://other/in/x")
+        docs = spark.createDataFrame([("a", "one", 0, "x"), ("b", "two", 0, None)], "doc_id string, file_id string, seq int, line string")
+        S.write_lines(docs.select("file_id", "seq", "line"), "/in/x")
+        assert {r.document_id for r in S.finished(spark, "/in/x").collect()} == {"one", "two"}
+    finally:
+        conf.set("fs.defaultFS", old)
+    assert (tmp_path / "x" / "one.jsonl").read_text() == "x\n"
+
+
+def chunk_rows(spark, rows):
+    """(doc_id, seq, chunk_text) in the chunk schema."""
+    from quire import schema
+
+    df = spark.createDataFrame(rows, "doc_id string, seq int, t string")
+    return df.select("doc_id", "seq", *(F.lit(None).cast(t).alias(c) if c != "chunk_text" else F.col("t").alias(c) for c, t in schema.CHUNK_FIELDS.items()))
+
+
+def texts_of(spark, folder):
+    lines = packed.packed_lines(spark, folder).orderBy("file_id", "seq").collect()
+    return [(r.file_id, r.seq, json.loads(r.line)["chunk_text"]) for r in lines]
+
+
+def test_packed_folder(spark, tmp_path):
+    """Runs add documents and replace them; a run that broke off leaves nothing to see; compacting keeps what is seen."""
+    folder = str(tmp_path / "packed")
+    files = lambda *ids: spark.createDataFrame([(i, f"F {i}") for i in ids], "doc_id string, file_id string")
+    assert packed.finished_packed(spark, folder).count() == 0 and texts_of(spark, folder) == []
+    packed.write_packed(chunk_rows(spark, [("a", 1, "a1"), ("a", 0, "a0"), ("b", 0, "b0"), ("no", 0, "of no document")]), files("a", "b", "empty"), folder, 4)
+    assert texts_of(spark, folder) == [("F a", 0, "a0"), ("F a", 1, "a1"), ("F b", 0, "b0")]
+    assert {r.file_id: r.n_lines for r in packed.finished_packed(spark, folder).collect()} == {"F a": 2, "F b": 1, "F empty": 0}
+    broken = spark.read.parquet(f"{folder}/lines").where("file_id = 'F b'").withColumn("run", F.lit("000000001-broken")).withColumn("line", F.lit("x"))
+    broken.write.mode("append").partitionBy("bucket").parquet(f"{folder}/lines")
+    packed.write_packed(chunk_rows(spark, [("a", 0, "new"), ("c", 0, "c0")]), files("a", "c"), folder, 4)
+    want = [("F a", 0, "new"), ("F b", 0, "b0"), ("F c", 0, "c0")]
+    assert texts_of(spark, folder) == want and spark.read.parquet(f"{folder}/lines").count() == 6
+    left = S.skip_existing(files("a", "d").withColumnRenamed("file_id", "k"), packed.finished_packed(spark, folder).withColumnRenamed("file_id", "k"), "k")
+    assert [r.k for r in left.collect()] == ["F d"]
+    packed.compact(spark, folder)
+    assert texts_of(spark, folder) == want and spark.read.parquet(f"{folder}/lines").count() == 3
+    packed.compact(spark, folder)
+    packed.export_files(spark, folder, str(tmp_path / "files"))
+    assert {p.name: p.read_text().strip() for p in (tmp_path / "files").glob("*.jsonl")}.keys() == {"F a.jsonl", "F b.jsonl", "F c.jsonl", "F empty.jsonl"}
+    packed.export_lines(spark, folder, str(tmp_path / "lines"))
+    assert D.scan_chunks(spark, str(tmp_path / "lines"), strict=False).count() == 3
+
+
+@pytest.mark.parametrize("most", ["128m", "700"])
+def test_chunks_keep_the_order_of_lines(spark, tmp_path, most):
+    """Also where ids are no numbers, documents are mixed, and Spark splits the file."""
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), f"{rng.randrange(10**9):x}") for _ in range(80)]
+    chunk = lambda d, x: json.dumps({"chunk_id": x, "document_id": d, "source": "s", "page_start": 1, "page_end": 1, "chunk_text": x, "metadata": {}})
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.jsonl").write_text("\n" + "\n\n".join(chunk(d, name + x) for d, x in rows) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, most)
+    try:
+        got = D.scan_chunks(spark, str(tmp_path), strict=False).collect()
+        parts = D.file_lines(spark, str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert parts > 20 or most == "128m"
+    for name in ("one", "two"):
+        for d in "ab":
+            mine = sorted((r.seq, r.chunk_text) for r in got if r.document_id == d and r.chunk_text.startswith(name))
+            assert mine == list(enumerate(name + x for dd, x in rows if dd == d))
 
 
 def test_both_ways_to_parse_agree(spark):
