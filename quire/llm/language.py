@@ -32,8 +32,11 @@ SAMPLE = 8_000  # documents for learning, about
 BUCKETS = 1 << 16  # of hashed trigrams
 TEMPER = 60.0  # a text counts as so many independent trigrams at most
 SMOOTH = 5.0  # pseudo-pages that each level of the hierarchy lends to the one below
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b|<meta\b[^>]*content-language[^>]*content\s*=\s*["']?([a-z]{2,3})\b""")
+_STARTS = re.compile(r"(?i)<!--|<(script|style)\b|<")
+_ENDS = {t: re.compile(rf"(?i)</{t}\s*>") for t in ("script", "style")}
+_TOP = re.compile(r"(?i)<(html|meta)\b")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})\b""")
+_CONTENT = re.compile(r"""(?i)content\s*=\s*["']?([a-z]{2,3})\b""")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 
 
@@ -41,6 +44,55 @@ _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 _SECOND = {"ac", "co", "com", "edu", "gob", "gov", "gouv", "net", "nom", "or", "org"}
 
 
+def visible(markup: str) -> str:
+    """Markup with a blank for each script, style sheet, comment and tag. One pass: that an end is missing from here on is
+    remembered, so that no start looks for it again."""
+    out, at, missing = [], 0, set()
+    while (m := _STARTS.search(markup, at)) is not None:
+        out.append(markup[at : m.start()])
+        end, kind = -1, "-->" if m[0] == "<!--" else (m[1] or "").lower()
+        if kind and kind not in missing:
+            if kind == "-->":
+                found = markup.find(kind, m.end())
+                end = found + 3 if found >= 0 else -1
+            else:
+                found = _ENDS[kind].search(markup, m.end())
+                end = found.end() if found else -1
+            if end < 0:
+                missing.add(kind)
+        if end < 0:
+            end = markup.find(">", m.start()) + 1
+            if not end:
+                at = m.start()
+                break
+        out.append(" ")
+        at = end
+    return "".join([*out, markup[at:]])
+
+
+def declared_language(markup: str) -> str:
+    """The language that the first html tag with one, or meta tag for the content's language, names; or ''. What stands before
+    the next ``>`` is read once, however many tags begin in it."""
+    at = 0
+    while (m := _TOP.search(markup, at)) is not None:
+        end = markup.find(">", m.end())
+        end = len(markup) if end < 0 else end
+        tag, found = markup[m.start() : end], []
+        for start in {k: t.start() for t in reversed([*_TOP.finditer(tag)]) for k in [t[1].lower()]}.items():
+            if start[0] == "html":
+                value = _LANG.search(tag, start[1] + 5)
+            else:
+                named = tag.lower().find("content-language", start[1] + 5)
+                value = [*_CONTENT.finditer(tag, named + 16)][-1:] if named >= 0 else []
+                value = value[0] if value else None
+            if value:
+                found.append((start[1], value[1].lower()))
+        if found:
+            return min(found)[1]
+        at = end
+    return ""
+
+
 def registrable(host: str) -> str:
     parts = host.split(".")
     return ".".join(parts[-3:] if len(parts) > 2 and len(parts[-1]) == 2 and parts[-2] in _SECOND else parts[-2:])
@@ -93,11 +145,10 @@ def evidence(pages: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
                 m = _HOST.match(url or "")
                 host = m[1].lower().rstrip(".") if m else ""
                 parts = host.split(".") if host else []
-                d = _DECLARED.search(markup or "")
-                t = trigrams(html_lib.unescape(_HIDDEN.sub(" ", markup or "")))
+                t = trigrams(html_lib.unescape(visible(markup or "")))
                 ll = logs[:, t].sum(1) * min(1.0, TEMPER / max(1, len(t))) if len(t) else np.zeros(len(langs))
                 p = np.exp(ll - ll.max()) if len(langs) else ll
-                rows.append((page, host, registrable(host), parts[-1] if parts else "", (d[1] or d[2]).lower() if d else "", (p / p.sum()).tolist() if len(langs) else []))
+                rows.append((page, host, registrable(host), parts[-1] if parts else "", declared_language(markup or ""), (p / p.sum()).tolist() if len(langs) else []))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64(), *[pa.string()] * 4, pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "host", "domain", "suffix", "declared", "p"])

@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 import struct
+import time
 import zlib
 from itertools import combinations
 
@@ -882,6 +884,30 @@ def test_language_against_loops(spark, monkeypatch, share):
     assert {r.lang for r in identify(pages, known.limit(0)).collect()} == {None}
 
 
+# what the reading of markup means, as patterns; they take a time that grows with the square of a text
+_SHOWN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b|<meta\b[^>]*content-language[^>]*content\s*=\s*["']?([a-z]{2,3})\b""")
+
+
+def test_markup_against_patterns():
+    rng = random.Random(0)
+    parts = ["<", "<!--", "-->", "<script", " ", "</script>", "<STYLE>", "</style >", "</script ", ">", "x", "<p>", "--", "<html", "<meta", " lang=en", " lang='de'", " xml:lang=fr", "content-language", ' content="es"', " content= it", "/", "scripty", "<scripty>"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randrange(14)))
+        assert language.visible(text) == _SHOWN.sub(" ", text)
+        found = _DECLARED.search(text)
+        assert language.declared_language(text) == ((found[1] or found[2]).lower() if found else "")
+
+
+@pytest.mark.parametrize("part", ["<script ", "<!--a", "<html ", "<", "<style", "<meta content-language content=", "<html lang"])
+def test_long_markup_is_read_in_one_pass(part):
+    text = part * (1_000_000 // len(part))
+    began = time.process_time()
+    language.visible(text)
+    language.declared_language(text)
+    assert time.process_time() - began < 1
+
+
 def test_registrable_domains():
     got = [language.registrable(h) for h in ("blog.example.com", "example.com", "a.b.co.uk", "b.co.uk", "co.uk", "x.y.z.de", "localhost", "")]
     assert got == ["example.com", "example.com", "b.co.uk", "b.co.uk", "co.uk", "z.de", "localhost", ""]
