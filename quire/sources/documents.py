@@ -34,9 +34,23 @@ TO_END_RE = rf"(?is)^(.*?)(?:</(?:p|article|body|div|main|section)\b|<(?:{_ENDS}
 TAG_RE = r"(?s)<[^>]*>"
 
 
+_MASK = "\0"  # stands for a < that begins nothing; markup can't hold it
+
+
+def _masked(markup: Column, last: str, start: str) -> Column:
+    """``markup`` with _MASK for the ``<`` of what looks like ``start`` behind the last match of ``last``, without which it
+    begins nothing. So every start that is left has an end, and a pattern over both reads no text twice."""
+    head = F.regexp_extract(markup, f"(?is)^.*{last}", 0)
+    return F.concat(head, F.regexp_replace(F.substring(markup, F.length(head) + 1, F.length(markup)), f"(?i)<(?={start})", _MASK))
+
+
+def _unmasked(markup: Column) -> Column:
+    return F.translate(markup, _MASK, "<")
+
+
 def plain(markup: Column) -> Column:
     """Markup without its tags, the usual entities resolved."""
-    x = F.regexp_replace(markup, TAG_RE, "")
+    x = _unmasked(F.regexp_replace(_masked(markup, ">", ""), TAG_RE, ""))
     # fixed values: the entities that ``html_escape`` writes, the ampersand last
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(a), F.lit(b))
@@ -46,8 +60,10 @@ def plain(markup: Column) -> Column:
 def html_blocks(pages: DataFrame) -> DataFrame:
     """page_id, block_no, text: the paragraphs of web pages, with the text of the tags inside them. One ends at its end
     tag, at the next paragraph or block, or where what holds it ends."""
-    visible = F.regexp_replace("html", HIDDEN_RE, "")
+    ended = _masked(_masked(F.col("html"), "-->", "!--"), r"</(?:script|style)\s*>", r"(?:script|style)\b")
+    visible = _masked(_unmasked(F.regexp_replace(ended, HIDDEN_RE, "")), ">", r"p\s")
     parts = pages.select("page_id", F.posexplode(F.split(visible, PARAGRAPH_RE)).alias("block_no", "part")).where("block_no > 0")
+    parts = parts.withColumn("part", _unmasked(F.col("part")))
     out = parts.select("page_id", (F.col("block_no") - 1).alias("block_no"), plain(F.regexp_extract("part", TO_END_RE, 1)).alias("text"))
     return out.where("text <> ''")
 
@@ -56,7 +72,8 @@ def html_headings(pages: DataFrame) -> DataFrame:
     """page_id, level_1 (the first h1), level_2 (the first b), with the text of the tags inside them."""
 
     def first(tag: str) -> Column:
-        return plain(F.regexp_extract("html", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1))
+        ended = _masked(F.col("html"), rf"</{tag}\s*>", rf"{tag}[\s>]")
+        return plain(_unmasked(F.regexp_extract(ended, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)))
 
     return pages.select("page_id", first("h1").alias("level_1"), first("b").alias("level_2"))
 

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 from collections import Counter
 from types import SimpleNamespace
 
@@ -187,6 +188,27 @@ def test_paths_follow_the_default_file_system(spark, tmp_path):
     assert (tmp_path / "x" / "one.jsonl").read_text() == "x\n"
 
 
+def test_markup_is_read_in_one_pass(spark):
+    """Blocks of random markup as by SQL, whose patterns run in linear time, and a megabyte without ends."""
+    import duckdb
+    import pandas as pd
+
+    from quire.plans import catalogue as K
+
+    rng = random.Random(0)
+    parts = ["<p>", "<p ", "x", "<script>", "</script>", "<!--", "-->", "<b>", "</p>", "<", "&lt;", ">", "<div>", "y z", "</style>", "<style", "<h1>", "</h1>", "</b>"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randrange(25)))) for i in range(2_000)]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "html"]))
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert sorted(map(tuple, D.html_blocks(pages).collect())) == sorted(con.execute(K.ORACLE["html_blocks"]).fetchall())
+    assert sorted(map(tuple, D.html_headings(pages).collect())) == sorted(con.execute(K.ORACLE["html_outline"]).fetchall())
+    long = spark.createDataFrame([(i, x * (1_000_000 // len(x))) for i, x in enumerate(["<p><script ", "<!--a", "<", "<p ", "<h1>", "<b "])], "page_id long, html string")
+    began = time.time()
+    assert D.html_blocks(long).count() >= 1 and D.html_headings(long).count() == 6
+    assert time.time() - began < 60
+
+
 def chunk_rows(spark, rows):
     """(doc_id, seq, chunk_text) in the chunk schema."""
     from quire import schema
