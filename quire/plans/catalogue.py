@@ -7,11 +7,11 @@ batch; a block was chunked iff block_no % 3 <> 0 and batch_no % 4 <> 1, with hea
 from __future__ import annotations
 
 import atexit
-import base64
 import contextlib
 import json
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,6 +216,19 @@ def _values(rows: list[tuple], names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") t({names})"
 
 
+def _dealt(spark: SparkSession, d: str, name: str, key: str, rows: list[tuple], names: str) -> DataFrame:
+    """Every row of a table (id: its key) with one of ``rows``, by the remainder of its key."""
+    kinds = {str: "string", int: "int"}
+    shape = ", ".join(f"{n.strip()} {kinds[next(type(v) for v in column if v is not None)]}" for n, column in zip(names.split(","), zip(*rows, strict=True), strict=True))
+    cases = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_case int, {shape}")
+    return table(spark, d, name).select(F.col(key).alias("id")).join(F.broadcast(cases), F.col("id") % len(rows) == F.col("_case")).drop("_case")  # a fixed list
+
+
+def _dealt_sql(name: str, key: str, rows: list[tuple], names: str) -> str:
+    found = _values([(i, *r) for i, r in enumerate(rows)], f"_case, {names}")
+    return f"SELECT {key} AS id, {names} FROM {name} JOIN ({found}) ON {key} % {len(rows)} = _case"
+
+
 # responses by kind, and what becomes of each: (rows, first error)
 BAD_RESPONSES = [
     ('{"chunks": [{"chunk_text": "a"}]}', 1, None), ("[1, 2]", 1, "the response is no JSON object"), ('"text"', 1, "the response is no JSON object"), ("12", 1, "the response is no JSON object"),
@@ -232,16 +245,18 @@ CHUNK_TYPES = [
 ]
 
 
-@query(_values([(i, n, e) for i, (_, n, e) in enumerate(BAD_RESPONSES)], "id, n_rows, error"))
+@query(_dealt_sql("events", "event_id", [r[1:] for r in BAD_RESPONSES], "n_rows, error"))
 def bad_responses(spark, d):
-    rows = spark.createDataFrame([(i, r[0]) for i, r in enumerate(BAD_RESPONSES)], "id int, output_text string")
+    """Every event with a response of one kind."""
+    rows = _dealt(spark, d, "events", "event_id", [r[:1] for r in BAD_RESPONSES], "output_text")
     got = C.ingest(rows).groupBy("id").agg(F.count("*").alias("n_rows"), F.min("error").alias("error"))
     return rows.select("id").join(got, "id", "left").select("id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "error")
 
 
-@query(_values([(i, e) for i, (_, e) in enumerate(CHUNK_TYPES)], "id, error"))
+@query(_dealt_sql("events", "event_id", [r[1:] for r in CHUNK_TYPES], "error"))
 def validate_chunk_types(spark, d):
-    rows = spark.createDataFrame([(i, f'{{"chunks": [{r[0]}]}}') for i, r in enumerate(CHUNK_TYPES)], "id int, output_text string")
+    """Every event with a chunk of one kind."""
+    rows = _dealt(spark, d, "events", "event_id", [(f'{{"chunks": [{r[0]}]}}',) for r in CHUNK_TYPES], "output_text")
     return C.ingest(rows).select("id", "error")
 
 
@@ -351,29 +366,38 @@ SLUGS = [("Hana Bank: Term Deposit (v2).pdf", "Hana_Bank_Term_Deposit_v2_.pdf"),
 SOURCES = [(" ＡＢＣ　", "ABC"), ("ﬁn\u00a0", "fin"), ("Plain", "Plain"), ("①②", "12")]
 
 
-@query(_values([(i, b) for i, (_, b) in enumerate(SLUGS)], "id, slug"))
+@query(_dealt_sql("customer", "c_custkey", [r[1:] for r in SLUGS], "slug"))
 def slugs_by_hand(spark, d):
-    return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(SLUGS)], "id int, name string").select("id", T.slugify(F.col("name")).alias("slug"))
+    """Every customer with one of the names."""
+    return _dealt(spark, d, "customer", "c_custkey", [r[:1] for r in SLUGS], "name").select("id", T.slugify(F.col("name")).alias("slug"))
 
 
-@query(_values([(i, b, f"{b}-doc") for i, (_, b) in enumerate(SOURCES)], "id, seen, chunk_document"))
+@query(f"SELECT id, seen, seen || '-' || id AS chunk_document FROM ({_dealt_sql('customer', 'c_custkey', [r[1:] for r in SOURCES], 'seen')})")
 def sources_by_hand(spark, d):
     """What a resolver of one's own sees of a source, and that its answer names the document."""
-    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(SOURCES)], "id int, source string")
+    rows = _dealt(spark, d, "customer", "c_custkey", [r[:1] for r in SOURCES], "source")
     seen = T.strip(T.nfkc(F.col("source")))
     own = {c: F.lit(None).cast(t) for c, t in schema.CHUNK_FIELDS.items() if c not in ("source", "metadata", "keywords", "entities")}
     empty = F.array().cast("array<string>")
     raw = rows.select("id", seen.alias("seen"), "source", *(v.alias(k) for k, v in own.items() if k not in ("chunk_id", "document_id", "source_url", "embedding_text")), empty.alias("keywords"), empty.alias("entities"), F.lit(0).alias("seq"))
-    done = C.finish(raw, F.lit("doc"), F.col("source"), F.lit(""), lambda source, document: F.concat(source, F.lit("-"), document), ("id", "seen"))
+    done = C.finish(raw, F.col("id").cast("string"), F.col("source"), F.lit(""), lambda source, document: F.concat(source, F.lit("-"), document), ("id", "seen"))
     return done.select("id", "seen", F.col("document_id").alias("chunk_document"))
 
 
-ENV = "# settings\nexport A=1\nB = 'two words' # more\nC=plain # comment\n\nnot a setting\nD=\"x=y\"\n"
+@query("SELECT 'S' || s_suppkey AS name, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN s_name || ' # inside' ELSE 'x=' || s_name END AS value FROM supplier")
+def env_file(spark, d):
+    """Settings, one of each supplier, among comments and lines that are none."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    value = F.when(k % 3 == 0, F.concat(name, F.lit(" # after"))).when(k % 3 == 1, F.concat(F.lit("'"), name, F.lit(" # inside' # after"))).otherwise(F.concat(F.lit('"x='), name, F.lit('"')))
+    line = F.concat(F.when(k % 2 == 0, "export ").otherwise(""), F.lit("S"), k.cast("string"), F.when(k % 5 == 0, " = ").otherwise("="), value)
+    lines = table(spark, d, "supplier").select(F.explode(F.array(F.lit("# settings"), line, F.lit(""), F.lit("not a setting"))).alias("line"))
 
+    def parse(batches):
+        for b in batches:
+            found = R.parse_env(b.column("line").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.string())], ["name", "value"])
 
-@query(_values([("A", "1"), ("B", "two words"), ("C", "plain"), ("D", "x=y")], "name, value"))
-def env_file(spark, d):
-    return spark.createDataFrame(list(R.parse_env(ENV.splitlines()).items()), "name string, value string")
+    return lines.mapInArrow(parse, "name string, value string")
 
 
 # ---- files, written and read back
@@ -455,39 +479,34 @@ def outline_printed(spark, d):
     return outline_lines(spark, exported(spark, d))
 
 
-# documents of three kinds of pages stand in for PDF files; the reader sees a file's bytes
-PDFS = [("one", ["Intro", "Body of one"]), ("Two words (v2)", ["Only page"]), ("blank", [" "])]
-
-
 def _paged(content: bytes, zoom: float) -> list[dict]:
     pages = content.decode().split("\f")
     return [{"text": t, "blocks": [(0, 0, 1, 1, t, 0, 0)], "words": [(0, 0, 1, 1, w, 0, 0, i) for i, w in enumerate(t.split())], "png": f"{t}@{zoom}".encode()} for t in pages]
 
 
-def pdf_folder(spark: SparkSession) -> str:
-    """PDFS as files, and one that is none."""
+def pdf_folder(spark: SparkSession, d: str) -> str:
+    """A file of each supplier whose pages are texts, in the place of PDF files, and one that is none. Names hold blanks."""
     out = _folder(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name, pages in [*((f"{n}.pdf", p) for n, p in PDFS), ("note.txt", ["no"])]:
+    rows = table(spark, d, "supplier").select(F.concat(F.lit("S ("), F.col("s_suppkey").cast("string"), F.lit(").pdf")), F.concat("s_name", F.lit("\f"), F.col("s_nationkey").cast("string"))).toLocalIterator()
+    for name, text in [*rows, ("note.txt", "no")]:
         stream = files.create(path(out, name), True)
-        stream.write(bytearray("\f".join(pages).encode()))
+        stream.write(bytearray(text.encode()))
         stream.close()
     return out
 
 
-_IDS = {n: n.replace(" (", "_").replace(")", "").replace(" ", "_") for n, _ in PDFS}
-
-
-@query(_values([(_IDS[n], n, len("\f".join(p))) for n, p in PDFS], "document_id, source, size"))
+@query("SELECT 'S_' || s_suppkey AS document_id, 'S (' || s_suppkey || ')' AS source, CAST(octet_length(encode(s_name || chr(12) || s_nationkey)) AS INT) AS size FROM supplier")
 def scan_pdf_dir(spark, d):
-    return D.scan_pdf_dir(spark, pdf_folder(spark)).select("document_id", F.replace("source", F.lit("%20"), F.lit(" ")).alias("source"), F.octet_length("content").alias("size"))
+    return D.scan_pdf_dir(spark, pdf_folder(spark, d)).select("document_id", F.replace("source", F.lit("%20"), F.lit(" ")).alias("source"), F.octet_length("content").alias("size"))
 
 
-@query(_values([(_IDS[n], i, len(p), "data:image/png;base64," + base64.b64encode(f"{t}@2.0".encode()).decode(), len(t.split())) for n, p in PDFS for i, t in enumerate(p, 1)], "document_id, page_num, n_pages, image_url, n_words"))
+@query("""WITH p AS (SELECT s_suppkey, unnest([1, 2]) AS page_num, unnest([s_name, CAST(s_nationkey AS VARCHAR)]) AS t FROM supplier)
+SELECT 'S_' || s_suppkey AS document_id, page_num, 2 AS n_pages, 'data:image/png;base64,' || to_base64(encode(t || '@2.0')) AS image_url, len(string_split(t, ' ')) AS n_words FROM p""")
 def render_pages(spark, d):
     """With a reader that stands in for the PDF library."""
-    pages = D.pdf_pages(D.scan_pdf_dir(spark, pdf_folder(spark)), _paged, 2.0)
+    pages = D.pdf_pages(D.scan_pdf_dir(spark, pdf_folder(spark, d)), _paged, 2.0)
     return pages.select("document_id", "page_num", "n_pages", T.image_url(F.col("png")).alias("image_url"), F.size("words").alias("n_words"))
 
 
@@ -606,27 +625,33 @@ def report_counts(spark, d):
     return html.select("doc_id", *(((F.char_length("html") - F.char_length(F.replace("html", F.lit(m), F.lit("")))) / len(m)).cast("long").alias(k) for k, m in marks.items()))
 
 
-@query(_values([("a", 1, 160, 120, "255,0,0", "255,227,227", "255,255,255")], "doc_id, page_num, width, height, edge, inside, outside"))
+@query("""SELECT doc_id, 1 AS page_num, 160 AS width, 120 AS height, CASE WHEN doc_id % 2 = 0 THEN '255,0,0' ELSE '0,255,0' END AS edge, CASE WHEN doc_id % 2 = 0 THEN '255,227,227' ELSE '227,255,227' END AS inside, '255,255,255' AS outside FROM documents WHERE doc_id % 7 <> 0""")
 def boxed_pages(spark, d):
-    """A white page with two boxes of one chunk, one of them outside, and a page whose image is broken."""
+    """A white page of each document with two boxes of one chunk, one of them outside; the image of each seventh is broken."""
     import numpy as np
-    import pandas as pd
 
     from quire.sinks import images
 
-    pages = spark.createDataFrame([("a", 1, images.write_png(np.full((120, 160, 3), 255, np.uint8))), ("b", 1, b"broken")], "doc_id string, page_num int, png binary")
-    rows = [("a", 1, 12, "#ff0000", 20.0, 20.0, 60.0, 40.0), ("a", 1, 12, "#ff0000", 500.0, 500.0, 600.0, 600.0), ("b", 1, 1, "#00ff00", 0.0, 0.0, 9.0, 9.0)]
-    boxes = spark.createDataFrame(rows, "doc_id string, page_num int, number int, color string, x0 double, y0 double, x1 double, y1 double")
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 7 == 0).alias("broken"))
+
+    def draw(batches):
+        white = images.write_png(np.full((120, 160, 3), 255, np.uint8))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([1] * b.num_rows, pa.int32()), pa.array([b"broken" if x else white for x in b.column("broken").to_pylist()], pa.binary())], ["doc_id", "page_num", "png"])
 
     def look(frames):
         for f in frames:
             shown = [images.read_png(bytes(x)) for x in f["png"]]
-            out = pd.DataFrame({"doc_id": f["doc_id"], "page_num": f["page_num"], "width": [p.shape[1] for p in shown], "height": [p.shape[0] for p in shown]})
+            out = f[["doc_id", "page_num"]].assign(width=[p.shape[1] for p in shown], height=[p.shape[0] for p in shown])
             for name, y, x in (("edge", 70, 38), ("inside", 65, 100), ("outside", 5, 5)):
                 out[name] = [",".join(map(str, p[y, x])) for p in shown]
             yield out
 
-    return images.boxed_pages(pages, boxes).mapInPandas(look, "doc_id string, page_num int, width int, height int, edge string, inside string, outside string")
+    pages = docs.mapInArrow(draw, "doc_id long, page_num int, png binary")
+    number, color = (F.col("doc_id") % 90 + 1).cast("int"), F.when(F.col("doc_id") % 2 == 0, "#ff0000").otherwise("#00ff00")
+    sides = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), box, strict=True))) for box in ((20.0, 20.0, 60.0, 40.0), (500.0, 500.0, 600.0, 600.0)))))
+    boxes = docs.select("doc_id", F.lit(1).alias("page_num"), number.alias("number"), color.alias("color"), sides.alias("s")).select("doc_id", "page_num", "number", "color", "s.*")
+    return images.boxed_pages(pages, boxes).mapInPandas(look, "doc_id long, page_num int, width int, height int, edge string, inside string, outside string")
 
 
 # ---- layout
@@ -840,9 +865,10 @@ TABLES = [
 ]
 
 
-@query(_values([(i, h) for i, (_, h) in enumerate(TABLES)], "id, html"))
+@query(_dealt_sql("part", "p_partkey", [r[1:] for r in TABLES], "html"))
 def tables_by_hand(spark, d):
-    return spark.createDataFrame([(i, m) for i, (m, _) in enumerate(TABLES)], "id int, md string").select("id", T.table_md_to_html(F.col("md")).alias("html"))
+    """Every part with one of the tables."""
+    return _dealt(spark, d, "part", "p_partkey", [r[:1] for r in TABLES], "md").select("id", T.table_md_to_html(F.col("md")).alias("html"))
 
 
 @query("SELECT p_partkey, '<table class=\"chunk-table\"><thead><tr><th>name</th><th>size</th></tr></thead><tbody><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr></tbody></table>' AS html FROM part")
