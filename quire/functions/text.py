@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import string
 import unicodedata
 
@@ -74,10 +75,28 @@ def slugify(x: Column) -> Column:
 
 
 def slugify_plain(x: Column) -> Column:
-    """``slugify`` for text that NFKC leaves alone (ASCII and Hangul syllables), without Python."""
+    """``slugify`` for text that NFKC leaves alone (see ``normalized_already``), without Python."""
     return slug_of_normalized(x)
 
 
+# fixed values: ASCII, Latin letters, Greek and Cyrillic letters, kana, Han, Hangul syllables: NFKC keeps any string of these
+_STABLE = r"\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u03B1-\u03C9\u0400-\u0481\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3"
+
+
+def normalized_already(x: Column) -> Column:
+    """Whether a text consists of letters and signs that NFKC surely leaves alone; null for null."""
+    return x.rlike(f"^[{_STABLE}]*\\z")
+
+
+def slugified(rows: DataFrame, x: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the ``slugify`` of column ``x``; only texts that NFKC may change go to Python, and none if
+    there are none (which reads ``x`` once more)."""
+    plain = F.coalesce(normalized_already(F.col(x)), F.lit(True))
+    other = rows.where(~plain)
+    out = rows.where(plain).withColumn(name, slugify_plain(F.col(x)))
+    return out if other.isEmpty() else out.unionByName(other.withColumn(name, slugify(F.col(x))))
+
+
 def stem(path: Column) -> Column:
     """The file name without its last suffix."""
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]+)?$", 1)
@@ -124,11 +143,16 @@ def braces(t: Column) -> Column:
 
 def json_object_text(text: Column) -> Column:
     """The JSON of a response: without a fence if it has one; if that does not parse, from the first { to the last };
-    null where neither parses. Native path: duplicate keys and NaN count as failures (see ``strict_json``)."""
+    null where neither parses by Spark, which refuses duplicate keys and NaN (see ``refused``)."""
     t = unfenced(text)
     return F.when(json_value(t).isNotNull(), t).when(json_value(braces(t)).isNotNull(), braces(t))
 
 
+def refused(text: Column, native: Column) -> Column:
+    """The text, if Spark's parser has refused it (``native`` is null) and Python's may still take it; else null."""
+    return F.when(native.isNull() & text.rlike(r"[{\[]|NaN|Infinity"), text)
+
+
 def extract_json(text: str) -> object:
     """The strict rule in Python, for single responses: raises ValueError without an object and JSONDecodeError for a
     broken one."""
@@ -144,13 +168,24 @@ def extract_json(text: str) -> object:
         return json.loads(t[first : last + 1])
 
 
+def finite(x: object, holder: type = dict) -> object:
+    """A parsed value without NaN and infinities, which JSON can't tell: each becomes something that no field may be, an object in
+    an object, a list in a list."""
+    if isinstance(x, dict):
+        return {k: finite(v, dict) for k, v in x.items()}
+    if isinstance(x, list):
+        return [finite(v, list) for v in x]
+    return ({"number": None} if holder is dict else [None]) if isinstance(x, float) and not math.isfinite(x) else x
+
+
 @F.pandas_udf(StructType().add("json", StringType()).add("error", StringType()))
 def strict_json(x: pd.Series) -> pd.DataFrame:
     """The parsed response as canonical JSON, or the error, by ``extract_json``."""
     rows = []
     for t in x:
         try:
-            rows.append((None if t is None else json.dumps(extract_json(t), ensure_ascii=False), None))
+            value = None if t is None else extract_json(t)
+            rows.append((None if t is None else json.dumps(value if isinstance(value, float) else finite(value), ensure_ascii=False), None))
         except ValueError as e:
             rows.append((None, str(e)))
     return pd.DataFrame(rows, columns=["json", "error"])

@@ -56,7 +56,8 @@ def ingest(responses: DataFrame, strict: bool = False) -> DataFrame:
     parse, is no object or whose ``chunks`` is no list of objects (one row without ``ord``), and for a chunk with a value of
     a wrong type (the field's name).
 
-    A response without chunks gives no row. strict: parse in Python. Each response is parsed once.
+    A response without chunks gives no row. Each response is parsed once, by Spark; texts that Spark refuses though Python may
+    take them (duplicate keys, NaN) are parsed by Python, which gets no others. strict: parse all in Python, for its errors.
     """
     keys = [c for c in responses.columns if c != "output_text"]
     if strict:
@@ -65,8 +66,9 @@ def ingest(responses: DataFrame, strict: bool = False) -> DataFrame:
     else:
         rows = T.once(responses, "_t", T.unfenced(F.col("output_text")))
         rows = T.once(rows, "_w", T.json_value(F.col("_t")))
-        rows = T.once(rows, "_v", F.when(F.col("_w").isNotNull(), F.col("_w")).otherwise(T.json_value(T.braces(F.col("_t")))))
-        rows = rows.withColumn("_e", F.lit(None).cast("string"))
+        rows = T.once(rows, "_n", F.when(F.col("_w").isNotNull(), F.col("_w")).otherwise(T.json_value(T.braces(F.col("_t")))))
+        rows = rows.select(*keys, "_n", T.strict_json(T.refused(F.col("output_text"), F.col("_n"))).alias("_j"))
+        rows = T.once(rows, "_v", F.coalesce("_n", F.try_parse_json("_j.json"))).withColumn("_e", F.lit(None).cast("string"))
     v, found = F.col("_v"), F.try_variant_get("_v", "$.chunks", "array<variant>")
     listed = _kind(v, "$.chunks").startswith("ARRAY")
     error = (
@@ -84,7 +86,9 @@ def ingest(responses: DataFrame, strict: bool = False) -> DataFrame:
 
 def batch_summaries(responses: DataFrame) -> DataFrame:
     keys = [c for c in responses.columns if c != "output_text"]
-    return responses.select(*keys, F.get_json_object(T.json_object_text(F.col("output_text")), "$.batch_summary").alias("batch_summary"))
+    rows = T.once(responses, "_n", T.json_object_text(F.col("output_text")))
+    text = F.coalesce("_n", T.strict_json(T.refused(F.col("output_text"), F.col("_n")))["json"])
+    return rows.select(*keys, F.get_json_object(text, "$.batch_summary").alias("batch_summary"))
 
 
 def invalid(content_type: str = "content_type", status: str = "continuation_status", page_start: str = "page_start", page_end: str = "page_end") -> Column:

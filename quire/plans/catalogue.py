@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quire import schema
 from quire.functions import text as T
+from quire.functions.tables import register as register_tables
 from quire.operators import chunks as C
 from quire.operators import layout as L
 from quire.operators import outline as O
@@ -198,13 +199,30 @@ def sound_documents(spark, d):
     return C.only_sound(raw, C.document_status(raw)).select("doc_id", "block_no")
 
 
-@query("SELECT event_id, CAST(0 AS INT) AS ord, CAST(json_extract(props, '$.k') AS VARCHAR) AS chunk_text, CAST(NULL AS VARCHAR) AS error FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, CAST(-1 AS INT), NULL, 'no JSON object in the response' FROM events WHERE event_id % 4 = 3")
-def json_responses(spark, d):
+_RESPONSES = "SELECT event_id, CAST(0 AS INT) AS ord, CAST(json_extract(props, '$.k') AS VARCHAR) AS chunk_text, CAST(NULL AS VARCHAR) AS error FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, CAST(-1 AS INT), NULL, 'no JSON object in the response' FROM events WHERE event_id % 4 = 3"
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """event_id, output_text: JSON as such, in a fence, among words, and none."""
     k = F.get_json_object("props", "$.k")
     body = F.concat(F.lit('{"chunks": [{"chunk_text": "'), k, F.lit('", "page_start": 1}]}'))
     kind = F.col("event_id") % 4
     text = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here it is: "), body, F.lit(" done."))).otherwise("no json here")
-    return C.ingest(table(spark, d, "events").select("event_id", text.alias("output_text"))).select("event_id", F.coalesce("ord", F.lit(-1)).alias("ord"), "chunk_text", "error")
+    return table(spark, d, "events").select("event_id", text.alias("output_text"))
+
+
+@query(_RESPONSES)
+def json_responses(spark, d):
+    return C.ingest(responses(spark, d)).select("event_id", F.coalesce("ord", F.lit(-1)).alias("ord"), "chunk_text", "error")
+
+
+@query(_RESPONSES)
+def extract_json_table(spark, d):
+    """The same by the table function, in a lateral join."""
+    register_tables(spark)
+    rows = spark.sql("SELECT event_id, t.* FROM {r} AS r, LATERAL extract_chunks(r.output_text) AS t", r=responses(spark, d))
+    rows = T.once(rows, "v", F.try_parse_json("chunk"))
+    return rows.select("event_id", F.coalesce("ord", F.lit(-1)).alias("ord"), F.try_variant_get("v", "$.chunk_text", "string").alias("chunk_text"), F.coalesce("error", F.when(F.col("v").isNotNull(), C.type_error(F.col("v")))).alias("error"))
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -273,9 +291,10 @@ def slugify_ascii(spark, d):
     return table(spark, d, "pages").select("page_id", T.slugify_plain(F.col("url")).alias("slug"), T.slugify_plain(T.stem(F.col("url"))).alias("stem_slug"))
 
 
-@query()
+# NFKC leaves the texts of the tables alone, so SQL needs none
+@query("SELECT doc_id, trim(regexp_replace(text, '[^\\p{L}\\p{N}_.-]+', '_', 'g'), '_') AS slug FROM documents")
 def slugify_nfkc(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
+    return T.slugified(table(spark, d, "documents"), "text", "slug").select("doc_id", "slug")
 
 
 @query("SELECT doc_id, string_agg(lower(regexp_replace(t, '[^\\p{L}\\p{N}_]+', '', 'g')), ' ' ORDER BY n) AS tokens FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS t, unnest(range(len(regexp_split_to_array(text, '[ \\n]+')))) AS n FROM documents) WHERE regexp_replace(t, '[^\\p{L}\\p{N}_]+', '', 'g') <> '' GROUP BY doc_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import quire
 from quire.cli import print_outlines, process_documents
+from quire.functions import text as T
 from quire.operators import chunks as C
 from quire.operators import layout as L
 from quire.operators import outline as O
@@ -286,6 +287,58 @@ def test_both_ways_to_parse_agree(spark):
     assert status[0] == ("ok", 1) and status[1][0] == "failed" and status[11] == ("ok", 0) and len(status) == len(texts)
 
 
+def test_what_spark_refuses_goes_to_python(spark, monkeypatch):
+    """Duplicate keys and NaN as Python reads them; of what parses, or can't, Python sees nothing."""
+    texts = [
+        '{"chunks": [{"chunk_text": "a", "chunk_text": "b"}]}', '{"chunks": [], "chunks": [{"chunk_text": "c"}]}', 'so: {"chunks": [{"chunk_text": "d", "x": NaN}]} done', '{"chunks": [{"page_start": NaN}]}', '{"chunks": [{"keywords": [NaN]}]}',
+        '{"chunks": [NaN]}', '{"chunks": Infinity}', "NaN", '[{"a": -Infinity}]', '{"chunks": [{"chunk_text": NaN}]}', '{"batch_summary": "s", "batch_summary": "t", "chunks": []}', "{broken", "no json", '{"chunks": [{"chunk_text": "e"}]}', "", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, output_text string")
+    told = lambda strict: sorted(((r.doc_id, r.ord, r.chunk_text, r.error if r.ord is not None else r.error is not None) for r in C.ingest(rows, strict).collect()), key=str)
+    native = told(False)
+    assert [x for x in native if x[0] < 15] == [x for x in told(True) if x[0] < 15]
+    assert {(i, 0, t, None) for i, t in ((0, "b"), (1, "c"), (2, "d"), (13, "e"))} <= set(native)
+    assert {x[0]: x[3] for x in native if x[0] in (3, 4, 9)} == {3: "page_start", 4: "keywords", 9: "chunk_text"}
+    assert all(x[3] is True for x in native if x[0] in (5, 6, 7, 8, 11, 12)) and not [x for x in native if x[0] == 10]
+    assert {r.doc_id: r.batch_summary for r in C.batch_summaries(rows).collect()}[10] == "t"
+    seen = rows.select(T.refused(F.col("output_text"), T.json_object_text(F.col("output_text"))).alias("t")).where("t is not null").collect()
+    assert {r.t for r in seen} == {t for i, t in enumerate(texts) if t and i not in (12, 13)}
+
+
+def test_table_function_gives_what_ingest_gives(spark):
+    from quire.functions.tables import register
+    from quire.plans import catalogue as K
+
+    register(spark)
+    texts = [r[0] for r in K.BAD_RESPONSES] + [f'{{"chunks": [{r[0]}]}}' for r in K.CHUNK_TYPES] + ["", "no json", '{"chunks": [{"chunk_text": "x", "chunk_text": "y"}, {"chunk_text": "z"}]}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, output_text string")
+    got = spark.sql("SELECT id, ord, try_parse_json(chunk) AS v, error FROM {r}, LATERAL extract_chunks(output_text)", r=rows)
+    got = got.select("id", "ord", F.try_variant_get("v", "$.chunk_text", "string"), F.coalesce("error", F.when(F.col("v").isNotNull(), C.type_error(F.col("v")))))
+    want = C.ingest(rows).select("id", "ord", "chunk_text", "error")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    with pytest.raises(Exception, match="takes a string"):
+        spark.sql("SELECT * FROM extract_chunks(1)").collect()
+
+
+def test_slugs_without_python(spark):
+    import sys
+    import unicodedata
+
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c,) for c in chars[1:]], "x string")
+    stable = [r.x for r in df.where(T.normalized_already(F.col("x"))).collect()]
+    assert len(stable) > 30_000 and all(unicodedata.normalize("NFKC", c) == c for c in stable)
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choices(stable, k=8))
+        assert unicodedata.normalize("NFKC", text) == text
+    names = spark.createDataFrame([("Plain name (v2)",), ("하나은행 정기",), (None,), ("",)], "x string")
+    assert "Python" not in T.slugified(names, "x", "slug")._jdf.queryExecution().toString()
+    mixed = names.union(spark.createDataFrame([("ﬁnal①　ＡＢＣ",), ("e\u0301",)], "x string"))
+    got = T.slugified(mixed, "x", "slug")
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixed.withColumn("slug", T.slugify(F.col("x"))).collect()))
+
+
 def test_stream(spark, tmp_path):
     """Documents that arrive as files: the lost blocks of each are found once."""
     from quire.streaming import stream_missed_blocks
