@@ -2,15 +2,15 @@
 
 A template's words are aligned with a whole text's: words that stand exactly once in both are anchors, the longest
 increasing subsequence of the anchors stays, the runs around each anchor are extended word by word, and the gaps
-between anchors are aligned in the same way, until a gap has no such word. There the longest common subsequence of the
-gap decides. The coverage is the aligned share of the template's words; a license is reported from COVERAGE on, over at most SPREAD
-times its length of text.
-
-So a template is aligned with windows of that size, one from each place of a template word in the text, and the window
-with the best coverage counts, of equal ones the tightest, then the first. The length of the longest common subsequence, by
-bits, bounds what any alignment can cover, so only windows (and texts) that pass this bound are aligned; where patience
-alignment stays below the bound, the longest common subsequence of the window takes its place. A notice is found
-wherever it stands, and nothing is lost. The templates are short notices, the headers that stand for the long licenses
+between anchors are aligned in the same way. In a gap without such a word, words that stand equally often in both are
+anchors, the first with the first and so on; without those, the rarest word they share. So a gap ends when it shares no word.
+The coverage is the share of the template's words that this aligns; a license is reported from COVERAGE on, over at most
+SPREAD times its length of text.
+
+So a template is aligned with windows of that size, and the window with the best coverage counts, of equal ones the tightest,
+then the first. The length of the longest common subsequence, by bits, bounds what any alignment can cover and says where
+windows begin: at each word of the text without which the window's bound would be less. Only windows (and texts) that pass
+the bound are aligned, and the alignment alone gives the coverage. A notice is found wherever it stands. The templates are short notices, the headers that stand for the long licenses
 (Apache, GPL, LGPL, AGPL, MPL), and whole short licenses.
 
 Null and empty texts have no license. Every input row gives one output row, repeated rows equal ones; ties go to the
@@ -79,8 +79,8 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
         counts = Counter(template[a:b])
         inside = {w: p[bisect_left(p, c) : bisect_left(p, d)] for w in counts if (p := places.get(w))}
         anchors = _increasing([(i, inside[w][0]) for i, w in enumerate(template[a:b], a) if counts[w] == 1 and len(inside.get(w, ())) == 1])
+        anchors = anchors or _increasing(_by_occurrence(template, inside, counts, a, b))
         if not anchors:
-            done += [(a + i, c + j) for i, j in longest(template[a:b], text[c:d])]
             continue
         done += anchors
         edges = [(a - 1, c - 1), *anchors, (b, d)]
@@ -88,28 +88,17 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     return sorted(done)
 
 
-def longest(template: list[str], text: list[str]) -> list[tuple[int, int]]:
-    """Places (template, text) of the longest common subsequence."""
-    mine = set(template)
-    at = [j for j, w in enumerate(text) if w in mine]
-    text = [text[j] for j in at]
-    n = len(text)
-    best = [[0] * (n + 1)]
-    for w in reversed(template):
-        below, row = best[-1], [0] * (n + 1)
-        for j in range(n - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if w == text[j] else max(below[j], row[j + 1])
-        best.append(row)
-    best.reverse()
-    out, i, j = [], 0, 0
-    while i < len(template) and j < n:
-        if template[i] == text[j]:
-            out.append((i, at[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+def _by_occurrence(template: list[str], inside: dict[str, list[int]], counts: Counter, a: int, b: int) -> list[tuple[int, int]]:
+    """Anchors of a gap (a to b in the template) by the order of a word's places: of the words that stand equally often on both
+    sides; without those, of the rarest word on both."""
+    shared = {w: max(counts[w], len(p)) for w, p in inside.items() if p}
+    even = {w for w in shared if counts[w] == len(inside[w])} or {min(shared, key=lambda w: (shared[w], w))} if shared else set()
+    seen: Counter = Counter()
+    out = []
+    for i, w in enumerate(template[a:b], a):
+        if w in even and seen[w] < len(inside[w]):
+            out.append((i, inside[w][seen[w]]))
+            seen[w] += 1
     return out
 
 
@@ -150,7 +139,8 @@ def windows(template: list[str], places: list[tuple[int, str]], least: float) ->
 
 
 def best_place(template: list[str], words: list[str], places: list[tuple[int, str]], least: float) -> tuple[int, int, int]:
-    """How many words of the template a window aligns at most (0: less than ``least``), and the first and last word."""
+    """How many words of the template a window aligns at most (0: less than ``least``), and the first and last word. The bound
+    only spares windows that can't be the best."""
     bits, many = bits_of(template), len(template)
     best = (0, 0, 0)  # aligned words, words from the last to the first place (negative), first place
     for first, last in windows(template, places, least):
@@ -162,8 +152,8 @@ def best_place(template: list[str], words: list[str], places: list[tuple[int, st
         at = places[first][0]
         text = words[at : places[last - 1][0] + 1]
         found = align(template, text)
-        if len(found) < n:
-            found = longest(template, text)
+        if len(found) / many < least:
+            continue
         new = (len(found), found[0][1] - found[-1][1], at + found[0][1])
         if new[:2] > best[:2]:
             best = new
