@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset (tests): one in the warehouse, which is shared as well."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset: one in the warehouse, on a single machine (tests); on a
+    cluster that is an error, since the warehouse may be a local folder."""
     small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-work"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
