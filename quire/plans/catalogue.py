@@ -426,9 +426,13 @@ _MADE: list[str] = []
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: beside the checkpoints, or in the warehouse. It goes when the driver's
-    process ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder where all executors can write: beside the checkpoints, or, on a single machine, in the warehouse. It goes
+    when the driver's process ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     _MADE.append(f"{base.rstrip('/')}/quire-files-{uuid.uuid4().hex}")
     return _MADE[-1]
 
