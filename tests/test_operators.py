@@ -228,12 +228,12 @@ def test_packed_folder(spark, tmp_path):
     folder = str(tmp_path / "packed")
     files = lambda *ids: spark.createDataFrame([(i, f"F {i}") for i in ids], "doc_id string, file_id string")
     assert packed.finished_packed(spark, folder).count() == 0 and texts_of(spark, folder) == []
-    packed.write_packed(chunk_rows(spark, [("a", 1, "a1"), ("a", 0, "a0"), ("b", 0, "b0"), ("no", 0, "of no document")]), files("a", "b", "empty"), folder, 4)
+    packed.write_packed(chunk_rows(spark, [("a", 1, "a1"), ("a", 0, "a0"), ("b", 0, "b0"), ("no", 0, "of no document")]), files("a", "b", "empty"), folder)
     assert texts_of(spark, folder) == [("F a", 0, "a0"), ("F a", 1, "a1"), ("F b", 0, "b0")]
     assert {r.file_id: r.n_lines for r in packed.finished_packed(spark, folder).collect()} == {"F a": 2, "F b": 1, "F empty": 0}
-    broken = spark.read.parquet(f"{folder}/lines").where("file_id = 'F b'").withColumn("run", F.lit("000000001-broken")).withColumn("line", F.lit("x"))
-    broken.write.mode("append").partitionBy("bucket").parquet(f"{folder}/lines")
-    packed.write_packed(chunk_rows(spark, [("a", 0, "new"), ("c", 0, "c0")]), files("a", "c"), folder, 4)
+    broken = spark.read.parquet(f"{folder}/lines").where("file_id = 'F b'").drop("run").withColumn("line", F.lit("x"))
+    broken.write.parquet(f"{folder}/lines/run=000000001-broken")
+    packed.write_packed(chunk_rows(spark, [("a", 0, "new"), ("c", 0, "c0")]), files("a", "c"), folder)
     want = [("F a", 0, "new"), ("F b", 0, "b0"), ("F c", 0, "c0")]
     assert texts_of(spark, folder) == want and spark.read.parquet(f"{folder}/lines").count() == 6
     left = S.skip_existing(files("a", "d").withColumnRenamed("file_id", "k"), packed.finished_packed(spark, folder).withColumnRenamed("file_id", "k"), "k")
@@ -241,6 +241,7 @@ def test_packed_folder(spark, tmp_path):
     packed.compact(spark, folder)
     assert texts_of(spark, folder) == want and spark.read.parquet(f"{folder}/lines").count() == 3
     packed.compact(spark, folder)
+    assert len(list((tmp_path / "packed" / "lines").glob("run=*"))) == 2
     packed.export_files(spark, folder, str(tmp_path / "files"))
     assert {p.name: p.read_text().strip() for p in (tmp_path / "files").glob("*.jsonl")}.keys() == {"F a.jsonl", "F b.jsonl", "F c.jsonl", "F empty.jsonl"}
     packed.export_lines(spark, folder, str(tmp_path / "lines"))
