@@ -407,6 +407,61 @@ def test_match_words():
         assert L.match_words(L.token_places(page), tokens) == plain_match(page, tokens)
 
 
+def test_pages_meet_chunks_once(spark, monkeypatch):
+    """Primary and head pages are those of all pairs of chunk and page, over spots and batches, for few and for many declared
+    pages; a page is sent twice at most, and pages that can't win are not matched."""
+    rng = random.Random(3)
+    kinds = [f"w{k}" for k in range(60)]
+    texts = {(k, p): [rng.choice(kinds) for _ in range(rng.randrange(20, 60))] for k in range(2) for p in range(1, 101)}
+    place = lambda i: (i % 10 * 50.0, i // 10 * 30.0)
+    rows = [(k, p, [(x, y, x + 45, y + 12, w) for w, (x, y) in zip(t, map(place, range(len(t))), strict=True)]) for (k, p), t in texts.items()]
+    pages = spark.createDataFrame(rows, "k int, page_num int, words array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>")
+    chunks = []
+    for seq in range(80):
+        k, p = seq % 2, rng.randrange(1, 100)
+        both = texts[k, p] + texts[k, p + 1]
+        start, end = rng.choice([(p, p), (p + 1, None), (1, 100), (max(1, p - 40), p + 9), (None, None)])
+        chunks.append((k, seq, start, end, " ".join(both[rng.randrange(25) :][: rng.randrange(10, 80)]), None, "paragraph"))
+    df = spark.createDataFrame(chunks, "k int, seq int, page_start int, page_end int, chunk_text string, table_markdown string, content_type string")
+    want = {}
+    for k, seq, start, end, text, *_ in chunks:
+        tokens, scored = text.split(), []
+        for p in range(max(1, (start or 1) - L.RADIUS), min(100, (end or start or 1000) + L.RADIUS) + 1):
+            at, offset = plain_match(texts[k, p], tokens)
+            regions = []
+            for a, b in zip([None, *at], at, strict=False):
+                if a is None or place(b)[1] < place(a)[1] - 3 or place(b)[1] > place(a)[1] + 12 + 40:
+                    regions.append([])
+                regions[-1].append(b)
+            regions = [r for r in regions if len(r) >= L.MIN_REGION]
+            score = sum(map(len, regions))
+            if len(at) >= L.MIN_MATCHED and score >= L.MIN_MATCHED:
+                box = lambda r: (min(place(i)[0] for i in r), min(place(i)[1] for i in r), max(place(i)[0] for i in r) + 45, max(place(i)[1] for i in r) + 12)
+                scored.append((-score, p, offset, [box(r) for r in regions]))
+        if scored:
+            main = min(scored)
+            want[k, seq, "primary"] = main
+            heads = [x for x in scored if main[2] > len(tokens) * 0.1 and x[1] < main[1] and x[2] <= len(tokens) * 0.1 and -x[0] >= max(20, int(len(tokens) * 0.15))]
+            if heads:
+                want[k, seq, "head"] = min(heads)
+    assert {role for _, _, role in want} == {"primary", "head"}
+    for most in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        got = {(r.k, r.seq, r.role): (-r.score, r.page_num, r.offset, [tuple(b) for b in r.boxes]) for r in L.find_matching_pages(df, pages, "k").collect()}
+        assert got == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sent = L._met(df, pages, "k").groupBy("_chunk").count().collect()
+    assert next(r["count"] for r in sent if not r["_chunk"]) < 2 * len(texts)
+    tried = []
+    match = L.match_words
+    monkeypatch.setattr(L, "match_words", lambda places, tokens: tried.append(1) or match(places, tokens))
+    held = {p: SimpleNamespace(places=L.token_places(texts[0, p])) for p in range(1, 8)}
+    for page in held.values():
+        page.shared = lambda once, more, page=page: L._Page.shared(page, once, more)
+        page.scored = lambda tokens, page=page: (len(L.match_words(page.places, tokens)[0]), 0, [])
+    assert {n: s for n, (s, *_) in L.best_pages(held, texts[0, 4]).items()} == {4: len(texts[0, 4])} and len(tried) == 1
+
+
 def test_pages_are_ruled_out_exactly(spark):
     """No page with a match of MIN_MATCHED words is ruled out, and what is left shares as many tokens; a page's rows
     make its index once, whatever batches they come in."""
