@@ -359,19 +359,29 @@ def _verified(texts: DataFrame, loose: DataFrame, words: int) -> DataFrame:
     return done.unionByName(split.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
 
+def fingerprint_links(nodes: DataFrame, most: int = 4) -> DataFrame:
+    """Links (a, b) that connect all nodes (node; fp: 64 bits as bytes) whose fingerprints differ in ``most`` bits at most:
+    those of equal ones with the least of them, and these by their anchors. Rows of one node have one fingerprint."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")))
+    equal = nodes.join(firsts.where("first <> last"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return equal.union(anchor_links(firsts.select(F.col("first").alias("node"), F.col("fp").alias("blocks"), F.col("fp").alias("sig")), most))
+
+
 def text_classes(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> tuple[DataFrame, DataFrame]:
     """Classes of copies and near copies of similarity 0.8: (node, label, first, n) of every different text, and (node,
     doc_id) of every row.
 
     node: the hash of a text; label: the same for all texts of a class; first: the least doc_id with that text; n: its rows.
-    Candidates share a key of minima of their shingles, and bits of the minima that differ in ``most`` places at most (at a hot
-    key: any). Of these only pairs of an exact similarity of SIMILAR or more are links.
+    Candidates are linked by their SimHash fingerprints, as in ``near_duplicates``. Those miss copies with many small edits, so
+    texts are candidates, too, that share a key of minima of their shingles, and bits of the minima that differ in ``most``
+    places at most (at a hot key: any). Of these only pairs of an exact similarity of SIMILAR or more are links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sketches = [copy_sketch(shingles(t, words)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array([x for x, _ in sketches], pa.binary()), pa.array([y for _, y in sketches], pa.binary())], ["doc_id", "node", "keys", "sig"])
+            fps = [simhash64(t).to_bytes(8, "little") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(fps, pa.binary()), pa.array([x for x, _ in sketches], pa.binary()), pa.array([y for _, y in sketches], pa.binary())], ["doc_id", "node", "fp", "keys", "sig"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -381,16 +391,16 @@ def text_classes(docs: DataFrame, words: int = 5, most: int = NEAR_BITS) -> tupl
                     yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]), b.column("node"), b.column("sig")], ["anchor", "node", "sig"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    sketched = written(texts.mapInArrow(run, "doc_id long, node long, keys binary, sig binary"))
+    sketched = written(texts.mapInArrow(run, "doc_id long, node long, fp binary, keys binary, sig binary"))
     firsts = written(sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    nodes = sketched.select("node", "keys", "sig").dropDuplicates(["node"])
+    nodes = sketched.select("node", "fp", "keys", "sig").dropDuplicates(["node"])
     near = nodes.mapInArrow(replicate, "anchor long, node long, sig binary")
     bound = max(HOT, BANDS * sketched.count() // HOT_SHARE)  # so there are HOT_SHARE hot keys at most
     hot = written(near.groupBy("anchor").agg(F.count("*").alias("n"), F.min("node").alias("m")).where(F.col("n") > bound).select("anchor", "m"))
     links = links_at(near.join(F.broadcast(hot), "anchor", "left_anti"), most, _dense, ("anchor", "node"))
     if not hot.isEmpty():
         links = links.union(near.join(F.broadcast(hot), "anchor").where("node <> m").select(F.least("m", "node"), F.greatest("m", "node")))
-    loose = components(links)
+    loose = components(links.union(fingerprint_links(sketched.select("node", "fp"))))
     # of the rows of one node, which have one text, those of a single doc_id are dealt out
     met = texts.join(loose.join(firsts, "node").select("node", "first"), "node").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
     labels = _verified(met, loose, words)

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import struct
@@ -223,6 +224,17 @@ def test_near_copies(spark):
     assert all(out[i + 6] == i and out[i] == i for i in range(6)) and out[15] == 14 and out[13] == 12
 
 
+def test_near_copies_are_candidates_by_simhash(spark, monkeypatch):
+    """Without any shared key of minima, copies whose fingerprints differ in four bits at most are still found."""
+    sketch = simhash.copy_sketch
+    monkeypatch.setattr(simhash, "copy_sketch", lambda h: (os.urandom(8 * simhash.BANDS), sketch(h)[1]))
+    texts = [prose(400, i) for i in range(10)]
+    texts += [t + " end" for t in texts] + [t.capitalize() for t in texts]
+    near = {i for i in range(30) if (simhash.simhash64(texts[i]) ^ simhash.simhash64(texts[i % 10])).bit_count() <= 4}
+    out = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts)).collect()}
+    assert len(near) > 25 and out == {i: i % 10 if i in near else i for i in range(30)}
+
+
 def test_near_copies_with_edited_passages(spark):
     base = [prose(300, 1000 + i) for i in range(40)]
     edits = [lambda w, x: w + x[:60], lambda w, x: w[:250], lambda w, x: w[:100] + x[:25] + w[125:], lambda w, x: x[:60] + w]
