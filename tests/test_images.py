@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from quire.operators import layout as L
 from quire.sinks import images
@@ -72,3 +73,16 @@ def test_figure_boxes_reach_up(spark):
     got = L.find_matching_pages(chunks, pages, blocks=blocks).first()
     assert got.page_num == 1 and [tuple(b) for b in got.boxes] == [(0.0, 84.0, 78.0, 310.0)]
     assert [tuple(b) for b in L.find_matching_pages(chunks, pages, blocks=blocks.limit(0)).first().boxes] == [(0.0, 40.0, 78.0, 310.0)]
+
+
+def test_few_images_are_held_at_once(spark, monkeypatch):
+    """However many rows a batch has, what is drawn on is handed on after a few images."""
+    white = images.write_png(np.full((12, 16, 3), 255, np.uint8))
+    frames = {n: spark.createDataFrame([], t) for n, t in (("pages", "doc_id long, page_num int, png binary"), ("boxes", "doc_id long, page_num int, number int, color string, x0 double, y0 double, x1 double, y1 double"))}
+    got = []
+    monkeypatch.setattr(type(frames["pages"]), "mapInArrow", lambda self, f, schema: got.append(f))
+    images.boxed_pages(**frames)
+    box = [{"number": 1, "x0": 1.0, "y0": 1.0, "x1": 5.0, "y1": 5.0, "color": "#ff0000"}]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "page_num": 1, "png": b"broken" if i % 7 == 0 else white, "boxes": box} for i in range(100)])
+    out = [b.column("doc_id").to_pylist() for b in got[0]([batch])]
+    assert sum(out, []) == [i for i in range(100) if i % 7] and max(map(len, out)) <= images.AT_ONCE
