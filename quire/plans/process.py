@@ -87,6 +87,7 @@ class RuleBased:
         return json.dumps({"batch_summary": f"{len(chunks)} paragraphs", "chunks": chunks})
 
 
+AT_ONCE = 256  # requests that a task holds with their answers
 RESPONSE = "doc_id string, batch_no int, output_text string, error string"
 
 
@@ -113,7 +114,7 @@ def live_responses(batches: DataFrame, backend: Backend, model: str, max_output_
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = summary = last = None
         failed = False
-        for part in parts:
+        for part in (p.slice(at, AT_ONCE) for p in parts for at in range(0, p.num_rows, AT_ONCE)):
             rows = []
             for r in part.to_pylist():
                 if doc is None or r["doc_id"] != doc:

@@ -4,6 +4,7 @@ import time
 from collections import Counter
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -515,3 +516,18 @@ def test_rows_of_the_sweep_are_linear(spark):
 def test_skip_existing(spark):
     docs, done = spark.range(3).withColumnRenamed("id", "k"), spark.range(1).withColumnRenamed("id", "k")
     assert S.skip_existing(docs, done, "k").count() == 2 and S.skip_existing(docs, done, "k", overwrite=True).count() == 3
+
+
+def test_few_requests_are_held_at_once(spark, monkeypatch):
+    """Answers are handed on after a part of a batch, and a document goes on in the next part."""
+    names = "doc_id string, document_id string, source string, batch_no int, page_start int, page_end int, page_text string, known_outline string, images array<string>"
+    batches = spark.createDataFrame([], names)
+    got, asked = [], []
+    monkeypatch.setattr(type(batches), "mapInArrow", lambda self, f, schema: got.append(f))
+    monkeypatch.setattr(R, "AT_ONCE", 3)
+    R.live_responses(batches, lambda model, content, most, heat: asked.append(1) or json.dumps({"batch_summary": str(len(asked)), "chunks": []}), "m", template="{{previous_batch_summary}}")
+    rows = [{"doc_id": "a" if i < 7 else "b", "document_id": "a", "source": "", "batch_no": i, "page_start": 1, "page_end": 2, "page_text": "x", "known_outline": "", "images": []} for i in range(10)]
+    seen = []
+    for b in got[0]([pa.RecordBatch.from_pylist(rows)]):
+        seen.append((b.num_rows, len(asked)))
+    assert seen == [(3, 3), (3, 6), (3, 9), (1, 10)]
