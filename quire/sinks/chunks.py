@@ -131,6 +131,35 @@ def write_lines(named: DataFrame, folder: str) -> None:
     files.delete(spark._jvm.org.apache.hadoop.fs.Path(work), True)
 
 
+def write_files(rows: DataFrame, folder: str, shared: bool = False) -> None:
+    """A file of each row (name, content: bytes) in a folder; a task that is tried again writes the same. Workers write them
+    side by side where they can open the store. shared: a ``file:`` folder is one for all workers, too. Else the driver writes
+    file by file."""
+    spark = rows.sparkSession
+    folder = _qualified(spark, folder)
+    files, top = files_of(spark, folder)
+    files.mkdirs(top)
+    if not (_direct(spark, folder) or (shared and folder.startswith("file:"))):
+        for name, content in rows.select("name", "content").toLocalIterator():
+            stream = files.create(spark._jvm.org.apache.hadoop.fs.Path(top, name), True)
+            stream.write(bytearray(content))
+            stream.close()
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = pafs.FileSystem.from_uri(folder)
+        done = 0
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
+                with store.open_output_stream(f"{at}/{name}") as out:
+                    out.write(content.as_py())
+                done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["files"])
+
+    # small tables are few tasks otherwise: what counts is the number of files, not their bytes
+    rows.select("name", "content").repartition(4 * spark.sparkContext.defaultParallelism, "name").mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
 def section_colors(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, title, color of each document's sections, in their order of appearance."""
     order = L.section_order(chunks, key, T.section_key(F.col("level_1_heading"), F.col("level_2_heading")), "seq")

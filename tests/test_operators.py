@@ -531,3 +531,17 @@ def test_few_requests_are_held_at_once(spark, monkeypatch):
     for b in got[0]([pa.RecordBatch.from_pylist(rows)]):
         seen.append((b.num_rows, len(asked)))
     assert seen == [(3, 3), (3, 6), (3, 9), (1, 10)]
+
+
+def test_files_are_written_by_workers(spark, tmp_path, monkeypatch):
+    """Not one after the other by the driver; the pages of each file are rows of their own."""
+    rows = spark.createDataFrame([(f"S ({i}).pdf", f"a {i}\fb".encode()) for i in range(40)] + [("note.txt", b"no")], "name string, content binary")
+    monkeypatch.setattr(type(rows), "toLocalIterator", lambda *_: pytest.fail("the driver writes"))
+    folder = str(tmp_path / "files")
+    S.write_files(rows, folder)
+    found = D.scan_pdf_dir(spark, folder)
+    assert {(r.document_id, bytes(r.content)) for r in found.collect()} == {(f"S_{i}", f"a {i}\fb".encode()) for i in range(40)}
+    assert (tmp_path / "files" / "note.txt").read_bytes() == b"no"
+    reader = lambda content, zoom: [{"text": t, "blocks": [(0, 0, 1, 1, t, 0, 0)] if t != "b" else [], "words": [(0, 0, 1, 1, w, 0, 0, i) for i, w in enumerate(t.split())], "png": b"x"} for t in content.decode().split("\f")]
+    pages = D.pdf_pages(found, reader).where("document_id = 'S_3'").orderBy("page_num").collect()
+    assert [(r.page_num, r.n_pages, r.text, [b.text for b in r.blocks], [(w.text, w.x1, w.word_no) for w in r.words]) for r in pages] == [(1, 2, "a 3", ["a 3"], [("a", 1.0, 0), ("3", 1.0, 1)]), (2, 2, "b", [], [("b", 1.0, 0)])]
