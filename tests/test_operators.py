@@ -545,3 +545,11 @@ def test_files_are_written_by_workers(spark, tmp_path, monkeypatch):
     reader = lambda content, zoom: [{"text": t, "blocks": [(0, 0, 1, 1, t, 0, 0)] if t != "b" else [], "words": [(0, 0, 1, 1, w, 0, 0, i) for i, w in enumerate(t.split())], "png": b"x"} for t in content.decode().split("\f")]
     pages = D.pdf_pages(found, reader).where("document_id = 'S_3'").orderBy("page_num").collect()
     assert [(r.page_num, r.n_pages, r.text, [b.text for b in r.blocks], [(w.text, w.x1, w.word_no) for w in r.words]) for r in pages] == [(1, 2, "a 3", ["a 3"], [("a", 1.0, 0), ("3", 1.0, 1)]), (2, 2, "b", [], [("b", 1.0, 0)])]
+
+
+def test_reports_read_kept_chunks(spark):
+    """The chunks of a report are made once, not again for its cards, colors and outline."""
+    from quire.plans import catalogue
+
+    found = catalogue.report_counts(spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and all("/quire-files-" in f for f in found.inputFiles())
