@@ -40,7 +40,15 @@ def page_text(pages: DataFrame, *by: str) -> DataFrame:
     return pages.groupBy(*by).agg(joined.alias("page_text"))
 
 
+PLACE = ("block_no", "line_no", "word_no", "x0", "y0", "x1", "y1", "text")
+
+
 def page_words(words: DataFrame, *by: str) -> DataFrame:
-    """Words of each page in reading order: an array sorted by block, line and word number."""
-    order = F.struct("block_no", "line_no", "word_no", "x0", "y0", "x1", "y1", "text")
-    return words.groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("words"))
+    """Words of each page in reading order: an array sorted by block, line and word number. ``words`` has a row for each
+    word; pages that hold theirs as an array need no exchange (``reading_order``)."""
+    return words.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*PLACE))).alias("words"))
+
+
+def reading_order(words: Column) -> Column:
+    """The same for a page's array of words, as ``quire.sources.documents.pdf_pages`` gives them: sorted where they lie."""
+    return F.sort_array(F.transform(words, lambda w: F.struct(*(w[c].alias(c) for c in PLACE))))

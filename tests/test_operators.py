@@ -15,6 +15,7 @@ from quire.operators import chunks as C
 from quire.operators import layout as L
 from quire.operators import outline as O
 from quire.operators import pages as P
+from quire.plans import catalogue
 from quire.plans import process as R
 from quire.sinks import chunks as S
 from quire.sinks import packed
@@ -553,3 +554,20 @@ def test_reports_read_kept_chunks(spark):
 
     found = catalogue.report_counts(spark, "/root/testdata/sf0.001")
     assert found.inputFiles() and all("/quire-files-" in f for f in found.inputFiles())
+
+
+def test_reading_order_of_page_arrays(spark, tmp_path):
+    """A page's array of words is sorted where it lies, as rows of words are; the query sends texts, not rows of words, and
+    texts of one doc_id are one page."""
+    rng = random.Random(5)
+    words = [(1, rng.randrange(3), rng.randrange(3), i, 0.0, 0.0, 1.0, 1.0, f"w{i}") for i in range(40)]
+    rng.shuffle(words)
+    rows = spark.createDataFrame(words, "page int, block_no int, line_no int, word_no int, x0 double, y0 double, x1 double, y1 double, text string")
+    as_array = rows.groupBy("page").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1", "text", "block_no", "line_no", "word_no")).alias("w"))
+    got = as_array.select(P.reading_order(F.col("w")).alias("words")).first()["words"]
+    assert got == P.page_words(rows, "page").first()["words"]
+    assert [w["text"] for w in got] == [w[-1] for w in sorted(words)]
+    spark.createDataFrame([(1, "a b"), (1, "c"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalogue.QUERIES["page_words"](spark, str(tmp_path))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.n_words, " ".join(sorted(r.words.split()))) for r in out.collect()} == {(1, 3, "a b c"), (3, 1, "")}
