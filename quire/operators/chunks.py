@@ -124,7 +124,7 @@ def batch_words(chunks: DataFrame, *by: str) -> DataFrame:
     they are read, so that it does not matter how the table is stored."""
     body = F.concat_ws(" ", F.coalesce("chunk_text", F.lit("")), F.coalesce("table_markdown", F.lit("")))
     dealt = chunks.select(*by, body.alias("_b")).repartition(*by)
-    return dealt.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list(T.significant_words(F.col("_b"))))).alias("covered"))
+    return dealt.groupBy(*by).agg(T.significant_words(F.array_join(F.collect_list("_b"), "\n")).alias("covered"))
 
 
 def find_missed_blocks(blocks: DataFrame, chunks: DataFrame, key: str = "doc_id", least: int = T.MIN_WORDS, most: float = T.MIN_COVERAGE) -> DataFrame:

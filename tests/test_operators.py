@@ -571,3 +571,17 @@ def test_reading_order_of_page_arrays(spark, tmp_path):
     out = catalogue.QUERIES["page_words"](spark, str(tmp_path))
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.doc_id, r.n_words, " ".join(sorted(r.words.split()))) for r in out.collect()} == {(1, 3, "a b c"), (3, 1, "")}
+
+
+def test_usual_lines_need_no_long_check(spark):
+    """Lines of the usual shape are told at once, and no line that the long check finds fault with is among them."""
+    of = lambda fields: {k: 1 if t == "int" else [] if t == "array<string>" else "paragraph" if k == "content_type" else "new" if k == "continuation_status" else "x" for k, t in fields.items()}
+    good = of(D.schema.CHUNK_FIELDS) | {"metadata": of(D.schema.METADATA_FIELDS)}
+    bad = [{k: v for k, v in good.items() if k != c} for c in good] + [{**good, c: v} for c in good for v in (None, 1, 1.5, "x", [1], [None], ["a", None], {}, True)]
+    bad += [{**good, "metadata": {**good["metadata"], c: v}} for c in good["metadata"] for v in (None, 1, 1.5, "x", [])]
+    usual = [good, {**good, "keywords": ["a"], "table_markdown": None}]
+    rows = spark.createDataFrame([(json.dumps(r), i < len(usual)) for i, r in enumerate(usual + bad)], "value string, usual boolean").withColumn("v", F.try_parse_json("value"))
+    got = rows.select("usual", D.surely_valid(F.col("v")).alias("sure"), D.chunk_error(F.col("v")).alias("error")).collect()
+    assert all(r.sure for r in got if r.usual) and not [r for r in got if r.sure and r.error] and sum(r.error is not None for r in got) > 100
+    words = spark.createDataFrame([("\u212aelvin KELVIN Stra\u00dfe \u0130stan \uac00\ub098\ub2e4\ub77c",), ("\u00c9TATS Word",)], "t string").select(T.significant_words(F.col("t")).alias("w")).collect()
+    assert [r.w for r in words] == [["elvin", "kelvin", "stra", "stan", "\uac00\ub098\ub2e4\ub77c"], ["tats", "word"]]
