@@ -585,3 +585,25 @@ def test_usual_lines_need_no_long_check(spark):
     assert all(r.sure for r in got if r.usual) and not [r for r in got if r.sure and r.error] and sum(r.error is not None for r in got) > 100
     words = spark.createDataFrame([("\u212aelvin KELVIN Stra\u00dfe \u0130stan \uac00\ub098\ub2e4\ub77c",), ("\u00c9TATS Word",)], "t string").select(T.significant_words(F.col("t")).alias("w")).collect()
     assert [r.w for r in words] == [["elvin", "kelvin", "stra", "stan", "\uac00\ub098\ub2e4\ub77c"], ["tats", "word"]]
+
+
+def test_most_words_against_all_pairs(spark):
+    """Also chunks over many spots, pages that are not there, and pages of many rows; a chunk is not sent to each of its pages."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"word{rng.randrange(30)}" for _ in range(n))
+    lines = [(k, p, text(8)) for k in range(3) for p in range(1, 60) if p % 9 for _ in range(2)]
+    chunks = [(k, i, s, e, text(rng.choice([4, 9, 20]))) for k in range(3) for i in range(60) for s in [rng.randrange(1, 70)] for e in [rng.choice([None, s, s + 2, s + 45, s - 1])]]
+    pages = spark.createDataFrame(lines, "k int, page_num int, text string")
+    df = spark.createDataFrame(chunks, "k int, seq int, page_start int, page_end int, chunk_text string")
+    out = L.most_words(df, pages, "k")
+    said, _ = L.near_spots(df.where("page_end is null"), pages, "k")
+    assert said.count() == df.where("page_end is null and page_start <= 62").count()
+    words = {}
+    for k, p, t in lines:
+        words.setdefault((k, p), set()).update(t.split())
+    want = set()
+    for k, i, s, e, t in chunks:
+        near = [(-len(words[k, p] & set(t.split())), p) for p in range(max(1, s - 3), (s if e is None else e) + 4) if (k, p) in words]
+        if near and -min(near)[0] >= L.MIN_MATCHED:
+            want.add((k, i, s, min(near)[1], -min(near)[0]))
+    assert {(r.k, r.seq, r.page_start, r.page_num, r.score) for r in out.collect()} == want and len(want) > 20
