@@ -607,3 +607,17 @@ def test_most_words_against_all_pairs(spark):
         if near and -min(near)[0] >= L.MIN_MATCHED:
             want.add((k, i, s, min(near)[1], -min(near)[0]))
     assert {(r.k, r.seq, r.page_start, r.page_num, r.score) for r in out.collect()} == want and len(want) > 20
+
+
+def test_all_matches_without_pairs(spark):
+    rng = random.Random(8)
+    pairs = [random_match(rng) for _ in range(90)]
+    word = "struct<x0:double,y0:double,x1:double,y1:double,text:string>"
+    texts = {(k, p): pairs[(k * 45 + p) % 90][0] for k in range(2) for p in range(1, 46)}
+    texts[0, 3] = ["A\nb", *texts[0, 3]]
+    pages = spark.createDataFrame([(k, p, [(0.0, 0.0, 1.0, 1.0, w) for w in ws]) for (k, p), ws in texts.items()], f"k int, page_num int, words array<{word}>")
+    chunks = [(k, p, p, rng.choice([None, p, p + 1, p + 40]), " ".join(pairs[(k * 45 + p) % 90][1]), None, "paragraph") for k in range(2) for p in range(1, 46)]
+    df = spark.createDataFrame(chunks, "k int, seq int, page_start int, page_end int, chunk_text string, table_markdown string, content_type string")
+    got = {(r.k, r.seq, r.page_num): (r.places, r.offset) for r in L.all_matches(df, pages, "k").collect()}
+    old = {(r.k, r.seq, r.page_num): (r.places, r.offset) for r in L.matched(L.possible_pages(df, pages, "k", 0), "k").collect() if r.n_tokens >= L.MIN_MATCHED}
+    assert got == old and len(got) > 90
