@@ -4,6 +4,7 @@ import time
 from collections import Counter
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -621,3 +622,30 @@ def test_all_matches_without_pairs(spark):
     got = {(r.k, r.seq, r.page_num): (r.places, r.offset) for r in L.all_matches(df, pages, "k").collect()}
     old = {(r.k, r.seq, r.page_num): (r.places, r.offset) for r in L.matched(L.possible_pages(df, pages, "k", 0), "k").collect() if r.n_tokens >= L.MIN_MATCHED}
     assert got == old and len(got) > 90
+
+
+def test_texts_are_sent_not_their_tokens(spark):
+    """Pages with words and pages with a text, whose boxes ``lay`` tells, give the same; behind the exchange by spots lie the
+    arrays: of tokens, and of boxes that are told by rule, none is sent."""
+    rng = random.Random(9)
+    kinds = [*(f"W{k}," for k in range(40)), "--", "ß-x"]
+    texts = {p: [rng.choice(kinds) for _ in range(rng.randrange(1, 80))] for p in range(1, 71)}
+    lay = lambda n: [np.arange(n) % 10 * 50.0, np.arange(n) // 10 * 30.0, np.arange(n) % 10 * 50.0 + 45, np.arange(n) // 10 * 30.0 + 12]
+    rows = [(1, p, [(*(float(x) for x in box), w) for box, w in zip(zip(*lay(len(t)), strict=True), t, strict=True)], rng.choice([" ", "\t  "]).join(t)) for p, t in texts.items()]
+    pages = spark.createDataFrame([*rows, (1, 0, rows[0][2], rows[0][3]), (None, 1, rows[0][2], rows[0][3])], "k int, page_num int, words array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>, text string")
+    chunks = [(1, i, p, e, " ".join(texts[p][rng.randrange(5) :] + texts[p + 1]), None, "paragraph") for i in range(60) for p in [rng.randrange(1, 70)] for e in [rng.choice([None, p, 70])]]
+    df = spark.createDataFrame(chunks, "k int, seq int, page_start int, page_end int, chunk_text string, table_markdown string, content_type string")
+    found = lambda out: sorted((r.seq, r.role, r.page_num, r.score, r.offset, [tuple(b) for b in r.boxes]) for r in out.collect())
+    got = found(L.find_matching_pages(df, pages.drop("words"), "k", lay=lay))
+    assert got == found(L.find_matching_pages(df, pages.drop("text"), "k")) and len(got) >= 60
+
+    def sent(met):
+        plan = met._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() != "RepartitionByExpression":
+            plan = plan.children().head()
+        columns = plan.child().output()
+        return [columns.apply(i).dataType().simpleString() for i in range(columns.size())]
+
+    assert not [t for t in sent(L._met(df, pages.drop("words"), "k")) if "array" in t]
+    assert [t for t in sent(L._met(df, pages.drop("text"), "k")) if "array" in t] == ["array<double>"] * 4  # the boxes
+    assert not [t for t in sent(L._met(df, pages.drop("text"), "k", boxes=False)) if "array" in t]
