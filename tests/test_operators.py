@@ -2,6 +2,7 @@ import json
 import random
 import time
 from collections import Counter
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -649,3 +650,12 @@ def test_texts_are_sent_not_their_tokens(spark):
     assert not [t for t in sent(L._met(df, pages.drop("words"), "k")) if "array" in t]
     assert [t for t in sent(L._met(df, pages.drop("text"), "k")) if "array" in t] == ["array<double>"] * 4  # the boxes
     assert not [t for t in sent(L._met(df, pages.drop("text"), "k", boxes=False)) if "array" in t]
+
+
+def test_chunks_and_pages_share_an_exchange(spark):
+    """Chunks that are made of a document's pages are made where the pages are, of texts that are sent once."""
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables")
+    df = catalogue.QUERIES["pages_by_hand"](spark, "/root/testdata/sf0.001")
+    assert df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
